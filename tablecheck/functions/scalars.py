@@ -24,12 +24,11 @@ FALSE_TOKENS = ("False", "FALSE", "false")
 ABS_TOL = 1e-9
 REL_TOL = 1e-2
 
-# Whitespace removed around text before comparing: Java "\s" plus Unicode separators,
-# NEL and the information separators, i.e. the characters Python's str.isspace accepts.
-_WS = r"[\s\p{Z}\x{85}\x{1C}-\x{1F}]"
-UNICODE_TRIM = rf"^{_WS}+|{_WS}+$"
+# Whitespace removed around text before comparing: exactly the characters Python's
+# str.isspace accepts (derived by rule, 29 code points, all below U+3001).
+UNICODE_SPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 # A lenient number parse accepts only ASCII blanks around the number.
-ASCII_TRIM = r"^[ \t\n\r\f\x{0B}]+|[ \t\n\r\f\x{0B}]+$"
+ASCII_SPACE = " \t\n\r\f\v"
 NUMBER_RE = r"^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
 INTEGER_RE = r"^[+-]?[0-9]+$"
 
@@ -40,7 +39,7 @@ def null_tokens(c: Column) -> Column:
 
 
 def strip_unicode(c: Column) -> Column:
-    return F.regexp_replace(c, UNICODE_TRIM, "")
+    return F.trim(c, F.lit(UNICODE_SPACE))
 
 
 def numeric_parse(c: Column) -> Column:
@@ -49,7 +48,7 @@ def numeric_parse(c: Column) -> Column:
     ``try_cast`` alone would also accept ``1d``/``1f`` suffixes and ``nan``; the regex
     guard keeps exactly the plain spellings (sign, fraction, exponent, inf/infinity).
     """
-    t = F.regexp_replace(c.cast("string"), ASCII_TRIM, "")
+    t = F.trim(c.cast("string"), F.lit(ASCII_SPACE))
     return F.when(t.rlike(NUMBER_RE), t.try_cast("double"))
 
 

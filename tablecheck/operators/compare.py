@@ -13,21 +13,24 @@ Rules (one table pair):
    numeric, else by stripped case-folded text, null equal to null.
 5. Score = matched gold columns / gold columns (0 when gold has none).
 
-Work is three passes per side at most: one profile aggregate (row count, non-null
-and numeric counts), one range-partitioned sort written to scratch, and after the
-positional join one aggregate that yields every column's verdict at once.
+Per side: one pass writes the normalised cells (text, number and sort views) to
+scratch while ``observe`` collects the profile (row count, non-null and numeric
+counts); one range-partitioned sort numbers the rows.  After the positional join
+a single aggregate yields every column's verdict at once.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import nan_to_null, numeric_parse, sort_text, text_equal, tolerant_equal
+from ..functions.scalars import nan_to_null, numeric_parse, sort_text, tolerant_equal
+from ..session import scratch_path, spread
 from .positions import with_positions
 
 
@@ -107,27 +110,50 @@ class SideProfile:
         return self.non_null[i] == self.sort_numeric[i]
 
 
-def _internal(df: DataFrame) -> tuple[DataFrame, list[str], list[T.DataType]]:
+def normal_columns(df: DataFrame, keep: bool = False) -> tuple[DataFrame, list[str], list[T.DataType]]:
+    """Per source column i: ``_l{i}`` stripped lower-cased text, ``_n{i}`` its number
+    (equality view), ``_sn{i}`` the number of ``_l{i}`` (sort view), and for timestamps
+    ``_m{i}`` whether the value is at midnight.  Every later step reads only these,
+    so the regular expressions run once per cell.  ``keep`` also carries the
+    original values as ``_c{i}``.
+    """
     names = list(df.columns)
     types = [f.dataType for f in df.schema.fields]
-    return df.toDF(*[f"_c{i}" for i in range(len(names))]), names, types
+    idf = spread(df).toDF(*[f"_c{i}" for i in range(len(names))])
+    cols = [F.col(f"_c{i}") for i in range(len(names))] if keep else []
+    for i, t in enumerate(types):
+        c = F.col(f"_c{i}")
+        txt = text_form(c, t, all_midnight=False)
+        cols.append(sort_text(txt).alias(f"_l{i}"))
+        num = number_form(c, t)
+        cols.append(num.alias(f"_n{i}"))
+        if isinstance(t, _NUMBER_TYPES):
+            cols.append(num.alias(f"_sn{i}"))
+        elif isinstance(t, T.StringType):
+            cols.append(numeric_parse(sort_text(c)).alias(f"_sn{i}"))
+        else:
+            cols.append(F.lit(None).cast("double").alias(f"_sn{i}"))
+        if isinstance(t, _TIME_TYPES):
+            cols.append(_midnight(c).alias(f"_m{i}"))
+    return idf.select(*cols), names, types
 
 
-def profile(df: DataFrame) -> tuple[DataFrame, SideProfile]:
-    """One aggregate pass: row count, then per column non-null, numeric and midnight flags."""
-    idf, names, types = _internal(df)
+def normalize(df: DataFrame, keep: bool = False) -> tuple[DataFrame, SideProfile]:
+    """Write the normalised side to scratch once; its profile is observed by the same job."""
+    spark = df.sparkSession
+    ndf, names, types = normal_columns(df, keep)
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, t in enumerate(types):
-        c = F.col(f"_c{i}")
-        txt = text_form(c, t)
-        aggs.append(F.count(txt).alias(f"_nn{i}"))
-        aggs.append(F.count(number_form(c, t)).alias(f"_num{i}"))
-        aggs.append(F.count(numeric_parse(sort_text(txt))).alias(f"_snum{i}"))
+        aggs += [F.count(f"_l{i}").alias(f"_nn{i}"), F.count(f"_n{i}").alias(f"_num{i}"),
+                 F.count(f"_sn{i}").alias(f"_snum{i}")]
         if isinstance(t, _TIME_TYPES):
-            aggs.append(F.coalesce(F.min(_midnight(c).cast("int")), F.lit(1)).alias(f"_mid{i}"))
-    row = idf.agg(*aggs).first()
+            aggs.append(F.coalesce(F.min(F.col(f"_m{i}").cast("int")), F.lit(1)).alias(f"_mid{i}"))
+    obs = Observation(f"profile_{uuid.uuid4().hex[:8]}")
+    path = scratch_path(spark, "normalized")
+    ndf.observe(obs, *aggs).write.mode("overwrite").parquet(path)
+    row = obs.get
     n = len(names)
-    return idf, SideProfile(
+    prof = SideProfile(
         rows=int(row["_rows"]), names=tuple(names), types=tuple(types),
         non_null=tuple(int(row[f"_nn{i}"]) for i in range(n)),
         numeric=tuple(int(row[f"_num{i}"]) for i in range(n)),
@@ -135,6 +161,11 @@ def profile(df: DataFrame) -> tuple[DataFrame, SideProfile]:
         all_midnight=tuple(bool(row[f"_mid{i}"]) if isinstance(types[i], _TIME_TYPES) else True
                            for i in range(n)),
     )
+    return spark.read.parquet(path), prof
+
+
+def profile(df: DataFrame) -> tuple[DataFrame, SideProfile]:
+    return normalize(df)
 
 
 def name_lookup(names: Sequence[str]) -> dict[str, int]:
@@ -150,23 +181,18 @@ def sort_order(prof: SideProfile, keys: Sequence[str] | None) -> list[int]:
 
 
 def sort_exprs(prof: SideProfile, keys: Sequence[str] | None) -> list[Column]:
-    exprs = []
-    for i in sort_order(prof, keys):
-        c, t = F.col(f"_c{i}"), prof.types[i]
-        txt = text_form(c, t, prof.all_midnight[i])
-        # The sort view of a column is its stripped lower-cased text; it sorts by
-        # number when every such text parses as one.
-        exprs.append(numeric_parse(sort_text(txt)).asc_nulls_last() if prof.sorts_numeric(i)
-                     else sort_text(txt).asc_nulls_last())
-    return exprs
-
-
-def positioned(df: DataFrame, keys: Sequence[str] | None = None) -> tuple[DataFrame, SideProfile]:
-    """Internal-named side plus its 0-based sorted position ``_pos``."""
-    idf, prof = profile(df)
+    """Numeric view for wholly numeric columns, else the stripped lower-cased text; nulls last."""
+    return [(F.col(f"_sn{i}") if prof.sorts_numeric(i) else F.col(f"_l{i}")).asc_nulls_last()
+            for i in sort_order(prof, keys)]
+
+
+def positioned(df: DataFrame, keys: Sequence[str] | None = None, keep: bool = False
+               ) -> tuple[DataFrame, SideProfile]:
+    """Normalised side plus its 0-based sorted position ``_pos``."""
+    ndf, prof = normalize(df, keep)
     if prof.rows == 0 or not prof.names:
-        return idf.withColumn("_pos", F.lit(0).cast("long")), prof
-    return with_positions(idf, sort_exprs(prof, keys), pos_col="_pos"), prof
+        return ndf.withColumn("_pos", F.lit(0).cast("long")), prof
+    return with_positions(ndf, sort_exprs(prof, keys), pos_col="_pos"), prof
 
 
 @dataclass(frozen=True)
@@ -186,13 +212,18 @@ def column_plan(gp: SideProfile, ap: SideProfile) -> list[ColumnPlan]:
     return out
 
 
+def _folded(side: str, i: int, prof: SideProfile) -> Column:
+    c = F.col(f"{side}._l{i}")
+    if isinstance(prof.types[i], _TIME_TYPES) and prof.all_midnight[i]:
+        c = F.substring(c, 1, 10)
+    return F.replace(c, F.lit("ß"), F.lit("ss"))
+
+
 def verdict_expr(p: ColumnPlan, gp: SideProfile, ap: SideProfile) -> Column:
-    gc, ac = F.col(f"g._c{p.gold_index}"), F.col(f"a._c{p.actual_index}")
-    gt, at = gp.types[p.gold_index], ap.types[p.actual_index]
     if p.numeric:
-        return tolerant_equal(number_form(gc, gt), number_form(ac, at))
-    return text_equal(text_form(gc, gt, gp.all_midnight[p.gold_index]),
-                      text_form(ac, at, ap.all_midnight[p.actual_index]))
+        return tolerant_equal(F.col(f"g._n{p.gold_index}"), F.col(f"a._n{p.actual_index}"))
+    g, a = _folded("g", p.gold_index, gp), _folded("a", p.actual_index, ap)
+    return F.coalesce(g.eqNullSafe(a), F.lit(False))
 
 
 def paired(gold_pos: DataFrame, actual_pos: DataFrame) -> DataFrame:
@@ -202,16 +233,16 @@ def paired(gold_pos: DataFrame, actual_pos: DataFrame) -> DataFrame:
 def column_verdicts(gold: DataFrame, actual: DataFrame, keys: Sequence[str] | None = None
                     ) -> tuple[list[tuple[ColumnPlan, bool]], SideProfile, SideProfile, bool]:
     """Per gold column (plan, matched); also both profiles and whether row counts agree."""
-    gprof_df, gp = profile(gold)
-    aprof_df, ap = profile(actual)
+    gdf, gp = normalize(gold)
+    adf, ap = normalize(actual)
     plans = column_plan(gp, ap)
     if gp.rows != ap.rows:
         return [(p, False) for p in plans], gp, ap, False
     present = [p for p in plans if p.actual_index is not None]
     results: dict[int, bool] = {}
     if present and gp.rows > 0:
-        g_pos = with_positions(gprof_df, sort_exprs(gp, keys), pos_col="_pos")
-        a_pos = with_positions(aprof_df, sort_exprs(ap, keys), pos_col="_pos")
+        g_pos = with_positions(gdf, sort_exprs(gp, keys), pos_col="_pos")
+        a_pos = with_positions(adf, sort_exprs(ap, keys), pos_col="_pos")
         verdicts = [F.coalesce(F.min(verdict_expr(p, gp, ap).cast("int")), F.lit(1)).alias(f"_v{p.gold_index}")
                     for p in present]
         row = paired(g_pos, a_pos).agg(*verdicts).first()

@@ -60,3 +60,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tablecheck-scratch/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df):
+    """Round-robin the rows over the cluster's cores when the input has fewer partitions.
+
+    A large input already arrives in many file splits and is returned unchanged;
+    a single-file input (one row group is one task) would otherwise run every
+    per-row expression on one core.  Only the partition count is inspected, no job runs.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
