@@ -1,4 +1,4 @@
 """Registered queries over the test tables (one module per area)."""
 
-from . import delegated, grading, runs  # noqa: F401
+from . import actions, delegated, grading, runs  # noqa: F401
 from .registry import ORACLES, QUERIES, TABLES  # noqa: F401
