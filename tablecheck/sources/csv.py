@@ -26,7 +26,6 @@ from ..functions.scalars import FALSE_TOKENS, INTEGER_RE, NUMBER_RE, TRUE_TOKENS
 
 _SPARE = "_extra_field"
 UINT64_MAX = 18446744073709551615
-_UINT64_MAX = F.lit(str(UINT64_MAX)).cast("decimal(20,0)")
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
                "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false",
                "ignoreTrailingWhiteSpace": "false", "nullValue": None, "emptyValue": ""}
@@ -71,14 +70,14 @@ def read_string_csv(spark: SparkSession, path: str, check_shape: bool = True) ->
 def infer_types(df: DataFrame) -> dict[str, T.DataType]:
     """Whole-column type of every text column, from one aggregate pass."""
     aggs = []
+    u64_max = F.lit(str(UINT64_MAX)).cast("decimal(20,0)")
     for i, c in enumerate(df.columns):
         col = F.col(f"`{c}`")
         is_int = col.rlike(INTEGER_RE)
         aggs += [F.count(col).alias(f"nn{i}"),
                  F.count(F.when(is_int, F.lit(1))).alias(f"int{i}"),
                  F.count(F.when(is_int, col.try_cast("long"))).alias(f"i64{i}"),
-                 F.count(F.when(is_int & (col.try_cast("decimal(20,0)") <= _UINT64_MAX), F.lit(1)))
-                 .alias(f"u64{i}"),
+                 F.count(F.when(is_int & (col.try_cast("decimal(20,0)") <= u64_max), F.lit(1))).alias(f"u64{i}"),
                  F.count(F.when(F.lower(col).rlike(NUMBER_RE), F.lit(1))).alias(f"num{i}"),
                  F.count(F.when(col.isin(*TRUE_TOKENS, *FALSE_TOKENS), F.lit(1))).alias(f"bool{i}")]
     aggs.append(F.count(F.lit(1)).alias("rows"))
