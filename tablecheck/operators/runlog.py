@@ -150,3 +150,42 @@ def group_advantage(rewards: DataFrame, group_col: str = "task_id", reward_col:
     means = rewards.groupBy(group_col).agg(F.avg(reward_col).alias("group_mean"))
     return (rewards.join(_small(means), group_col)
             .withColumn("advantage", F.round(F.col(reward_col) - F.col("group_mean"), 6)))
+
+
+def transition_log(actions: DataFrame, tasks: DataFrame, graded: DataFrame) -> DataFrame:
+    """One transition per applied action ``(run_id, ts, tool, observation, done, reward)``,
+    up to and including the submit, which is done and carries the run's reward."""
+    acts = until_submit(actions).join(_small(tasks), "task_id", "inner")
+    undeclared = F.array_except(F.col("tables"), F.col("declared"))
+    sql_reason = select_only_reason(F.col("sql"))
+    err = F.lit("ValueError: ")
+    obs = (F.when(F.col("tool") == "configure_el",
+                  F.when(F.size("tables") == 0, F.concat(err, F.lit("Select at least one source table")))
+                  .when(F.size(undeclared) > 0, F.concat(err, F.lit("Unknown sources: "), F.to_json(F.array_sort(undeclared))))
+                  .otherwise(F.to_json(F.struct(F.array_distinct("tables").alias("loaded")))))
+           .when(F.col("tool") == "write_model",
+                 F.when(~F.array_contains("targets", F.col("model")),
+                        F.concat(err, F.lit("Unknown target model: "), F.col("model")))
+                 .when(sql_reason.isNotNull(),
+                       F.concat(err, F.lit("Only one SELECT/WITH query without semicolons is allowed")))
+                 .otherwise(F.concat(F.lit("staged model "), F.col("model"))))
+           .when(F.col("tool") == "run_transforms", F.lit("transforms ran"))
+           .when(F.col("tool") == "preview_sql",
+                 F.when(sql_reason.isNotNull(),
+                        F.concat(err, F.lit("Only one SELECT/WITH query without semicolons is allowed")))
+                 .otherwise(F.lit("[]")))
+           .when(F.col("tool") == TERMINAL_TOOL, F.lit(None))
+           .otherwise(F.concat(err, F.lit("Unknown tool: "), F.col("tool"))))
+    done = F.col("tool") == TERMINAL_TOOL
+    rewards = graded.select("run_id", F.col("reward").alias("_reward"))
+    out = acts.join(_small(rewards), "run_id", "left")
+    return out.select(
+        "run_id", "ts", "tool",
+        F.when(done, F.to_json(F.struct(F.col("_reward").alias("reward")))).otherwise(obs).alias("observation"),
+        done.alias("done"),
+        F.when(done, F.col("_reward")).otherwise(F.lit(0.0)).alias("reward"))
+
+
+def write_transition_log(log: DataFrame, path: str) -> None:
+    """JSON-lines sink of transitions, one folder per write (overwrite keeps reruns idempotent)."""
+    log.write.mode("overwrite").json(path)

@@ -1,4 +1,4 @@
 """Registered queries over the test tables (one module per area)."""
 
-from . import actions, delegated, grading, runs, texts, warehouse  # noqa: F401
+from . import actions, delegated, grading, runs, streams, texts, warehouse  # noqa: F401
 from .registry import ORACLES, QUERIES, TABLES  # noqa: F401

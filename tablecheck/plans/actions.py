@@ -27,7 +27,11 @@ TARGETS = ("daily_activity", "type_summary")
 
 
 def actions_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return actions_from_events(table(spark, sf_dir, "events"))
+
+
+def actions_from_events(e: DataFrame) -> DataFrame:
+    """Tool calls derived from event rows (works on a batch or a streaming frame)."""
     k = F.get_json_object("props", "$.k").cast("int")
     tool = (F.when(F.col("event_type") == "signup", "configure_el")
             .when(F.col("event_type") == "view", "write_model")
