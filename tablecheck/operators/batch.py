@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,6 +123,7 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
 def positioned_cells(cells: DataFrame, names: DataFrame, keys: list[str],
                      sort_keys: DataFrame | None, task_keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Cells with ``pos`` per group, and the group profile table."""
+    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
     prof = _profiles(cells, names, keys)
     if sort_keys is not None:
         prof = prof.join(sort_keys, task_keys, "left")
@@ -129,9 +131,12 @@ def positioned_cells(cells: DataFrame, names: DataFrame, keys: list[str],
         prof = prof.withColumn("keys", F.lit(None).cast("array<string>"))
     prof = prof.withColumn("plan", _sort_plan(F.col("names"), F.col("keys"))).drop("keys")
     prof = prof.cache()
-    planned = cells.join(_maybe_broadcast(prof.select(*keys, "plan", "flags")), keys, "inner")
+    size = prof.agg(F.count(F.lit(1)).alias("groups"), F.max("n_rows").alias("largest")).first()
+    plan = prof.select(*keys, "plan", "flags")
+    planned = cells.join(F.broadcast(plan) if size["groups"] <= BROADCAST_PLAN_MAX_ROWS else plan, keys, "inner")
     keyed = planned.select(*keys, "cells", _sort_key(F.col("plan"), F.col("flags"), F.col("cells")).alias("_k"))
-    pos = with_positions(keyed, [F.col("_k").asc()], group_cols=keys, pos_col="pos").drop("_k")
+    pos = with_positions(keyed, [F.col("_k").asc()], group_cols=keys, pos_col="pos",
+                         max_group_rows=int(size["largest"] or 0)).drop("_k")
     return pos, prof
 
 

@@ -119,7 +119,7 @@ def normal_columns(df: DataFrame, keep: bool = False) -> tuple[DataFrame, list[s
     """
     names = list(df.columns)
     types = [f.dataType for f in df.schema.fields]
-    idf = spread(df).toDF(*[f"_c{i}" for i in range(len(names))])
+    idf = df.toDF(*[f"_c{i}" for i in range(len(names))])
     cols = [F.col(f"_c{i}") for i in range(len(names))] if keep else []
     for i, t in enumerate(types):
         c = F.col(f"_c{i}")
@@ -141,7 +141,7 @@ def normal_columns(df: DataFrame, keep: bool = False) -> tuple[DataFrame, list[s
 def normalize(df: DataFrame, keep: bool = False) -> tuple[DataFrame, SideProfile]:
     """Write the normalised side to scratch once; its profile is observed by the same job."""
     spark = df.sparkSession
-    ndf, names, types = normal_columns(df, keep)
+    ndf, names, types = normal_columns(spread(df), keep)
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, t in enumerate(types):
         aggs += [F.count(f"_l{i}").alias(f"_nn{i}"), F.count(f"_n{i}").alias(f"_num{i}"),
@@ -192,7 +192,7 @@ def positioned(df: DataFrame, keys: Sequence[str] | None = None, keep: bool = Fa
     ndf, prof = normalize(df, keep)
     if prof.rows == 0 or not prof.names:
         return ndf.withColumn("_pos", F.lit(0).cast("long")), prof
-    return with_positions(ndf, sort_exprs(prof, keys), pos_col="_pos"), prof
+    return with_positions(ndf, sort_exprs(prof, keys), pos_col="_pos", max_group_rows=prof.rows), prof
 
 
 @dataclass(frozen=True)
@@ -241,8 +241,8 @@ def column_verdicts(gold: DataFrame, actual: DataFrame, keys: Sequence[str] | No
     present = [p for p in plans if p.actual_index is not None]
     results: dict[int, bool] = {}
     if present and gp.rows > 0:
-        g_pos = with_positions(gdf, sort_exprs(gp, keys), pos_col="_pos")
-        a_pos = with_positions(adf, sort_exprs(ap, keys), pos_col="_pos")
+        g_pos = with_positions(gdf, sort_exprs(gp, keys), pos_col="_pos", max_group_rows=gp.rows)
+        a_pos = with_positions(adf, sort_exprs(ap, keys), pos_col="_pos", max_group_rows=ap.rows)
         verdicts = [F.coalesce(F.min(verdict_expr(p, gp, ap).cast("int")), F.lit(1)).alias(f"_v{p.gold_index}")
                     for p in present]
         row = paired(g_pos, a_pos).agg(*verdicts).first()

@@ -26,15 +26,34 @@ _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
 # Offsets tables up to this many rows are broadcast; larger ones are joined on
 # (partition, group), a key that never holds more rows than one range partition.
 BROADCAST_OFFSETS_MAX_ROWS = 200_000
+# Groups whose largest member is at most this many rows are numbered by a window
+# partitioned on the group (one task sorts at most this many rows, spilling if
+# needed); any larger group uses the range-partitioned indexer.
+WINDOW_MAX_GROUP_ROWS = 2_000_000
 
 
 def with_positions(df: DataFrame, order: Sequence[Column], group_cols: Sequence[str] = (),
-                   pos_col: str = "pos", num_partitions: int | None = None) -> DataFrame:
+                   pos_col: str = "pos", num_partitions: int | None = None,
+                   max_group_rows: int | None = None) -> DataFrame:
     """Return ``df`` plus a 0-based BIGINT ``pos_col`` following ``order`` within each group.
 
-    The result is read back from a written scratch table, so later jobs see the
-    same numbering even if executors are lost and stages are recomputed.
+    ``max_group_rows`` is the size of the largest group when the caller has
+    counted it.  Small groups are numbered with a partitioned window; otherwise
+    the rows are range-sorted and the result is read back from a written scratch
+    table, so later jobs see the same numbering even if executors are lost.
     """
+    if max_group_rows is not None and max_group_rows <= WINDOW_MAX_GROUP_ROWS and group_cols:
+        w = Window.partitionBy(*group_cols).orderBy(*order)
+        return df.withColumn(pos_col, (F.row_number().over(w) - 1).cast("long"))
+    if max_group_rows is not None and max_group_rows <= WINDOW_MAX_GROUP_ROWS:
+        # One group: its size is bounded, so a single sorted partition is acceptable.
+        return df.repartition(1).sortWithinPartitions(*order).withColumn(pos_col, F.monotonically_increasing_id())
+    return range_positions(df, order, group_cols, pos_col, num_partitions)
+
+
+def range_positions(df: DataFrame, order: Sequence[Column], group_cols: Sequence[str] = (),
+                    pos_col: str = "pos", num_partitions: int | None = None) -> DataFrame:
+    """The distributed indexer: range partition, number, write, shift by partition offsets."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g).asc_nulls_last() for g in group_cols] + list(order)
