@@ -62,8 +62,10 @@ def read_string_csv(spark: SparkSession, path: str, check_shape: bool = True) ->
     out = raw.select(*[null_tokens(F.col(f"_f{i}")).alias(n) for i, n in enumerate(names)],
                      F.col(_SPARE))
     if check_shape:
-        out = out.withColumn(_SPARE, F.when(F.col(_SPARE).isNotNull(),
-                                            F.raise_error(F.lit("CSV row has more fields than the header"))))
+        # A filter (not a dropped column) so that column pruning cannot remove the check.
+        out = out.where(F.when(F.col(_SPARE).isNotNull(),
+                               F.raise_error(F.lit("CSV row has more fields than the header")).cast("boolean"))
+                        .otherwise(F.lit(True)))
     return out.drop(_SPARE)
 
 
