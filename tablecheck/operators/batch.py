@@ -34,36 +34,53 @@ CELL = T.StructType([
     T.StructField("l", T.StringType()), T.StructField("n", T.DoubleType()),
     T.StructField("s", T.DoubleType()), T.StructField("m", T.BooleanType()),
 ])
+FLAGS = T.ArrayType(T.StructType([
+    T.StructField("i", T.IntegerType()), T.StructField("numeric", T.BooleanType()),
+    T.StructField("sort_numeric", T.BooleanType()), T.StructField("midnight", T.BooleanType()),
+]))
 # Per-group plan tables up to this many rows are broadcast to the cell rows.
 BROADCAST_PLAN_MAX_ROWS = 500_000
 
 
 def to_cells(df: DataFrame, id_cols: list[str] = (), **literal_ids: str) -> tuple[DataFrame, DataFrame]:
-    """Cell rows ``(ids..., cells)`` and the schema table ``(ids..., names)`` of ``df``.
+    """Cell rows ``(ids..., cells)`` and the per-group schema table of ``df``.
 
     ``id_cols`` are columns of ``df`` naming the group of each row (e.g. many runs'
     tables of one shape in one frame); ``literal_ids`` are constant for the frame.
-    Every other column becomes a cell, in order.
+    Every other column becomes a cell, in order.  The schema table has one row per
+    group: ``(ids..., names, n_rows, flags)``, where ``flags`` holds each column's
+    profile (wholly numeric for equality, for sorting, all at midnight).  It comes
+    from one grouped aggregate over the normalised columns, which are persisted
+    so the cells reuse them.
     """
     id_cols = list(id_cols)
     data_cols = [c for c in df.columns if c not in id_cols]
     ndf, names, types = normal_columns(df.select(*id_cols, *data_cols), keep=True)
+    ndf = ndf.persist(StorageLevel.MEMORY_AND_DISK)
     n_id = len(id_cols)
+    data = [(i, t) for i, t in enumerate(types) if i >= n_id]
     cells = F.array(*[F.struct(F.col(f"_l{i}").alias("l"), F.col(f"_n{i}").alias("n"),
                                F.col(f"_sn{i}").alias("s"),
                                (F.col(f"_m{i}") if isinstance(t, _TIME_TYPES)
                                 else F.lit(None).cast("boolean")).alias("m"))
-                      for i, t in enumerate(types) if i >= n_id]).cast(T.ArrayType(CELL))
+                      for i, t in data]).cast(T.ArrayType(CELL))
     ids = [F.col(f"_c{i}").alias(c) for i, c in enumerate(id_cols)] + \
         [F.lit(v).alias(k) for k, v in literal_ids.items()]
     rows = ndf.select(*ids, cells.alias("cells"))
-    names_lit = F.array(*[F.lit(n) for n in names[n_id:]]).cast("array<string>")
-    if id_cols:
-        schema = rows.select(*id_cols, *literal_ids).distinct().withColumn("names", names_lit)
-    else:
-        spark = df.sparkSession
-        schema = spark.createDataFrame([tuple(literal_ids.values())], ", ".join(
-            f"{k} string" for k in literal_ids)).withColumn("names", names_lit)
+
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    for i, t in data:
+        aggs += [F.count(f"_l{i}").alias(f"nn{i}"), F.count(f"_n{i}").alias(f"num{i}"),
+                 F.count(f"_sn{i}").alias(f"snum{i}"),
+                 (F.min(f"_m{i}") if isinstance(t, _TIME_TYPES) else F.lit(None).cast("boolean")).alias(f"mid{i}")]
+    grouped = ndf.groupBy(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(id_cols)]).agg(*aggs)
+    flags = F.array(*[F.struct(F.lit(j).alias("i"), (F.col(f"nn{i}") == F.col(f"num{i}")).alias("numeric"),
+                               (F.col(f"nn{i}") == F.col(f"snum{i}")).alias("sort_numeric"),
+                               F.coalesce(F.col(f"mid{i}"), F.lit(False)).alias("midnight"))
+                      for j, (i, _) in enumerate(data)]).cast(FLAGS)
+    schema = grouped.select(*id_cols, *[F.lit(v).alias(k) for k, v in literal_ids.items()],
+                            F.array(*[F.lit(n) for n in names[n_id:]]).cast("array<string>").alias("names"),
+                            F.col("n_rows").cast("long").alias("n_rows"), flags.alias("flags"))
     return rows, schema
 
 
@@ -123,8 +140,11 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
 def positioned_cells(cells: DataFrame, names: DataFrame, keys: list[str],
                      sort_keys: DataFrame | None, task_keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Cells with ``pos`` per group, and the group profile table."""
-    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
-    prof = _profiles(cells, names, keys)
+    if "flags" in names.columns:
+        prof = names.select(*keys, "names", "n_rows", "flags")
+    else:
+        cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+        prof = _profiles(cells, names, keys)
     if sort_keys is not None:
         prof = prof.join(sort_keys, task_keys, "left")
     else:

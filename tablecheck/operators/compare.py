@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import nan_to_null, numeric_parse, sort_text, tolerant_equal
+from ..functions.scalars import ASCII_SPACE, nan_to_null, numeric_parse, sort_text, strip_unicode, tolerant_equal
 from ..session import scratch_path, spread
 from .positions import with_positions
 
@@ -130,7 +130,11 @@ def normal_columns(df: DataFrame, keep: bool = False) -> tuple[DataFrame, list[s
         if isinstance(t, _NUMBER_TYPES):
             cols.append(num.alias(f"_sn{i}"))
         elif isinstance(t, T.StringType):
-            cols.append(numeric_parse(sort_text(c)).alias(f"_sn{i}"))
+            # The sort view parses the Unicode-stripped lower-cased text; the parse is
+            # case-insensitive, so it equals the equality parse unless Unicode-only
+            # blanks surround the value.  Only those rows pay for a second parse.
+            same = strip_unicode(c) == F.trim(c, F.lit(ASCII_SPACE))
+            cols.append(F.when(same, num).otherwise(numeric_parse(sort_text(c))).alias(f"_sn{i}"))
         else:
             cols.append(F.lit(None).cast("double").alias(f"_sn{i}"))
         if isinstance(t, _TIME_TYPES):
@@ -230,11 +234,26 @@ def paired(gold_pos: DataFrame, actual_pos: DataFrame) -> DataFrame:
     return gold_pos.alias("g").join(actual_pos.alias("a"), F.col("g._pos") == F.col("a._pos"), "inner")
 
 
-def column_verdicts(gold: DataFrame, actual: DataFrame, keys: Sequence[str] | None = None
+@dataclass(frozen=True)
+class Prepared:
+    """A side normalised once (written to scratch) with its profile; reusable across comparisons."""
+    frame: DataFrame
+    profile: SideProfile
+
+
+def prepare(df: DataFrame) -> Prepared:
+    return Prepared(*normalize(df))
+
+
+def _side(x: DataFrame | Prepared) -> tuple[DataFrame, SideProfile]:
+    return (x.frame, x.profile) if isinstance(x, Prepared) else normalize(x)
+
+
+def column_verdicts(gold: DataFrame | Prepared, actual: DataFrame | Prepared, keys: Sequence[str] | None = None
                     ) -> tuple[list[tuple[ColumnPlan, bool]], SideProfile, SideProfile, bool]:
     """Per gold column (plan, matched); also both profiles and whether row counts agree."""
-    gdf, gp = normalize(gold)
-    adf, ap = normalize(actual)
+    gdf, gp = _side(gold)
+    adf, ap = _side(actual)
     plans = column_plan(gp, ap)
     if gp.rows != ap.rows:
         return [(p, False) for p in plans], gp, ap, False
@@ -252,7 +271,8 @@ def column_verdicts(gold: DataFrame, actual: DataFrame, keys: Sequence[str] | No
     return [(p, results.get(p.gold_index, False)) for p in plans], gp, ap, True
 
 
-def compare_tables(gold: DataFrame, actual: DataFrame, keys: Sequence[str] | None = None) -> TableScore:
+def compare_tables(gold: DataFrame | Prepared, actual: DataFrame | Prepared,
+                   keys: Sequence[str] | None = None) -> TableScore:
     verdicts, gp, _, same_rows = column_verdicts(gold, actual, keys)
     total = len(gp.names)
     if not same_rows:

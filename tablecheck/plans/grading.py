@@ -224,7 +224,7 @@ def schema_match(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ACTUAL_CUSTOMER_COLS, []),
     ]))
 def compare_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = gold_customer(spark, sf_dir)
+    gold = C.prepare(gold_customer(spark, sf_dir))
     scores = [
         ("perturbed", C.compare_tables(gold, actual_customer(spark, sf_dir), CUSTOMER_KEYS)),
         ("identical", C.compare_tables(gold, typed_gold_customer(spark, sf_dir), CUSTOMER_KEYS)),

@@ -8,6 +8,7 @@ so the whole table goes through the text path every time.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +73,10 @@ def declared_load_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land every star table as CSV, load the declared set into a fresh run database
     (typed CSV scan + full overwrite), and report the loaded counts."""
     wh = M.RunWarehouse(spark, "load_" + uuid.uuid4().hex[:12])
-    sources = {t: CSV.read_typed_csv(spark, _land_csv(spark, sf_dir, t)) for t in STAR}
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        paths = dict(zip(STAR, pool.map(lambda t: _land_csv(spark, sf_dir, t), STAR)))
+        typed = dict(zip(STAR, pool.map(lambda t: CSV.read_typed_csv(spark, paths[t]), STAR)))
+    sources = {t: typed[t] for t in STAR}
     loaded = wh.load(sources, list(STAR))
     return spark.createDataFrame([(t, n) for t, n in loaded.items()], "table_name string, loaded_rows bigint")
 
