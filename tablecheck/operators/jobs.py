@@ -26,8 +26,16 @@ def job_outcomes(observations: DataFrame, deadline) -> DataFrame:
         F.min_by(F.when(terminal, F.col("status")), F.when(terminal, F.col("ts"))).alias("outcome"))
 
 
-def rollup(outcomes: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """``(run_id, n_connections, n_succeeded, n_failed, n_unfinished, exit_code)``."""
+def rollup(outcomes: DataFrame, connections: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """``(run_id, n_connections, n_succeeded, n_failed, n_unfinished, exit_code)``.
+
+    ``connections`` ``(run_id, connection_id)``: every configured connection; one whose
+    job never reported is unfinished (an equi-join on both keys).  ``runs``: runs
+    with no connection at all get code 2.
+    """
+    if connections is not None:
+        outcomes = connections.select("run_id", "connection_id").distinct().join(
+            outcomes, ["run_id", "connection_id"], "left")
     per_run = outcomes.groupBy("run_id").agg(
         F.countDistinct("connection_id").alias("n_connections"),
         F.count(F.when(F.col("outcome") == "succeeded", 1)).alias("n_succeeded"),

@@ -152,8 +152,9 @@ def group_advantage(rewards: DataFrame, group_col: str = "task_id", reward_col:
             .withColumn("advantage", F.round(F.col(reward_col) - F.col("group_mean"), 6)))
 
 
-def transition_log(actions: DataFrame, tasks: DataFrame, graded: DataFrame) -> DataFrame:
-    """One transition per applied action ``(run_id, ts, tool, observation, done, reward)``,
+def transition_log(actions: DataFrame, tasks: DataFrame, graded: DataFrame,
+                   id_cols: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """One transition per applied action ``(run_id, <id_cols>, tool, observation, done, reward)``,
     up to and including the submit, which is done and carries the run's reward."""
     acts = until_submit(actions).join(_small(tasks), "task_id", "inner")
     undeclared = F.array_except(F.col("tables"), F.col("declared"))
@@ -180,7 +181,7 @@ def transition_log(actions: DataFrame, tasks: DataFrame, graded: DataFrame) -> D
     rewards = graded.select("run_id", F.col("reward").alias("_reward"))
     out = acts.join(_small(rewards), "run_id", "left")
     return out.select(
-        "run_id", "ts", "tool",
+        "run_id", *id_cols, "tool",
         F.when(done, F.to_json(F.struct(F.col("_reward").alias("reward")))).otherwise(obs).alias("observation"),
         done.alias("done"),
         F.when(done, F.col("_reward")).otherwise(F.lit(0.0)).alias("reward"))

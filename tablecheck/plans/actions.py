@@ -274,6 +274,9 @@ SELECT *, CAST(CASE WHEN n_connections = 0 THEN 2 WHEN n_unfinished > 0 THEN 3 W
   AS INTEGER) AS exit_code FROM r""")
 def job_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exit code per sync run from polled job statuses (first terminal status by the deadline)."""
-    outcomes = J.job_outcomes(observations_frame(spark, sf_dir), F.lit(JOB_DEADLINE).cast("timestamp_ntz"))
-    return J.rollup(outcomes)
+    obs = observations_frame(spark, sf_dir)
+    outcomes = J.job_outcomes(obs, F.lit(JOB_DEADLINE).cast("timestamp_ntz"))
+    connections = RN.runs_frame(spark, sf_dir).select(F.col("task_id").alias("run_id"),
+                                                      F.col("run_id").alias("connection_id"))
+    return J.rollup(outcomes, connections=connections)
 

@@ -35,11 +35,34 @@ def data_model_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_data_models(spark, path)
 
 
-@register("transition_log")
+NOT_SELECT_MSG = "ValueError: Only one SELECT/WITH query without semicolons is allowed"
+UNDECLARED_SQL = "list_filter(f.tables, lambda x: NOT list_contains(['customers', 'orders'], x))"
+TRANSITION_SQL = f"""
+WITH {A.GRADE_CTES}
+SELECT f.run_id, f.event_id, f.tool,
+  CASE WHEN f.tool = 'submit_pipeline' THEN '{{"reward":' || CAST(gr.reward AS VARCHAR) || '}}'
+       WHEN f.tool = 'configure_el' THEN CASE
+         WHEN len(f.tables) = 0 THEN 'ValueError: Select at least one source table'
+         WHEN len({UNDECLARED_SQL}) > 0
+           THEN 'ValueError: Unknown sources: ' || to_json(list_sort(list_distinct({UNDECLARED_SQL})))
+         ELSE '{{"loaded":' || to_json(list_filter(f.tables, lambda x, i: list_position(f.tables, x) = i)) || '}}' END
+       WHEN f.tool = 'write_model' THEN CASE
+         WHEN f.model NOT IN ('daily_activity', 'type_summary') THEN 'ValueError: Unknown target model: ' || f.model
+         WHEN NOT {A.SELECT_OK_SQL} THEN '{NOT_SELECT_MSG}'
+         ELSE 'staged model ' || f.model END
+       WHEN f.tool = 'run_transforms' THEN 'transforms ran'
+       WHEN f.tool = 'preview_sql' THEN CASE WHEN NOT {A.SELECT_OK_SQL} THEN '{NOT_SELECT_MSG}' ELSE '[]' END
+  END AS observation,
+  f.tool = 'submit_pipeline' AS done,
+  CASE WHEN f.tool = 'submit_pipeline' THEN gr.reward ELSE 0.0 END AS reward
+FROM f JOIN gr ON f.run_id = gr.run_id"""
+
+
+@register("transition_log", oracle=TRANSITION_SQL)
 def transition_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-action transitions of every run up to its submit, written as JSON lines and read back."""
     g, _ = A.graded(spark, sf_dir)
-    log = R.transition_log(A.actions_frame(spark, sf_dir), A.tasks_frame(spark, sf_dir), g)
+    log = R.transition_log(A.actions_frame(spark, sf_dir), A.tasks_frame(spark, sf_dir), g, id_cols=("event_id",))
     path = scratch_path(spark, "transitions")
     R.write_transition_log(log, path)
     return spark.read.schema(log.schema).json(path)
