@@ -39,7 +39,7 @@ FLAGS = T.ArrayType(T.StructType([
     T.StructField("sort_numeric", T.BooleanType()), T.StructField("midnight", T.BooleanType()),
 ]))
 # Per-group plan tables up to this many rows are broadcast to the cell rows.
-BROADCAST_PLAN_MAX_ROWS = 500_000
+BROADCAST_PLAN_MAX_ROWS = 200_000
 
 
 def to_cells(df: DataFrame, id_cols: list[str] = (), **literal_ids: str) -> tuple[DataFrame, DataFrame]:

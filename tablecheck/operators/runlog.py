@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .guard import select_only_reason
 
-BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_ROWS = 200_000
 TERMINAL_TOOL = "submit_pipeline"
 
 

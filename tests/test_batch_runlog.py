@@ -93,3 +93,27 @@ def test_stream_fold_equals_batch_fold(spark):
     cols = batch.columns
     assert sorted(map(tuple, stream.select(*cols).collect())) == sorted(map(tuple, batch.collect()))
 
+
+
+def test_hot_group_through_range_indexer(spark, monkeypatch):
+    """One run holds almost all rows; numbering it with the range indexer (forced)
+    gives the same scores as the window path."""
+    from pyspark.sql import functions as F
+
+    from tablecheck.operators import positions as P
+    gold = spark.range(0, 3000).select((F.col("id") % 500).cast("string").alias("k"),
+                                       (F.col("id") * 3).cast("string").alias("v"))
+    hot = spark.range(0, 3000).select((F.col("id") % 500).alias("k"), (F.col("id") * 3 * 1.001).alias("v"))
+    cold = spark.range(0, 10).select(F.col("id").alias("k"), F.col("id").cast("double").alias("v"))
+    g_cells, g_names = B.to_cells(gold, task_id="t", table_name="x")
+    h = B.to_cells(hot, run_id="hot", table_name="x")
+    c = B.to_cells(cold, run_id="cold", table_name="x")
+    runs = spark.createDataFrame([("hot", "t"), ("cold", "t")], "run_id string, task_id string")
+
+    def scores():
+        out = B.batch_grade(g_cells, g_names, B.union_all([h[0], c[0]]), B.union_all([h[1], c[1]]), runs)
+        return sorted(map(tuple, out.collect()))
+    window = scores()
+    monkeypatch.setattr(P, "WINDOW_MAX_GROUP_ROWS", 0)
+    assert scores() == window
+    assert dict((r[0], r[3]) for r in window) == {"hot": 1.0, "cold": 0.0}
