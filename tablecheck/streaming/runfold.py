@@ -52,8 +52,9 @@ def make_fold(declared: tuple[str, ...], targets: tuple[str, ...]):
         else:
             task_id, submitted, n_calls, n_turns, last_day, last_ts, el_ok = None, False, 0, 0, None, None, False
             loaded, writes, last_tr = set(), {}, None
-        rows = pd.concat(list(chunks), ignore_index=True).sort_values("ts", kind="mergesort")
-        for r in rows.itertuples(index=False):
+        parts = [c for c in chunks if len(c)]
+        rows = pd.concat(parts, ignore_index=True).sort_values("ts", kind="mergesort") if parts else None
+        for r in (rows.itertuples(index=False) if rows is not None else ()):
             ts = pd.Timestamp(r.ts)
             if submitted or (last_ts is not None and ts <= last_ts):
                 continue
