@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import ASCII_SPACE, nan_to_null, numeric_parse, sort_text, strip_unicode, tolerant_equal
-from ..session import scratch_path, spread
+from ..session import scratch_path
 from .positions import with_positions
 
 
@@ -143,9 +143,13 @@ def normal_columns(df: DataFrame, keep: bool = False) -> tuple[DataFrame, list[s
 
 
 def normalize(df: DataFrame, keep: bool = False) -> tuple[DataFrame, SideProfile]:
-    """Write the normalised side to scratch once; its profile is observed by the same job."""
+    """Write the normalised side to scratch once; its profile is observed by the same job.
+
+    The input keeps its partitioning: a large table arrives in many splits, and
+    single-file sources are spread where they are read (:func:`session.spread`).
+    """
     spark = df.sparkSession
-    ndf, names, types = normal_columns(spread(df), keep)
+    ndf, names, types = normal_columns(df, keep)
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, t in enumerate(types):
         aggs += [F.count(f"_l{i}").alias(f"_nn{i}"), F.count(f"_n{i}").alias(f"_num{i}"),

@@ -19,6 +19,14 @@ Everything is a grouped aggregate or an equi-join on ``run_id``: no window, no
 per-run collection of the log.  The per-run submit time is joined back to the
 actions (broadcast when the number of runs is small, else a shuffle join that
 adaptive execution splits if one run is hot).
+
+Broadcast choice: a side whose rows come from a cheap scan (task lists, submit
+times) is counted and hinted below ``BROADCAST_MAX_ROWS``.  A side that sits on
+top of grading (per-run rewards, per-group means) is joined without a hint:
+counting it on the driver would grade every run twice, and adaptive execution
+already measures its shuffle output at run time, switching to a broadcast join
+only under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and keeping the
+sort-merge join (with skew splitting) above it.
 """
 
 from __future__ import annotations
@@ -148,7 +156,7 @@ def group_advantage(rewards: DataFrame, group_col: str = "task_id", reward_col:
     """Reward minus the mean reward of its group (aggregate + join, so a large group is
     pre-aggregated map-side instead of landing in one window partition)."""
     means = rewards.groupBy(group_col).agg(F.avg(reward_col).alias("group_mean"))
-    return (rewards.join(_small(means), group_col)
+    return (rewards.join(means, group_col)
             .withColumn("advantage", F.round(F.col(reward_col) - F.col("group_mean"), 6)))
 
 
@@ -179,7 +187,7 @@ def transition_log(actions: DataFrame, tasks: DataFrame, graded: DataFrame,
            .otherwise(F.concat(err, F.lit("Unknown tool: "), F.col("tool"))))
     done = F.col("tool") == TERMINAL_TOOL
     rewards = graded.select("run_id", F.col("reward").alias("_reward"))
-    out = acts.join(_small(rewards), "run_id", "left")
+    out = acts.join(rewards, "run_id", "left")
     return out.select(
         "run_id", *id_cols, "tool",
         F.when(done, F.to_json(F.struct(F.col("_reward").alias("reward")))).otherwise(obs).alias("observation"),

@@ -70,7 +70,10 @@ def spread(df):
 
     A large input already arrives in many file splits and is returned unchanged;
     a single-file input (one row group is one task) would otherwise run every
-    per-row expression on one core.  Only the partition count is inspected, no job runs.
+    per-row expression on one core.  Apply it to a source read, before any shuffle:
+    there the partition count is the list of file splits and no job runs, whereas on
+    a frame that already holds a shuffle adaptive execution would have to run that
+    shuffle to answer.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
