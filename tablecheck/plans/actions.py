@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..operators import jobs as J
 from ..operators import runlog as R
 from ..operators.guard import undeclared
+from ..session import materialize
 from . import runs as RN
 from . import sqltext as S
 from .registry import register, table
@@ -63,8 +64,16 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graded(spark: SparkSession, sf_dir: str):
-    scores = RN.batch_scores(spark, sf_dir)
-    return R.grade_runs(folded(spark, sf_dir), tasks_frame(spark, sf_dir), scores)
+    """Graded runs and their per-target scores.
+
+    The run fold (one row per run) and the batch scores (one row per run and target)
+    are written once to the shared checkpoint folder: rewards, metrics, group means
+    and the transition log each read them in several branches, which would otherwise
+    replay every log and grade every table once per branch.
+    """
+    scores = materialize(RN.batch_scores(spark, sf_dir), "batch-scores")
+    state = materialize(folded(spark, sf_dir), "run-fold")
+    return R.grade_runs(state, tasks_frame(spark, sf_dir), scores)
 
 
 # ---------------------------------------------------------------- oracle SQL pieces
@@ -207,7 +216,7 @@ def undeclared_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     acts = actions_frame(spark, sf_dir).where(F.col("tool") == "configure_el")
     selected = acts.select("run_id", "task_id", F.explode("tables").alias("table_name")).distinct()
     declared = tasks_frame(spark, sf_dir).select("task_id", F.explode("declared").alias("table_name"))
-    return undeclared(selected, F.broadcast(declared), ["task_id"]).select("run_id", "table_name")
+    return undeclared(selected, declared, ["task_id"]).select("run_id", "table_name")
 
 
 @register("duplicate_selection", oracle=f"""

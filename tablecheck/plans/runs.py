@@ -8,10 +8,13 @@ users; every run's produced tables are that data with run-dependent perturbation
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import batch as B
+from ..session import materialize
 from . import sqltext as S
 from .registry import register, table
 
@@ -26,26 +29,47 @@ TASK_SQL = "'task_' || lpad(CAST(user_id % 15 AS VARCHAR), 2, '0')"
 RUNS_SQL = f"SELECT DISTINCT user_id AS run_id, {TASK_SQL} AS task_id FROM events"
 
 
-def runs_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def _runs(e: DataFrame) -> DataFrame:
     return e.select(F.col("user_id").alias("run_id"), task_of(F.col("user_id")).alias("task_id")).distinct()
 
 
+def runs_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(table(spark, sf_dir, "events"))
+
+
 # ---------------------------------------------------------------- expected and produced tables
 
-def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def _daily(e: DataFrame) -> DataFrame:
     return (e.groupBy(task_of(F.col("user_id")).alias("task_id"),
                       F.date_trunc("day", "ts").alias("day"), "event_type")
             .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")))
 
 
-def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def _types(e: DataFrame) -> DataFrame:
     return (e.groupBy(task_of(F.col("user_id")).alias("task_id"), "event_type")
             .agg(F.countDistinct("user_id").alias("n_users"), F.max("value").alias("max_value")))
 
 
+@dataclass(frozen=True)
+class EventSummaries:
+    """The three small tables every run-grading input is derived from."""
+    runs: DataFrame   # (run_id, task_id), one row per run
+    daily: DataFrame  # (task_id, day, event_type, n, total)
+    types: DataFrame  # (task_id, event_type, n_users, max_value)
+
+
+def event_summaries(spark: SparkSession, sf_dir: str) -> EventSummaries:
+    """One scan of ``events`` per summary, written to the shared checkpoint folder.
+
+    Expected tables, produced tables, the run list and the sort keys are all read
+    from these, so grading never goes back to the raw log (which the profile,
+    size checks and final join would otherwise each rescan).
+    """
+    e = table(spark, sf_dir, "events")
+    return EventSummaries(materialize(_runs(e), "runs"), materialize(_daily(e), "daily"),
+                          materialize(_types(e), "types"))
+
+
 GOLD_DAILY_SQL = f"""
 SELECT {TASK_SQL} AS task_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type,
        CAST(count(*) AS VARCHAR) AS n, printf('%.2f', round(sum(value), 2)) AS total
@@ -80,11 +104,11 @@ ACTUAL_TYPES_COLS = [S.Col("N_USERS", "int"), S.Col("event_type", "text"), S.Col
                      S.Col("extra", "int")]
 
 
-def gold_tables(spark: SparkSession, sf_dir: str):
-    daily = _daily(spark, sf_dir).select(
+def gold_tables(es: EventSummaries):
+    daily = es.daily.select(
         "task_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type",
         F.col("n").cast("string").alias("n"), F.format_string("%.2f", "total").alias("total"))
-    types = _types(spark, sf_dir).select(
+    types = es.types.select(
         "task_id", "event_type", F.col("n_users").cast("string").alias("n_users"),
         F.col("max_value").cast("string").alias("max_value"))
     d_cells, d_names = B.to_cells(daily, ["task_id"], table_name="daily_activity")
@@ -92,16 +116,16 @@ def gold_tables(spark: SparkSession, sf_dir: str):
     return B.union_all([d_cells, t_cells]), B.union_all([d_names, t_names])
 
 
-def actual_tables(spark: SparkSession, sf_dir: str):
-    runs = runs_frame(spark, sf_dir).where(F.col("run_id") % 13 != 6)
+def actual_tables(es: EventSummaries):
+    runs = es.runs.where(F.col("run_id") % 13 != 6)
     r = F.col("run_id")
-    daily = (_daily(spark, sf_dir).join(runs, "task_id")
+    daily = (es.daily.join(runs, "task_id")
              .where(~((r % 11 == 5) & (F.col("event_type") == "error")))
              .select("run_id",
                      F.when(r % 4 == 1, F.upper("event_type")).otherwise(F.col("event_type")).alias("event_type"),
                      "day", (F.col("n") + F.when(r % 7 == 2, 1).otherwise(0)).alias("n"),
                      F.round(F.col("total") * F.when(r % 3 == 0, 1.005).otherwise(1.0), 6).alias("total")))
-    types = (_types(spark, sf_dir).join(runs, "task_id")
+    types = (es.types.join(runs, "task_id")
              .select("run_id", F.col("n_users").alias("N_USERS"), "event_type",
                      (F.col("max_value") * F.when(r % 5 == 4, 1.02).otherwise(1.0)).alias("max_value"),
                      F.col("run_id").alias("extra")))
@@ -110,17 +134,17 @@ def actual_tables(spark: SparkSession, sf_dir: str):
     return B.union_all([d_cells, t_cells]), B.union_all([d_names, t_names])
 
 
-def sort_keys_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = runs_frame(spark, sf_dir).select("task_id").distinct()
+def sort_keys_frame(es: EventSummaries) -> DataFrame:
+    tasks = es.runs.select("task_id").distinct()
     return tasks.select("task_id", F.lit("daily_activity").alias("table_name"),
                         F.array(*[F.lit(k) for k in DAILY_KEYS]).alias("keys"))
 
 
 def batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g_cells, g_names = gold_tables(spark, sf_dir)
-    a_cells, a_names = actual_tables(spark, sf_dir)
-    return B.batch_grade(g_cells, g_names, a_cells, a_names, runs_frame(spark, sf_dir),
-                         sort_keys_frame(spark, sf_dir))
+    es = event_summaries(spark, sf_dir)
+    g_cells, g_names = gold_tables(es)
+    a_cells, a_names = actual_tables(es)
+    return B.batch_grade(g_cells, g_names, a_cells, a_names, es.runs, sort_keys_frame(es))
 
 
 BATCH_SQL = " UNION ALL ".join(f"SELECT * FROM ({q})" for q in [

@@ -79,3 +79,16 @@ def spread(df):
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def materialize(df, label: str):
+    """Write ``df`` to a fresh folder under the shared checkpoint folder and read it back.
+
+    Used for intermediate results that several branches of one plan consume (each
+    branch would otherwise recompute the whole lineage) and that must survive the
+    loss of the executors that computed them.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
