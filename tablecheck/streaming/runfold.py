@@ -4,7 +4,12 @@ The batch fold (:func:`tablecheck.operators.runlog.fold_runs`) needs the whole l
 here actions arrive as a stream and each run keeps a small state across
 micro-batches (``applyInPandasWithState``, keyed by ``run_id``).  Actions after the
 run's submit are ignored; actions older than the last one applied are dropped
-(the event-time watermark bounds how late they may be).  Every micro-batch emits
+(the event-time watermark bounds how late they may be).  The per-action checks
+(valid source selection, full coverage, valid model write) are JVM-side columns
+computed before the stateful operator with the batch fold's own expressions, so
+Python only sequences the flags and the SQL text never reaches it.  A run's rows
+of one micro-batch are ordered in pandas; ``maxFilesPerTrigger`` bounds how many
+that can be.  Every micro-batch emits
 the updated state of the runs it touched; ``foreachBatch`` writes each batch to
 its own folder under the shared checkpoint folder (idempotent on replay), and the
 final state of a run is its row from the latest batch.
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.models import select_only
+from ..operators.runlog import valid_configure, valid_write
 from ..session import scratch_path
 
 OUTPUT_SCHEMA = ("run_id long, task_id string, submitted boolean, n_calls long, n_turns long, "
@@ -30,16 +35,8 @@ STATE_SCHEMA = ("task_id string, submitted boolean, n_calls long, n_turns long,
                 "last_ts timestamp, el_succeeded boolean, loaded string, writes string, last_transform timestamp")
 
 
-def _valid_sql(sql) -> bool:
-    try:
-        select_only(sql)
-        return True
-    except ValueError:
-        return False
-
-
 def make_fold(declared: tuple[str, ...], targets: tuple[str, ...]):
-    declared_set, target_set = set(declared), set(targets)
+    declared_set = set(declared)
 
     def fold(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (run_id,) = key
@@ -64,13 +61,12 @@ def make_fold(declared: tuple[str, ...], targets: tuple[str, ...]):
             day = ts.strftime("%Y-%m-%d")
             if day != last_day:
                 n_turns, last_day = n_turns + 1, day
-            tables = list(r.tables) if r.tables is not None else None
             if r.tool == "configure_el":
-                if tables and set(tables) <= declared_set:
-                    loaded |= set(tables)
-                    el_ok = declared_set <= set(tables)
+                if r.cfg_ok:
+                    loaded |= set(r.tables)
+                    el_ok = bool(r.covers)
             elif r.tool == "write_model":
-                if r.model in target_set and _valid_sql(r.sql) and r.model not in writes:
+                if r.wm_ok and r.model not in writes:
                     writes[r.model] = ts
             elif r.tool == "run_transforms":
                 last_tr = ts
@@ -96,8 +92,15 @@ def run_fold_stream(spark: SparkSession, actions: DataFrame, declared: tuple[str
     """Run the streaming fold until the input is drained; return the final state per run."""
     out_dir = scratch_path(spark, "runfold-stream")
     ckpt = scratch_path(spark, "runfold-stream-ckpt")
+    declared_c = F.array(*[F.lit(t) for t in declared])
+    targets_c = F.array(*[F.lit(t) for t in targets])
+    checked = actions.select(
+        "run_id", "task_id", "ts", "tool", "tables", "model",
+        F.coalesce(valid_configure(F.col("tables"), declared_c), F.lit(False)).alias("cfg_ok"),
+        F.coalesce(F.size(F.array_except(declared_c, F.col("tables"))) == 0, F.lit(False)).alias("covers"),
+        F.coalesce(valid_write(F.col("model"), F.col("sql"), targets_c), F.lit(False)).alias("wm_ok"))
     # Watermarks need TIMESTAMP; a TIMESTAMP_NTZ log is read as UTC wall time.
-    states = (actions.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    states = (checked.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
               .groupBy("run_id")
               .applyInPandasWithState(make_fold(declared, targets), OUTPUT_SCHEMA, STATE_SCHEMA,
                                       "update", GroupStateTimeout.NoTimeout))
