@@ -53,8 +53,9 @@ def actions_from_events(e: DataFrame) -> DataFrame:
                     "ts", tool.alias("tool"), tables.alias("tables"), model.alias("model"), sql.alias("sql"))
 
 
-def tasks_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (RN.runs_frame(spark, sf_dir).select("task_id").distinct()
+def tasks_frame(spark: SparkSession, sf_dir: str, runs: DataFrame | None = None) -> DataFrame:
+    runs = RN.runs_frame(spark, sf_dir) if runs is None else runs
+    return (runs.select("task_id").distinct()
             .select("task_id", F.array(*[F.lit(t) for t in DECLARED]).alias("declared"),
                     F.array(*[F.lit(t) for t in TARGETS]).alias("targets")))
 
@@ -71,9 +72,11 @@ def graded(spark: SparkSession, sf_dir: str):
     and the transition log each read them in several branches, which would otherwise
     replay every log and grade every table once per branch.
     """
-    scores = materialize(RN.batch_scores(spark, sf_dir), "batch-scores")
-    state = materialize(folded(spark, sf_dir), "run-fold")
-    return R.grade_runs(state, tasks_frame(spark, sf_dir), scores)
+    es = RN.event_summaries(spark, sf_dir)
+    tasks = tasks_frame(spark, sf_dir, es.runs)
+    scores = materialize(RN.batch_scores(spark, sf_dir, es), "batch-scores")
+    state = materialize(R.fold_runs(actions_frame(spark, sf_dir), tasks), "run-fold")
+    return R.grade_runs(state, tasks, scores)
 
 
 # ---------------------------------------------------------------- oracle SQL pieces

@@ -140,8 +140,8 @@ def sort_keys_frame(es: EventSummaries) -> DataFrame:
                         F.array(*[F.lit(k) for k in DAILY_KEYS]).alias("keys"))
 
 
-def batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    es = event_summaries(spark, sf_dir)
+def batch_scores(spark: SparkSession, sf_dir: str, es: EventSummaries | None = None) -> DataFrame:
+    es = es or event_summaries(spark, sf_dir)
     g_cells, g_names = gold_tables(es)
     a_cells, a_names = actual_tables(es)
     return B.batch_grade(g_cells, g_names, a_cells, a_names, es.runs, sort_keys_frame(es))
