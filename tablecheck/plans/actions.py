@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..operators import jobs as J
 from ..operators import runlog as R
 from ..operators.guard import undeclared
-from ..session import materialize
+from ..session import materialize_all
 from . import runs as RN
 from . import sqltext as S
 from .registry import register, table
@@ -74,9 +74,9 @@ def graded(spark: SparkSession, sf_dir: str):
     """
     es = RN.event_summaries(spark, sf_dir)
     tasks = tasks_frame(spark, sf_dir, es.runs)
-    scores = materialize(RN.batch_scores(spark, sf_dir, es), "batch-scores")
-    state = materialize(R.fold_runs(actions_frame(spark, sf_dir), tasks), "run-fold")
-    return R.grade_runs(state, tasks, scores)
+    out = materialize_all({"batch-scores": lambda: RN.batch_scores(spark, sf_dir, es),
+                           "run-fold": lambda: R.fold_runs(actions_frame(spark, sf_dir), tasks)})
+    return R.grade_runs(out["run-fold"], tasks, out["batch-scores"])
 
 
 # ---------------------------------------------------------------- oracle SQL pieces

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import batch as B
-from ..session import materialize
+from ..session import materialize_all
 from . import sqltext as S
 from .registry import register, table
 
@@ -66,8 +66,8 @@ def event_summaries(spark: SparkSession, sf_dir: str) -> EventSummaries:
     size checks and final join would otherwise each rescan).
     """
     e = table(spark, sf_dir, "events")
-    return EventSummaries(materialize(_runs(e), "runs"), materialize(_daily(e), "daily"),
-                          materialize(_types(e), "types"))
+    out = materialize_all({"runs": _runs(e), "daily": _daily(e), "types": _types(e)})
+    return EventSummaries(out["runs"], out["daily"], out["types"])
 
 
 GOLD_DAILY_SQL = f"""

@@ -92,3 +92,21 @@ def materialize(df, label: str):
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
+
+def materialize_all(frames: dict, parallel: int = 4) -> dict:
+    """:func:`materialize` several independent frames, their jobs submitted concurrently.
+
+    A value is a DataFrame or a zero-argument function building one (so that the
+    size checks a builder runs overlap too).  Small intermediate tables rarely fill
+    the cluster on their own; submitting them together lets the scheduler run their
+    tasks side by side.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(label, value):
+        return materialize(value() if callable(value) else value, label)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(frames)))) as pool:
+        done = {label: pool.submit(one, label, value) for label, value in frames.items()}
+        return {label: f.result() for label, f in done.items()}
+
