@@ -225,12 +225,12 @@ def schema_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]))
 def compare_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = C.prepare(gold_customer(spark, sf_dir))
-    scores = [
-        ("perturbed", C.compare_tables(gold, actual_customer(spark, sf_dir), CUSTOMER_KEYS)),
-        ("identical", C.compare_tables(gold, typed_gold_customer(spark, sf_dir), CUSTOMER_KEYS)),
-        ("short", C.compare_tables(gold, actual_customer(spark, sf_dir, drop_every=97), CUSTOMER_KEYS)),
-        ("no_keys", C.compare_tables(gold, actual_customer(spark, sf_dir), None)),
-    ]
+    scores = C.compare_many([
+        ("perturbed", gold, actual_customer(spark, sf_dir), CUSTOMER_KEYS),
+        ("identical", gold, typed_gold_customer(spark, sf_dir), CUSTOMER_KEYS),
+        ("short", gold, actual_customer(spark, sf_dir, drop_every=97), CUSTOMER_KEYS),
+        ("no_keys", gold, actual_customer(spark, sf_dir), None),
+    ])
     return C.score_frame(spark, scores)
 
 
