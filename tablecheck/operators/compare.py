@@ -253,11 +253,21 @@ def _side(x: DataFrame | Prepared) -> tuple[DataFrame, SideProfile]:
     return (x.frame, x.profile) if isinstance(x, Prepared) else normalize(x)
 
 
+def _sides(gold: DataFrame | Prepared, actual: DataFrame | Prepared):
+    """Both sides normalised; when both still need their pass, the two jobs run concurrently."""
+    if isinstance(gold, Prepared) or isinstance(actual, Prepared):
+        return _side(gold), _side(actual)
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        g, a = pool.submit(normalize, gold), pool.submit(normalize, actual)
+        return g.result(), a.result()
+
+
 def column_verdicts(gold: DataFrame | Prepared, actual: DataFrame | Prepared, keys: Sequence[str] | None = None
                     ) -> tuple[list[tuple[ColumnPlan, bool]], SideProfile, SideProfile, bool]:
     """Per gold column (plan, matched); also both profiles and whether row counts agree."""
-    gdf, gp = _side(gold)
-    adf, ap = _side(actual)
+    (gdf, gp), (adf, ap) = _sides(gold, actual)
     plans = column_plan(gp, ap)
     if gp.rows != ap.rows:
         return [(p, False) for p in plans], gp, ap, False
