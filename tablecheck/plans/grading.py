@@ -11,6 +11,8 @@ Lineitem pair (large, with duplicate keys) feeds ``table_score``.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,8 +138,10 @@ def _positional_oracle() -> str:
 @register("positional_join", oracle=_positional_oracle())
 def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row i of sorted gold next to row i of sorted actual, with per-cell verdicts."""
-    g_pos, gp = C.positioned(gold_customer(spark, sf_dir), CUSTOMER_KEYS, keep=True)
-    a_pos, ap = C.positioned(actual_customer(spark, sf_dir), CUSTOMER_KEYS, keep=True)
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        g, a = (pool.submit(C.positioned, df, CUSTOMER_KEYS, keep=True)
+                for df in (gold_customer(spark, sf_dir), actual_customer(spark, sf_dir)))
+        (g_pos, gp), (a_pos, ap) = g.result(), a.result()
     plans = {p.gold_name: p for p in C.column_plan(gp, ap)}
     return C.paired(g_pos, a_pos).select(
         F.col("g._pos").alias("pos"),
@@ -165,8 +169,11 @@ def _profile_oracle() -> str:
 @register("numeric_profile", oracle=_profile_oracle())
 def numeric_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
-    for side, df in (("gold", gold_customer(spark, sf_dir)), ("actual", actual_customer(spark, sf_dir))):
-        _, prof = C.profile(df)
+    sides = (("gold", gold_customer(spark, sf_dir)), ("actual", actual_customer(spark, sf_dir)))
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        profiles = [(side, pool.submit(C.profile, df)) for side, df in sides]
+    for side, done in profiles:
+        _, prof = done.result()
         for i, name in enumerate(prof.names):
             rows.append((side, name, prof.non_null[i], prof.numeric[i], prof.is_numeric(i)))
     return spark.createDataFrame(rows, "side string, column_name string, non_null bigint, "
