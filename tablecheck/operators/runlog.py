@@ -17,16 +17,17 @@ Fold rules (per run, actions ordered by ``ts``):
 
 Everything is a grouped aggregate or an equi-join on ``run_id``: no window, no
 per-run collection of the log.  The per-run submit time is joined back to the
-actions (broadcast when the number of runs is small, else a shuffle join that
-adaptive execution splits if one run is hot).
-
-Broadcast choice: a side whose rows come from a cheap scan (task lists, submit
-times) is counted and hinted below ``BROADCAST_MAX_ROWS``.  A side that sits on
-top of grading (per-run rewards, per-group means) is joined without a hint:
-counting it on the driver would grade every run twice, and adaptive execution
-already measures its shuffle output at run time, switching to a broadcast join
-only under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and keeping the
-sort-merge join (with skew splitting) above it.
+actions (a broadcast join when adaptive execution measures few runs, else a
+shuffle join that it splits if one run is hot).
+
+Broadcast choice: only the task table, a small catalogue, is counted on the
+driver and hinted below ``BROADCAST_MAX_ROWS``.  Sides that are aggregates of the
+log or of grading (submit times, per-run rewards, per-group means) are joined
+without a hint: counting them on the driver would scan the log or grade every
+run once more, and adaptive execution already measures their shuffle output at
+run time, switching to a broadcast join only under
+``spark.sql.adaptive.autoBroadcastJoinThreshold`` and keeping the sort-merge join
+(with skew splitting) above it.
 """
 
 from __future__ import annotations
@@ -58,7 +59,9 @@ def until_submit(actions: DataFrame) -> DataFrame:
     """Actions up to and including each run's first submit (all actions if none)."""
     submit = (actions.where(F.col("tool") == TERMINAL_TOOL)
               .groupBy("run_id").agg(F.min("ts").alias("submit_ts")))
-    joined = actions.join(_small(submit), "run_id", "left")
+    # Unhinted: sizing the submit table on the driver would scan the whole log once
+    # more; adaptive execution measures it and broadcasts it when it is small.
+    joined = actions.join(submit, "run_id", "left")
     return joined.where(F.col("submit_ts").isNull() | (F.col("ts") <= F.col("submit_ts")))
 
 

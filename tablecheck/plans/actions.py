@@ -64,7 +64,7 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fold_runs(actions_frame(spark, sf_dir), tasks_frame(spark, sf_dir))
 
 
-def graded(spark: SparkSession, sf_dir: str):
+def graded(spark: SparkSession, sf_dir: str, es: RN.EventSummaries | None = None):
     """Graded runs and their per-target scores.
 
     The run fold (one row per run) and the batch scores (one row per run and target)
@@ -72,7 +72,7 @@ def graded(spark: SparkSession, sf_dir: str):
     and the transition log each read them in several branches, which would otherwise
     replay every log and grade every table once per branch.
     """
-    es = RN.event_summaries(spark, sf_dir)
+    es = es or RN.event_summaries(spark, sf_dir)
     tasks = tasks_frame(spark, sf_dir, es.runs)
     out = materialize_all({"batch-scores": lambda: RN.batch_scores(spark, sf_dir, es),
                            "run-fold": lambda: R.fold_runs(actions_frame(spark, sf_dir), tasks)})

@@ -61,8 +61,10 @@ FROM f JOIN gr ON f.run_id = gr.run_id"""
 @register("transition_log", oracle=TRANSITION_SQL)
 def transition_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-action transitions of every run up to its submit, written as JSON lines and read back."""
-    g, _ = A.graded(spark, sf_dir)
-    log = R.transition_log(A.actions_frame(spark, sf_dir), A.tasks_frame(spark, sf_dir), g, id_cols=("event_id",))
+    es = RN.event_summaries(spark, sf_dir)
+    g, _ = A.graded(spark, sf_dir, es)
+    log = R.transition_log(A.actions_frame(spark, sf_dir), A.tasks_frame(spark, sf_dir, es.runs), g,
+                           id_cols=("event_id",))
     path = scratch_path(spark, "transitions")
     R.write_transition_log(log, path)
     return spark.read.schema(log.schema).json(path)
