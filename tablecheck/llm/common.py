@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: in
     A row longer than the bound forms a slice of its own: rows are never cut.
     """
     for batch in batches:
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
         start, size = 0, 0
         for i, n in enumerate(lengths):
             if i > start and (size + n > most_bytes or i - start >= most_rows):

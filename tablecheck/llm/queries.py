@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .exact_dedup import exact_copies
+from .fingerprints import fingerprint_documents
+from .packing import pack_documents
+from .pieces import piece_digests
+from .quality import fit_quality, held_out, score_quality
 from .sharding import shard_documents
 from .token_files import token_files
 
+QUALITY_THRESHOLD = 0.3
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -36,6 +42,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
+@register("op2_best_fit_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), 1024, end_id=2)
+
+
 EXACT_SQL = r"""
 WITH rows AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_chars,
@@ -56,7 +67,26 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@register("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit_quality(docs, documents(spark, sf_dir, "labels"))
+    return score_quality(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
+@register("op5_sentencepiece")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
 @register("op9_sharding")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 16).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@register("op10_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(documents(spark, sf_dir))
