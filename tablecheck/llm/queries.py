@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import documents
 from .exact_dedup import exact_copies
 from .fingerprints import fingerprint_documents
+from .jaccard import jaccard_components
 from .packing import pack_documents
 from .pieces import piece_digests
 from .quality import fit_quality, held_out, score_quality
@@ -81,6 +82,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
+@register("op8_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 @register("op9_sharding")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 16).select(
