@@ -15,6 +15,7 @@ from .packing import pack_documents
 from .pieces import piece_digests
 from .quality import fit_quality, held_out, score_quality
 from .sharding import shard_documents
+from .suffix_dedup import remove_repeats
 from .token_files import token_files
 
 QUALITY_THRESHOLD = 0.3
@@ -82,6 +83,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
+@register("op6_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op8_jaccard_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
