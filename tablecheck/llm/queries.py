@@ -14,6 +14,7 @@ from .jaccard import jaccard_components
 from .packing import pack_documents
 from .pieces import piece_digests
 from .quality import fit_quality, held_out, score_quality
+from .secrets import scan_secrets
 from .sharding import shard_documents
 from .suffix_dedup import remove_repeats
 from .token_files import token_files
@@ -89,6 +90,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@register("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir)).select(
+        "doc_id", "word_no", "kind", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"),
+        "score", "is_secret")
+
+
 @register("op8_jaccard_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
