@@ -36,8 +36,8 @@ def redact_by_key(c: Column, dtype: T.DataType) -> Column:
 
     Struct fields are walked from the schema on the driver; map entries are
     checked per key with ``transform_values``; arrays are mapped element-wise.
-    A redacted value becomes the string marker, so a redacted struct field or map
-    value is cast to string.
+    A redacted value becomes the string marker, so a redacted struct field is a
+    string, and so are all values of a map: text as it is, the others as JSON.
     """
     if isinstance(dtype, T.StructType):
         fields = []
@@ -53,9 +53,9 @@ def redact_by_key(c: Column, dtype: T.DataType) -> Column:
             hit = F.lit(False)
             for part in SECRET_KEY_PARTS:
                 hit = hit | F.lower(k.cast("string")).contains(part)
-            if isinstance(dtype.valueType, T.StringType):
-                return F.when(hit, F.lit(CONFIGURED)).otherwise(inner)
-            return inner
+            if isinstance(dtype.valueType, (T.StructType, T.MapType, T.ArrayType)):
+                inner = F.to_json(inner)
+            return F.when(hit, F.lit(CONFIGURED)).otherwise(inner.cast("string"))
         return F.transform_values(c, value)
     if isinstance(dtype, T.ArrayType):
         return F.transform(c, lambda x: redact_by_key(x, dtype.elementType))

@@ -5,7 +5,7 @@ Tables of different shapes travel as rows of cell arrays:
 * ``to_cells(df, **ids)`` turns any typed table into rows ``(<ids>, cells)`` where
   ``cells`` is ``array<struct<l, n, s, m>>`` in column order (``l`` stripped
   lower-cased text, ``n`` number for equality, ``s`` number for sorting, ``m``
-  midnight flag of timestamps) plus one ``(<ids>, names)`` row with its column names.
+  detail of timestamps) plus one ``(<ids>, names)`` row with its column names.
 * gold tables are keyed by ``(task_id, table_name)`` and stored once; actual tables
   by ``(run_id, table_name)``; ``runs`` maps ``run_id`` to ``task_id``.
 
@@ -21,26 +21,23 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import tolerant_equal
-from .compare import _TIME_TYPES, normal_columns
+from ..session import materialize
+from .compare import _TIME_TYPES, TIME_WIDTHS, normal_columns
 from .positions import with_positions
 
 CELL = T.StructType([
     T.StructField("l", T.StringType()), T.StructField("n", T.DoubleType()),
-    T.StructField("s", T.DoubleType()), T.StructField("m", T.BooleanType()),
+    T.StructField("s", T.DoubleType()), T.StructField("m", T.IntegerType()),
 ])
 FLAGS = T.ArrayType(T.StructType([
     T.StructField("i", T.IntegerType()), T.StructField("numeric", T.BooleanType()),
-    T.StructField("sort_numeric", T.BooleanType()), T.StructField("midnight", T.BooleanType()),
+    T.StructField("sort_numeric", T.BooleanType()), T.StructField("detail", T.IntegerType()),
 ]))
-# Per-group plan tables up to this many rows are broadcast to the cell rows.
-BROADCAST_PLAN_MAX_ROWS = 200_000
-
 
 def to_cells(df: DataFrame, id_cols: list[str] = (), **literal_ids: str) -> tuple[DataFrame, DataFrame]:
     """Cell rows ``(ids..., cells)`` and the per-group schema table of ``df``.
@@ -49,20 +46,20 @@ def to_cells(df: DataFrame, id_cols: list[str] = (), **literal_ids: str) -> tupl
     tables of one shape in one frame); ``literal_ids`` are constant for the frame.
     Every other column becomes a cell, in order.  The schema table has one row per
     group: ``(ids..., names, n_rows, flags)``, where ``flags`` holds each column's
-    profile (wholly numeric for equality, for sorting, all at midnight).  It comes
-    from one grouped aggregate over the normalised columns, which are persisted
+    profile (wholly numeric for equality, for sorting, detail of times).  It comes
+    from one grouped aggregate over the normalised columns, which are written once
     so the cells reuse them.
     """
     id_cols = list(id_cols)
     data_cols = [c for c in df.columns if c not in id_cols]
     ndf, names, types = normal_columns(df.select(*id_cols, *data_cols), keep=True)
-    ndf = ndf.persist(StorageLevel.MEMORY_AND_DISK)
+    ndf = materialize(ndf, "normalized")
     n_id = len(id_cols)
     data = [(i, t) for i, t in enumerate(types) if i >= n_id]
     cells = F.array(*[F.struct(F.col(f"_l{i}").alias("l"), F.col(f"_n{i}").alias("n"),
                                F.col(f"_sn{i}").alias("s"),
                                (F.col(f"_m{i}") if isinstance(t, _TIME_TYPES)
-                                else F.lit(None).cast("boolean")).alias("m"))
+                                else F.lit(None).cast("int")).alias("m"))
                       for i, t in data]).cast(T.ArrayType(CELL))
     ids = [F.col(f"_c{i}").alias(c) for i, c in enumerate(id_cols)] + \
         [F.lit(v).alias(k) for k, v in literal_ids.items()]
@@ -72,11 +69,11 @@ def to_cells(df: DataFrame, id_cols: list[str] = (), **literal_ids: str) -> tupl
     for i, t in data:
         aggs += [F.count(f"_l{i}").alias(f"nn{i}"), F.count(f"_n{i}").alias(f"num{i}"),
                  F.count(f"_sn{i}").alias(f"snum{i}"),
-                 (F.min(f"_m{i}") if isinstance(t, _TIME_TYPES) else F.lit(None).cast("boolean")).alias(f"mid{i}")]
+                 (F.max(f"_m{i}") if isinstance(t, _TIME_TYPES) else F.lit(None).cast("int")).alias(f"fine{i}")]
     grouped = ndf.groupBy(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(id_cols)]).agg(*aggs)
     flags = F.array(*[F.struct(F.lit(j).alias("i"), (F.col(f"nn{i}") == F.col(f"num{i}")).alias("numeric"),
                                (F.col(f"nn{i}") == F.col(f"snum{i}")).alias("sort_numeric"),
-                               F.coalesce(F.col(f"mid{i}"), F.lit(False)).alias("midnight"))
+                               F.col(f"fine{i}").alias("detail"))
                       for j, (i, _) in enumerate(data)]).cast(FLAGS)
     schema = grouped.select(*id_cols, *[F.lit(v).alias(k) for k, v in literal_ids.items()],
                             F.array(*[F.lit(n) for n in names[n_id:]]).cast("array<string>").alias("names"),
@@ -89,22 +86,22 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def _profiles(cells: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: column count and per column (non_null, numeric, sort_numeric, all_midnight)."""
+    """Per group: column count and per column (non_null, numeric, sort_numeric, time detail)."""
     exploded = cells.select(*keys, F.posexplode("cells").alias("i", "c"))
     per_col = exploded.groupBy(*keys, "i").agg(
         F.count("c.l").alias("nn"), F.count("c.n").alias("nnum"), F.count("c.s").alias("snum"),
-        F.min("c.m").alias("mid"))
+        F.max("c.m").alias("fine"))
     prof = per_col.groupBy(*keys).agg(F.collect_list(F.struct(
         "i", (F.col("nn") == F.col("nnum")).alias("numeric"),
         (F.col("nn") == F.col("snum")).alias("sort_numeric"),
-        F.coalesce(F.col("mid"), F.lit(False)).alias("midnight"))).alias("prof"))
+        F.col("fine").alias("detail"))).alias("prof"))
     counts = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     out = names.join(counts, keys, "left").join(prof, keys, "left")
     # Columns of an empty table are numeric by rule (no non-null value fails to parse).
     flags = F.transform(F.sequence(F.lit(0), F.size("names") - 1), lambda i: F.coalesce(
         F.element_at(F.filter(F.coalesce(F.col("prof"), F.array()), lambda p: p["i"] == i), 1),
         F.struct(i.alias("i"), F.lit(True).alias("numeric"), F.lit(True).alias("sort_numeric"),
-                 F.lit(False).alias("midnight"))))
+                 F.lit(None).cast("int").alias("detail"))))
     return out.select(*keys, "names", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"),
                       F.when(F.size("names") > 0, flags).otherwise(F.array()).alias("flags"))
 
@@ -133,30 +130,23 @@ def _sort_key(plan: Column, flags: Column, cells: Column) -> Column:
     return F.transform(plan, elem)
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_PLAN_MAX_ROWS else df
-
-
 def positioned_cells(cells: DataFrame, names: DataFrame, keys: list[str],
                      sort_keys: DataFrame | None, task_keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Cells with ``pos`` per group, and the group profile table."""
     if "flags" in names.columns:
         prof = names.select(*keys, "names", "n_rows", "flags")
     else:
-        cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+        cells = materialize(cells, "cells")
         prof = _profiles(cells, names, keys)
     if sort_keys is not None:
         prof = prof.join(sort_keys, task_keys, "left")
     else:
         prof = prof.withColumn("keys", F.lit(None).cast("array<string>"))
     prof = prof.withColumn("plan", _sort_plan(F.col("names"), F.col("keys"))).drop("keys")
-    prof = prof.cache()
-    size = prof.agg(F.count(F.lit(1)).alias("groups"), F.max("n_rows").alias("largest")).first()
-    plan = prof.select(*keys, "plan", "flags")
-    planned = cells.join(F.broadcast(plan) if size["groups"] <= BROADCAST_PLAN_MAX_ROWS else plan, keys, "inner")
+    prof = materialize(prof, "cell-profiles")
+    planned = cells.join(prof.select(*keys, "plan", "flags"), keys, "inner")
     keyed = planned.select(*keys, "cells", _sort_key(F.col("plan"), F.col("flags"), F.col("cells")).alias("_k"))
-    pos = with_positions(keyed, [F.col("_k").asc()], group_cols=keys, pos_col="pos",
-                         max_group_rows=int(size["largest"] or 0)).drop("_k")
+    pos = with_positions(keyed, [F.col("_k").asc()], group_cols=keys, pos_col="pos").drop("_k")
     return pos, prof
 
 
@@ -173,13 +163,14 @@ def _pairing(gprof: DataFrame, aprof: DataFrame) -> Column:
         a_flag = F.element_at(aprof["flags"], j + 1)
         return F.struct(i.alias("gi"), j.cast("int").alias("aj"),
                         (g_flag["numeric"] & a_flag["numeric"]).alias("numeric"),
-                        g_flag["midnight"].alias("gmid"), a_flag["midnight"].alias("amid"))
+                        g_flag["detail"].alias("gdetail"), a_flag["detail"].alias("adetail"))
     return F.transform(g_names, pair)
 
 
-def _cell_text(cells: Column, i: Column, midnight: Column) -> Column:
+def _cell_text(cells: Column, i: Column, detail: Column) -> Column:
     t = F.element_at(cells, i + 1)["l"]
-    return F.replace(F.when(midnight, F.substring(t, 1, 10)).otherwise(t), F.lit("ß"), F.lit("ss"))
+    width = F.element_at(F.array(*map(F.lit, TIME_WIDTHS)), detail + 1)
+    return F.replace(F.when(detail.isNotNull(), t.substr(F.lit(1), width)).otherwise(t), F.lit("ß"), F.lit("ss"))
 
 
 def batch_grade(gold_cells: DataFrame, gold_names: DataFrame, actual_cells: DataFrame,
@@ -190,8 +181,7 @@ def batch_grade(gold_cells: DataFrame, gold_names: DataFrame, actual_cells: Data
     gk, ak = ["task_id", "table_name"], ["run_id", "table_name"]
     g_pos, gprof = positioned_cells(gold_cells, gold_names, gk, sort_keys, gk)
     runs = runs.select("run_id", "task_id")
-    a_cells = actual_cells.join(F.broadcast(runs) if runs.count() <= BROADCAST_PLAN_MAX_ROWS else runs,
-                                "run_id", "inner")
+    a_cells = actual_cells.join(runs, "run_id", "inner")
     a_names = actual_names.join(runs, "run_id", "inner")
     a_pos, aprof = positioned_cells(a_cells.drop("task_id"), a_names.drop("task_id"), ak,
                                     None if sort_keys is None else
@@ -207,17 +197,17 @@ def batch_grade(gold_cells: DataFrame, gold_names: DataFrame, actual_cells: Data
     a = F.struct(F.col("a_names").alias("names"), F.col("a_flags").alias("flags"))
     targets = targets.withColumn("pairing", _pairing(g, a)).withColumn(
         "same_rows", F.col("a_rows").isNotNull() & (F.col("g_rows") == F.col("a_rows")))
-    targets = targets.cache()
+    targets = materialize(targets, "graded-targets")
 
     comparable = targets.where("same_rows AND g_rows > 0").select("run_id", "task_id", "table_name", "pairing")
-    joined = (a_pos.join(_maybe_broadcast(comparable), ak, "inner")
+    joined = (a_pos.join(comparable, ak, "inner")
               .join(g_pos.withColumnRenamed("cells", "g_cells"), ["task_id", "table_name", "pos"], "inner"))
 
     def failed(p):
         num_ok = tolerant_equal(F.element_at(F.col("g_cells"), p["gi"] + 1)["n"],
                                 F.element_at(F.col("cells"), p["aj"] + 1)["n"])
-        txt_ok = F.coalesce(_cell_text(F.col("g_cells"), p["gi"], p["gmid"]).eqNullSafe(
-            _cell_text(F.col("cells"), p["aj"], p["amid"])), F.lit(False))
+        txt_ok = F.coalesce(_cell_text(F.col("g_cells"), p["gi"], p["gdetail"]).eqNullSafe(
+            _cell_text(F.col("cells"), p["aj"], p["adetail"])), F.lit(False))
         return F.when(p["aj"].isNull(), F.lit(False)).when(p["numeric"], num_ok).otherwise(txt_ok)
 
     bad = joined.select(*ak, F.explode(F.transform(

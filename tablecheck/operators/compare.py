@@ -54,13 +54,21 @@ _NUMBER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType
 _TIME_TYPES = (T.TimestampType, T.TimestampNTZType)
 
 
-def _midnight(c: Column) -> Column:
-    return (F.hour(c) == 0) & (F.minute(c) == 0) & (F.second(c) == 0) & \
-        (F.unix_micros(c.cast("timestamp")) % F.lit(1_000_000) == 0)
+# Characters shown of a time column, by its finest value: days, seconds, milli-, microseconds.
+TIME_WIDTHS = (10, 19, 23, 26)
 
 
-def text_form(c: Column, dtype: T.DataType, all_midnight: bool = True) -> Column:
-    """Text of a typed value as the comparator sees it (NULL stays NULL)."""
+def time_detail(c: Column) -> Column:
+    """Index into ``TIME_WIDTHS`` that a time value needs."""
+    micros = F.unix_micros(c.cast("timestamp")) % F.lit(1_000_000)
+    midnight = (F.hour(c) == 0) & (F.minute(c) == 0) & (F.second(c) == 0)
+    return F.when(c.isNotNull(), F.when(micros % 1000 != 0, F.lit(3)).when(micros != 0, F.lit(2))
+                  .when(~midnight, F.lit(1)).otherwise(F.lit(0)))
+
+
+def text_form(c: Column, dtype: T.DataType) -> Column:
+    """Text of a typed value as the comparator sees it (NULL stays NULL); times in full,
+    to be cut to what their column needs."""
     if isinstance(dtype, T.StringType):
         return c
     if isinstance(dtype, T.BooleanType):
@@ -72,7 +80,7 @@ def text_form(c: Column, dtype: T.DataType, all_midnight: bool = True) -> Column
     if isinstance(dtype, T.DateType):
         return F.date_format(c, "yyyy-MM-dd")
     if isinstance(dtype, _TIME_TYPES):
-        return F.date_format(c, "yyyy-MM-dd" if all_midnight else "yyyy-MM-dd HH:mm:ss")
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(c)
     return c.cast("string")
@@ -101,7 +109,7 @@ class SideProfile:
     non_null: tuple[int, ...]
     numeric: tuple[int, ...]
     sort_numeric: tuple[int, ...]
-    all_midnight: tuple[bool, ...]
+    time_detail: tuple[int, ...]
 
     def is_numeric(self, i: int) -> bool:
         return self.non_null[i] == self.numeric[i]
@@ -113,7 +121,7 @@ class SideProfile:
 def normal_columns(df: DataFrame, keep: bool = False) -> tuple[DataFrame, list[str], list[T.DataType]]:
     """Per source column i: ``_l{i}`` stripped lower-cased text, ``_n{i}`` its number
     (equality view), ``_sn{i}`` the number of ``_l{i}`` (sort view), and for timestamps
-    ``_m{i}`` whether the value is at midnight.  Every later step reads only these,
+    ``_m{i}`` how fine the value is (``time_detail``).  Every later step reads only these,
     so the regular expressions run once per cell.  ``keep`` also carries the
     original values as ``_c{i}``.
     """
@@ -123,7 +131,7 @@ def normal_columns(df: DataFrame, keep: bool = False) -> tuple[DataFrame, list[s
     cols = [F.col(f"_c{i}") for i in range(len(names))] if keep else []
     for i, t in enumerate(types):
         c = F.col(f"_c{i}")
-        txt = text_form(c, t, all_midnight=False)
+        txt = text_form(c, t)
         cols.append(sort_text(txt).alias(f"_l{i}"))
         num = number_form(c, t)
         cols.append(num.alias(f"_n{i}"))
@@ -138,7 +146,7 @@ def normal_columns(df: DataFrame, keep: bool = False) -> tuple[DataFrame, list[s
         else:
             cols.append(F.lit(None).cast("double").alias(f"_sn{i}"))
         if isinstance(t, _TIME_TYPES):
-            cols.append(_midnight(c).alias(f"_m{i}"))
+            cols.append(time_detail(c).alias(f"_m{i}"))
     return idf.select(*cols), names, types
 
 
@@ -146,7 +154,7 @@ def normalize(df: DataFrame, keep: bool = False) -> tuple[DataFrame, SideProfile
     """Write the normalised side to scratch once; its profile is observed by the same job.
 
     The input keeps its partitioning: a large table arrives in many splits, and
-    single-file sources are spread where they are read (:func:`session.spread`).
+    a source of few splits can be spread where it is read (:func:`session.spread`).
     """
     spark = df.sparkSession
     ndf, names, types = normal_columns(df, keep)
@@ -155,7 +163,7 @@ def normalize(df: DataFrame, keep: bool = False) -> tuple[DataFrame, SideProfile
         aggs += [F.count(f"_l{i}").alias(f"_nn{i}"), F.count(f"_n{i}").alias(f"_num{i}"),
                  F.count(f"_sn{i}").alias(f"_snum{i}")]
         if isinstance(t, _TIME_TYPES):
-            aggs.append(F.coalesce(F.min(F.col(f"_m{i}").cast("int")), F.lit(1)).alias(f"_mid{i}"))
+            aggs.append(F.coalesce(F.max(f"_m{i}"), F.lit(0)).alias(f"_detail{i}"))
     obs = Observation(f"profile_{uuid.uuid4().hex[:8]}")
     path = scratch_path(spark, "normalized")
     ndf.observe(obs, *aggs).write.mode("overwrite").parquet(path)
@@ -166,8 +174,8 @@ def normalize(df: DataFrame, keep: bool = False) -> tuple[DataFrame, SideProfile
         non_null=tuple(int(row[f"_nn{i}"]) for i in range(n)),
         numeric=tuple(int(row[f"_num{i}"]) for i in range(n)),
         sort_numeric=tuple(int(row[f"_snum{i}"]) for i in range(n)),
-        all_midnight=tuple(bool(row[f"_mid{i}"]) if isinstance(types[i], _TIME_TYPES) else True
-                           for i in range(n)),
+        time_detail=tuple(int(row[f"_detail{i}"]) if isinstance(types[i], _TIME_TYPES) else 0
+                          for i in range(n)),
     )
     return spark.read.parquet(path), prof
 
@@ -200,7 +208,7 @@ def positioned(df: DataFrame, keys: Sequence[str] | None = None, keep: bool = Fa
     ndf, prof = normalize(df, keep)
     if prof.rows == 0 or not prof.names:
         return ndf.withColumn("_pos", F.lit(0).cast("long")), prof
-    return with_positions(ndf, sort_exprs(prof, keys), pos_col="_pos", max_group_rows=prof.rows), prof
+    return with_positions(ndf, sort_exprs(prof, keys), pos_col="_pos"), prof
 
 
 @dataclass(frozen=True)
@@ -222,8 +230,8 @@ def column_plan(gp: SideProfile, ap: SideProfile) -> list[ColumnPlan]:
 
 def _folded(side: str, i: int, prof: SideProfile) -> Column:
     c = F.col(f"{side}._l{i}")
-    if isinstance(prof.types[i], _TIME_TYPES) and prof.all_midnight[i]:
-        c = F.substring(c, 1, 10)
+    if isinstance(prof.types[i], _TIME_TYPES):
+        c = F.substring(c, 1, TIME_WIDTHS[prof.time_detail[i]])
     return F.replace(c, F.lit("ß"), F.lit("ss"))
 
 
@@ -274,8 +282,8 @@ def column_verdicts(gold: DataFrame | Prepared, actual: DataFrame | Prepared, ke
     present = [p for p in plans if p.actual_index is not None]
     results: dict[int, bool] = {}
     if present and gp.rows > 0:
-        g_pos = with_positions(gdf, sort_exprs(gp, keys), pos_col="_pos", max_group_rows=gp.rows)
-        a_pos = with_positions(adf, sort_exprs(ap, keys), pos_col="_pos", max_group_rows=ap.rows)
+        g_pos = with_positions(gdf, sort_exprs(gp, keys), pos_col="_pos")
+        a_pos = with_positions(adf, sort_exprs(ap, keys), pos_col="_pos")
         verdicts = [F.coalesce(F.min(verdict_expr(p, gp, ap).cast("int")), F.lit(1)).alias(f"_v{p.gold_index}")
                     for p in present]
         row = paired(g_pos, a_pos).agg(*verdicts).first()

@@ -6,6 +6,7 @@ reason code otherwise, so one ``select`` checks any number of submissions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,49 @@ PLAN_PROVIDER = "airbyte"
 SECRET_MIN_CHARS = 4
 
 
+# Classes of the analysed plan that call host code or start a process.
+HOST_NODES = ("CallMethodViaReflection", "TryReflect", "ScriptTransformation")
+
+
+class Refused(ValueError):
+    """A submitted name or statement that breaks a rule; ``reason`` is its code."""
+
+    def __init__(self, reason: str, subject: str):
+        super().__init__(f"{reason}: {subject[:80]!r}")
+        self.reason = reason
+
+
+def require_identifier(name: str) -> str:
+    """The driver-side form of :func:`identifier_ok`."""
+    if not (isinstance(name, str) and re.match(IDENTIFIER_RE.replace(r"\z", r"\Z"), name)):
+        raise Refused("not_an_identifier", str(name))
+    return name
+
+
+def require_model_sql(sql: str | None) -> str:
+    """The driver-side form of :func:`model_sql_reason`; returns the stripped statement."""
+    text = (sql or "").strip()
+    rules = (("empty", not text), ("semicolon", ";" in text), ("not_select", not re.search(SELECT_START_RE, text)),
+             ("host_code", bool(re.search(HOST_CODE_RE, text, re.S))))
+    for reason, broken in rules:
+        if broken:
+            raise Refused(reason, text)
+    return text
+
+
+def require_no_host_code(df: DataFrame) -> DataFrame:
+    """Refuse a query whose analysed plan reflects into the JVM or pipes rows through a process.
+
+    The plan is inspected, not the text: quoting, comments and the MAP / REDUCE forms
+    all end as the same nodes.
+    """
+    plan = df._jdf.queryExecution().analyzed().toJSON()
+    for node in HOST_NODES:
+        if re.search(rf'"class":"[\w.$]*\b{node}"', plan):
+            raise Refused("host_code", node)
+    return df
+
+
 def select_only_reason(sql: Column) -> Column:
     """NULL for one SELECT/WITH statement; else ``empty``, ``semicolon`` or ``not_select``."""
     text = strip_unicode(sql)

@@ -1,11 +1,12 @@
 """Row positions after a total sort, without a single-partition window.
 
 ``row_number().over(Window.orderBy(...))`` moves every row to one task.  Here the
-rows are range-partitioned on the sort key (the same exchange ``orderBy`` uses),
-numbered inside each partition, written to the shared scratch folder so that the
-numbering is fixed, and shifted by the row counts of the earlier partitions of
-the same group.  Only one small row per (partition, group) ever leaves the
-executors: the offsets table, which is broadcast when its checked size allows.
+rows are range-partitioned on the sort key (the same exchange ``orderBy`` uses) with
+a unique row id as its last part, so that equal rows, however many, spread over
+ranges too; numbered inside each partition; written to the shared scratch folder so
+that the numbering is fixed; and shifted by the row counts of the earlier partitions
+of the same group, one small row per (partition, group).  The same path serves every
+size.
 
 Grouped positions (``group_cols``) restart at 0 for every group; a group with a
 third of all rows is still spread over many range partitions because the sort
@@ -23,42 +24,22 @@ from ..session import scratch_path
 
 _LOCAL_BITS = 33
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
-# Offsets tables up to this many rows are broadcast; larger ones are joined on
-# (partition, group), a key that never holds more rows than one range partition.
-BROADCAST_OFFSETS_MAX_ROWS = 200_000
-# Groups whose largest member is at most this many rows are numbered by a window
-# partitioned on the group (one task sorts at most this many rows, spilling if
-# needed); any larger group uses the range-partitioned indexer.
-WINDOW_MAX_GROUP_ROWS = 2_000_000
 
 
 def with_positions(df: DataFrame, order: Sequence[Column], group_cols: Sequence[str] = (),
-                   pos_col: str = "pos", num_partitions: int | None = None,
-                   max_group_rows: int | None = None) -> DataFrame:
+                   pos_col: str = "pos", num_partitions: int | None = None) -> DataFrame:
     """Return ``df`` plus a 0-based BIGINT ``pos_col`` following ``order`` within each group.
 
-    ``max_group_rows`` is the size of the largest group when the caller has
-    counted it.  Small groups are numbered with a partitioned window; otherwise
-    the rows are range-sorted and the result is read back from a written scratch
-    table, so later jobs see the same numbering even if executors are lost.
+    Rows that are equal under ``order`` are numbered in any order.  The result reads a
+    written table, so later jobs see the same numbering even if executors are lost.
     """
-    if max_group_rows is not None and max_group_rows <= WINDOW_MAX_GROUP_ROWS and group_cols:
-        w = Window.partitionBy(*group_cols).orderBy(*order)
-        return df.withColumn(pos_col, (F.row_number().over(w) - 1).cast("long"))
-    if max_group_rows is not None and max_group_rows <= WINDOW_MAX_GROUP_ROWS:
-        # One group: its size is bounded, so a single sorted partition is acceptable.
-        return df.repartition(1).sortWithinPartitions(*order).withColumn(pos_col, F.monotonically_increasing_id())
-    return range_positions(df, order, group_cols, pos_col, num_partitions)
-
-
-def range_positions(df: DataFrame, order: Sequence[Column], group_cols: Sequence[str] = (),
-                    pos_col: str = "pos", num_partitions: int | None = None) -> DataFrame:
-    """The distributed indexer: range partition, number, write, shift by partition offsets."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(g).asc_nulls_last() for g in group_cols] + list(order)
-    ranged = (df.repartitionByRange(n, *keys)
+    keys = [F.col(g).asc_nulls_last() for g in group_cols] + list(order) + [F.col("_tie").asc()]
+    ranged = (df.withColumn("_tie", F.monotonically_increasing_id())
+              .repartitionByRange(n, *keys)
               .sortWithinPartitions(*keys)
+              .drop("_tie")
               .withColumn("_mid", F.monotonically_increasing_id()))
     path = scratch_path(spark, "positions")
     ranged.write.mode("overwrite").parquet(path)
@@ -70,9 +51,6 @@ def range_positions(df: DataFrame, order: Sequence[Column], group_cols: Sequence
         F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_first"))
     w = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stats.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    stats_rows = offsets.count()
-    if stats_rows <= BROADCAST_OFFSETS_MAX_ROWS:
-        offsets = F.broadcast(offsets)
     on = ["_part", *group_cols]
     joined = fixed.join(offsets, on=on, how="inner") if not group_cols else \
         fixed.join(offsets, on=[fixed[c].eqNullSafe(offsets[c]) for c in on], how="inner") \

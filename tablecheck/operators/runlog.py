@@ -1,9 +1,10 @@
 """Run logs: fold many runs' action logs into run state, grade, and apply limits.
 
-Input ``actions``: ``(run_id, task_id, ts, tool, tables ARRAY<STRING>, model, sql)``,
-one row per tool call; ``tasks``: ``(task_id, declared ARRAY<STRING>, targets ARRAY<STRING>)``.
+Input ``actions``: ``(run_id, task_id, ts, turn, tool, tables ARRAY<STRING>, model, sql)``,
+one row per tool call, ``turn`` counting the run's turns (several calls may share one);
+``tasks``: ``(task_id, declared ARRAY<STRING>, targets ARRAY<STRING>)``.
 
-Fold rules (per run, actions ordered by ``ts``):
+Fold rules (per run, actions ordered by ``(ts, turn)``):
 
 * actions after the first ``submit_pipeline`` are ignored (the submit itself counts);
 * a failing action changes nothing;
@@ -11,23 +12,13 @@ Fold rules (per run, actions ordered by ``ts``):
   are loaded (and stay loaded) and ``el_succeeded`` becomes "this call covered every
   declared table", so a later partial call clears it;
 * ``write_model`` fails for an undeclared target or a non-SELECT text; the first
-  valid write of a model fixes its order;
+  valid write of a model fixes its order, the last one its text;
 * ``run_transforms`` sets ``transform_ran`` (even with no models) and materialises
   every model written before it.
 
 Everything is a grouped aggregate or an equi-join on ``run_id``: no window, no
-per-run collection of the log.  The per-run submit time is joined back to the
-actions (a broadcast join when adaptive execution measures few runs, else a
-shuffle join that it splits if one run is hot).
-
-Broadcast choice: only the task table, a small catalogue, is counted on the
-driver and hinted below ``BROADCAST_MAX_ROWS``.  Sides that are aggregates of the
-log or of grading (submit times, per-run rewards, per-group means) are joined
-without a hint: counting them on the driver would scan the log or grade every
-run once more, and adaptive execution already measures their shuffle output at
-run time, switching to a broadcast join only under
-``spark.sql.adaptive.autoBroadcastJoinThreshold`` and keeping the sort-merge join
-(with skew splitting) above it.
+per-run collection of the log.  No join is hinted: adaptive execution measures the
+sides at run time, broadcasts those below its byte threshold and splits hot runs.
 """
 
 from __future__ import annotations
@@ -37,12 +28,11 @@ from pyspark.sql import functions as F
 
 from .guard import select_only_reason
 
-BROADCAST_MAX_ROWS = 200_000
 TERMINAL_TOOL = "submit_pipeline"
-
-
-def _small(df: DataFrame, limit: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= limit else df
+# Weights of a complete extraction and of the target tables, run limits, error text cut.
+EXTRACT_WEIGHT, TARGET_WEIGHT = 0.2, 0.8
+MAX_TURNS, MAX_CALLS, MAX_SECONDS = 12, 50, 1800
+ERROR_CHARS = 1200
 
 
 def valid_configure(tables: Column, declared: Column) -> Column:
@@ -55,60 +45,82 @@ def valid_write(model: Column, sql: Column, targets: Column) -> Column:
         select_only_reason(sql).isNull()
 
 
+def call_order() -> Column:
+    return F.struct("ts", "turn")
+
+
 def until_submit(actions: DataFrame) -> DataFrame:
     """Actions up to and including each run's first submit (all actions if none)."""
     submit = (actions.where(F.col("tool") == TERMINAL_TOOL)
-              .groupBy("run_id").agg(F.min("ts").alias("submit_ts")))
-    # Unhinted: sizing the submit table on the driver would scan the whole log once
-    # more; adaptive execution measures it and broadcasts it when it is small.
+              .groupBy("run_id").agg(F.min(call_order()).alias("_submit")))
     joined = actions.join(submit, "run_id", "left")
-    return joined.where(F.col("submit_ts").isNull() | (F.col("ts") <= F.col("submit_ts")))
+    return joined.where(F.col("_submit").isNull() | (call_order() <= F.col("_submit"))).drop("_submit")
 
 
 def fold_runs(actions: DataFrame, tasks: DataFrame) -> DataFrame:
-    """One row per run: ``run_id, task_id, submitted, n_calls, n_turns, el_succeeded,
-    n_loaded, n_declared, raw_fraction, n_models, transform_ran, materialized``."""
-    acts = until_submit(actions).join(_small(tasks), "task_id", "inner")
+    """One row per run: ``run_id, task_id, submitted, n_calls, n_turns, elapsed_s, el_succeeded,
+    loaded, n_declared, models, transform_ran, materialized``.
+
+    ``loaded`` and ``materialized`` are sorted names; ``models`` holds (model, sql), the
+    last valid text of each model in the order of their first valid writes.
+    """
+    acts = until_submit(actions).join(tasks, "task_id", "inner")
     acts = acts.withColumn("_cfg", valid_configure(F.col("tables"), F.col("declared"))) \
                .withColumn("_wm", valid_write(F.col("model"), F.col("sql"), F.col("targets")))
     covers = F.size(F.array_except(F.col("declared"), F.col("tables"))) == 0
     state = acts.groupBy("run_id", "task_id").agg(
         F.max((F.col("tool") == TERMINAL_TOOL).cast("int")).cast("boolean").alias("submitted"),
         F.count(F.lit(1)).alias("n_calls"),
-        F.countDistinct(F.to_date("ts")).alias("n_turns"),
-        F.coalesce(F.max_by(F.when(F.col("_cfg"), covers), F.when(F.col("_cfg"), F.col("ts"))),
+        F.countDistinct("turn").alias("n_turns"),
+        (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp"))))
+        .alias("_elapsed"),
+        F.coalesce(F.max_by(F.when(F.col("_cfg"), covers), F.when(F.col("_cfg"), call_order())),
                    F.lit(False)).alias("el_succeeded"),
-        F.max(F.when(F.col("tool") == "run_transforms", F.col("ts"))).alias("_last_transform"),
+        F.max(F.when(F.col("tool") == "run_transforms", call_order())).alias("_last_transform"),
         F.first("declared").alias("_declared"))
-    loaded = (acts.where("_cfg").select("run_id", F.explode("tables").alias("t"))
-              .groupBy("run_id").agg(F.countDistinct("t").alias("n_loaded")))
-    writes = (acts.where("_wm").groupBy("run_id", "model").agg(F.min("ts").alias("_first_write")))
+    loaded = (acts.where("_cfg").select("run_id", F.explode("tables").alias("t")).distinct()
+              .groupBy("run_id").agg(F.sort_array(F.collect_list("t")).alias("loaded")))
+    writes = (acts.where("_wm").groupBy("run_id", "model").agg(
+        F.min(call_order()).alias("_first_write"), F.max_by("sql", call_order()).alias("sql")))
     models = (writes.join(state.select("run_id", "_last_transform"), "run_id")
               .groupBy("run_id").agg(
-                  F.count(F.lit(1)).alias("n_models"),
+                  F.sort_array(F.collect_list(F.struct("_first_write", "model", "sql"))).alias("_writes"),
                   F.sort_array(F.collect_list(F.when(F.col("_last_transform") > F.col("_first_write"),
                                                      F.col("model")))).alias("materialized")))
-    n_decl = F.size("_declared")
+    names = F.array().cast("array<string>")
+    staged = F.transform("_writes", lambda w: F.struct(w["model"].alias("model"), w["sql"].alias("sql")))
     return (state.join(loaded, "run_id", "left").join(models, "run_id", "left")
-            .select("run_id", "task_id", "submitted", "n_calls", "n_turns", "el_succeeded",
-                    F.coalesce("n_loaded", F.lit(0)).cast("long").alias("n_loaded"),
-                    n_decl.cast("long").alias("n_declared"),
-                    (F.coalesce("n_loaded", F.lit(0)) / F.greatest(n_decl, F.lit(1))).alias("raw_fraction"),
-                    F.coalesce("n_models", F.lit(0)).cast("long").alias("n_models"),
+            .select("run_id", "task_id", "submitted", "n_calls", "n_turns",
+                    (F.col("_elapsed") / 1_000_000).alias("elapsed_s"), "el_succeeded",
+                    F.coalesce("loaded", names).alias("loaded"),
+                    F.size("_declared").cast("long").alias("n_declared"),
+                    F.coalesce(staged, F.array().cast("array<struct<model:string,sql:string>>")).alias("models"),
                     F.col("_last_transform").isNotNull().alias("transform_ran"),
-                    F.coalesce("materialized", F.array().cast("array<string>")).alias("materialized")))
+                    F.coalesce("materialized", names).alias("materialized")))
+
+
+def raw_fractions(state: DataFrame, counts: DataFrame) -> DataFrame:
+    """``run_id, raw_fraction``: share of the declared tables that the run loaded with exactly
+    the expected row count.  ``counts``: ``(run_id, table_name, expected, actual)``; a
+    declared table without a row there does not match."""
+    exact = (counts.join(state.select("run_id", "loaded"), "run_id")
+             .where(F.array_contains("loaded", F.col("table_name")) & (F.col("expected") == F.col("actual")))
+             .groupBy("run_id").agg(F.countDistinct("table_name").alias("_exact")))
+    return state.select("run_id", "n_declared").join(exact, "run_id", "left").select(
+        "run_id", (F.coalesce("_exact", F.lit(0)) / F.greatest("n_declared", F.lit(1))).alias("raw_fraction"))
 
 
-def grade_runs(state: DataFrame, tasks: DataFrame, table_scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+def grade_runs(state: DataFrame, tasks: DataFrame, table_scores: DataFrame, counts: DataFrame
+               ) -> tuple[DataFrame, DataFrame]:
     """Gated reward per run, and the per-(run, target) scores it used.
 
-    ``table_scores``: ``(run_id, table_name, score)`` for produced tables.  Not submitted
-    gives 0; extraction incomplete gives ``0.2 * raw_fraction`` when ``el_succeeded``
-    else 0 (unrounded); otherwise ``0.2 + 0.8 * mean(target scores)`` rounded to 6
-    places, or 0.2 when transforms never ran.  A target that was not materialised,
-    or has no score, scores 0 and still counts.
+    ``table_scores``: ``(run_id, table_name, score)`` for produced tables; ``counts``: see
+    :func:`raw_fractions`.  Not submitted gives 0; extraction incomplete gives
+    ``0.2 * raw_fraction`` when ``el_succeeded`` else 0 (unrounded); otherwise
+    ``0.2 + 0.8 * mean(target scores)`` rounded to 6 places, or 0.2 when transforms never
+    ran.  A target that was not materialised, or has no score, scores 0 and still counts.
     """
-    targets = state.join(_small(tasks.select("task_id", "targets")), "task_id") \
+    targets = state.join(tasks.select("task_id", "targets"), "task_id") \
                    .select("run_id", F.explode("targets").alias("table_name"), "materialized")
     per_target = (targets.join(table_scores.select("run_id", "table_name", "score"),
                                ["run_id", "table_name"], "left")
@@ -117,13 +129,14 @@ def grade_runs(state: DataFrame, tasks: DataFrame, table_scores: DataFrame) -> t
                                  F.coalesce("score", F.lit(0.0))).otherwise(F.lit(0.0)).alias("score")))
     fraction = per_target.groupBy("run_id").agg(
         (F.sum("score") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("target_fraction"))
-    s = state.join(fraction, "run_id", "left")
+    s = state.join(raw_fractions(state, counts), "run_id").join(fraction, "run_id", "left")
     complete = F.col("el_succeeded") & (F.col("raw_fraction") == 1.0)
     tf = F.coalesce(F.col("target_fraction"), F.lit(0.0))
     reward = (F.when(~F.col("submitted"), F.lit(0.0))
-              .when(~complete, F.when(F.col("el_succeeded"), 0.2 * F.col("raw_fraction")).otherwise(F.lit(0.0)))
-              .when(F.col("transform_ran"), F.round(0.2 + 0.8 * tf, 6))
-              .otherwise(F.lit(0.2)))
+              .when(~complete, F.when(F.col("el_succeeded"), EXTRACT_WEIGHT * F.col("raw_fraction"))
+                    .otherwise(F.lit(0.0)))
+              .when(F.col("transform_ran"), F.round(EXTRACT_WEIGHT + TARGET_WEIGHT * tf, 6))
+              .otherwise(F.lit(EXTRACT_WEIGHT)))
     return s.select("*", F.when(F.col("submitted") & complete, tf).alias("graded_fraction"),
                     reward.cast("double").alias("reward")), per_target
 
@@ -147,11 +160,13 @@ def run_metrics(graded: DataFrame, per_target: DataFrame) -> DataFrame:
     return base.unionByName(targets).unionByName(fraction)
 
 
-def limit_policy(graded: DataFrame, max_turns: int = 12, max_calls: int = 50) -> DataFrame:
-    """Reward after the run limits: over ``max_turns`` turns or ``max_calls`` tool calls, or
-    not submitted, gives 0."""
-    over = (F.col("n_turns") > max_turns) | (F.col("n_calls") > max_calls) | ~F.col("submitted")
-    return graded.select("run_id", "task_id", "n_turns", "n_calls", "reward",
+def limit_policy(graded: DataFrame, max_turns: int = MAX_TURNS, max_calls: int = MAX_CALLS,
+                 max_seconds: float = MAX_SECONDS) -> DataFrame:
+    """Reward after the run limits: over ``max_turns`` turns, ``max_calls`` tool calls or
+    ``max_seconds`` from the first call to the last, or not submitted, gives 0."""
+    over = (F.col("n_turns") > max_turns) | (F.col("n_calls") > max_calls) | \
+        (F.col("elapsed_s") > max_seconds) | ~F.col("submitted")
+    return graded.select("run_id", "task_id", "n_turns", "n_calls", "elapsed_s", "reward",
                          F.when(over, F.lit(0.0)).otherwise(F.col("reward")).alias("policy_reward"))
 
 
@@ -163,39 +178,28 @@ def group_advantage(rewards: DataFrame, group_col: str = "task_id", reward_col:
             .withColumn("advantage", F.round(F.col(reward_col) - F.col("group_mean"), 6)))
 
 
-def transition_log(actions: DataFrame, tasks: DataFrame, graded: DataFrame,
+def transition_log(actions: DataFrame, graded: DataFrame, metrics: DataFrame | None = None,
                    id_cols: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """One transition per applied action ``(run_id, <id_cols>, tool, observation, done, reward)``,
-    up to and including the submit, which is done and carries the run's reward."""
-    acts = until_submit(actions).join(_small(tasks), "task_id", "inner")
-    undeclared = F.array_except(F.col("tables"), F.col("declared"))
-    sql_reason = select_only_reason(F.col("sql"))
-    err = F.lit("ValueError: ")
-    obs = (F.when(F.col("tool") == "configure_el",
-                  F.when(F.size("tables") == 0, F.concat(err, F.lit("Select at least one source table")))
-                  .when(F.size(undeclared) > 0, F.concat(err, F.lit("Unknown sources: "), F.to_json(F.array_sort(undeclared))))
-                  .otherwise(F.to_json(F.struct(F.array_distinct("tables").alias("loaded")))))
-           .when(F.col("tool") == "write_model",
-                 F.when(~F.array_contains("targets", F.col("model")),
-                        F.concat(err, F.lit("Unknown target model: "), F.col("model")))
-                 .when(sql_reason.isNotNull(),
-                       F.concat(err, F.lit("Only one SELECT/WITH query without semicolons is allowed")))
-                 .otherwise(F.concat(F.lit("staged model "), F.col("model"))))
-           .when(F.col("tool") == "run_transforms", F.lit("transforms ran"))
-           .when(F.col("tool") == "preview_sql",
-                 F.when(sql_reason.isNotNull(),
-                        F.concat(err, F.lit("Only one SELECT/WITH query without semicolons is allowed")))
-                 .otherwise(F.lit("[]")))
-           .when(F.col("tool") == TERMINAL_TOOL, F.lit(None))
-           .otherwise(F.concat(err, F.lit("Unknown tool: "), F.col("tool"))))
+    """One transition per applied action ``(run_id, <id_cols>, tool, observation, done, reward,
+    metrics)``, up to and including the submit, which is done and carries the run's reward.
+
+    ``actions`` holds what each call returned, as recorded: ``observation`` and
+    ``is_error``; error texts are cut to 1,200 characters.  ``metrics``
+    (:func:`run_metrics`) go to the submit row as a map.
+    """
+    recorded = F.when(F.col("is_error"), F.substring("observation", 1, ERROR_CHARS)).otherwise(F.col("observation"))
     done = F.col("tool") == TERMINAL_TOOL
-    rewards = graded.select("run_id", F.col("reward").alias("_reward"))
-    out = acts.join(rewards, "run_id", "left")
+    out = until_submit(actions).join(graded.select("run_id", F.col("reward").alias("_reward")), "run_id", "left")
+    if metrics is not None:
+        per_run = metrics.groupBy("run_id").agg(F.map_from_entries(
+            F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("_metrics"))
+        out = out.join(per_run, "run_id", "left")
+    else:
+        out = out.withColumn("_metrics", F.lit(None).cast("map<string,double>"))
     return out.select(
-        "run_id", *id_cols, "tool",
-        F.when(done, F.to_json(F.struct(F.col("_reward").alias("reward")))).otherwise(obs).alias("observation"),
-        done.alias("done"),
-        F.when(done, F.col("_reward")).otherwise(F.lit(0.0)).alias("reward"))
+        "run_id", *id_cols, "tool", recorded.alias("observation"), done.alias("done"),
+        F.when(done, F.col("_reward")).otherwise(F.lit(0.0)).alias("reward"),
+        F.when(done, F.col("_metrics")).alias("metrics"))
 
 
 def write_transition_log(log: DataFrame, path: str) -> None:

@@ -1,6 +1,7 @@
 """Queries over ``events`` read as the tool-call log of many pipeline runs.
 
-Mapping (fixed for the tests): run = ``user_id``; order = ``ts``; tool by event type
+Mapping (fixed for the tests): run = ``user_id``; order = ``ts``; turn = ``event_id``
+(one call a turn); the log's clock runs 240 times as fast as a run's; tool by event type
 (signup -> configure_el, view -> write_model, click -> run_transforms,
 purchase -> submit_pipeline, error -> preview_sql); arguments from ``props.k``:
 configure_el tables by ``k % 4`` (both declared, one, both with a duplicate, one
@@ -25,6 +26,7 @@ from .registry import register, table
 
 DECLARED = ("customers", "orders")
 TARGETS = ("daily_activity", "type_summary")
+LOG_CLOCK = 240
 
 
 def actions_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def actions_from_events(e: DataFrame) -> DataFrame:
                  F.when(k % 7 == 3, F.concat(F.lit("SELECT "), k.cast("string"), F.lit("; DROP TABLE x")))
                  .otherwise(F.concat(F.lit("select * from events where k = "), k.cast("string"))))
     return e.select("event_id", F.col("user_id").alias("run_id"), RN.task_of(F.col("user_id")).alias("task_id"),
-                    "ts", tool.alias("tool"), tables.alias("tables"), model.alias("model"), sql.alias("sql"))
+                    "ts", F.col("event_id").alias("turn"), tool.alias("tool"), tables.alias("tables"), model.alias("model"), sql.alias("sql"))
 
 
 def tasks_frame(spark: SparkSession, sf_dir: str, runs: DataFrame | None = None) -> DataFrame:
@@ -76,13 +78,13 @@ def graded(spark: SparkSession, sf_dir: str, es: RN.EventSummaries | None = None
     tasks = tasks_frame(spark, sf_dir, es.runs)
     out = materialize_all({"batch-scores": lambda: RN.batch_scores(spark, sf_dir, es),
                            "run-fold": lambda: R.fold_runs(actions_frame(spark, sf_dir), tasks)})
-    return R.grade_runs(out["run-fold"], tasks, out["batch-scores"])
+    return R.grade_runs(out["run-fold"], tasks, out["batch-scores"], RN.source_counts(es))
 
 
 # ---------------------------------------------------------------- oracle SQL pieces
 
 ACTIONS_SQL = f"""
-SELECT event_id, user_id AS run_id, {RN.TASK_SQL} AS task_id, ts, tool,
+SELECT event_id, user_id AS run_id, {RN.TASK_SQL} AS task_id, ts, event_id AS turn, tool,
   CASE WHEN tool = 'configure_el' THEN CASE k % 4 WHEN 0 THEN ['customers', 'orders'] WHEN 1 THEN ['customers']
        WHEN 2 THEN ['orders', 'customers', 'orders'] ELSE ['customers', 'returns'] END END AS tables,
   CASE WHEN tool = 'write_model' THEN CASE k % 3 WHEN 0 THEN 'daily_activity' WHEN 1 THEN 'type_summary'
@@ -108,52 +110,61 @@ f AS (SELECT a.*,
         coalesce(tool = 'write_model' AND model IN ('daily_activity', 'type_summary') AND {SELECT_OK_SQL}, FALSE) AS wm
       FROM a LEFT JOIN sub USING (run_id) WHERE sub.submit_ts IS NULL OR a.ts <= sub.submit_ts),
 st AS (SELECT run_id, task_id, bool_or(tool = 'submit_pipeline') AS submitted, count(*) AS n_calls,
-         count(DISTINCT CAST(ts AS DATE)) AS n_turns,
+         count(DISTINCT turn) AS n_turns, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS elapsed_s,
          coalesce(arg_max(covers, ts) FILTER (WHERE cfg), FALSE) AS el_succeeded,
          max(ts) FILTER (WHERE tool = 'run_transforms') AS last_tr
        FROM f GROUP BY run_id, task_id),
-ld AS (SELECT run_id, count(DISTINCT t) AS n_loaded FROM (SELECT run_id, unnest(tables) AS t FROM f WHERE cfg)
-       GROUP BY run_id),
-wr AS (SELECT run_id, model, min(ts) AS fw FROM f WHERE wm GROUP BY run_id, model),
-md AS (SELECT wr.run_id, count(*) AS n_models,
+ld AS (SELECT run_id, list_sort(list(DISTINCT t)) AS loaded
+       FROM (SELECT run_id, unnest(tables) AS t FROM f WHERE cfg) GROUP BY run_id),
+wr AS (SELECT run_id, model, min(ts) AS fw, arg_max(sql, ts) AS sql FROM f WHERE wm GROUP BY run_id, model),
+md AS (SELECT wr.run_id, string_agg(wr.model || ': ' || wr.sql, ' | ' ORDER BY wr.fw) AS models,
          list_sort(list(wr.model) FILTER (WHERE st.last_tr > wr.fw)) AS materialized
        FROM wr JOIN st USING (run_id) GROUP BY wr.run_id),
-fold AS (SELECT st.run_id, st.task_id, st.submitted, st.n_calls, st.n_turns, st.el_succeeded,
-           CAST(coalesce(ld.n_loaded, 0) AS BIGINT) AS n_loaded, CAST(2 AS BIGINT) AS n_declared,
-           coalesce(ld.n_loaded, 0) / 2.0 AS raw_fraction,
-           CAST(coalesce(md.n_models, 0) AS BIGINT) AS n_models, st.last_tr IS NOT NULL AS transform_ran,
+fold AS (SELECT st.run_id, st.task_id, st.submitted, st.n_calls, st.n_turns, st.elapsed_s, st.el_succeeded,
+           coalesce(ld.loaded, []) AS loaded, CAST(2 AS BIGINT) AS n_declared,
+           coalesce(md.models, '') AS models, st.last_tr IS NOT NULL AS transform_ran,
            coalesce(md.materialized, []) AS materialized
          FROM st LEFT JOIN ld USING (run_id) LEFT JOIN md USING (run_id))"""
+FOLD_SQL = f"""
+WITH {FOLD_CTES}
+SELECT run_id, task_id, submitted, n_calls, n_turns, round(elapsed_s, 3) AS elapsed_s, el_succeeded,
+       array_to_string(loaded, ',') AS loaded, n_declared, models, transform_ran,
+       coalesce(array_to_string(materialized, ','), '') AS materialized FROM fold"""
 
 GRADE_CTES = f"""{FOLD_CTES},
+ct AS ({RN.SOURCE_COUNTS_SQL}),
+rf AS (SELECT fold.run_id, count(*) FILTER (WHERE list_contains(fold.loaded, ct.table_name) AND ct.expected = ct.actual)
+         / 2.0 AS raw_fraction FROM fold LEFT JOIN ct ON ct.run_id = fold.run_id GROUP BY fold.run_id),
 bs AS ({RN.BATCH_SQL}),
 pt AS (SELECT fold.run_id, t.table_name,
          CASE WHEN list_contains(fold.materialized, t.table_name) THEN coalesce(bs.score, 0.0) ELSE 0.0 END AS score
        FROM fold CROSS JOIN (VALUES ('daily_activity'), ('type_summary')) t(table_name)
        LEFT JOIN bs ON bs.run_id = fold.run_id AND bs.table_name = t.table_name),
 tf AS (SELECT run_id, sum(score) / greatest(count(*), 1) AS target_fraction FROM pt GROUP BY run_id),
-gr AS (SELECT fold.*, CASE WHEN fold.submitted AND fold.el_succeeded AND fold.raw_fraction = 1.0
+gr AS (SELECT fold.*, rf.raw_fraction, CASE WHEN fold.submitted AND fold.el_succeeded AND rf.raw_fraction = 1.0
                           THEN coalesce(tf.target_fraction, 0.0) END AS graded_fraction,
          CAST(CASE WHEN NOT fold.submitted THEN 0.0
-              WHEN NOT (fold.el_succeeded AND fold.raw_fraction = 1.0)
-                THEN CASE WHEN fold.el_succeeded THEN 0.2 * fold.raw_fraction ELSE 0.0 END
+              WHEN NOT (fold.el_succeeded AND rf.raw_fraction = 1.0)
+                THEN CASE WHEN fold.el_succeeded THEN 0.2 * rf.raw_fraction ELSE 0.0 END
               WHEN fold.transform_ran THEN round(0.2 + 0.8 * coalesce(tf.target_fraction, 0.0), 6)
               ELSE 0.2 END AS DOUBLE) AS reward
-       FROM fold LEFT JOIN tf USING (run_id))"""
+       FROM fold JOIN rf USING (run_id) LEFT JOIN tf USING (run_id))"""
 
 
-@register("run_fold", oracle=f"""
-WITH {FOLD_CTES}
-SELECT run_id, task_id, submitted, n_calls, n_turns, el_succeeded, n_loaded, n_declared,
-       round(raw_fraction, 6) AS raw_fraction, n_models, transform_ran,
-       CAST(len(materialized) AS BIGINT) AS n_materialized FROM fold""")
+def fold_columns(state: DataFrame) -> DataFrame:
+    """A folded state as flat columns: names and model texts joined in order."""
+    return state.select(
+        "run_id", "task_id", "submitted", F.col("n_calls").cast("long").alias("n_calls"),
+        F.col("n_turns").cast("long").alias("n_turns"), F.round("elapsed_s", 3).alias("elapsed_s"), "el_succeeded",
+        F.array_join("loaded", ",").alias("loaded"), "n_declared",
+        F.array_join(F.transform("models", lambda m: F.concat(m["model"], F.lit(": "), m["sql"])), " | ").alias("models"),
+        "transform_ran", F.array_join("materialized", ",").alias("materialized"))
+
+
+@register("run_fold", oracle=FOLD_SQL)
 def run_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run state after replaying each run's log up to its first submit."""
-    return folded(spark, sf_dir).select(
-        "run_id", "task_id", "submitted", F.col("n_calls").cast("long").alias("n_calls"),
-        F.col("n_turns").cast("long").alias("n_turns"), "el_succeeded", "n_loaded", "n_declared",
-        F.round("raw_fraction", 6).alias("raw_fraction"), "n_models", "transform_ran",
-        F.size("materialized").cast("long").alias("n_materialized"))
+    return fold_columns(folded(spark, sf_dir))
 
 
 @register("run_reward", oracle=f"WITH {GRADE_CTES} SELECT run_id, task_id, reward FROM gr")
@@ -189,14 +200,16 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("limit_policy", oracle=f"""
 WITH {GRADE_CTES}
-SELECT run_id, task_id, n_turns, n_calls, reward,
-       CASE WHEN n_turns > 12 OR n_calls > 50 OR NOT submitted THEN 0.0 ELSE reward END AS policy_reward FROM gr""")
+SELECT run_id, task_id, n_turns, n_calls, round(elapsed_s, 3) AS elapsed_s, reward,
+       CASE WHEN n_turns > 12 OR n_calls > 50 OR elapsed_s > 1800 * {LOG_CLOCK} OR NOT submitted THEN 0.0
+            ELSE reward END AS policy_reward FROM gr""")
 def limit_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reward after the turn (12) and tool-call (50) limits."""
+    """Reward after the turn (12), tool-call (50) and time (1800 s, on the log's clock) limits."""
     g, _ = graded(spark, sf_dir)
-    out = R.limit_policy(g, max_turns=12, max_calls=50)
+    out = R.limit_policy(g, max_turns=12, max_calls=50, max_seconds=1800 * LOG_CLOCK)
     return out.select("run_id", "task_id", F.col("n_turns").cast("long").alias("n_turns"),
-                      F.col("n_calls").cast("long").alias("n_calls"), "reward", "policy_reward")
+                      F.col("n_calls").cast("long").alias("n_calls"), F.round("elapsed_s", 3).alias("elapsed_s"),
+                      "reward", "policy_reward")
 
 
 @register("group_advantage", oracle=f"""

@@ -140,6 +140,25 @@ def sort_keys_frame(es: EventSummaries) -> DataFrame:
                         F.array(*[F.lit(k) for k in DAILY_KEYS]).alias("keys"))
 
 
+def source_counts(es: EventSummaries) -> DataFrame:
+    """Expected and actual rows of each run's raw tables: ``orders`` holds the task's events,
+    ``customers`` its users; every ninth run loaded an ``orders`` table cut short by one row."""
+    orders = es.daily.groupBy("task_id").agg(F.sum("n").alias("expected")).withColumn("table_name", F.lit("orders"))
+    customers = es.runs.groupBy("task_id").agg(F.count(F.lit(1)).alias("expected")) \
+        .withColumn("table_name", F.lit("customers"))
+    short = F.when((F.col("table_name") == "orders") & (F.col("run_id") % 9 == 4), 1).otherwise(0)
+    return es.runs.join(orders.unionByName(customers), "task_id").select(
+        "run_id", "table_name", "expected", (F.col("expected") - short).alias("actual"))
+
+
+SOURCE_COUNTS_SQL = f"""
+SELECT r.run_id, c.table_name, c.expected,
+       c.expected - CASE WHEN c.table_name = 'orders' AND r.run_id % 9 = 4 THEN 1 ELSE 0 END AS actual
+FROM ({RUNS_SQL}) r JOIN (
+  SELECT {TASK_SQL} AS task_id, 'orders' AS table_name, count(*) AS expected FROM events GROUP BY ALL
+  UNION ALL SELECT {TASK_SQL}, 'customers', count(DISTINCT user_id) FROM events GROUP BY ALL) c USING (task_id)"""
+
+
 def batch_scores(spark: SparkSession, sf_dir: str, es: EventSummaries | None = None) -> DataFrame:
     es = es or event_summaries(spark, sf_dir)
     g_cells, g_names = gold_tables(es)

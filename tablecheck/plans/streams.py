@@ -35,45 +35,67 @@ def data_model_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_data_models(spark, path)
 
 
-NOT_SELECT_MSG = "ValueError: Only one SELECT/WITH query without semicolons is allowed"
-UNDECLARED_SQL = "list_filter(f.tables, lambda x: NOT list_contains(['customers', 'orders'], x))"
+RECORDED_SQL = """
+CASE WHEN f.tool = 'preview_sql' THEN '[' || f.props || ']'
+     WHEN f.k % 11 = 5 THEN 'ValueError: ' || repeat(f.event_type || ' refused; ', 90)
+     ELSE f.event_type || ' done: ' || f.props END"""
 TRANSITION_SQL = f"""
-WITH {A.GRADE_CTES}
+WITH {A.GRADE_CTES},
+m AS (SELECT run_id, 'el_success' AS metric, CASE WHEN el_succeeded THEN 1.0 ELSE 0.0 END AS value FROM gr WHERE submitted
+      UNION ALL SELECT run_id, 'raw_fraction', raw_fraction FROM gr WHERE submitted
+      UNION ALL SELECT run_id, 'submitted', CASE WHEN submitted THEN 1.0 ELSE 0.0 END FROM gr
+      UNION ALL SELECT pt.run_id, 'target/' || pt.table_name, pt.score FROM pt JOIN gr USING (run_id)
+        WHERE gr.submitted AND gr.el_succeeded AND gr.raw_fraction = 1.0
+      UNION ALL SELECT run_id, 'target_fraction', graded_fraction FROM gr
+        WHERE submitted AND el_succeeded AND raw_fraction = 1.0),
+mm AS (SELECT run_id, string_agg(metric || '=' || printf('%.6f', value), ',' ORDER BY metric) AS metrics
+       FROM m GROUP BY run_id),
+fe AS (SELECT f.*, e.props, e.event_type, CAST(json_extract_string(e.props, '$.k') AS INTEGER) AS k
+       FROM f JOIN events e USING (event_id))
 SELECT f.run_id, f.event_id, f.tool,
-  CASE WHEN f.tool = 'submit_pipeline' THEN '{{"reward":' || CAST(gr.reward AS VARCHAR) || '}}'
-       WHEN f.tool = 'configure_el' THEN CASE
-         WHEN len(f.tables) = 0 THEN 'ValueError: Select at least one source table'
-         WHEN len({UNDECLARED_SQL}) > 0
-           THEN 'ValueError: Unknown sources: ' || to_json(list_sort(list_distinct({UNDECLARED_SQL})))
-         ELSE '{{"loaded":' || to_json(list_filter(f.tables, lambda x, i: list_position(f.tables, x) = i)) || '}}' END
-       WHEN f.tool = 'write_model' THEN CASE
-         WHEN f.model NOT IN ('daily_activity', 'type_summary') THEN 'ValueError: Unknown target model: ' || f.model
-         WHEN NOT {A.SELECT_OK_SQL} THEN '{NOT_SELECT_MSG}'
-         ELSE 'staged model ' || f.model END
-       WHEN f.tool = 'run_transforms' THEN 'transforms ran'
-       WHEN f.tool = 'preview_sql' THEN CASE WHEN NOT {A.SELECT_OK_SQL} THEN '{NOT_SELECT_MSG}' ELSE '[]' END
-  END AS observation,
+  CASE WHEN f.tool = 'submit_pipeline' THEN NULL WHEN f.tool <> 'preview_sql' AND f.k % 11 = 5
+       THEN substr({RECORDED_SQL}, 1, 1200) ELSE {RECORDED_SQL} END AS observation,
   f.tool = 'submit_pipeline' AS done,
-  CASE WHEN f.tool = 'submit_pipeline' THEN gr.reward ELSE 0.0 END AS reward
-FROM f JOIN gr ON f.run_id = gr.run_id"""
+  CASE WHEN f.tool = 'submit_pipeline' THEN gr.reward ELSE 0.0 END AS reward,
+  CASE WHEN f.tool = 'submit_pipeline' THEN mm.metrics END AS metrics
+FROM fe f JOIN gr ON f.run_id = gr.run_id LEFT JOIN mm ON f.run_id = mm.run_id"""
+
+
+def recorded_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The action log with what each call returned, as the event recorded it."""
+    events = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    told = events.select("event_id", "props", "event_type", k.alias("k"))
+    acts = A.actions_from_events(events).join(told, "event_id")
+    preview = F.col("tool") == "preview_sql"
+    error = (F.col("k") % 11 == 5) & ~preview & (F.col("tool") != R.TERMINAL_TOOL)
+    text = (F.when(F.col("tool") == R.TERMINAL_TOOL, F.lit(None))
+            .when(preview, F.concat(F.lit("["), F.col("props"), F.lit("]")))
+            .when(error, F.concat(F.lit("ValueError: "), F.repeat(F.concat("event_type", F.lit(" refused; ")), 90)))
+            .otherwise(F.concat("event_type", F.lit(" done: "), "props")))
+    return acts.withColumn("observation", text).withColumn("is_error", F.coalesce(error, F.lit(False)))
 
 
 @register("transition_log", oracle=TRANSITION_SQL)
 def transition_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-action transitions of every run up to its submit, written as JSON lines and read back."""
     es = RN.event_summaries(spark, sf_dir)
-    g, _ = A.graded(spark, sf_dir, es)
-    log = R.transition_log(A.actions_frame(spark, sf_dir), A.tasks_frame(spark, sf_dir, es.runs), g,
-                           id_cols=("event_id",))
+    g, per_target = A.graded(spark, sf_dir, es)
+    log = R.transition_log(recorded_actions(spark, sf_dir), g, R.run_metrics(g, per_target), id_cols=("event_id",))
     path = scratch_path(spark, "transitions")
     R.write_transition_log(log, path)
-    return spark.read.schema(log.schema).json(path)
+    read = spark.read.schema(log.schema).json(path)
+    shown = F.transform(F.array_sort(F.map_entries("metrics")),
+                        lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.6f", e["value"])))
+    return read.withColumn("metrics", F.array_join(shown, ","))
 
 
-@register("run_fold_stream")
+@register("run_fold_stream", oracle=A.FOLD_SQL)
 def run_fold_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run-log fold over ``events`` read as a stream, with per-run state."""
     schema = table(spark, sf_dir, "events").schema
     events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
               .option("maxFilesPerTrigger", 1).parquet(sf_dir.rstrip("/")))
-    return run_fold_stream(spark, A.actions_from_events(events), A.DECLARED, A.TARGETS)
+    state = run_fold_stream(spark, A.actions_from_events(events), A.tasks_frame(spark, sf_dir),
+                            limit_seconds=1800 * A.LOG_CLOCK * 24)
+    return A.fold_columns(state)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import scalars as SC
 from ..functions import text as TX
 from ..operators import guard as G
-from ..operators.runlog import _small
 from . import actions as A
 from . import sqltext as S
 from .registry import register, table
@@ -188,7 +187,7 @@ def redact_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split("t0", " ")
     secrets = first.select("conv_id", F.array(F.try_element_at(words, F.lit(3)),
                                               F.try_element_at(words, F.lit(5))).alias("secrets"))
-    return (c.join(_small(secrets), "conv_id")
+    return (c.join(secrets, "conv_id")
             .select("conv_id", "turn", TX.redact_literals(F.col("text"), F.col("secrets")).alias("redacted")))
 
 

@@ -98,13 +98,14 @@ def csv_string_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("json_records_load", oracle="""
-SELECT event_id, user_id, event_type, value, props FROM events""")
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, user_id, event_type, value, props FROM events""")
 def json_records_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events landed as JSON records (an API stream), read with a declared schema and loaded."""
     path = scratch_path(spark, "records-events")
-    table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props") \
-        .write.mode("overwrite").json(path)
-    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
+    table(spark, sf_dir, "events").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")) \
+        .select("event_id", "ts", "user_id", "event_type", "value", "props").write.mode("overwrite").json(path)
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.StringType()),
+                           T.StructField("user_id", T.LongType()),
                            T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()),
                            T.StructField("props", T.StringType())])
     wh = M.RunWarehouse(spark, "api_" + uuid.uuid4().hex[:12])
@@ -148,7 +149,7 @@ MODELS = {
 }
 
 
-def _run_models(spark: SparkSession, sf_dir: str) -> tuple[M.RunWarehouse, dict[str, str]]:
+def _run_models(spark: SparkSession, sf_dir: str) -> tuple[M.RunWarehouse, dict[str, M.ModelStatus]]:
     wh = M.RunWarehouse(spark, "models_" + uuid.uuid4().hex[:12])
     for t in ("nation", "region", "customer", "orders"):
         wh.register_parquet(t, f"{sf_dir.rstrip('/')}/{t}.parquet")
@@ -164,8 +165,7 @@ UNION ALL SELECT 'broken', FALSE, CAST(NULL AS BIGINT)""")
 def materialize_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain of two models (the second reads the first) and one failing model."""
     _, status = _run_models(spark, sf_dir)
-    rows = [(name, s.startswith("ok: "), int(s.split()[1]) if s.startswith("ok: ") else None)
-            for name, s in status.items()]
+    rows = [(name, s.ok, s.rows) for name, s in status.items()]
     return spark.createDataFrame(rows, "model_name string, ok boolean, row_count bigint")
 
 
@@ -181,10 +181,17 @@ def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("r_name", F.col("n_orders").cast("long").alias("n_orders"), "revenue")
 
 
-@register("preview_json")
+@register("preview_json", oracle="""
+WITH q AS (SELECT r.r_name, count(*) AS n_orders, round(sum(o.o_totalprice), 2) AS revenue
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name)
+SELECT substr('[' || string_agg('{"r_name":"' || r_name || '","n_orders":' || n_orders || ',"revenue_cents":'
+  || CAST(round(revenue * 100) AS BIGINT) || '}', ',' ORDER BY r_name) || ']', 1, 4000) AS preview,
+  least(20, (SELECT count(*) FROM orders)) AS preview_rows FROM q""")
 def preview_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clamped preview (limit 50 asked, 20 given) of a model query as JSON records text."""
     wh, _ = _run_models(spark, sf_dir)
-    text = wh.preview_json("SELECT * FROM orders_by_region ORDER BY r_name", limit=50)
+    text = wh.preview_json("SELECT r_name, n_orders, CAST(round(revenue * 100) AS BIGINT) AS revenue_cents "
+                           "FROM orders_by_region ORDER BY r_name", limit=50)
     n = wh.preview("SELECT * FROM orders", limit=50).count()
     return spark.createDataFrame([(text, n)], "preview string, preview_rows bigint")

@@ -19,14 +19,18 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 def explode_expectations(docs: DataFrame, col: str, known_tasks: DataFrame | None = None) -> DataFrame:
     """``{task: {table: n}}`` documents to rows ``(task_id, table_name, expected BIGINT)``.
 
-    Tasks absent from ``known_tasks`` are dropped (a left-semi join against the task
-    list, unhinted: adaptive execution broadcasts it only when its measured size is small).
+    A task absent from ``known_tasks`` fails the job (a left join against the task list,
+    unhinted: adaptive execution broadcasts it only when its measured size is small).
     """
     parsed = docs.select(F.explode(F.from_json(F.col(col), COUNTS_TYPE)).alias("task_id", "tables"))
     rows = parsed.select("task_id", F.explode("tables").alias("table_name", "expected"))
     rows = rows.select("task_id", "table_name", F.col("expected").cast("long").alias("expected"))
     if known_tasks is not None:
-        rows = rows.join(known_tasks.select("task_id").distinct(), "task_id", "left_semi")
+        known = known_tasks.select("task_id", F.lit(True).alias("known")).distinct()
+        unknown = F.raise_error(F.concat(F.lit("expectations for an unknown task: "), F.col("task_id")))
+        rows = (rows.join(known, "task_id", "left")
+                .withColumn("task_id", F.when(F.col("known"), F.col("task_id")).otherwise(unknown.cast("string")))
+                .drop("known"))
     return rows
 
 

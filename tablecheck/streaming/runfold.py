@@ -1,18 +1,20 @@
 """Run-log fold as a Structured Streaming job with per-run state.
 
 The batch fold (:func:`tablecheck.operators.runlog.fold_runs`) needs the whole log;
-here actions arrive as a stream and each run keeps a small state across
-micro-batches (``applyInPandasWithState``, keyed by ``run_id``).  Actions after the
-run's submit are ignored; actions older than the last one applied are dropped
-(the event-time watermark bounds how late they may be).  The per-action checks
-(valid source selection, full coverage, valid model write) are JVM-side columns
-computed before the stateful operator with the batch fold's own expressions, so
-Python only sequences the flags and the SQL text never reaches it.  A run's rows
-of one micro-batch are ordered in pandas; ``maxFilesPerTrigger`` bounds how many
-that can be.  Every micro-batch emits
-the updated state of the runs it touched; ``foreachBatch`` writes each batch to
-its own folder under the shared checkpoint folder (idempotent on replay), and the
-final state of a run is its row from the latest batch.
+here actions arrive as a stream, in any order within the watermark.  A run's state
+holds the applied-so-far rows in short form (flags, never the SQL text's checks),
+and every micro-batch folds them again in ``(ts, turn)`` order: a late action takes
+its proper place, and a late submit cuts what follows it.  Rows after a known submit
+are never kept, as no later arrival can bring them back.
+
+The per-action checks (valid source selection, full coverage, valid model write)
+are JVM-side columns built from the batch fold's own expressions over the task
+table, which is joined to the stream.  An event-time timer ends every run
+``run_limit`` after its first action and frees its state; until then a finished run
+keeps only its rows up to the submit.  Every micro-batch emits the folded state of
+the runs it touched; ``foreachBatch`` writes each batch to its own folder under the
+shared checkpoint folder (idempotent on replay), and the final state of a run is its
+row from the latest batch.
 """
 
 from __future__ import annotations
@@ -25,85 +27,82 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.runlog import valid_configure, valid_write
+from ..operators.runlog import MAX_SECONDS, TERMINAL_TOOL, valid_configure, valid_write
 from ..session import scratch_path
 
-OUTPUT_SCHEMA = ("run_id long, task_id string, submitted boolean, n_calls long, n_turns long, "
-                 "el_succeeded boolean, n_loaded long, n_declared long, raw_fraction double, n_models long, "
-                 "transform_ran boolean, n_materialized long")
-STATE_SCHEMA = ("task_id string, submitted boolean, n_calls long, n_turns long, last_day string, "
-                "last_ts timestamp, el_succeeded boolean, loaded string, writes string, last_transform timestamp")
+OUTPUT_SCHEMA = ("run_id long, task_id string, submitted boolean, n_calls long, n_turns long, elapsed_s double, "
+                 "el_succeeded boolean, loaded array<string>, n_declared long, "
+                 "models array<struct<model:string,sql:string>>, transform_ran boolean, materialized array<string>")
+STATE_SCHEMA = "rows string"
+KEPT = ["task_id", "at", "turn", "tool", "tables", "model", "sql", "cfg_ok", "covers", "wm_ok", "n_declared"]
+
+
+def applied(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows in call order, up to and including the first submit."""
+    rows = rows.sort_values(["at", "turn"], kind="stable", ignore_index=True)
+    submits = rows.index[rows["tool"] == TERMINAL_TOOL]
+    return rows.iloc[:submits[0] + 1] if len(submits) else rows
 
 
-def make_fold(declared: tuple[str, ...], targets: tuple[str, ...]):
-    declared_set = set(declared)
+def fold_rows(run_id: int, rows: pd.DataFrame) -> pd.DataFrame:
+    """The folded state of one run from its applied rows."""
+    configured = rows[rows["cfg_ok"]]
+    written = rows[rows["wm_ok"]]
+    transforms = rows.index[rows["tool"] == "run_transforms"]
+    first = written.drop_duplicates("model", keep="first")
+    last = written.drop_duplicates("model", keep="last").set_index("model")["sql"]
+    built = first["model"][first.index < transforms[-1]] if len(transforms) else first["model"][:0]
+    return pd.DataFrame([{
+        "run_id": run_id, "task_id": rows["task_id"].iloc[0],
+        "submitted": bool((rows["tool"] == TERMINAL_TOOL).any()), "n_calls": len(rows),
+        "n_turns": rows["turn"].nunique(), "elapsed_s": (rows["at"].max() - rows["at"].min()) / 1e6,
+        "el_succeeded": bool(configured["covers"].iloc[-1]) if len(configured) else False,
+        "loaded": sorted(configured["tables"].explode().dropna().unique()),
+        "n_declared": int(rows["n_declared"].iloc[0]),
+        "models": [{"model": m, "sql": last[m]} for m in first["model"]],
+        "transform_ran": bool(len(transforms)), "materialized": sorted(built)}])
 
+
+def make_fold(limit_seconds: float):
     def fold(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (run_id,) = key
-        if state.exists:
-            (task_id, submitted, n_calls, n_turns, last_day, last_ts, el_ok, loaded, writes, last_tr) = state.get
-            loaded = set(json.loads(loaded))
-            writes = {m: pd.Timestamp(t) for m, t in json.loads(writes).items()}
-            last_ts = pd.Timestamp(last_ts) if last_ts is not None else None
-            last_tr = pd.Timestamp(last_tr) if last_tr is not None else None
-        else:
-            task_id, submitted, n_calls, n_turns, last_day, last_ts, el_ok = None, False, 0, 0, None, None, False
-            loaded, writes, last_tr = set(), {}, None
-        parts = [c for c in chunks if len(c)]
-        rows = pd.concat(parts, ignore_index=True).sort_values("ts", kind="mergesort") if parts else None
-        for r in (rows.itertuples(index=False) if rows is not None else ()):
-            ts = pd.Timestamp(r.ts)
-            if submitted or (last_ts is not None and ts <= last_ts):
-                continue
-            task_id = r.task_id
-            last_ts = ts
-            n_calls += 1
-            day = ts.strftime("%Y-%m-%d")
-            if day != last_day:
-                n_turns, last_day = n_turns + 1, day
-            if r.tool == "configure_el":
-                if r.cfg_ok:
-                    loaded |= set(r.tables)
-                    el_ok = bool(r.covers)
-            elif r.tool == "write_model":
-                if r.wm_ok and r.model not in writes:
-                    writes[r.model] = ts
-            elif r.tool == "run_transforms":
-                last_tr = ts
-            elif r.tool == "submit_pipeline":
-                submitted = True
-        state.update((task_id, submitted, n_calls, n_turns, last_day,
-                      None if last_ts is None else last_ts.to_pydatetime(), el_ok,
-                      json.dumps(sorted(loaded)), json.dumps({m: t.isoformat() for m, t in writes.items()}),
-                      None if last_tr is None else last_tr.to_pydatetime()))
-        n_mat = sum(1 for t in writes.values() if last_tr is not None and last_tr > t)
-        n_loaded = len(loaded & declared_set)
-        yield pd.DataFrame([{
-            "run_id": run_id, "task_id": task_id, "submitted": submitted, "n_calls": n_calls,
-            "n_turns": n_turns, "el_succeeded": el_ok, "n_loaded": n_loaded, "n_declared": len(declared),
-            "raw_fraction": round(n_loaded / max(len(declared), 1), 6), "n_models": len(writes),
-            "transform_ran": last_tr is not None, "n_materialized": n_mat}])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        (kept,) = state.get if state.exists else ("[]",)
+        held = pd.DataFrame(json.loads(kept), columns=KEPT)
+        parts = [c.assign(tables=c["tables"].map(lambda t: None if t is None else list(t)))[KEPT]
+                 for c in chunks if len(c)]
+        parts = [held, *parts] if len(held) else parts
+        if not parts:
+            return
+        rows = applied(pd.concat(parts, ignore_index=True))
+        state.update((rows.to_json(orient="values"),))
+        ends = int(rows["at"].min() // 1000 + limit_seconds * 1000)
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        yield fold_rows(key[0], rows)
 
     return fold
 
 
-def run_fold_stream(spark: SparkSession, actions: DataFrame, declared: tuple[str, ...],
-                    targets: tuple[str, ...], watermark: str = "1 hour") -> DataFrame:
-    """Run the streaming fold until the input is drained; return the final state per run."""
+def run_fold_stream(spark: SparkSession, actions: DataFrame, tasks: DataFrame, watermark: str = "1 hour",
+                    limit_seconds: float = MAX_SECONDS) -> DataFrame:
+    """Run the streaming fold until the input is drained; return the final state per run.
+
+    ``tasks``: ``(task_id, declared, targets)``, a static table joined to the stream.
+    """
     out_dir = scratch_path(spark, "runfold-stream")
     ckpt = scratch_path(spark, "runfold-stream-ckpt")
-    declared_c = F.array(*[F.lit(t) for t in declared])
-    targets_c = F.array(*[F.lit(t) for t in targets])
-    checked = actions.select(
-        "run_id", "task_id", "ts", "tool", "tables", "model",
-        F.coalesce(valid_configure(F.col("tables"), declared_c), F.lit(False)).alias("cfg_ok"),
-        F.coalesce(F.size(F.array_except(declared_c, F.col("tables"))) == 0, F.lit(False)).alias("covers"),
-        F.coalesce(valid_write(F.col("model"), F.col("sql"), targets_c), F.lit(False)).alias("wm_ok"))
     # Watermarks need TIMESTAMP; a TIMESTAMP_NTZ log is read as UTC wall time.
-    states = (checked.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-              .groupBy("run_id")
-              .applyInPandasWithState(make_fold(declared, targets), OUTPUT_SCHEMA, STATE_SCHEMA,
-                                      "update", GroupStateTimeout.NoTimeout))
+    timed = actions.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    declared, targets = F.col("declared"), F.col("targets")
+    checked = timed.join(tasks.select("task_id", "declared", "targets"), "task_id").select(
+        "run_id", "task_id", "ts", F.unix_micros("ts").alias("at"), "turn", "tool", "tables", "model", "sql",
+        F.coalesce(valid_configure(F.col("tables"), declared), F.lit(False)).alias("cfg_ok"),
+        F.coalesce(F.size(F.array_except(declared, F.col("tables"))) == 0, F.lit(False)).alias("covers"),
+        F.coalesce(valid_write(F.col("model"), F.col("sql"), targets), F.lit(False)).alias("wm_ok"),
+        F.size("declared").alias("n_declared"))
+    states = checked.groupBy("run_id").applyInPandasWithState(
+        make_fold(limit_seconds), OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
@@ -112,7 +111,6 @@ def run_fold_stream(spark: SparkSession, actions: DataFrame, declared: tuple[str
              .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     query.awaitTermination()
     written = spark.read.parquet(out_dir)
-    cols = [c for c in written.columns if c not in ("batch_id", "batch")]
-    latest = written.groupBy("run_id").agg(F.max_by(F.struct(*[c for c in cols if c != "run_id"]),
-                                                     F.col("batch_id")).alias("s"))
+    cols = [c for c in written.columns if c not in ("batch_id", "batch", "run_id")]
+    latest = written.groupBy("run_id").agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("s"))
     return latest.select("run_id", "s.*")

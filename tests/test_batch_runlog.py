@@ -34,9 +34,9 @@ def test_batch_equals_pairwise(spark):
 
 def _log(spark, rows):
     t0 = dt.datetime(2024, 1, 1)
-    data = [("r", "t", t0 + dt.timedelta(hours=i), tool, tables, model, sql)
+    data = [("r", "t", t0 + dt.timedelta(hours=i), i // 2, tool, tables, model, sql)
             for i, (tool, tables, model, sql) in enumerate(rows)]
-    return spark.createDataFrame(data, "run_id string, task_id string, ts timestamp, tool string, "
+    return spark.createDataFrame(data, "run_id string, task_id string, ts timestamp, turn long, tool string, "
                                        "tables array<string>, model string, sql string")
 
 
@@ -58,30 +58,36 @@ def test_fold_rules(spark):
     row = R.fold_runs(acts, tasks).first()
     assert row.submitted and row.n_calls == 9
     assert row.el_succeeded is False
-    assert row.n_loaded == 2 and row.raw_fraction == 1.0
-    assert row.n_models == 2 and row.transform_ran
+    assert row.loaded == ["a", "b"] and row.n_declared == 2 and row.n_turns == 5 and row.elapsed_s == 8 * 3600
+    assert [m.model for m in row.models] == ["m1", "m2"] and row.transform_ran
     assert row.materialized == ["m1"]
 
 
 def test_grade_and_limits(spark):
     state = spark.createDataFrame(
-        [("r1", "t", True, 3, 1, True, 1.0, True, ["m1", "m2"]),
-         ("r2", "t", True, 60, 1, True, 1.0, True, ["m1"]),
-         ("r3", "t", True, 3, 1, True, 0.5, True, []),
-         ("r4", "t", False, 3, 1, True, 1.0, True, []),
-         ("r5", "t", True, 3, 1, True, 1.0, False, ["m1"])],
-        "run_id string, task_id string, submitted boolean, n_calls long, n_turns long, el_succeeded boolean, "
-        "raw_fraction double, transform_ran boolean, materialized array<string>")
+        [("r1", "t", True, 3, 1, 9.0, True, ["a", "b"], 2, True, ["m1", "m2"]),
+         ("r2", "t", True, 60, 1, 9.0, True, ["a", "b"], 2, True, ["m1"]),
+         ("r3", "t", True, 3, 1, 9.0, True, ["a"], 2, True, []),
+         ("r4", "t", False, 3, 1, 9.0, True, ["a", "b"], 2, True, []),
+         ("r5", "t", True, 3, 1, 9.0, True, ["a", "b"], 2, False, ["m1"]),
+         ("r6", "t", True, 3, 1, 1801.0, True, ["a", "b"], 2, True, ["m1", "m2"]),
+         ("r7", "t", True, 3, 1, 9.0, True, ["a", "b"], 2, True, ["m1", "m2"])],
+        "run_id string, task_id string, submitted boolean, n_calls long, n_turns long, elapsed_s double, "
+        "el_succeeded boolean, loaded array<string>, n_declared long, transform_ran boolean, materialized array<string>")
+    counts = spark.createDataFrame(
+        [(f"r{k}", t, 10, 9 if (k, t) == (7, "b") else 10) for k in range(1, 8) for t in "ab"],
+        "run_id string, table_name string, expected long, actual long")
     tasks = spark.createDataFrame([("t", ["a"], ["m1", "m2"])], "task_id string, declared array<string>, targets array<string>")
-    scores = spark.createDataFrame([("r1", "m1", 1.0), ("r1", "m2", 0.5), ("r2", "m1", 1.0), ("r5", "m1", 1.0)],
+    scores = spark.createDataFrame([("r1", "m1", 1.0), ("r1", "m2", 0.5), ("r2", "m1", 1.0), ("r5", "m1", 1.0),
+                                    ("r6", "m1", 1.0), ("r6", "m2", 1.0), ("r7", "m1", 1.0), ("r7", "m2", 1.0)],
                                    "run_id string, table_name string, score double")
-    graded, _ = R.grade_runs(state, tasks, scores)
+    graded, _ = R.grade_runs(state, tasks, scores, counts)
     reward = {r.run_id: r.reward for r in graded.collect()}
-    assert reward == {"r1": 0.8, "r2": 0.6, "r3": 0.2 * 0.5, "r4": 0.0, "r5": 0.2}
+    assert reward == {"r1": 0.8, "r2": 0.6, "r3": 0.2 * 0.5, "r4": 0.0, "r5": 0.2, "r6": 1.0, "r7": 0.2 * 0.5}
     limited = {r.run_id: r.policy_reward for r in R.limit_policy(graded, 12, 50).collect()}
-    assert limited["r2"] == 0.0 and limited["r1"] == 0.8
+    assert limited["r2"] == limited["r6"] == 0.0 and limited["r1"] == 0.8
     adv = {r.run_id: r.advantage for r in R.group_advantage(graded.select("run_id", "task_id", "reward")).collect()}
-    mean = sum(reward.values()) / 5
+    mean = sum(reward.values()) / 7
     assert all(abs(adv[k] - round(reward[k] - mean, 6)) < 1e-9 for k in reward)
 
 
@@ -94,26 +100,52 @@ def test_stream_fold_equals_batch_fold(spark):
     assert sorted(map(tuple, stream.select(*cols).collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_stream_over_unordered_files_equals_batch(spark, tmp_path):
+    """Several files, the earlier actions in later files: one micro-batch each."""
+    from tablecheck.plans import actions as A
+    from tablecheck.streaming.runfold import run_fold_stream
+    start = dt.datetime(2024, 1, 1)
+    tools = ["configure_el", "write_model", "run_transforms", "write_model", "submit_pipeline", "run_transforms"]
+    rows = [(run, "t", start + dt.timedelta(minutes=3 * i + run), i, tool,
+             ["a", "b"] if tool == "configure_el" else None, f"m{i % 2 + 1}" if tool == "write_model" else None,
+             f"SELECT {i}" if tool == "write_model" else None) for run in (1, 2, 3) for i, tool in enumerate(tools)]
+    schema = ("run_id long, task_id string, ts timestamp, turn long, tool string, tables array<string>, model string, "
+              "sql string")
+    files = [rows[i::4] for i in (3, 1, 2, 0)]
+    for part in files:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    tasks = spark.createDataFrame([("t", ["a", "b"], ["m1", "m2"])],
+                                  "task_id string, declared array<string>, targets array<string>")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    got = A.fold_columns(run_fold_stream(spark, stream, tasks, limit_seconds=86_400))
+    want = A.fold_columns(R.fold_runs(spark.createDataFrame(rows, schema), tasks))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
 
-def test_hot_group_through_range_indexer(spark, monkeypatch):
-    """One run holds almost all rows; numbering it with the range indexer (forced)
-    gives the same scores as the window path."""
+def test_ties_on_time_follow_turns(spark):
+    tasks = spark.createDataFrame([("t", ["a"], ["m"])], "task_id string, declared array<string>, targets array<string>")
+    at = dt.datetime(2024, 1, 1)
+    rows = [("r", "t", at, 3, "run_transforms", None, None, None), ("r", "t", at, 2, "submit_pipeline", None, None, None),
+            ("r", "t", at, 1, "write_model", None, "m", "SELECT 2"), ("r", "t", at, 0, "write_model", None, "m", "SELECT 1")]
+    row = R.fold_runs(spark.createDataFrame(rows, "run_id string, task_id string, ts timestamp, turn long, tool string, "
+                                                  "tables array<string>, model string, sql string"), tasks).first()
+    assert row.n_calls == 3 and not row.transform_ran and [tuple(m) for m in row.models] == [("m", "SELECT 2")]
+
+
+def test_hot_group_is_spread_and_scored(spark):
+    """One run holds almost all rows, many of them equal; ranges split it all the same."""
     from pyspark.sql import functions as F
 
     from tablecheck.operators import positions as P
-    gold = spark.range(0, 3000).select((F.col("id") % 500).cast("string").alias("k"),
-                                       (F.col("id") * 3).cast("string").alias("v"))
-    hot = spark.range(0, 3000).select((F.col("id") % 500).alias("k"), (F.col("id") * 3 * 1.001).alias("v"))
-    cold = spark.range(0, 10).select(F.col("id").alias("k"), F.col("id").cast("double").alias("v"))
+    gold = spark.range(0, 3000).select((F.col("id") % 5).cast("string").alias("k"))
+    hot = spark.range(0, 3000).select((F.col("id") % 5).alias("k"))
+    cold = spark.range(0, 10).select(F.col("id").alias("k"))
     g_cells, g_names = B.to_cells(gold, task_id="t", table_name="x")
     h = B.to_cells(hot, run_id="hot", table_name="x")
     c = B.to_cells(cold, run_id="cold", table_name="x")
     runs = spark.createDataFrame([("hot", "t"), ("cold", "t")], "run_id string, task_id string")
-
-    def scores():
-        out = B.batch_grade(g_cells, g_names, B.union_all([h[0], c[0]]), B.union_all([h[1], c[1]]), runs)
-        return sorted(map(tuple, out.collect()))
-    window = scores()
-    monkeypatch.setattr(P, "WINDOW_MAX_GROUP_ROWS", 0)
-    assert scores() == window
-    assert dict((r[0], r[3]) for r in window) == {"hot": 1.0, "cold": 0.0}
+    out = B.batch_grade(g_cells, g_names, B.union_all([h[0], c[0]]), B.union_all([h[1], c[1]]), runs).collect()
+    assert {r.run_id: r.score for r in out} == {"hot": 1.0, "cold": 0.0}
+    placed = P.with_positions(spark.range(0, 20_000).select((F.col("id") % 2).alias("k")), [F.col("k").asc()],
+                              num_partitions=8)
+    assert placed.select(F.countDistinct("pos"), F.max("pos")).first()[:] == (20_000, 19_999)

@@ -138,16 +138,13 @@ def test_random_pairs_match_oracle(spark, seed, keys):
     assert got[0] == pytest.approx(expected[0])
 
 
-def test_range_indexer_equals_window(spark, monkeypatch):
-    rng = random.Random(7)
-    gold, act = _random_case(rng, 60)
-    gc = "id string, name string, amount string, flag string, note string"
-    ac = "AMOUNT double, id bigint, Name string, flag boolean, note string, extra bigint"
-    g, a = spark.createDataFrame(gold, gc), spark.createDataFrame(act, ac)
-    small = C.compare_tables(g, a, ["id"])
-    monkeypatch.setattr(P, "WINDOW_MAX_GROUP_ROWS", 0)
-    big = C.compare_tables(g, a, ["id"])
-    assert small == big
+def test_fractional_seconds_count(spark):
+    g = spark.createDataFrame([("2024-01-01 10:00:00",), ("2024-01-01 11:00:00",)], "t string")
+    a = g.select(C.F.col("t").cast("timestamp").alias("t"))
+    late = a.select((C.F.col("t") + C.F.expr("INTERVAL '0.7' SECOND")).alias("t"))
+    assert C.compare_tables(g, a).score == 1.0 and C.compare_tables(g, late).score == 0.0
+    full = spark.createDataFrame([("2024-01-01 10:00:00.700",), ("2024-01-01 11:00:00.700",)], "t string")
+    assert C.compare_tables(full, late).score == 1.0
 
 
 def test_range_positions_equal_row_number(spark):
@@ -155,7 +152,7 @@ def test_range_positions_equal_row_number(spark):
     from pyspark.sql import functions as F
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("k"),
                                      (F.col("id") % 3).alias("g"))
-    ranged = P.range_positions(df, [F.col("k").asc_nulls_last()], group_cols=["g"], pos_col="pos")
+    ranged = P.with_positions(df, [F.col("k").asc_nulls_last()], group_cols=["g"], pos_col="pos")
     ref = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1)
     assert sorted(map(tuple, ranged.select("g", "k", "pos").collect())) == \
         sorted(map(tuple, ref.select("g", "k", "pos").collect()))

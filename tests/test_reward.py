@@ -5,10 +5,12 @@ import uuid
 
 import pytest
 
+from tablecheck.operators import batch as B
 from tablecheck.operators import models as M
-from tablecheck.operators.reward import grade_run
+from tablecheck.operators import runlog as R
 from tablecheck.sources import csv as CSV
 
+# The fixture tables and the fixture model.
 CUSTOMERS = "customer_id,customer_name\n1,Ada\n2,Ben\n3,Cy\n"
 ORDERS = "order_id,customer_id,amount\n1,1,10\n2,1,5\n3,2,7\n"
 GOLD = "customer_id,customer_name,order_count,total_spend\n1,Ada,2,15\n2,Ben,1,7\n3,Cy,0,0\n"
@@ -28,47 +30,93 @@ def fixture_dir(tmp_path):
     return tmp_path
 
 
-def _run(spark, d, load=True, sql=CORRECT):
+STATE = ("run_id string, task_id string, submitted boolean, n_calls long, n_turns long, elapsed_s double, "
+         "el_succeeded boolean, loaded array<string>, n_declared long, transform_ran boolean, materialized array<string>")
+
+
+def _grade(spark, wh, gold, loaded, submitted=True, built=("customer_totals",)):
+    """One run, through the batch operators: its tables as cells, its counts against the declared ones."""
+    tasks = spark.createDataFrame([("t", ["customers", "orders"], ["customer_totals"])],
+                                  "task_id string, declared array<string>, targets array<string>")
+    state = spark.createDataFrame([("r", "t", submitted, 5, 5, 1.0, bool(loaded), sorted(loaded), 2, True, list(built))], STATE)
+    counts = spark.createDataFrame([("r", n, 3, wh.count(n)) for n in ("customers", "orders")],
+                                   "run_id string, table_name string, expected long, actual long")
+    runs = spark.createDataFrame([("r", "t")], "run_id string, task_id string")
+    g, a = B.to_cells(gold, task_id="t", table_name="customer_totals"), \
+        B.to_cells(wh.fetch("customer_totals"), run_id="r", table_name="customer_totals")
+    scores = B.batch_grade(*g, *a, runs)
+    graded, per_target = R.grade_runs(state, tasks, scores, counts)
+    metrics = {m.metric: m.value for m in R.run_metrics(graded, per_target).collect()}
+    return graded.first().reward, metrics
+
+
+def _run(spark, d, load=True, sql=CORRECT, **kw):
     wh = M.RunWarehouse(spark, "mini_" + uuid.uuid4().hex[:8])
     sources = {n: CSV.read_typed_csv(spark, str(d / n)) for n in ("customers", "orders")}
-    el_ok = False
-    if load:
-        assert wh.load(sources, ["customers", "orders"]) == {"customers": 3, "orders": 3}
-        el_ok = True
+    loaded = list(wh.load(sources, ["customers", "orders"])) if load else []
     status = wh.run_models({"customer_totals": sql})
-    gold = {"customer_totals": CSV.read_string_csv(spark, str(d / "gold"))}
-    return wh, status, grade_run(wh, {"customers": 3, "orders": 3}, ["customer_totals"], gold,
-                                 submitted=True, el_succeeded=el_ok, transform_ran=True)
+    return status, _grade(spark, wh, CSV.read_string_csv(spark, str(d / "gold")), loaded, **kw)
 
 
 def test_correct_pipeline_scores_one(spark, fixture_dir):
-    _, status, out = _run(spark, fixture_dir)
-    assert status == {"customer_totals": "ok: 3 rows"}
-    assert out.reward == 1.0
-    assert out.metrics["target_fraction"] == 1.0
+    status, (reward, metrics) = _run(spark, fixture_dir)
+    assert status["customer_totals"] == M.ModelStatus(3)
+    assert reward == 1.0 and metrics["target_fraction"] == 1.0
 
 
 def test_partial_columns_score_point_six(spark, fixture_dir):
-    _, _, out = _run(spark, fixture_dir, sql=PARTIAL)
-    assert out.reward == pytest.approx(0.6)
+    assert _run(spark, fixture_dir, sql=PARTIAL)[1][0] == pytest.approx(0.6)
 
 
 def test_fabricated_table_without_load_scores_zero(spark, fixture_dir):
-    _, _, out = _run(spark, fixture_dir, load=False, sql="SELECT 1 AS customer_id")
-    assert out.reward == 0.0
+    assert _run(spark, fixture_dir, load=False, sql="SELECT 1 AS customer_id")[1][0] == 0.0
+
+
+def test_short_source_fails_the_count_gate(spark, fixture_dir):
+    wh = M.RunWarehouse(spark, "short_" + uuid.uuid4().hex[:8])
+    sources = {n: CSV.read_typed_csv(spark, str(fixture_dir / n)) for n in ("customers", "orders")}
+    wh.load(sources | {"orders": sources["orders"].limit(2)}, ["customers", "orders"])
+    wh.run_models({"customer_totals": CORRECT})
+    reward, metrics = _grade(spark, wh, CSV.read_string_csv(spark, str(fixture_dir / "gold")), ["customers", "orders"])
+    assert reward == pytest.approx(0.1) and metrics["raw_fraction"] == 0.5
 
 
 def test_unsubmitted_scores_zero(spark, fixture_dir):
-    wh = M.RunWarehouse(spark, "unsub_" + uuid.uuid4().hex[:8])
-    out = grade_run(wh, {"customers": 3}, ["customer_totals"], {}, submitted=False, el_succeeded=True,
-                    transform_ran=True)
-    assert out.reward == 0.0 and out.metrics == {"submitted": 0.0}
+    assert _run(spark, fixture_dir, submitted=False)[1] == (0.0, {"submitted": 0.0})
+
+
+BYPASSES = ["SELECT `reflect`('java.lang.System', 'getProperty', 'user.name') AS u",
+            "SELECT reflect/**/('java.lang.System', 'getProperty', 'user.name') AS u",
+            "SELECT * FROM (MAP a USING 'cat' AS (b) FROM (SELECT 1 AS a) t) x",
+            "SELECT * FROM (REDUCE a USING 'cat' AS (b) FROM (SELECT 1 AS a) t) x",
+            "SELECT `try_reflect`('java.lang.System', 'getProperty', 'user.name') AS u"]
+
+
+@pytest.mark.parametrize("sql", BYPASSES)
+def test_host_code_is_refused_from_the_plan(spark, sql):
+    with M.RunWarehouse(spark, "host_" + uuid.uuid4().hex[:8]) as wh:
+        try:
+            status = wh.run_models({"m": sql})["m"]
+        except ValueError:
+            return
+        assert not status.ok and wh.fetch("m") is None
+
+
+def test_model_replaces_a_source_of_its_name(spark):
+    with M.RunWarehouse(spark, "src_" + uuid.uuid4().hex[:8]) as wh:
+        wh.register_parquet("nation", "/root/testdata/sf0.001/nation.parquet")
+        status = wh.run_models({"nation": "SELECT max(n_nationkey) AS top FROM nation", "n2": "SELECT * FROM nation"})
+        assert [s.rows for s in status.values()] == [1, 1]
+        assert wh.fetch("nation").columns == ["top"] and wh.fetch("n2").first().top == 24
+        assert wh.fetch("n2", evaluation="SELECT top + 1 AS t FROM n2").first().t == 25
+        database = wh.database
+    assert not spark.catalog.databaseExists(database)
 
 
 def test_file_reads_and_non_select_refused(spark, fixture_dir):
     wh = M.RunWarehouse(spark, "guard_" + uuid.uuid4().hex[:8])
     status = wh.run_models({"leak": f"SELECT * FROM csv.`{fixture_dir / 'gold'}`"})
-    assert status["leak"].startswith("error: ")
+    assert not status["leak"].ok
     assert wh.fetch("leak") is None
     for bad in ("DROP TABLE x", "SELECT 1; SELECT 2", "", "SELECT reflect('java.lang.System', 'exit', '0')"):
         with pytest.raises(ValueError):
@@ -79,9 +127,9 @@ def test_file_reads_and_non_select_refused(spark, fixture_dir):
 
 def test_model_can_replace_itself_and_failures_keep_old_table(spark):
     wh = M.RunWarehouse(spark, "self_" + uuid.uuid4().hex[:8])
-    assert wh.run_models({"t": "SELECT 1 AS x"}) == {"t": "ok: 1 rows"}
-    assert wh.run_models({"t": "SELECT x + 1 AS x FROM t UNION ALL SELECT 5"}) == {"t": "ok: 2 rows"}
-    assert wh.run_models({"t": "SELECT nope FROM t"})["t"].startswith("error: ")
+    assert wh.run_models({"t": "SELECT 1 AS x"}) == {"t": M.ModelStatus(1)}
+    assert wh.run_models({"t": "SELECT x + 1 AS x FROM t UNION ALL SELECT 5"}) == {"t": M.ModelStatus(2)}
+    assert wh.run_models({"t": "SELECT nope FROM t"})["t"].error
     assert sorted(r.x for r in wh.fetch("t").collect()) == [2, 5]
 
 
@@ -110,3 +158,4 @@ def test_preview_clamps_limit(spark):
     assert wh.preview("SELECT id FROM range(100)", limit=0).count() == 1
     assert wh.preview("SELECT id FROM range(100)").count() == 10
     assert wh.preview_json("SELECT id FROM range(3) ORDER BY id") == '[{"id":0},{"id":1},{"id":2}]'
+    assert wh.preview_json("SELECT 1 AS a, 2 AS a, NULL AS b") == '[{"a":2,"b":null}]'

@@ -94,3 +94,22 @@ def test_namespace_and_redaction(spark):
     row = cfg.select(m.alias("m"), lst.alias("l")).first()
     assert row.m == {"user": "u", "Password": "[configured]"}
     assert row.l == [{"token": "[configured]", "k": "v"}]
+
+
+def test_map_values_of_any_type_are_redacted(spark):
+    df = spark.sql("""SELECT map('access_key', array('AKIA1'), 'k', array('v')) AS a, map('client_id', 42, 'n', 7) AS b,
+                             map('secret', named_struct('a', 's3cr'), 'o', named_struct('a', 'x')) AS c""")
+    row = df.select(*[TX.redact_by_key(F.col(c), df.schema[c].dataType).alias(c) for c in "abc"]).first()
+    assert row.a == {"access_key": "[configured]", "k": '["v"]'}
+    assert row.b == {"client_id": "[configured]", "n": "7"}
+    assert row.c == {"secret": "[configured]", "o": '{"a":"x"}'}
+
+
+def test_expectations_of_unknown_tasks_raise(spark):
+    from tablecheck.sources.records import explode_expectations
+    docs = spark.createDataFrame([('{"t1": {"a": 1}}',)], "doc string")
+    known = spark.createDataFrame([("t1",)], "task_id string")
+    assert [tuple(r) for r in explode_expectations(docs, "doc", known).collect()] == [("t1", "a", 1)]
+    more = docs.union(spark.createDataFrame([('{"zz": {"a": 1}}',)], "doc string"))
+    with pytest.raises(Exception, match="zz"):
+        explode_expectations(more, "doc", known).collect()
