@@ -94,7 +94,7 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_tokens_sql('text')} AS text, {_token
        {_tokens_sql('source')} AS source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents""")
 def csv_string_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents (quotes, line breaks, whole texts) written as CSV and read back as all-text."""
-    return CSV.read_string_csv(spark, _land_csv(spark, sf_dir, "documents"))
+    return CSV.read_string_csv(spark, _land_csv(spark, sf_dir, "documents"), multi_line=True)
 
 
 @register("json_records_load", oracle="""

@@ -12,12 +12,16 @@
 
 A row with more fields than the header is an error (one spare trailing column in
 the read schema is non-NULL exactly for such rows); shorter rows are padded with
-NULL.  Duplicate header names get ``.1``, ``.2`` suffixes.  Quoted line breaks force
-``multiLine`` parsing, under which a file is one task: land large sources as many files.
+NULL.  Duplicate header names get ``.1``, ``.2`` suffixes; names that differ by case
+only are kept.  Numbers may stand between blanks.  Files are split between tasks unless
+``multi_line`` says that quoted values hold line breaks; then a file is one task.  All
+files of a source must have the same header: columns go by position.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,41 +30,43 @@ from ..functions.scalars import FALSE_TOKENS, INTEGER_RE, NUMBER_RE, TRUE_TOKENS
 
 _SPARE = "_extra_field"
 UINT64_MAX = 18446744073709551615
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"',
                "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false",
                "ignoreTrailingWhiteSpace": "false", "nullValue": None, "emptyValue": ""}
 
 
-def header_names(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the first record of the first file (one row reaches the driver)."""
-    first = (spark.read.options(**{k: v for k, v in CSV_OPTIONS.items() if k not in ("header", "nullValue")})
-             .option("header", "false").csv(path).limit(1).collect())
-    if not first:
-        return []
-    seen: dict[str, int] = {}
+def unique_names(raw: Sequence[str | None]) -> list[str]:
+    """Header names made distinct: a repeated name takes the next free ``.1``, ``.2`` suffix."""
+    given = ["" if name is None else str(name) for name in raw]
+    taken: set[str] = set()
     names = []
-    for raw in first[0]:
-        name = "" if raw is None else str(raw)
-        if name in seen:
-            seen[name] += 1
-            name = f"{name}.{seen[name]}"
-        else:
-            seen[name] = 0
-        names.append(name)
+    for name in given:
+        free, k = name, 0
+        while free in taken:
+            k += 1
+            free = f"{name}.{k}"
+        taken.add(free)
+        names.append(free)
     return names
 
 
-def read_string_csv(spark: SparkSession, path: str, check_shape: bool = True) -> DataFrame:
-    names = header_names(spark, path)
-    schema = T.StructType([T.StructField(f"_f{i}", T.StringType()) for i in range(len(names))] +
+def header_names(spark: SparkSession, path: str, multi_line: bool = False) -> list[str]:
+    """Column names from the first record of the first file (one row reaches the driver)."""
+    first = (spark.read.options(**{k: v for k, v in CSV_OPTIONS.items() if k not in ("header", "nullValue")})
+             .option("multiLine", multi_line).option("header", "false").csv(path).limit(1).collect())
+    return unique_names(first[0]) if first else []
+
+
+def _string_columns(spark: SparkSession, path: str, n: int, multi_line: bool, check_shape: bool) -> DataFrame:
+    """The ``n`` columns as text under positional names ``_f0`` ..., null tokens turned into NULL."""
+    schema = T.StructType([T.StructField(f"_f{i}", T.StringType()) for i in range(n)] +
                           [T.StructField(_SPARE, T.StringType())])
-    reader = spark.read.schema(schema)
+    reader = spark.read.schema(schema).option("multiLine", multi_line)
     for k, v in CSV_OPTIONS.items():
         if v is not None:
             reader = reader.option(k, v)
     raw = reader.option("enforceSchema", "true").csv(path)
-    out = raw.select(*[null_tokens(F.col(f"_f{i}")).alias(n) for i, n in enumerate(names)],
-                     F.col(_SPARE))
+    out = raw.select(*[null_tokens(F.col(f"_f{i}")).alias(f"_f{i}") for i in range(n)], F.col(_SPARE))
     if check_shape:
         # A filter (not a dropped column) so that column pruning cannot remove the check.
         out = out.where(F.when(F.col(_SPARE).isNotNull(),
@@ -69,18 +75,24 @@ def read_string_csv(spark: SparkSession, path: str, check_shape: bool = True) ->
     return out.drop(_SPARE)
 
 
+def read_string_csv(spark: SparkSession, path: str, check_shape: bool = True, multi_line: bool = False) -> DataFrame:
+    names = header_names(spark, path, multi_line)
+    return _string_columns(spark, path, len(names), multi_line, check_shape).toDF(*names)
+
+
 def infer_types(df: DataFrame) -> dict[str, T.DataType]:
     """Whole-column type of every text column, from one aggregate pass."""
     aggs = []
     u64_max = F.lit(str(UINT64_MAX)).cast("decimal(20,0)")
     for i, c in enumerate(df.columns):
         col = F.col(f"`{c}`")
-        is_int = col.rlike(INTEGER_RE)
+        bare = F.trim(col)
+        is_int = bare.rlike(INTEGER_RE)
         aggs += [F.count(col).alias(f"nn{i}"),
                  F.count(F.when(is_int, F.lit(1))).alias(f"int{i}"),
-                 F.count(F.when(is_int, col.try_cast("long"))).alias(f"i64{i}"),
-                 F.count(F.when(is_int & (col.try_cast("decimal(20,0)") <= u64_max), F.lit(1))).alias(f"u64{i}"),
-                 F.count(F.when(F.lower(col).rlike(NUMBER_RE), F.lit(1))).alias(f"num{i}"),
+                 F.count(F.when(is_int, bare.try_cast("long"))).alias(f"i64{i}"),
+                 F.count(F.when(is_int & (bare.try_cast("decimal(20,0)") <= u64_max), F.lit(1))).alias(f"u64{i}"),
+                 F.count(F.when(F.lower(bare).rlike(NUMBER_RE), F.lit(1))).alias(f"num{i}"),
                  F.count(F.when(col.isin(*TRUE_TOKENS, *FALSE_TOKENS), F.lit(1))).alias(f"bool{i}")]
     aggs.append(F.count(F.lit(1)).alias("rows"))
     row = df.agg(*aggs).first()
@@ -116,9 +128,10 @@ def cast_typed(df: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
     return df.select(*cols)
 
 
-def read_typed_csv(spark: SparkSession, path: str) -> DataFrame:
-    text = read_string_csv(spark, path)
-    return cast_typed(text, infer_types(text))
+def read_typed_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    names = header_names(spark, path, multi_line)
+    text = _string_columns(spark, path, len(names), multi_line, True)
+    return cast_typed(text, infer_types(text)).toDF(*names)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -35,11 +35,18 @@ def test_typed_csv_inference(spark, tmp_path):
 
 def test_string_csv_quotes_and_line_breaks(spark, tmp_path):
     text = 'a,b\n"line1\nline2","  padded  "\nNA,-\n'
-    rows = CSV.read_string_csv(spark, _csv(tmp_path, text)).collect()
+    rows = CSV.read_string_csv(spark, _csv(tmp_path, text), multi_line=True).collect()
     assert rows[0].a == "line1\nline2" and rows[0].b == "  padded  "
     assert rows[1].a is None and rows[1].b == "-"
 
 
+def test_repeated_and_case_variant_headers(spark, tmp_path):
+    df = CSV.read_typed_csv(spark, _csv(tmp_path, "ID,id,a,a,a.1\n1,x, 2, 2.5,3\n"))
+    assert df.columns == ["ID", "id", "a", "a.1", "a.1.1"]
+    assert [f.dataType.simpleString() for f in df.schema] == ["bigint", "string", "bigint", "double", "bigint"]
+    assert tuple(df.first()) == (1, "x", 2, 2.5, 3)
+
+
 def test_over_long_row_raises(spark, tmp_path):
     df = CSV.read_string_csv(spark, _csv(tmp_path, "a,b\n1,2\n3,4,5\n"))
     with pytest.raises(Exception):
