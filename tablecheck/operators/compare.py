@@ -211,6 +211,21 @@ def positioned(df: DataFrame, keys: Sequence[str] | None = None, keep: bool = Fa
     return with_positions(ndf, sort_exprs(prof, keys), pos_col="_pos"), prof
 
 
+def filled_counts(df: DataFrame, name_col: str, count_col: str) -> DataFrame:
+    """One row per column of ``df``: its name and how many of its values are not null (one aggregate)."""
+    positional = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    counts = positional.agg(*[F.count(c).alias(c) for c in positional.columns])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias(name_col), F.col(f"_{i}").alias(count_col)) for i, name in enumerate(df.columns)])))
+
+
+def schema_join(gold: DataFrame, actual: DataFrame) -> DataFrame:
+    """Every gold column with its case-insensitive namesake in actual, or none."""
+    g = filled_counts(gold, "gold_column", "gold_filled")
+    a = filled_counts(actual, "actual_column", "actual_filled")
+    return g.join(a, F.lower(g["gold_column"]) == F.lower(a["actual_column"]), "left")
+
+
 @dataclass(frozen=True)
 class ColumnPlan:
     gold_index: int

@@ -178,6 +178,21 @@ def group_advantage(rewards: DataFrame, group_col: str = "task_id", reward_col:
             .withColumn("advantage", F.round(F.col(reward_col) - F.col("group_mean"), 6)))
 
 
+def task_summaries(tasks: DataFrame, expected: DataFrame, destination: str) -> DataFrame:
+    """``task_id, summary``: the public text of each task, its raw tables with their expected rows.
+
+    ``expected``: ``(task_id, table_name, expected)``; tables follow the task's declared order.
+    """
+    rows = expected.groupBy("task_id").agg(F.map_from_entries(
+        F.collect_list(F.struct("table_name", "expected"))).alias("_rows"))
+    table = lambda t: F.concat(t, F.lit(" ("), F.element_at("_rows", t).cast("string"), F.lit(" rows)"))
+    shown = F.transform("declared", lambda t: F.coalesce(table(t), t))
+    return tasks.join(rows, "task_id", "left").select("task_id", F.concat_ws(
+        "\n", F.concat(F.lit("Task: "), F.col("task_id")), F.lit(f"Destination: {destination}"),
+        F.concat(F.lit("Raw tables: "), F.array_join(shown, ", ")),
+        F.concat(F.lit("Required final models: "), F.array_join("targets", ", "))).alias("summary"))
+
+
 def transition_log(actions: DataFrame, graded: DataFrame, metrics: DataFrame | None = None,
                    id_cols: tuple[str, ...] = ("ts",)) -> DataFrame:
     """One transition per applied action ``(run_id, <id_cols>, tool, observation, done, reward,

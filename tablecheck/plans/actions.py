@@ -252,17 +252,15 @@ def duplicate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("task_summary", oracle=f"""
-SELECT DISTINCT {RN.TASK_SQL} AS task_id,
-  'Task: ' || {RN.TASK_SQL} || chr(10) || 'Destination: spark' || chr(10) ||
-  'Raw tables: customers, orders' || chr(10) || 'Required final models: daily_activity, type_summary' AS summary
-FROM events""")
+WITH c AS (SELECT {RN.TASK_SQL} AS task_id, count(DISTINCT user_id) AS customers, count(*) AS orders FROM events GROUP BY 1)
+SELECT task_id, 'Task: ' || task_id || chr(10) || 'Destination: spark' || chr(10) ||
+  'Raw tables: customers (' || customers || ' rows), orders (' || orders || ' rows)' || chr(10) ||
+  'Required final models: daily_activity, type_summary' AS summary FROM c""")
 def task_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Public task summary text per task: names joined by ', '."""
-    t = tasks_frame(spark, sf_dir)
-    return t.select("task_id", F.concat_ws(
-        "\n", F.concat(F.lit("Task: "), F.col("task_id")), F.lit("Destination: spark"),
-        F.concat(F.lit("Raw tables: "), F.array_join("declared", ", ")),
-        F.concat(F.lit("Required final models: "), F.array_join("targets", ", "))).alias("summary"))
+    """Public task summary text per task, with the expected rows of its raw tables."""
+    es = RN.event_summaries(spark, sf_dir)
+    expected = RN.source_counts(es).select("task_id", "table_name", "expected").distinct()
+    return R.task_summaries(tasks_frame(spark, sf_dir, es.runs), expected, "spark")
 
 
 # ---------------------------------------------------------------- job rollup

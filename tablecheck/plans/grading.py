@@ -205,16 +205,18 @@ def column_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "column_name string, actual_column string, mode string, matched boolean")
 
 
-@register("schema_match", oracle="""
-WITH g AS (SELECT column_name AS gold_column, lower(column_name) AS k FROM (DESCRIBE ({gold})) ),
-     a AS (SELECT column_name AS actual_column, lower(column_name) AS k FROM (DESCRIBE ({actual})) )
-SELECT g.gold_column, a.actual_column FROM g LEFT JOIN a ON g.k = a.k
-""".format(gold=GOLD_CUSTOMER_SQL, actual=ACTUAL_CUSTOMER_SQL))
+def _filled_sql(sql: str, cols: list[S.Col], names: tuple[str, str]) -> str:
+    return " UNION ALL ".join(f"""SELECT '{c.name}' AS {names[0]}, count("{c.name}") AS {names[1]} FROM ({sql})"""
+                              for c in cols)
+
+
+@register("schema_match", oracle=f"""
+WITH g AS ({_filled_sql(GOLD_CUSTOMER_SQL, GOLD_CUSTOMER_COLS, ("gold_column", "gold_filled"))}),
+     a AS ({_filled_sql(ACTUAL_CUSTOMER_SQL, ACTUAL_CUSTOMER_COLS, ("actual_column", "actual_filled"))})
+SELECT g.*, a.* FROM g LEFT JOIN a ON lower(g.gold_column) = lower(a.actual_column)""")
 def schema_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold columns paired with actual columns by lower-cased name (left join of schemas)."""
-    g = spark.createDataFrame([(c,) for c in gold_customer(spark, sf_dir).columns], "gold_column string")
-    a = spark.createDataFrame([(c,) for c in actual_customer(spark, sf_dir).columns], "actual_column string")
-    return g.join(F.broadcast(a), F.lower(g["gold_column"]) == F.lower(a["actual_column"]), "left")
+    """Gold columns paired with actual columns by lower-cased name, with each column's non-null rows."""
+    return C.schema_join(gold_customer(spark, sf_dir), actual_customer(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- whole scores

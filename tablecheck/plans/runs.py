@@ -148,7 +148,7 @@ def source_counts(es: EventSummaries) -> DataFrame:
         .withColumn("table_name", F.lit("customers"))
     short = F.when((F.col("table_name") == "orders") & (F.col("run_id") % 9 == 4), 1).otherwise(0)
     return es.runs.join(orders.unionByName(customers), "task_id").select(
-        "run_id", "table_name", "expected", (F.col("expected") - short).alias("actual"))
+        "run_id", "task_id", "table_name", "expected", (F.col("expected") - short).alias("actual"))
 
 
 SOURCE_COUNTS_SQL = f"""

@@ -1,4 +1,4 @@
-"""Queries checked by row count only: documents parsed in Python, logs, and the stream."""
+"""The transition log and the streaming fold."""
 
 from __future__ import annotations
 
@@ -7,34 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import runlog as R
 from ..session import scratch_path
-from ..sources.datamodel import read_data_models
 from ..streaming.runfold import run_fold_stream
 from . import actions as A
 from . import runs as RN
 from .registry import register, table
 
-COLUMN_DOCS = {
-    "daily_activity": [("day", "Calendar day."), ("event_type", "Kind of event."),
-                       ("n", "Number of events."), ("total", "Sum of event values.")],
-    "type_summary": [("event_type", "Kind of event."), ("n_users", "Distinct users."),
-                     ("max_value", "Largest event value.")],
-}
-
-
-@register("data_model_columns")
-def data_model_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One YAML data-model document per task (written by Spark), read back and exploded."""
-    tasks = RN.runs_frame(spark, sf_dir).select("task_id").distinct()
-    body = "models:\n" + "".join(
-        f"  - name: {m}\n    description: Target model {m}.\n    columns:\n" +
-        "".join(f"      - name: {c}\n        description: {d}\n" for c, d in cols)
-        for m, cols in COLUMN_DOCS.items())
-    docs = tasks.select(F.concat(F.lit("---\ntask_id: "), F.col("task_id"), F.lit("\n" + body)).alias("value"))
-    path = scratch_path(spark, "data-models")
-    docs.write.mode("overwrite").text(path)
-    return read_data_models(spark, path)
-
-
 RECORDED_SQL = """
 CASE WHEN f.tool = 'preview_sql' THEN '[' || f.props || ']'
      WHEN f.k % 11 = 5 THEN 'ValueError: ' || repeat(f.event_type || ' refused; ', 90)
