@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as SC
 from ..functions import text as TX
 from ..operators import guard as G
+from ..operators.routing import connections, route_sources
 from . import actions as A
 from . import sqltext as S
 from .registry import register, table
@@ -222,49 +223,54 @@ def redact_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- source routing
 
-def _routing_files(runs: DataFrame) -> DataFrame:
+def _routing_config(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """API and file rows of every run: customers through the API, orders as a file (for some
+    runs JSON, or at a plain http address), and customers as a file too for every fifth."""
     r = F.col("run_id")
-    orders = runs.select("run_id", F.lit("orders").alias("table_name"), F.lit("csv").alias("format"),
+    api = runs.select("run_id", F.lit("customers").alias("table_name"))
+    orders = runs.select("run_id", F.lit("orders").alias("table_name"),
+                         F.when(r % 10 == 7, F.lit("json")).otherwise(F.lit("csv")).alias("format"),
                          F.when(r % 3 == 0, F.lit("/local/orders.csv"))
                          .when(r % 3 == 1, F.lit("https://data.example.org/orders.csv"))
                          .otherwise(F.lit("http://data.example.org/orders.csv")).alias("path"))
     customers = runs.where(r % 5 == 0).select("run_id", F.lit("customers").alias("table_name"),
                                                F.lit("csv").alias("format"), F.lit("/local/customers.csv").alias("path"))
-    return orders.unionByName(customers)
+    return api, orders.unionByName(customers)
 
 
 @register("source_routing", oracle=f"""
 WITH a AS ({A.ACTIONS_SQL}),
 sel AS (SELECT DISTINCT run_id, unnest(tables) AS table_name FROM a WHERE tool = 'configure_el'),
-files AS (SELECT DISTINCT run_id, 'orders' AS table_name,
+files AS (SELECT DISTINCT run_id, 'orders' AS table_name, CASE WHEN run_id % 10 = 7 THEN 'json' ELSE 'csv' END AS format,
             CASE WHEN run_id % 3 = 0 THEN '/local/orders.csv' WHEN run_id % 3 = 1 THEN 'https://data.example.org/orders.csv'
                  ELSE 'http://data.example.org/orders.csv' END AS path FROM a
-          UNION ALL SELECT DISTINCT run_id, 'customers', '/local/customers.csv' FROM a WHERE run_id % 5 = 0)
-SELECT run_id, table_name, 'api' AS connection, 'custom_api' AS provider FROM sel WHERE table_name = 'customers'
-UNION ALL
-SELECT sel.run_id, sel.table_name, sel.table_name,
-  CASE WHEN starts_with(f.path, '/local/') THEN 'local_filesystem_limited'
-       WHEN starts_with(f.path, 'https://') THEN 'https_public_web' ELSE 'unsupported' END
-FROM sel JOIN files f ON sel.run_id = f.run_id AND sel.table_name = f.table_name
-UNION ALL
-SELECT sel.run_id, sel.table_name, NULL, 'unsupported' FROM sel
-WHERE sel.table_name <> 'customers' AND NOT EXISTS
-  (SELECT 1 FROM files f WHERE f.run_id = sel.run_id AND f.table_name = sel.table_name)""")
+          UNION ALL SELECT DISTINCT run_id, 'customers', 'csv', '/local/customers.csv' FROM a WHERE run_id % 5 = 0),
+routes AS (
+  SELECT run_id, table_name, 'api' AS connection, 'custom_api' AS provider, NULL AS refused FROM sel
+  WHERE table_name = 'customers'
+  UNION ALL
+  SELECT run_id, table_name, CASE WHEN refused IS NULL THEN table_name END,
+    CASE WHEN refused IS NULL THEN CASE WHEN path LIKE '/local/%' THEN 'local_filesystem_limited' ELSE 'https_public_web' END END,
+    refused
+  FROM (SELECT sel.*, f.path, CASE WHEN f.format <> 'csv' THEN 'format'
+          WHEN NOT (f.path LIKE '/local/%' OR f.path LIKE 'https://%') THEN 'path' END AS refused
+        FROM sel JOIN files f ON sel.run_id = f.run_id AND sel.table_name = f.table_name)
+  UNION ALL
+  SELECT run_id, table_name, NULL, NULL, 'no_source' FROM sel WHERE table_name <> 'customers' AND NOT EXISTS
+    (SELECT 1 FROM files f WHERE f.run_id = sel.run_id AND f.table_name = sel.table_name))
+SELECT run_id, connection, provider, string_agg(DISTINCT table_name, ',' ORDER BY table_name) AS streams,
+       'full_refresh_overwrite' AS sync_mode, CAST(NULL AS VARCHAR) AS refused
+FROM routes WHERE run_id NOT IN (SELECT run_id FROM routes WHERE refused IS NOT NULL) GROUP BY run_id, connection, provider
+UNION ALL SELECT run_id, NULL, NULL, table_name, NULL, refused FROM routes WHERE refused IS NOT NULL""")
 def source_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connection and provider of every table each run selected: the API list, local or
-    HTTPS files (one connection each), or unsupported."""
+    """Connections of every run whose selected tables can all be read, and the refusals of the others."""
     acts = A.actions_frame(spark, sf_dir).where(F.col("tool") == "configure_el")
     selected = acts.select("run_id", F.explode("tables").alias("table_name")).distinct()
-    api = selected.where(F.col("table_name").isin("customers")).select(
-        "run_id", "table_name", F.lit("api").alias("connection"), F.lit("custom_api").alias("provider"))
-    files = _routing_files(selected.select("run_id").distinct())
-    provider = (F.when(F.col("path").startswith("/local/"), F.lit("local_filesystem_limited"))
-                .when(F.col("path").startswith("https://"), F.lit("https_public_web"))
-                .otherwise(F.lit("unsupported")))
-    filed = selected.join(files, ["run_id", "table_name"]).select(
-        "run_id", "table_name", F.col("table_name").alias("connection"), provider.alias("provider"))
-    none = (selected.where(~F.col("table_name").isin("customers"))
-            .join(files, ["run_id", "table_name"], "left_anti")
-            .select("run_id", "table_name", F.lit(None).cast("string").alias("connection"),
-                    F.lit("unsupported").alias("provider")))
-    return api.unionByName(filed).unionByName(none)
+    routes = route_sources(selected, *_routing_config(A.actions_frame(spark, sf_dir).select("run_id").distinct()))
+    blank = F.lit(None).cast("string")
+    accepted = connections(routes).select("run_id", "connection", "provider", F.array_join("streams", ",").alias("streams"),
+                                          "sync_mode", blank.alias("refused"))
+    refused = routes.where(F.col("refused").isNotNull()).select(
+        "run_id", blank.alias("connection"), blank.alias("provider"), F.col("table_name").alias("streams"),
+        blank.alias("sync_mode"), "refused")
+    return accepted.unionByName(refused)
