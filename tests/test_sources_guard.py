@@ -120,3 +120,24 @@ def test_expectations_of_unknown_tasks_raise(spark):
     more = docs.union(spark.createDataFrame([('{"zz": {"a": 1}}',)], "doc string"))
     with pytest.raises(Exception, match="zz"):
         explode_expectations(more, "doc", known).collect()
+
+
+def test_routing_refuses_formats_and_paths(spark):
+    from tablecheck.operators.routing import connections, route_sources
+    selected = spark.createDataFrame([(1, "cars"), (1, "train"), (2, "train"), (3, "train"), (4, "zz"), (5, "cars")],
+                                     "run_id long, table_name string")
+    api = spark.createDataFrame([(r, "cars") for r in range(1, 6)], "run_id long, table_name string")
+    files = spark.createDataFrame([(1, "train", "csv", "/local/t.csv"), (2, "train", "csv", "http://x/t.csv"),
+                                   (3, "train", "json", "https://x/t"), (5, "cars", "csv", "https://x/c.csv")],
+                                  "run_id long, table_name string, format string, path string")
+    routes = route_sources(selected, api, files)
+    assert {(r.run_id, r.refused) for r in routes.collect() if r.refused} == {(2, "path"), (3, "format"), (4, "no_source")}
+    got = {(r.run_id, r.connection, r.provider, tuple(r.streams)) for r in connections(routes).collect()}
+    assert got == {(1, "api", "custom_api", ("cars",)), (1, "train", "local_filesystem_limited", ("train",)),
+                   (5, "api", "custom_api", ("cars",)), (5, "cars", "https_public_web", ("cars",))}
+
+
+def test_data_model_documents(spark, tmp_path):
+    from tablecheck.sources.datamodel import read_data_models
+    (tmp_path / "a.yaml").write_text("task_id: t\nmodels:\n  - name: m\n    columns:\n      - {name: x, description: d}\n")
+    assert [tuple(r) for r in read_data_models(spark, str(tmp_path)).collect()] == [("t", "m", "x", "d")]
