@@ -250,20 +250,22 @@ GOLD_LINEITEM_SQL = """
 SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber,
        CAST(l_partkey AS VARCHAR) AS l_partkey, CAST(l_suppkey AS VARCHAR) AS l_suppkey,
        printf('%.2f', l_quantity) AS l_quantity, printf('%.2f', l_extendedprice) AS l_extendedprice,
-       l_returnflag, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate
+       l_returnflag, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate, printf('%.2f', l_discount) AS l_discount,
+       printf('%.2f', l_tax) AS l_tax, l_linestatus
 FROM lineitem"""
 GOLD_LINEITEM_COLS = [S.Col(n, "text") for n in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                                  "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")]
+                                                  "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate", "l_discount",
+                                                  "l_tax", "l_linestatus")]
 ACTUAL_LINEITEM_SQL = """
 SELECT l_shipdate, l_returnflag AS "L_RETURNFLAG", l_orderkey, l_linenumber, l_partkey, l_suppkey,
        l_extendedprice * CASE WHEN l_orderkey % 7 = 3 THEN 1.004 ELSE 1.0 END AS l_extendedprice,
        l_quantity + CASE WHEN l_orderkey % 1000 = 17 THEN 1 ELSE 0 END AS l_quantity,
-       l_tax
+       l_tax, l_discount, lower(l_linestatus) AS l_linestatus
 FROM lineitem"""
 ACTUAL_LINEITEM_COLS = [S.Col("l_shipdate", "date"), S.Col("L_RETURNFLAG", "text"), S.Col("l_orderkey", "int"),
                         S.Col("l_linenumber", "int"), S.Col("l_partkey", "int"), S.Col("l_suppkey", "int"),
                         S.Col("l_extendedprice", "double"), S.Col("l_quantity", "double"),
-                        S.Col("l_tax", "double")]
+                        S.Col("l_tax", "double"), S.Col("l_discount", "double"), S.Col("l_linestatus", "text")]
 
 
 def gold_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +274,9 @@ def gold_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                                     "l_suppkey")],
                      F.format_string("%.2f", "l_quantity").alias("l_quantity"),
                      F.format_string("%.2f", "l_extendedprice").alias("l_extendedprice"),
-                     "l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate"))
+                     "l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate"),
+                     F.format_string("%.2f", "l_discount").alias("l_discount"),
+                     F.format_string("%.2f", "l_tax").alias("l_tax"), "l_linestatus")
 
 
 def actual_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,7 +287,7 @@ def actual_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_partkey", "l_suppkey",
         (F.col("l_extendedprice") * F.when(k % 7 == 3, F.lit(1.004)).otherwise(F.lit(1.0))).alias("l_extendedprice"),
         (F.col("l_quantity") + F.when(k % 1000 == 17, F.lit(1)).otherwise(F.lit(0))).alias("l_quantity"),
-        "l_tax")
+        "l_tax", "l_discount", F.lower("l_linestatus").alias("l_linestatus"))
 
 
 @register("table_score", oracle=S.score_sql("lineitem", GOLD_LINEITEM_SQL, GOLD_LINEITEM_COLS,
