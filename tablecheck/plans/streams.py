@@ -25,7 +25,7 @@ m AS (SELECT run_id, 'el_success' AS metric, CASE WHEN el_succeeded THEN 1.0 ELS
         WHERE gr.submitted AND gr.el_succeeded AND gr.raw_fraction = 1.0
       UNION ALL SELECT run_id, 'target_fraction', graded_fraction FROM gr
         WHERE submitted AND el_succeeded AND raw_fraction = 1.0),
-mm AS (SELECT run_id, string_agg(metric || '=' || printf('%.6f', value), ',' ORDER BY metric) AS metrics
+mm AS (SELECT run_id, string_agg(metric || '=' || printf('%.4f', value), ',' ORDER BY metric) AS metrics
        FROM m GROUP BY run_id),
 fe AS (SELECT f.*, e.props, e.event_type, CAST(json_extract_string(e.props, '$.k') AS INTEGER) AS k
        FROM f JOIN events e USING (event_id))
@@ -63,7 +63,7 @@ def transition_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     R.write_transition_log(log, path)
     read = spark.read.schema(log.schema).json(path)
     shown = F.transform(F.array_sort(F.map_entries("metrics")),
-                        lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.6f", e["value"])))
+                        lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"])))
     return read.withColumn("metrics", F.array_join(shown, ","))
 
 
