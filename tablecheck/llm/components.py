@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from .common import written
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -34,11 +34,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
             .filter("u <> v").distinct())
 
-    current = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    current = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                           .filter("u <> v").distinct(), "edges")
     before = _checksum(current)
     for _ in range(most_rounds):
-        current = materialize(step(current), "stars")
+        current = written(step(current), "stars")
         now = _checksum(current)
         if now == before:
             break

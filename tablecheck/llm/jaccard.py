@@ -10,7 +10,8 @@ results, and a good one short candidate lists.
    ``n - ceil(t * n) + 1`` n-grams.  Equal prefix n-grams make candidate lists; sizes
    and positions of the shared n-gram drop the pairs that cannot reach it.
 3. The global order is cut into ``FRAGMENTS`` fragments of about equal mass.  For a
-   candidate pair the overlaps of its fragments are counted separately and summed.
+   candidate pair the overlaps of its fragments are counted separately and summed,
+   as long as the pair can still reach the threshold.
 4. First every list's member is paired with the list's centre (its earliest holder).
    Links found so far make components; then the lists' pairs whose members lie in
    different components are checked as well, all of them, so that no link is lost,
@@ -38,8 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import small_batches, text_rows
+from .common import small_batches, text_rows, written
 from .components import connected_components
 
 WORDS = 5
@@ -197,14 +197,29 @@ def _may_reach(n_a, pos_a, n_b, pos_b):
 
 
 def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """Links (u, v) among ``pairs`` (a, b, n_a, n_b): fragment overlaps counted apart, summed per pair."""
-    left = segments.select(F.col("doc").alias("a"), "fragment", F.col("grams").alias("grams_a"))
-    right = segments.select(F.col("doc").alias("b"), "fragment", F.col("grams").alias("grams_b"))
-    partial = (pairs.join(left, "a").join(right, ["b", "fragment"])
-               .select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("overlap")))
-    return (partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
-            .filter(F.col("overlap") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * PERCENT)
-            .select(F.col("a").alias("u"), F.col("b").alias("v")))
+    """Links (u, v) among ``pairs`` (a, b, n_a, n_b): the overlap of one fragment at a time is
+    counted and added per pair.
+
+    A pair leaves as soon as its sum and all that remains of either set cannot reach the
+    threshold; as the fragments go from rare to frequent, most pairs leave early, and
+    only one fragment of the sets is moved at a time.
+    """
+    total = F.lit(100 + PERCENT)
+    alive = pairs.select("a", "b", "n_a", "n_b", F.col("n_a").alias("rest_a"), F.col("n_b").alias("rest_b"),
+                         F.lit(0).alias("overlap"))
+    for fragment in range(FRAGMENTS):
+        part = segments.filter(F.col("fragment") == fragment)
+        left = part.select(F.col("doc").alias("a"), F.col("grams").alias("grams_a"))
+        right = part.select(F.col("doc").alias("b"), F.col("grams").alias("grams_b"))
+        size = lambda c: F.coalesce(F.array_size(c), F.lit(0))
+        alive = (alive.join(left, "a", "left").join(right, "b", "left")
+                 .select("a", "b", "n_a", "n_b", (F.col("rest_a") - size("grams_a")).alias("rest_a"),
+                         (F.col("rest_b") - size("grams_b")).alias("rest_b"),
+                         (F.col("overlap") + size(F.array_intersect("grams_a", "grams_b"))).alias("overlap"))
+                 .filter((F.col("overlap") + F.least("rest_a", "rest_b")) * total >= (F.col("n_a") + F.col("n_b")) * PERCENT)
+                 .distinct())
+        alive = written(alive, "gram-overlaps")
+    return alive.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -218,18 +233,22 @@ def _pairs(rows: DataFrame) -> DataFrame:
                     F.when(first, F.col("n_other")).otherwise(F.col("n")).alias("n_b")).distinct())
 
 
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     sc = df.sparkSession.sparkContext
     rows = text_rows(df, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    profile = materialize(rows.mapInArrow(_profile, "doc_id long, n int, digest binary, slice int, counts binary"),
+    profile = written(rows.mapInArrow(_profile, "doc_id long, n int, digest binary, slice int, counts binary"),
                           "gram-profile")
     codes, cuts = frequency_codes(profile)
     chosen = (profile.filter("slice is null").groupBy("doc_id")
               .agg(F.min(F.struct("digest", "n")).alias("s"), F.count(F.lit(1)).alias("rows"))
               .select("doc_id", "rows", "s.digest", "s.n"))
     classes = chosen.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    known = materialize(chosen.join(classes, "digest"), "gram-classes")
+    known = written(chosen.join(classes, "digest"), "gram-classes")
     total = known.count()
     hot = {bytes(r["digest"]): r["rep"] for r in known.filter(
         (F.col("size") * HOT_SHARE > total) & (F.col("doc_id") == F.col("rep")) & (F.col("n") > 0))
@@ -264,15 +283,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
              .filter((F.col("many") > 1) | hot_code)
              .join(known.select("doc_id", "rep"), "doc_id")
              .select("gram", F.col("rep").alias("doc"), "n", "pos").distinct())
-    lists = materialize(lists, "gram-lists")
+    lists = written(lists, "gram-lists")
     centres = (lists.groupBy("gram").agg(F.min(F.struct("pos", "doc", "n")).alias("c"), F.count(F.lit(1)).alias("many"))
                .filter("many > 1")
                .select("gram", F.col("c.doc").alias("other"), F.col("c.n").alias("n_other"),
                        F.col("c.pos").alias("pos_other")))
-    starred = materialize(lists.join(centres, "gram"), "gram-stars")
-    # sets of the documents in lists, cut into fragments
-    wanted = (starred.select("doc").distinct().join(known.select(F.col("doc_id").alias("doc"), "digest"), "doc"))
-
+    starred = written(lists.join(centres, "gram"), "gram-stars")
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, cuts, _ = shared.value
         for batch in small_batches(batches, "text", most_bytes=1 << 20):
@@ -292,16 +308,22 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     "doc": pa.array(docs, pa.int64()), "fragment": pa.array(parts, pa.int32()),
                     "grams": pa.array(grams, pa.list_(pa.int64()))})
 
-    texts = rows.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc")
-    segments = materialize(texts.mapInArrow(cut, "doc long, fragment int, grams array<long>")
-                           .dropDuplicates(["doc", "fragment"]), "gram-segments")
-    near = connected_components(verified(_pairs(starred), segments))
-    near = materialize(near, "near-labels")
+    def fragments_of(wanted: DataFrame) -> DataFrame:
+        """Fragments of the sets of ``wanted`` (doc), from their whole texts."""
+        named = wanted.join(known.select(F.col("doc_id").alias("doc"), "digest"), "doc")
+        texts = rows.select(F.col("doc_id").alias("doc"), "text").join(named, "doc")
+        return written(texts.mapInArrow(cut, "doc long, fragment int, grams array<long>"), "gram-segments")
+
+    pairs = written(_pairs(starred), "gram-pairs")
+    held = _members(pairs)
+    segments = fragments_of(held)
+    near = connected_components(verified(pairs, segments))
+    near = written(near, "near-labels")
     # pairs of a list across components; a list in one component needs no more
     labelled = (starred.join(near.withColumnRenamed("node", "doc"), "doc", "left")
                 .withColumn("label", F.coalesce("label", "doc")))
     mixed = labelled.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    open_lists = materialize(labelled.select("gram", "doc", "n", "pos", "label", "other").join(
+    open_lists = written(labelled.select("gram", "doc", "n", "pos", "label", "other").join(
         mixed.select("gram"), "gram", "left_semi"), "gram-open")
     centre_label = (open_lists.filter("doc = other").select("gram", F.col("label").alias("centre_label")))
     outside = open_lists.join(centre_label, "gram").filter("label <> centre_label").drop("other", "centre_label")
@@ -309,7 +331,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                                 F.col("pos").alias("pos_other"), F.col("label").alias("label_other"))
     crossing = outside.join(members, (outside["gram"] == members["gram"]) & (F.col("label") != F.col("label_other"))
                             & _may_reach(F.col("n"), F.col("pos"), F.col("n_other"), F.col("pos_other")))
-    links = verified(_pairs(crossing), segments)
+    pairs = written(_pairs(crossing), "gram-pairs")
+    more = fragments_of(_members(pairs).join(held, "doc", "left_anti"))
+    links = verified(pairs, segments.unionByName(more))
 
     def to_label(edges: DataFrame, end: str) -> DataFrame:
         return (edges.join(near.select(F.col("node").alias(end), "label"), end, "left")
