@@ -2,9 +2,11 @@
 
 Texts are equal when identical after deleting every character of
 ``[\\x20\\x09-\\x0D]``; null counts as empty.  The normalised texts themselves are
-the sort key: Spark samples splitters, range-partitions the rows by content, sorts
-each range externally (spilling to disk), and a window compares whole neighbouring
-texts, so no verdict rests on a hash.
+the sort key: Spark samples splitters and range-partitions the rows by content, by
+the first ``SPLITTER`` characters and then a hash, so that sampled splitters stay short
+and texts with a common beginning still spread over ranges.  Each range is sorted
+externally (spilling to disk), whole texts last in the key, and a window compares whole
+neighbouring texts, so no verdict rests on a hash.
 
 Hot texts.  A text with more than ``1 / HOT_SHARE`` of all rows would fill one
 range.  There are fewer than ``HOT_SHARE`` such texts whatever the input, so the
@@ -23,11 +25,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import shuffle_partitions, text_rows
+from .common import shuffle_partitions, text_rows, written
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 HOT_SHARE = 4096
+SPLITTER = 24
 
 
 def normalised(col):
@@ -47,11 +49,12 @@ def exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
               .join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), "norm_hash", "left")
               .withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64("doc_id", "n_chars"), F.lit(salts)))
                           .otherwise(F.lit(-1)))
-              .select("doc_id", "n_chars", "norm", "salt"))
+              .select("doc_id", "n_chars", "norm", "salt", "norm_hash", F.substring("norm", 1, SPLITTER).alias("lead")))
     order = [F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last()]
-    run = Window.partitionBy("norm", "salt").orderBy(*order)
+    # the range keys are among the window's, so the ranges serve the window without another shuffle
+    run = Window.partitionBy("lead", "norm_hash", "norm", "salt").orderBy(*order)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    settled = (salted.repartitionByRange("norm", "salt")
+    settled = (salted.repartitionByRange("lead", "norm_hash", "salt")
                .select("doc_id", "n_chars", "norm", "salt",
                        F.row_number().over(run).alias("place"),
                        F.first("doc_id").over(whole).alias("leader"),
@@ -59,13 +62,14 @@ def exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                .select("doc_id", "n_chars", "salt", "place", "leader", "size",
                        F.sha2("norm", 256).alias("text_sha256"),
                        F.when((F.col("salt") >= 0) & (F.col("place") == 1), F.col("norm")).alias("norm")))
-    settled = materialize(settled, "content-sort")
+    settled = written(settled, "content-sort")
     cold = settled.filter("salt < 0").select(
         "doc_id", "n_chars", "text_sha256", F.col("leader").alias("keep_id"), F.col("size").alias("group_size"),
         (F.col("place") == 1).alias("kept"))
-    again = Window.partitionBy("norm").orderBy(*order, "salt").rowsBetween(
+    again = Window.partitionBy("lead", "norm").orderBy(*order, "salt").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
-    leaders = (settled.filter("salt >= 0 and place = 1").repartitionByRange("norm")
+    leaders = (settled.filter("salt >= 0 and place = 1").withColumn("lead", F.substring("norm", 1, SPLITTER))
+               .repartitionByRange("lead")
                .select("text_sha256", "salt",
                        F.first("doc_id").over(again).alias("keep_id"),
                        F.first("salt").over(again).alias("keep_salt"),
