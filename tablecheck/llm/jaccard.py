@@ -162,23 +162,28 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k, raw in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
             part = np.frombuffer(zlib.decompress(raw), np.uint32)
-            sums[k] = sums[k] + part if k in sums else part.astype(np.uint64)
+            sums[k] = sums[k] + part if k in sums else part.astype(np.float64)
     if sums:
         yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()),
-                                          "counts": [v.tobytes() for v in sums.values()]})
+                                          "counts": [v.astype(np.float32).tobytes() for v in sums.values()]})
 
 
 def frequency_codes(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Code of every bucket (a table of fixed size) and the fragments' cuts in the global order."""
     rows = (profile.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice")
             .mapInArrow(_sum_slices, "slice int, counts binary").collect())
-    counts = np.zeros((SLICES, BUCKETS // SLICES), np.float64)
-    for row in rows:
-        counts[row["slice"]] += np.frombuffer(row["counts"], np.uint64)
-    counts = counts.ravel()
-    mean = max(1.0, counts.mean())
-    codes = np.minimum((1 << CODE_BITS) - 1, 4 * np.log2(1 + counts / mean)).astype(np.uint8)
-    mass = np.bincount(codes, counts, 1 << CODE_BITS)
+    # slice by slice: the driver holds the counts as 32-bit numbers and one slice's work
+    counts = np.zeros((SLICES, BUCKETS // SLICES), np.float32)
+    while rows:
+        row = rows.pop()
+        counts[row["slice"]] += np.frombuffer(row["counts"], np.float32)
+    mean = max(1.0, float(counts.sum(dtype=np.float64)) / BUCKETS)
+    codes = np.zeros(counts.shape, np.uint8)
+    mass = np.zeros(1 << CODE_BITS)
+    for own, part in zip(codes, counts, strict=True):
+        own[:] = np.minimum((1 << CODE_BITS) - 1, 4 * np.log2(1 + part / mean))
+        mass += np.bincount(own, part, 1 << CODE_BITS)
+    codes = codes.ravel()
     total, below = np.cumsum(mass), np.cumsum(mass) - mass
     cuts = []
     for k in range(1, FRAGMENTS):

@@ -105,8 +105,9 @@ def weighted(rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int, id
     value = np.where(words, 1 + np.log(counts), counts) * idf[terms]
     dense[rows, terms] = value
     for part, weight in ((slice(0, WORD_BUCKETS), 0.5), (slice(WORD_BUCKETS, TERMS), 1.0)):
-        norm = np.sqrt((dense[:, part] ** 2).sum(axis=1, keepdims=True))
-        dense[:, part] *= weight / np.maximum(norm, 1e-12)
+        own = dense[:, part]
+        norm = np.sqrt(np.einsum("ij,ij->i", own, own))[:, None]
+        own *= (weight / np.maximum(norm, 1e-12)).astype(np.float32)
     return dense
 
 
@@ -190,9 +191,11 @@ def fit_quality(df: DataFrame, labels: DataFrame, label_col: str = "quality", id
     rows = np.repeat(np.arange(len(sample)), [len(t) for t in terms])
     flat = np.concatenate(terms)
     in_docs = np.bincount(flat, minlength=TERMS)
-    idf = np.log((1 + len(sample)) / (1 + in_docs)) + 1.0
+    n = len(sample)
+    idf = np.log((1 + n) / (1 + in_docs)) + 1.0
     counts = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sample])
-    dense = weighted(rows, flat, counts, len(sample), idf)
+    del sample, terms
+    dense = weighted(rows, flat, counts, n, idf)
     projection = truncated_svd(dense, RANK)
     low = dense @ projection
     vectors = (low / np.maximum(np.linalg.norm(low, axis=1, keepdims=True), 1e-12)).astype(np.float32)
