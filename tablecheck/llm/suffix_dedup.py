@@ -17,6 +17,11 @@ all rounds, suffixes whose common prefixes reach a whole window are equal window
 each learns the earliest start of its class.  A bucket's columns are arrays of
 bounded size in memory, passed through in order once per round.
 
+Equal segments are collapsed first: all but the earliest go whole.  A segment that is
+then the only one with its anchor can hold no further repeat (equal windows have equal
+anchors at equal places, hence lie in different segments) and stays out of the bucket's
+construction.
+
 Hot anchors.  Equal segments within a slice of texts are settled there (the later
 ones go whole), so copies reach a bucket once per slice.  An anchor with more than
 ``HOT_ANCHOR`` segments is split further: its windows are classed by the anchor's
@@ -157,30 +162,50 @@ class Construction:
     def __init__(self, strings: int):
         # one empty suffix per string, all before any symbol
         self.first = np.zeros(strings, np.uint64)  # leading symbol of each suffix, in suffix order
-        self.tail = np.arange(strings)  # place of the suffix without it
-        self.bwt = np.zeros(strings, np.uint64)  # symbol before each suffix, 0 where none is inserted yet
+        self.tail = np.arange(strings, dtype=np.int32)  # place of the suffix without it
         self.lcp = np.zeros(strings, np.uint8)  # common symbols with the suffix before, up to DEPTH
-        self.origin = np.full(strings, -1, np.int64)
-        self.newest = np.arange(strings)  # place of each string's longest suffix
+        self.newest = np.arange(strings, dtype=np.int32)  # place of each string's longest suffix
+
+    @property
+    def bwt(self) -> np.ndarray:
+        """The symbol before each suffix, 0 where none is inserted yet.
+
+        Tails are the last-to-first mapping turned round: a suffix's first symbol stands
+        before its tail, so growing the tails updates the transform.
+        """
+        out = np.zeros(len(self.first), np.uint64)
+        own = self.first > 0
+        out[self.tail[own]] = self.first[own]
+        return out
 
-    def insert(self, strings: np.ndarray, symbols: np.ndarray, origin: np.ndarray) -> None:
+    def owners(self) -> tuple[np.ndarray, np.ndarray]:
+        """(string, symbols before it in the string) of each suffix; -1 for empty ones."""
+        string, nth = (np.full(len(self.first), -1, np.int32) for _ in range(2))
+        place, of, k = self.newest, np.arange(len(self.newest)), 0
+        while len(place):
+            live = self.first[place] > 0
+            place, of = place[live], of[live]
+            string[place], nth[place] = of, k
+            place, k = self.tail[place], k + 1
+        return string, nth
+
+    def insert(self, strings: np.ndarray, symbols: np.ndarray) -> None:
         """Put one symbol before the newest suffix of each of ``strings``."""
-        tails = self.newest[strings]
-        self.bwt[tails] = symbols
+        tails = self.newest[strings]  # places fit 32 bits: a bucket is far smaller
         order = np.lexsort((tails, symbols))
-        strings, symbols, origin, tails = strings[order], symbols[order], origin[order], tails[order]
+        strings, symbols, tails = strings[order], symbols[order], tails[order]
         n, m = len(self.first), len(strings)
         # suffixes with one leading symbol follow the order of their tails
         new = np.r_[True, self.first[1:] != self.first[:-1]]
         heads = self.first[new]
-        run = np.cumsum(new) - 1
+        run = (np.cumsum(new) - 1) * (n + 1)
         at = np.searchsorted(heads, symbols)
         present = heads[np.minimum(at, len(heads) - 1)] == symbols
-        place = np.searchsorted(run * (n + 1) + self.tail, at * (n + 1) + np.where(present, tails, -1))
+        place = np.searchsorted(run + self.tail, at * (n + 1) + np.where(present, tails, -1))
         fresh = place + np.arange(m)
         old = np.ones(n + m, bool)
         old[fresh] = False
-        moved = np.flatnonzero(old)
+        moved = np.flatnonzero(old).astype(np.int32)
 
         def grown(values: np.ndarray, added) -> np.ndarray:
             out = np.empty(n + m, values.dtype)
@@ -189,13 +214,13 @@ class Construction:
             return out
 
         first, tail, lcp = grown(self.first, symbols), grown(self.tail, tails), grown(self.lcp, 0)
-        check = np.unique(np.r_[fresh, fresh + 1])
-        check = check[(check > 0) & (check < n + m)]
+        beside = np.zeros(n + m + 1, bool)
+        beside[fresh] = beside[fresh + 1] = True
+        check = np.flatnonzero(beside[1:n + m]) + 1
         lcp[check] = 0
         same = check[(first[check] == first[check - 1]) & (first[check] > 0)]
         lcp[same] = np.minimum(DEPTH, 1 + self._least(tail[same - 1] + 1, tail[same]).astype(np.int64))
         self.first, self.lcp, self.tail = first, lcp, moved[tail]
-        self.bwt, self.origin = grown(self.bwt, np.uint64(0)), grown(self.origin, origin)
         self.newest = moved[self.newest]
         self.newest[strings] = fresh
 
@@ -249,18 +274,20 @@ def repeated_windows(contents: list[bytes], earliest: np.ndarray) -> tuple[np.nd
     owner = np.repeat(np.arange(len(contents)), LETTER)
     phase = np.tile(np.arange(LETTER), len(contents))
     count = (sizes[owner] - phase) // LETTER
+    if not len(contents):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     whole = count >= DEPTH  # shorter strings hold no window
     owner, phase, count = owner[whole], phase[whole], count[whole]
     grown = Construction(len(owner))
     for column in range(1, int(count.max(initial=0)) + 1):
         active = np.flatnonzero(count >= column)
         at = offsets[owner[active]] + phase[active] + LETTER * (count[active] - column)
-        grown.insert(active, symbols[at], at)
-    content = np.searchsorted(offsets, grown.origin, "right") - 1
-    offset = grown.origin - offsets[content]
+        grown.insert(active, symbols[at])
+    string, nth = grown.owners()
     group = np.cumsum(grown.lcp < DEPTH)
-    window = np.flatnonzero((grown.origin >= 0) & (offset + WINDOW <= sizes[content]))
-    content, offset, group = content[window], offset[window], group[window]
+    window = np.flatnonzero((string >= 0) & (nth + DEPTH <= count[string]))
+    string, group = string[window], group[window]
+    content, offset = owner[string], phase[string] + LETTER * nth[window].astype(np.int64)
     if not len(window):
         return content, offset
     place = earliest[content] + offset
@@ -286,8 +313,11 @@ def _settle(table: pa.Table) -> pa.Table:
             heads.append(i)
     head = np.array(heads, np.int64)
     names, rank = np.unique(doc, return_inverse=True)
+    # contents that share their anchor with another content
+    _, shared, many = np.unique(np.asarray(table.column("anchor"))[head], return_inverse=True, return_counts=True)
+    head = head[many[shared] > 1]
     place = (rank[head].astype(np.int64) << 34) + start[head]
-    content, offset = repeated_windows([raws[i] for i in heads], place)
+    content, offset = repeated_windows([raws[i] for i in head.tolist()], place)
     rows = [np.array(again, np.int64), head[content]]
     d = np.concatenate([rank[r] for r in rows])
     s = np.concatenate([start[rows[0]], start[rows[1]] + offset])
@@ -312,22 +342,23 @@ def removed_spans(rows: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            out: list[tuple[int, int, int, bytes]] = []
+            out: list[tuple[int, int, int, int, bytes]] = []
             for doc, text, parts in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(),
                                         batch.column("parts").to_pylist(), strict=True):
                 raw = text.encode()
                 for part in parts:
                     start, size, at = part["start"], part["meta"] >> 8, part["meta"] >> 1 & 127
                     if not part["hot"]:
-                        out.append((part["anchor"] % buckets, doc, start, raw[start:start + size]))
+                        out.append((part["anchor"] % buckets, part["anchor"], doc, start, raw[start:start + size]))
                         continue
                     # windows by the place of the anchor in them, at down to at - windows + 1
                     windows, place = size - WINDOW + 1, start + at
                     for k in range((at - windows + 1) // CLASS, at // CLASS + 1):
                         high, low = min(at, k * CLASS + CLASS - 1), max(at - windows + 1, k * CLASS)
                         core = raw[place - k * CLASS:place - k * CLASS - CLASS + 1 + WINDOW]
-                        key = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=bytes([k])).digest(), "little")
-                        out.append((key % buckets, doc, place - high, raw[place - high:place - low + WINDOW]))
+                        key = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=bytes([k])).digest(), "little",
+                                             signed=True)
+                        out.append((key % buckets, key, doc, place - high, raw[place - high:place - low + WINDOW]))
                 if len(out) > 20_000:
                     yield _cut_rows(out)
                     out = []
@@ -335,17 +366,17 @@ def removed_spans(rows: DataFrame) -> DataFrame:
                 yield _cut_rows(out)
 
     per_doc = again.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "meta", "hot")).alias("parts"))
-    pieces = rows.join(per_doc, "doc_id").mapInArrow(cut, "bucket long, doc_id long, start long, bytes binary")
+    pieces = rows.join(per_doc, "doc_id").mapInArrow(
+        cut, "bucket long, anchor long, doc_id long, start long, bytes binary")
     settled = (pieces.repartition(min(buckets, 8 * shuffle_partitions(spark)), "bucket").groupBy("bucket")
                .applyInArrow(_settle, "doc_id long, start long, size long"))
     return spans.unionByName(settled)
 
 
 def _cut_rows(out: list[tuple]) -> pa.RecordBatch:
-    bucket, doc, start, raw = zip(*out, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(doc, pa.int64()),
-                                       pa.array(start, pa.int64()), pa.array(raw, pa.binary())],
-                                      names=["bucket", "doc_id", "start", "bytes"])
+    *numbers, raw = zip(*out, strict=True)
+    return pa.RecordBatch.from_arrays([*(pa.array(n, pa.int64()) for n in numbers), pa.array(raw, pa.binary())],
+                                      names=["bucket", "anchor", "doc_id", "start", "bytes"])
 
 
 def _without(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:

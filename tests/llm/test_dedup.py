@@ -165,12 +165,12 @@ def test_construction_orders_suffixes():
     grown = suffix_dedup.Construction(len(strings))
     for column in range(1, 31):
         active = np.array([i for i, s in enumerate(strings) if len(s) >= column])
-        grown.insert(active, np.array([strings[i][-column] for i in active], np.uint64),
-                     np.array([i * 100 + len(strings[i]) - column for i in active]))
-    suffixes = [tuple(strings[o // 100][o % 100:]) for o in grown.origin.tolist() if o >= 0]
+        grown.insert(active, np.array([strings[i][-column] for i in active], np.uint64))
+    owners = [(int(i), int(k)) for i, k in zip(*grown.owners(), strict=True) if i >= 0]
+    suffixes = [tuple(strings[i][k:]) for i, k in owners]
     assert suffixes == sorted(suffixes) and len(suffixes) == sum(map(len, strings))
     for i, (a, b) in enumerate(zip(suffixes, suffixes[1:], strict=False)):
         same = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         assert grown.lcp[len(strings) + i + 1] == min(same, suffix_dedup.DEPTH)
     before = [int(x) for x in grown.bwt[len(strings):]]
-    assert before == [0 if o % 100 == 0 else strings[o // 100][o % 100 - 1] for o in grown.origin.tolist() if o >= 0]
+    assert before == [0 if k == 0 else strings[i][k - 1] for i, k in owners]
