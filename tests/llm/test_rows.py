@@ -153,6 +153,22 @@ def test_secrets_odd_rows(odd, nothing):
     assert secrets.scan_secrets(nothing).count() == 0
 
 
+def test_every_candidate_passes_the_screen(spark):
+    """Names, name endings, marks, blanks and values of every rule, each in a text of its own."""
+    names = ["private_key", "credentials", "db_password_prod", "password", "auth", "Bearer", "pwd", "api-key[0]", "author"]
+    marks = [" = ", ": ", "= ", " : ", "     =     ", ":\n\t", "=\u2028 ", "\"=", "=", "' : '", " is "]
+    values = ["abcde1f2a3b4!", "hunter22", "short", "a" * 90 + "1", "日本語日本語日本", "x.y.z.u.v"]
+    texts = [f"see {n}{m}{v} end" for n in names for m in marks for v in values]
+    texts += ["-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----", "0123456789abcdef0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"] for r in secrets.found_in(df).collect()}
+    screened = {r["doc_id"] for r in secrets.candidates(df).collect()}
+    assert found == screened and len(found) > 100
+    for text in ("private_key = abcde1f2a3b4!", "credentials: abcde1f2a3b4!", "db_password_prod = abcde1f2a3b4!"):
+        assert [r["value"] for r in secrets.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+                .collect()] == ["abcde1f2a3b4"]
+
+
 def test_every_planted_token_is_found(spark, docs):
     """The test tables write secrets as token = "<40 hexadecimal digits>"; card numbers are no secrets."""
     found = {(r["doc_id"], r["value"].lower()) for r in secrets.scan_secrets(docs).filter("is_secret = 1").collect()}
