@@ -169,6 +169,29 @@ def test_every_candidate_passes_the_screen(spark):
                 .collect()] == ["abcde1f2a3b4"]
 
 
+def test_all_candidates_of_a_word(spark):
+    a, b, c = (hashlib.sha1(x).hexdigest() for x in (b"a", b"b", b"c"))
+    late = "a" * 100 + "1bcdefgh"
+    cases = {
+        f'{{"token":"{a}","password":"{b}"}}': {a, b},
+        f"https://x.org/build-20240101-release-3/a?token={a}": {"org/build-20240101-release-3/a", a},
+        f"Bearer {a}.{b}.{c}": {a, b, c},
+        "x token=hunter2!x99,password=hunter3!x99;pwd=short y": {
+            "hunter2!x99", "hunter3!x99", "hunter2!x99,password=hunter3!x99;pwd=short"},
+        f"password = p@ss!{a}": {a, f"p@ss!{a}"}, f"see {late} x": {late}, f"a?id={a}&token={a}": {a},
+        "private_key=abcde1f2a3b4! db_password_prod=hunter2!x99": {"abcde1f2a3b4!", "hunter2!x99"},
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    rows = secrets.scan_secrets(df).collect()
+    for i, (text, values) in enumerate(cases.items()):
+        found = [r["value"] for r in rows if r["doc_id"] == i]
+        assert set(found) == values, text
+        assert len(found) == (2 if "&token" in text else len(values)), text
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(df).collect()}
+    assert masked[0] == '{"token":"[SECRET]","password":"[SECRET]"}' and masked[1].endswith("?token=[SECRET]")
+    assert masked[2] == "Bearer [SECRET].[SECRET].[SECRET]"
+
+
 def test_every_planted_token_is_found(spark, docs):
     """The test tables write secrets as token = "<40 hexadecimal digits>"; card numbers are no secrets."""
     found = {(r["doc_id"], r["value"].lower()) for r in secrets.scan_secrets(docs).filter("is_secret = 1").collect()}
