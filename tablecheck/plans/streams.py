@@ -74,5 +74,5 @@ def run_fold_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
               .option("maxFilesPerTrigger", 1).parquet(sf_dir.rstrip("/")))
     state = run_fold_stream(spark, A.actions_from_events(events), A.tasks_frame(spark, sf_dir),
-                            limit_seconds=1800 * A.LOG_CLOCK * 24)
+                            limit_seconds=1800 * A.LOG_CLOCK)
     return A.fold_columns(state)

@@ -2,16 +2,18 @@
 
 The batch fold (:func:`tablecheck.operators.runlog.fold_runs`) needs the whole log;
 here actions arrive as a stream, in any order within the watermark.  A run's state
-holds the applied-so-far rows in short form (flags, never the SQL text's checks),
-and every micro-batch folds them again in ``(ts, turn)`` order: a late action takes
-its proper place, and a late submit cuts what follows it.  Rows after a known submit
-are never kept, as no later arrival can bring them back.
+holds the fold of its rows up to the watermark (counts, spans of turns, loaded tables,
+the last text of each model) and the later rows in short form, and every micro-batch
+folds these again in ``(ts, turn)`` order: a late action takes its proper place, and a
+late submit cuts what follows it.  Rows after a known submit are never kept, as no later
+arrival can bring them back.
 
 The per-action checks (valid source selection, full coverage, valid model write)
 are JVM-side columns built from the batch fold's own expressions over the task
-table, which is joined to the stream.  An event-time timer ends every run
-``run_limit`` after its first action and frees its state; until then a finished run
-keeps only its rows up to the submit.  Every micro-batch emits the folded state of
+table, which is joined to the stream.  An event-time timer ``limit_seconds`` after the
+first action of a run shrinks its state to the fold, which actions beyond the limit
+extend.  A run whose submit lies before the watermark keeps a mark that it is closed,
+so that its later actions change nothing.  Every micro-batch emits the folded state of
 the runs it touched; ``foreachBatch`` writes each batch to its own folder under the
 shared checkpoint folder (idempotent on replay), and the final state of a run is its
 row from the latest batch.
@@ -20,6 +22,7 @@ row from the latest batch.
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,42 +47,87 @@ def applied(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.iloc[:submits[0] + 1] if len(submits) else rows
 
 
-def fold_rows(run_id: int, rows: pd.DataFrame) -> pd.DataFrame:
-    """The folded state of one run from its applied rows."""
-    configured = rows[rows["cfg_ok"]]
-    written = rows[rows["wm_ok"]]
-    transforms = rows.index[rows["tool"] == "run_transforms"]
-    first = written.drop_duplicates("model", keep="first")
-    last = written.drop_duplicates("model", keep="last").set_index("model")["sql"]
-    built = first["model"][first.index < transforms[-1]] if len(transforms) else first["model"][:0]
+def add_turn(spans: list[list[int]], turn: int) -> None:
+    """Put a turn into sorted spans of following numbers."""
+    at = bisect_right(spans, turn, key=lambda s: s[0])
+    if at and turn <= spans[at - 1][1]:
+        return
+    spans.insert(at, [turn, turn])
+    for k in (at, at - 1):
+        if 0 <= k < len(spans) - 1 and spans[k][1] + 1 == spans[k + 1][0]:
+            spans[k][1] = spans.pop(k + 1)[1]
+
+
+def advance(folded: dict | None, rows: pd.DataFrame) -> dict | None:
+    """The fold of ``folded`` and the applied rows that follow it; ``folded`` is not changed."""
+    out = json.loads(json.dumps(folded)) if folded else None
+    for row in rows.itertuples(index=False):
+        if out is None:
+            out = {"task_id": row.task_id, "n_declared": int(row.n_declared), "first": int(row.at), "last": int(row.at),
+                   "submitted": False, "n_calls": 0, "turns": [], "el_succeeded": False, "loaded": [], "models": {},
+                   "transform_ran": False, "n_built": 0}
+        out["first"], out["last"] = min(out["first"], int(row.at)), max(out["last"], int(row.at))
+        out["n_calls"] += 1
+        if not pd.isna(row.turn):
+            add_turn(out["turns"], int(row.turn))
+        if row.cfg_ok:
+            out["el_succeeded"] = bool(row.covers)
+            out["loaded"] = sorted({*out["loaded"], *(t for t in row.tables if t is not None)})
+        if row.wm_ok:
+            out["models"][row.model] = row.sql  # the first write gives the place, the last one the text
+        if row.tool == "run_transforms":
+            out["transform_ran"], out["n_built"] = True, len(out["models"])
+        out["submitted"] = out["submitted"] or row.tool == TERMINAL_TOOL
+    return out
+
+
+def result(run_id: int, folded: dict) -> pd.DataFrame:
+    """The folded state of one run as its row."""
+    models = list(folded["models"])
     return pd.DataFrame([{
-        "run_id": run_id, "task_id": rows["task_id"].iloc[0],
-        "submitted": bool((rows["tool"] == TERMINAL_TOOL).any()), "n_calls": len(rows),
-        "n_turns": rows["turn"].nunique(), "elapsed_s": (rows["at"].max() - rows["at"].min()) / 1e6,
-        "el_succeeded": bool(configured["covers"].iloc[-1]) if len(configured) else False,
-        "loaded": sorted(configured["tables"].explode().dropna().unique()),
-        "n_declared": int(rows["n_declared"].iloc[0]),
-        "models": [{"model": m, "sql": last[m]} for m in first["model"]],
-        "transform_ran": bool(len(transforms)), "materialized": sorted(built)}])
+        "run_id": run_id, "task_id": folded["task_id"], "submitted": folded["submitted"], "n_calls": folded["n_calls"],
+        "n_turns": sum(high - low + 1 for low, high in folded["turns"]),
+        "elapsed_s": (folded["last"] - folded["first"]) / 1e6, "el_succeeded": folded["el_succeeded"],
+        "loaded": folded["loaded"], "n_declared": folded["n_declared"],
+        "models": [{"model": m, "sql": folded["models"][m]} for m in models],
+        "transform_ran": folded["transform_ran"], "materialized": sorted(models[:folded["n_built"]])}])
+
+
+def settled(folded: dict | None, rows: pd.DataFrame, watermark_ms: int) -> tuple[dict | None, pd.DataFrame]:
+    """Rows up to the watermark go into the fold, as no later arrival can come before them; the others stay."""
+    final = rows["at"] <= watermark_ms * 1000
+    return advance(folded, rows[final]), rows[~final]
 
 
 def make_fold(limit_seconds: float):
+    def keep(state: GroupState, folded: dict | None, rows: pd.DataFrame, limit_ms: int | None) -> None:
+        watermark = state.getCurrentWatermarkMs()
+        folded, rows = settled(folded, rows, watermark)
+        if folded and folded["submitted"]:
+            state.update((json.dumps({"closed": True}),))
+            return
+        state.update((json.dumps({"folded": folded, "rows": json.loads(rows.to_json(orient="values"))}),))
+        if len(rows):
+            ends = int(rows["at"].max() // 1000) + 1 if limit_ms is None else limit_ms
+            state.setTimeoutTimestamp(max(ends, watermark + 1))
+
     def fold(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = json.loads(state.get[0]) if state.exists else {"folded": None, "rows": []}
+        if "closed" in kept:
+            return
+        folded, held = kept["folded"], pd.DataFrame(kept["rows"], columns=KEPT)
         if state.hasTimedOut:
-            state.remove()
+            keep(state, folded, held, None)
             return
-        (kept,) = state.get if state.exists else ("[]",)
-        held = pd.DataFrame(json.loads(kept), columns=KEPT)
         parts = [c.assign(tables=c["tables"].map(lambda t: None if t is None else list(t)))[KEPT]
                  for c in chunks if len(c)]
         parts = [held, *parts] if len(held) else parts
         if not parts:
             return
         rows = applied(pd.concat(parts, ignore_index=True))
-        state.update((rows.to_json(orient="values"),))
-        ends = int(rows["at"].min() // 1000 + limit_seconds * 1000)
-        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        yield fold_rows(key[0], rows)
+        now = advance(folded, rows)
+        keep(state, folded, rows, int(now["first"] // 1000 + limit_seconds * 1000))
+        yield result(key[0], now)
 
     return fold
 

@@ -122,6 +122,33 @@ def test_stream_over_unordered_files_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_stream_goes_on_after_the_time_limit(spark, tmp_path):
+    """Runs whose timer fired, submitted or not, and act again days later."""
+    from tablecheck.plans import actions as A
+    from tablecheck.streaming.runfold import run_fold_stream
+    log = [  # (day, run, turn, tool, model)
+        [(1, 1, 0, "configure_el", None), (1, 1, 1, "write_model", "m1"), (1, 1, 3, "submit_pipeline", None),
+         (1, 2, 0, "configure_el", None), (1, 2, 1, "write_model", "m1"), (1, 2, 2, "write_model", "m2"),
+         (1, 2, 2, "run_transforms", None), (1, 3, 0, "write_model", "m2")],
+        [(2, 3, 1, "write_model", "m1")], [(3, 3, 2, "configure_el", None)], [(4, 3, 2, "run_transforms", None)],
+        [(5, 1, 9, "write_model", "m2"), (5, 2, 3, "write_model", "m1"), (5, 2, 5, "submit_pipeline", None)],
+        [(6, 3, 4, "submit_pipeline", None)], [(7, 2, 7, "run_transforms", None)]]
+    schema = ("run_id long, task_id string, ts timestamp, turn long, tool string, tables array<string>, model string, "
+              "sql string")
+    files = [[(run, "t", dt.datetime(2024, 1, day) + dt.timedelta(minutes=10 * turn, seconds=k), turn, tool,
+               ["a", "b"] if tool == "configure_el" else None, model, f"SELECT {day}{k}" if model else None)
+              for k, (day, run, turn, tool, model) in enumerate(part)] for part in log]
+    for part in files:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    tasks = spark.createDataFrame([("t", ["a", "b"], ["m1", "m2"])],
+                                  "task_id string, declared array<string>, targets array<string>")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    got = A.fold_columns(run_fold_stream(spark, stream, tasks, limit_seconds=3_600))
+    want = A.fold_columns(R.fold_runs(spark.createDataFrame(sum(files, []), schema), tasks))
+    rows = sorted(map(tuple, got.select(*want.columns).collect()))
+    assert rows == sorted(map(tuple, want.collect())) and len(rows) == 3
+
+
 def test_ties_on_time_follow_turns(spark):
     tasks = spark.createDataFrame([("t", ["a"], ["m"])], "task_id string, declared array<string>, targets array<string>")
     at = dt.datetime(2024, 1, 1)
