@@ -34,6 +34,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import text_rows, written
 
 # The characters of keys, and the names that secrets and harmless digests are given.
@@ -243,16 +244,23 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
 
 
 def train_forest(labelled: DataFrame, marks: bytes, trees: int = 24, depth: int = 7) -> PipelineModel:
-    """A forest fitted on the labelled findings (bounded), as assembler and classifier."""
+    """A forest fitted on the labelled findings (bounded), as assembler and classifier.
+
+    It is saved to the scratch folder and read back: a fitted model keeps its training
+    summary, and with it the session, which a task cannot carry.
+    """
     from pyspark.ml import Pipeline
 
     table = with_features(labelled, marks).coalesce(1).cache()
     try:
-        return Pipeline(stages=[
+        fitted = Pipeline(stages=[
             VectorAssembler(inputCols=list(FEATURES), outputCol="features"),
             RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, featureSubsetStrategy="onethird")]).fit(table)
     finally:
         table.unpersist()
+    path = scratch_path(labelled.sparkSession, "secret-forest")
+    fitted.save(path)
+    return PipelineModel.load(path)
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
