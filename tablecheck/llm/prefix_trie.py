@@ -8,7 +8,7 @@ all prefixes of a conversation at once and its parent's name is one turn less.
    conversation and depth and written; running digests inside a partition are shifted by
    those of the conversation's earlier partitions.  A conversation of any length is spread.
 2. Conversations are cut into segments of at most ``SEGMENT`` turns, and segments are dealt
-   to shards by hash, ``SHARD_ROWS`` turns each.  A shard enumerates its distinct digests and
+   to shards by hash, at most about ``SHARD_ROWS`` turns each.  A shard enumerates its distinct digests and
    gives each a slot of a minimal perfect hash (:class:`SlotTable`; the digest kept in a slot
    verifies every lookup), scatters members, ends and smallest members into flat arrays, and
    finds every node's parent slot.  However many conversations share a node, it is one row
@@ -312,7 +312,7 @@ def prefix_trie(rows: DataFrame, lengths: DataFrame, segment: int = SEGMENT, sha
     if not whole["n"]:
         return spark.createDataFrame([], _SCHEMA)
     prefixes = _prefixes(rows)
-    shards = -(-whole["turns"] // shard_rows) or 1
+    shards = max(-(-whole["turns"] // shard_rows), shuffle_partitions(spark))
     shard = F.pmod(F.xxhash64("conv_id", "segment"), F.lit(shards))
     cut = prefixes.withColumn("segment", F.expr(f"(depth - 1) div {segment}")).withColumn("head", F.lit(False))
     heads = (cut.filter((F.col("depth") % segment == 0) & ~F.col("last"))
