@@ -1,8 +1,9 @@
 """Run logs: fold many runs' action logs into run state, grade, and apply limits.
 
-Input ``actions``: ``(run_id, task_id, ts, turn, tool, tables ARRAY<STRING>, model, sql)``,
-one row per tool call, ``turn`` counting the run's turns (several calls may share one);
-``tasks``: ``(task_id, declared ARRAY<STRING>, targets ARRAY<STRING>)``.
+Input ``actions``: ``(run_id, task_id, ts, turn, tool, tables ARRAY<STRING>, model, sql)`` and
+optionally ``failed BOOLEAN``, one row per tool call, ``turn`` counting the run's turns (several
+calls may share one); ``tasks``: ``(task_id, declared ARRAY<STRING>, targets ARRAY<STRING>)``
+and optionally ``official BOOLEAN``.
 
 Fold rules (per run, actions ordered by ``(ts, turn)``):
 
@@ -11,14 +12,22 @@ Fold rules (per run, actions ordered by ``(ts, turn)``):
 * ``configure_el`` fails on an empty list or an undeclared table; otherwise its tables
   are loaded (and stay loaded) and ``el_succeeded`` becomes "this call covered every
   declared table", so a later partial call clears it;
+* in an official task ``configure_el`` only declares its tables; a ``run_el`` that did not
+  fail loads those declared before it and sets ``el_succeeded`` for good (elsewhere
+  ``run_el`` changes nothing);
 * ``write_model`` fails for an undeclared target or a non-SELECT text; the first
   valid write of a model fixes its order, the last one its text;
 * ``run_transforms`` sets ``transform_ran`` (even with no models) and materialises
   every model written before it.
 
-Everything is a grouped aggregate or an equi-join on ``run_id``: no window, no
-per-run collection of the log.  No join is hinted: adaptive execution measures the
-sides at run time, broadcasts those below its byte threshold and splits hot runs.
+The fold is a mergeable summary.  :func:`action_facets` turns an action into facets, each with
+a key: the call itself, its turn, a table, a model's text, a transform, a submit.  Of each
+(run, facet, key) only a count, the first and the last place and the last value are kept;
+such summaries of any rows of a run merge by :func:`merged`, and :func:`run_states` reads the
+run's state off them.  The stream keeps the same summary as its state.  In batch the log is
+read twice: for the first submits (one small row per run) and for the facets; the cut at
+the submit joins on (run, salt), and a run of any length is pre-aggregated in all tasks.
+No join is hinted: adaptive execution measures the sides at run time.
 """
 
 from __future__ import annotations
@@ -33,6 +42,9 @@ TERMINAL_TOOL = "submit_pipeline"
 EXTRACT_WEIGHT, TARGET_WEIGHT = 0.2, 0.8
 MAX_TURNS, MAX_CALLS, MAX_SECONDS = 12, 50, 1800
 ERROR_CHARS = 1200
+# Parts in which a run's actions are cut at its submit; the place of a call without a turn among calls of its time.
+SALTS = 16
+FIRST_TURN = -(1 << 63)
 
 
 def valid_configure(tables: Column, declared: Column) -> Column:
@@ -49,12 +61,105 @@ def call_order() -> Column:
     return F.struct("ts", "turn")
 
 
-def until_submit(actions: DataFrame) -> DataFrame:
-    """Actions up to and including each run's first submit (all actions if none)."""
+def until_submit(actions: DataFrame, salts: int = 1) -> DataFrame:
+    """Actions up to and including each run's first submit (all actions if none).
+
+    With ``salts`` above 1 a run's actions are joined in that many parts.
+    """
     submit = (actions.where(F.col("tool") == TERMINAL_TOOL)
               .groupBy("run_id").agg(F.min(call_order()).alias("_submit")))
-    joined = actions.join(submit, "run_id", "left")
-    return joined.where(F.col("_submit").isNull() | (call_order() <= F.col("_submit"))).drop("_submit")
+    on = ["run_id"]
+    if salts > 1:
+        on = ["run_id", "_salt"]
+        actions = actions.withColumn("_salt", F.pmod(F.xxhash64("ts", "turn"), F.lit(salts)))
+        submit = submit.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    joined = actions.join(submit, on, "left")
+    return joined.where(F.col("_submit").isNull() | (call_order() <= F.col("_submit"))).drop("_submit", "_salt")
+
+
+def _optional(df: DataFrame, name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
+
+
+def action_facets(actions: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``run_id, task_id, n_declared, ts, at, turn, facet, key, text, flag``: what each action adds to its run.
+
+    ``at`` is the time in microseconds; a missing turn comes first in the order of calls and
+    has no turn facet.  Actions of unknown tasks are left out.
+    """
+    known = tasks.select("task_id", "declared", "targets", _optional(tasks, "official").alias("_official"))
+    acts = (actions.withColumn("_failed", _optional(actions, "failed")).join(known, "task_id")
+            .withColumn("_cfg", F.coalesce(valid_configure(F.col("tables"), F.col("declared")), F.lit(False)))
+            .withColumn("_wm", F.coalesce(valid_write(F.col("model"), F.col("sql"), F.col("targets")), F.lit(False))))
+    official, tool = F.col("_official"), F.col("tool")
+    covers = F.coalesce(F.size(F.array_except("declared", "tables")) == 0, F.lit(False))
+    none, text = F.lit(None).cast("boolean"), F.lit(None).cast("string")
+
+    def facet(name, key=F.lit(""), value=text, flag=none):  # noqa: B008
+        name = F.lit(name) if isinstance(name, str) else name
+        return F.struct(name.alias("facet"), key.alias("key"), value.alias("text"), flag.alias("flag"))
+
+    empty = F.array().cast("array<struct<facet:string,key:string,text:string,flag:boolean>>")
+    when = lambda condition, *facets: F.when(condition, F.array(*facets)).otherwise(empty)
+    each_table = F.transform(F.array_distinct("tables"), lambda t: facet(
+        F.when(official, "source").otherwise("table"), F.coalesce(t, F.lit(""))))
+    facets = F.concat(
+        F.array(facet("call")),
+        when(F.col("turn").isNotNull(), facet("turn", F.col("turn").cast("string"))),
+        when(tool == TERMINAL_TOOL, facet("submit")),
+        when(tool == "run_transforms", facet("transform")),
+        when((tool == "run_el") & official & ~F.col("_failed"), facet("extract")),
+        when(F.col("_cfg") & ~official, facet("configure", flag=covers)),
+        F.when(F.col("_cfg"), each_table).otherwise(empty),
+        when(F.col("_wm"), facet("model", F.col("model"), F.col("sql"))))
+    return (acts.select("run_id", "task_id", F.size("declared").cast("long").alias("n_declared"), "ts",
+                        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+                        F.coalesce(F.col("turn").cast("long"), F.lit(FIRST_TURN)).alias("turn"), F.explode(facets).alias("f"))
+            .select("run_id", "task_id", "n_declared", "ts", "at", "turn", "f.*"))
+
+
+def summarised(facets: DataFrame) -> DataFrame:
+    """The summary of raw facets: one row per (run, facet, key)."""
+    place = F.struct("at", "turn")
+    return merged(facets.select("run_id", "task_id", "n_declared", "facet", "key", F.lit(1).cast("long").alias("n"),
+                                place.alias("first"), place.alias("last"), F.struct("text", "flag").alias("value")))
+
+
+def merged(summaries: DataFrame) -> DataFrame:
+    """Summaries of disjoint parts of runs as one: ``run_id, facet, key, task_id, n_declared, n, first, last, value``."""
+    return summaries.groupBy("run_id", "facet", "key").agg(
+        F.max("task_id").alias("task_id"), F.max("n_declared").alias("n_declared"), F.sum("n").alias("n"),
+        F.min("first").alias("first"), F.max_by("value", "last").alias("value"), F.max("last").alias("last"))
+
+
+def run_states(summary: DataFrame) -> DataFrame:
+    """One row per run from a summary cut at the first submit; see :func:`fold_runs`."""
+    only = lambda name, c: F.when(F.col("facet") == name, c)
+    place = only("call", F.col("first.at")), only("call", F.col("last.at"))
+    state = summary.groupBy("run_id").agg(
+        F.max("task_id").alias("task_id"), F.max("n_declared").alias("n_declared"),
+        F.max(F.col("facet") == "submit").alias("submitted"),
+        F.sum(only("call", F.col("n"))).alias("n_calls"), F.count(only("turn", F.lit(1))).alias("n_turns"),
+        (F.max(place[1]) - F.min(place[0])).alias("_elapsed"),
+        F.max(only("configure", F.col("value.flag"))).alias("_covers"),
+        F.max(only("extract", F.col("last"))).alias("_extract"),
+        F.max(only("transform", F.col("last"))).alias("_transform"),
+        # at most the declared tables and the declared targets of a run
+        F.collect_list(only("table", F.col("key"))).alias("_tables"),
+        F.collect_list(only("source", F.struct("first", "key"))).alias("_sources"),
+        F.collect_list(only("model", F.struct("first", F.col("key").alias("model"), F.col("value.text").alias("sql"))))
+        .alias("_writes"))
+    extracted = F.transform(F.filter("_sources", lambda s: F.coalesce(s["first"] < F.col("_extract"), F.lit(False))),
+                            lambda s: s["key"])
+    writes = F.sort_array("_writes")
+    built = F.filter("_writes", lambda w: F.coalesce(w["first"] < F.col("_transform"), F.lit(False)))
+    return state.select(
+        "run_id", "task_id", "submitted", "n_calls", "n_turns", (F.col("_elapsed") / 1_000_000).alias("elapsed_s"),
+        (F.coalesce("_covers", F.lit(False)) | F.col("_extract").isNotNull()).alias("el_succeeded"),
+        F.sort_array(F.array_union("_tables", extracted)).alias("loaded"), "n_declared",
+        F.transform(writes, lambda w: F.struct(w["model"].alias("model"), w["sql"].alias("sql"))).alias("models"),
+        F.col("_transform").isNotNull().alias("transform_ran"),
+        F.sort_array(F.transform(built, lambda w: w["model"])).alias("materialized"))
 
 
 def fold_runs(actions: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -64,39 +169,7 @@ def fold_runs(actions: DataFrame, tasks: DataFrame) -> DataFrame:
     ``loaded`` and ``materialized`` are sorted names; ``models`` holds (model, sql), the
     last valid text of each model in the order of their first valid writes.
     """
-    acts = until_submit(actions).join(tasks, "task_id", "inner")
-    acts = acts.withColumn("_cfg", valid_configure(F.col("tables"), F.col("declared"))) \
-               .withColumn("_wm", valid_write(F.col("model"), F.col("sql"), F.col("targets")))
-    covers = F.size(F.array_except(F.col("declared"), F.col("tables"))) == 0
-    state = acts.groupBy("run_id", "task_id").agg(
-        F.max((F.col("tool") == TERMINAL_TOOL).cast("int")).cast("boolean").alias("submitted"),
-        F.count(F.lit(1)).alias("n_calls"),
-        F.countDistinct("turn").alias("n_turns"),
-        (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp"))))
-        .alias("_elapsed"),
-        F.coalesce(F.max_by(F.when(F.col("_cfg"), covers), F.when(F.col("_cfg"), call_order())),
-                   F.lit(False)).alias("el_succeeded"),
-        F.max(F.when(F.col("tool") == "run_transforms", call_order())).alias("_last_transform"),
-        F.first("declared").alias("_declared"))
-    loaded = (acts.where("_cfg").select("run_id", F.explode("tables").alias("t")).distinct()
-              .groupBy("run_id").agg(F.sort_array(F.collect_list("t")).alias("loaded")))
-    writes = (acts.where("_wm").groupBy("run_id", "model").agg(
-        F.min(call_order()).alias("_first_write"), F.max_by("sql", call_order()).alias("sql")))
-    models = (writes.join(state.select("run_id", "_last_transform"), "run_id")
-              .groupBy("run_id").agg(
-                  F.sort_array(F.collect_list(F.struct("_first_write", "model", "sql"))).alias("_writes"),
-                  F.sort_array(F.collect_list(F.when(F.col("_last_transform") > F.col("_first_write"),
-                                                     F.col("model")))).alias("materialized")))
-    names = F.array().cast("array<string>")
-    staged = F.transform("_writes", lambda w: F.struct(w["model"].alias("model"), w["sql"].alias("sql")))
-    return (state.join(loaded, "run_id", "left").join(models, "run_id", "left")
-            .select("run_id", "task_id", "submitted", "n_calls", "n_turns",
-                    (F.col("_elapsed") / 1_000_000).alias("elapsed_s"), "el_succeeded",
-                    F.coalesce("loaded", names).alias("loaded"),
-                    F.size("_declared").cast("long").alias("n_declared"),
-                    F.coalesce(staged, F.array().cast("array<struct<model:string,sql:string>>")).alias("models"),
-                    F.col("_last_transform").isNotNull().alias("transform_ran"),
-                    F.coalesce("materialized", names).alias("materialized")))
+    return run_states(summarised(action_facets(until_submit(actions, SALTS), tasks)))
 
 
 def raw_fractions(state: DataFrame, counts: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ Mapping (fixed for the tests): run = ``user_id``; order = ``ts``; turn = ``event
 purchase -> submit_pipeline, error -> preview_sql); arguments from ``props.k``:
 configure_el tables by ``k % 4`` (both declared, one, both with a duplicate, one
 undeclared), write_model target by ``k % 3`` (two declared targets, one unknown),
-SQL text with a semicolon when ``k % 7 = 3``.  Every task declares the sources
+SQL text with a semicolon when ``k % 7 = 3``.  Tasks 10 to 14 are official ones: there an
+error with even k is a run_el, which failed when ``k % 11 = 5``.  Every task declares the sources
 ``customers, orders`` and the targets ``daily_activity, type_summary``; produced
 tables are scored by :mod:`runs` batch grading.
 """
@@ -27,6 +28,7 @@ from .registry import register, table
 DECLARED = ("customers", "orders")
 TARGETS = ("daily_activity", "type_summary")
 LOG_CLOCK = 240
+OFFICIAL_FROM = 10
 
 
 def actions_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +42,8 @@ def actions_from_events(e: DataFrame) -> DataFrame:
             .when(F.col("event_type") == "view", "write_model")
             .when(F.col("event_type") == "click", "run_transforms")
             .when(F.col("event_type") == "purchase", "submit_pipeline")
-            .when(F.col("event_type") == "error", "preview_sql"))
+            .when(F.col("event_type") == "error", F.when((F.col("user_id") % RN.N_TASKS >= OFFICIAL_FROM) & (k % 2 == 0), "run_el")
+                  .otherwise("preview_sql")))
     tables = F.when(tool == "configure_el",
                     F.when(k % 4 == 0, F.array(F.lit("customers"), F.lit("orders")))
                     .when(k % 4 == 1, F.array(F.lit("customers")))
@@ -52,18 +55,19 @@ def actions_from_events(e: DataFrame) -> DataFrame:
                  F.when(k % 7 == 3, F.concat(F.lit("SELECT "), k.cast("string"), F.lit("; DROP TABLE x")))
                  .otherwise(F.concat(F.lit("select * from events where k = "), k.cast("string"))))
     return e.select("event_id", F.col("user_id").alias("run_id"), RN.task_of(F.col("user_id")).alias("task_id"),
-                    "ts", F.col("event_id").alias("turn"), tool.alias("tool"), tables.alias("tables"), model.alias("model"), sql.alias("sql"))
+                    "ts", F.col("event_id").alias("turn"), tool.alias("tool"), tables.alias("tables"), model.alias("model"), sql.alias("sql"),
+                    ((tool == "run_el") & (k % 11 == 5)).alias("failed"))
 
 
-def tasks_frame(spark: SparkSession, sf_dir: str, runs: DataFrame | None = None) -> DataFrame:
-    runs = RN.runs_frame(spark, sf_dir) if runs is None else runs
-    return (runs.select("task_id").distinct()
-            .select("task_id", F.array(*[F.lit(t) for t in DECLARED]).alias("declared"),
-                    F.array(*[F.lit(t) for t in TARGETS]).alias("targets")))
+def tasks_frame(spark: SparkSession) -> DataFrame:
+    """The tasks that the mapping fixes (no scan: runs name them)."""
+    names = lambda values: F.array(*[F.lit(t) for t in values])
+    return spark.range(RN.N_TASKS).select(RN.task_of(F.col("id")).alias("task_id"), names(DECLARED).alias("declared"),
+                                          names(TARGETS).alias("targets"), (F.col("id") >= OFFICIAL_FROM).alias("official"))
 
 
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.fold_runs(actions_frame(spark, sf_dir), tasks_frame(spark, sf_dir))
+    return R.fold_runs(actions_frame(spark, sf_dir), tasks_frame(spark))
 
 
 def graded(spark: SparkSession, sf_dir: str, es: RN.EventSummaries | None = None):
@@ -75,7 +79,7 @@ def graded(spark: SparkSession, sf_dir: str, es: RN.EventSummaries | None = None
     replay every log and grade every table once per branch.
     """
     es = es or RN.event_summaries(spark, sf_dir)
-    tasks = tasks_frame(spark, sf_dir, es.runs)
+    tasks = tasks_frame(spark)
     out = materialize_all({"batch-scores": lambda: RN.batch_scores(spark, sf_dir, es),
                            "run-fold": lambda: R.fold_runs(actions_frame(spark, sf_dir), tasks)})
     return R.grade_runs(out["run-fold"], tasks, out["batch-scores"], RN.source_counts(es))
@@ -91,11 +95,13 @@ SELECT event_id, user_id AS run_id, {RN.TASK_SQL} AS task_id, ts, event_id AS tu
        ELSE 'unknown_model' END END AS model,
   CASE WHEN tool IN ('write_model', 'preview_sql') THEN CASE WHEN k % 7 = 3
        THEN 'SELECT ' || CAST(k AS VARCHAR) || '; DROP TABLE x'
-       ELSE 'select * from events where k = ' || CAST(k AS VARCHAR) END END AS sql
+       ELSE 'select * from events where k = ' || CAST(k AS VARCHAR) END END AS sql,
+  user_id % 15 >= {OFFICIAL_FROM} AS official, tool = 'run_el' AND k % 11 = 5 AS failed
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
         CASE event_type WHEN 'signup' THEN 'configure_el' WHEN 'view' THEN 'write_model'
           WHEN 'click' THEN 'run_transforms' WHEN 'purchase' THEN 'submit_pipeline'
-          WHEN 'error' THEN 'preview_sql' END AS tool FROM events)"""
+          WHEN 'error' THEN CASE WHEN user_id % 15 >= {OFFICIAL_FROM} AND CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0
+            THEN 'run_el' ELSE 'preview_sql' END END AS tool FROM events)"""
 
 SELECT_OK_SQL = (f"({S.strip('sql')} <> '' AND strpos({S.strip('sql')}, ';') = 0 AND "
                  f"regexp_matches({S.strip('sql')}, '^(?i:select|with)([^\\pL\\pN_]|$)'))")
@@ -111,11 +117,14 @@ f AS (SELECT a.*,
       FROM a LEFT JOIN sub USING (run_id) WHERE sub.submit_ts IS NULL OR a.ts <= sub.submit_ts),
 st AS (SELECT run_id, task_id, bool_or(tool = 'submit_pipeline') AS submitted, count(*) AS n_calls,
          count(DISTINCT turn) AS n_turns, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS elapsed_s,
-         coalesce(arg_max(covers, ts) FILTER (WHERE cfg), FALSE) AS el_succeeded,
+         coalesce(arg_max(covers, ts) FILTER (WHERE cfg AND NOT official), FALSE)
+           OR coalesce(bool_or(tool = 'run_el' AND NOT failed), FALSE) AS el_succeeded,
+         max(ts) FILTER (WHERE tool = 'run_el' AND NOT failed) AS last_el,
          max(ts) FILTER (WHERE tool = 'run_transforms') AS last_tr
        FROM f GROUP BY run_id, task_id),
 ld AS (SELECT run_id, list_sort(list(DISTINCT t)) AS loaded
-       FROM (SELECT run_id, unnest(tables) AS t FROM f WHERE cfg) GROUP BY run_id),
+       FROM (SELECT run_id, unnest(tables) AS t FROM f LEFT JOIN (SELECT run_id, last_el FROM st) USING (run_id)
+             WHERE cfg AND (NOT official OR ts < last_el)) GROUP BY run_id),
 wr AS (SELECT run_id, model, min(ts) AS fw, arg_max(sql, ts) AS sql FROM f WHERE wm GROUP BY run_id, model),
 md AS (SELECT wr.run_id, string_agg(wr.model || ': ' || wr.sql, ' | ' ORDER BY wr.fw) AS models,
          list_sort(list(wr.model) FILTER (WHERE st.last_tr > wr.fw)) AS materialized
@@ -231,7 +240,7 @@ def undeclared_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selected source tables that the run's task does not declare (anti-join)."""
     acts = actions_frame(spark, sf_dir).where(F.col("tool") == "configure_el")
     selected = acts.select("run_id", "task_id", F.explode("tables").alias("table_name")).distinct()
-    declared = tasks_frame(spark, sf_dir).select("task_id", F.explode("declared").alias("table_name"))
+    declared = tasks_frame(spark).select("task_id", F.explode("declared").alias("table_name"))
     return undeclared(selected, declared, ["task_id"]).select("run_id", "table_name")
 
 
@@ -260,7 +269,7 @@ def task_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Public task summary text per task, with the expected rows of its raw tables."""
     es = RN.event_summaries(spark, sf_dir)
     expected = RN.source_counts(es).select("task_id", "table_name", "expected").distinct()
-    return R.task_summaries(tasks_frame(spark, sf_dir, es.runs), expected, "spark")
+    return R.task_summaries(tasks_frame(spark).join(es.runs.select("task_id").distinct(), "task_id"), expected, "spark")
 
 
 # ---------------------------------------------------------------- job rollup

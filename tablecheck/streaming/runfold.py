@@ -1,164 +1,195 @@
-"""Run-log fold as a Structured Streaming job with per-run state.
-
-The batch fold (:func:`tablecheck.operators.runlog.fold_runs`) needs the whole log;
-here actions arrive as a stream, in any order within the watermark.  A run's state
-holds the fold of its rows up to the watermark (counts, spans of turns, loaded tables,
-the last text of each model) and the later rows in short form, and every micro-batch
-folds these again in ``(ts, turn)`` order: a late action takes its proper place, and a
-late submit cuts what follows it.  Rows after a known submit are never kept, as no later
-arrival can bring them back.
-
-The per-action checks (valid source selection, full coverage, valid model write)
-are JVM-side columns built from the batch fold's own expressions over the task
-table, which is joined to the stream.  An event-time timer ``limit_seconds`` after the
-first action of a run shrinks its state to the fold, which actions beyond the limit
-extend.  A run whose submit lies before the watermark keeps a mark that it is closed,
-so that its later actions change nothing.  Every micro-batch emits the folded state of
-the runs it touched; ``foreachBatch`` writes each batch to its own folder under the
-shared checkpoint folder (idempotent on replay), and the final state of a run is its
-row from the latest batch.
+"""Run-log fold as a Structured Streaming job with typed state per run.
+
+The batch fold (:func:`tablecheck.operators.runlog.fold_runs`) needs the whole log; here
+actions arrive as a stream, in any order within the watermark.  The stream carries the batch
+fold's own facets (:func:`~tablecheck.operators.runlog.action_facets`, JVM-side columns), and
+``transformWithStateInPandas`` keeps per run
+
+* a ``MapState`` (facet, key) -> count, first and last place, last value: the mergeable
+  summary of all rows up to the watermark, one entry per model, table and turn;
+* a ``ListState`` of the facets beyond the watermark, before which others may still come;
+* a ``ValueState`` with the run's segment, its timer, and whether it is closed.
+
+Rows after a known submit are never kept.  Every micro-batch emits the summary of the runs it
+touched, settled and waiting facets merged.  State always goes: a run whose submit the
+watermark has passed gives up its summary at once and its closed mark ``closed_seconds``
+after the submit; any other run expires ``limit_seconds`` after its last action.  What
+arrives for a run after that starts a new segment, and as every row of a segment lies before
+the next one's, :func:`latest_states` merges a run's segments, up to the first that was
+submitted, with the batch fold's own aggregate: the result is that of the batch fold
+whenever the timers fire.
+
+Actions of a task that the task table does not know move the watermark on and do nothing
+else, so a source without news can flush the state with them.  ``foreachBatch`` writes each
+batch to its own folder under the shared checkpoint folder (idempotent on replay).
 """
 
 from __future__ import annotations
 
-import json
-from bisect import bisect_right
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.runlog import MAX_SECONDS, TERMINAL_TOOL, valid_configure, valid_write
+from ..operators.runlog import MAX_SECONDS, action_facets, merged, run_states
 from ..session import scratch_path
 
-OUTPUT_SCHEMA = ("run_id long, task_id string, submitted boolean, n_calls long, n_turns long, elapsed_s double, "
-                 "el_succeeded boolean, loaded array<string>, n_declared long, "
-                 "models array<struct<model:string,sql:string>>, transform_ran boolean, materialized array<string>")
-STATE_SCHEMA = "rows string"
-KEPT = ["task_id", "at", "turn", "tool", "tables", "model", "sql", "cfg_ok", "covers", "wm_ok", "n_declared"]
+WAITING = ["at", "turn", "facet", "key", "text", "flag"]
+WAITING_SCHEMA = "at long, turn long, facet string, key string, text string, flag boolean"
+SUMMARY = ["n", "first_at", "first_turn", "last_at", "last_turn", "text", "flag"]
+SUMMARY_SCHEMA = "n long, first_at long, first_turn long, last_at long, last_turn long, text string, flag boolean"
+OUTPUT_SCHEMA = f"run_id long, task_id string, n_declared long, segment long, facet string, key string, {SUMMARY_SCHEMA}"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def applied(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows in call order, up to and including the first submit."""
+def cut(rows: pd.DataFrame) -> pd.DataFrame:
+    """Facets in call order, up to and including those of the first submit."""
     rows = rows.sort_values(["at", "turn"], kind="stable", ignore_index=True)
-    submits = rows.index[rows["tool"] == TERMINAL_TOOL]
-    return rows.iloc[:submits[0] + 1] if len(submits) else rows
-
-
-def add_turn(spans: list[list[int]], turn: int) -> None:
-    """Put a turn into sorted spans of following numbers."""
-    at = bisect_right(spans, turn, key=lambda s: s[0])
-    if at and turn <= spans[at - 1][1]:
-        return
-    spans.insert(at, [turn, turn])
-    for k in (at, at - 1):
-        if 0 <= k < len(spans) - 1 and spans[k][1] + 1 == spans[k + 1][0]:
-            spans[k][1] = spans.pop(k + 1)[1]
-
-
-def advance(folded: dict | None, rows: pd.DataFrame) -> dict | None:
-    """The fold of ``folded`` and the applied rows that follow it; ``folded`` is not changed."""
-    out = json.loads(json.dumps(folded)) if folded else None
-    for row in rows.itertuples(index=False):
-        if out is None:
-            out = {"task_id": row.task_id, "n_declared": int(row.n_declared), "first": int(row.at), "last": int(row.at),
-                   "submitted": False, "n_calls": 0, "turns": [], "el_succeeded": False, "loaded": [], "models": {},
-                   "transform_ran": False, "n_built": 0}
-        out["first"], out["last"] = min(out["first"], int(row.at)), max(out["last"], int(row.at))
-        out["n_calls"] += 1
-        if not pd.isna(row.turn):
-            add_turn(out["turns"], int(row.turn))
-        if row.cfg_ok:
-            out["el_succeeded"] = bool(row.covers)
-            out["loaded"] = sorted({*out["loaded"], *(t for t in row.tables if t is not None)})
-        if row.wm_ok:
-            out["models"][row.model] = row.sql  # the first write gives the place, the last one the text
-        if row.tool == "run_transforms":
-            out["transform_ran"], out["n_built"] = True, len(out["models"])
-        out["submitted"] = out["submitted"] or row.tool == TERMINAL_TOOL
-    return out
-
-
-def result(run_id: int, folded: dict) -> pd.DataFrame:
-    """The folded state of one run as its row."""
-    models = list(folded["models"])
-    return pd.DataFrame([{
-        "run_id": run_id, "task_id": folded["task_id"], "submitted": folded["submitted"], "n_calls": folded["n_calls"],
-        "n_turns": sum(high - low + 1 for low, high in folded["turns"]),
-        "elapsed_s": (folded["last"] - folded["first"]) / 1e6, "el_succeeded": folded["el_succeeded"],
-        "loaded": folded["loaded"], "n_declared": folded["n_declared"],
-        "models": [{"model": m, "sql": folded["models"][m]} for m in models],
-        "transform_ran": folded["transform_ran"], "materialized": sorted(models[:folded["n_built"]])}])
-
-
-def settled(folded: dict | None, rows: pd.DataFrame, watermark_ms: int) -> tuple[dict | None, pd.DataFrame]:
-    """Rows up to the watermark go into the fold, as no later arrival can come before them; the others stay."""
-    final = rows["at"] <= watermark_ms * 1000
-    return advance(folded, rows[final]), rows[~final]
-
-
-def make_fold(limit_seconds: float):
-    def keep(state: GroupState, folded: dict | None, rows: pd.DataFrame, limit_ms: int | None) -> None:
-        watermark = state.getCurrentWatermarkMs()
-        folded, rows = settled(folded, rows, watermark)
-        if folded and folded["submitted"]:
-            state.update((json.dumps({"closed": True}),))
+    submits = rows.index[rows["facet"] == "submit"]
+    if not len(submits):
+        return rows
+    at, turn = rows.loc[submits[0], ["at", "turn"]]
+    return rows[(rows["at"] < at) | ((rows["at"] == at) & (rows["turn"] <= turn))]
+
+
+def summary_of(rows: pd.DataFrame) -> dict[tuple, tuple]:
+    """(facet, key) -> count, first place, last place and value of ordered facets."""
+    names = ["facet", "key"]
+    n = rows.groupby(names, sort=False).size()
+    first = rows.drop_duplicates(names, keep="first")
+    last = rows.drop_duplicates(names, keep="last").set_index(names).loc[list(zip(first["facet"], first["key"], strict=True))]
+    keys = zip(first["facet"], first["key"], strict=True)
+    values = zip(n, first["at"], first["turn"], last["at"], last["turn"], last["text"], last["flag"], strict=True)
+    return {k: (int(c), int(fa), int(ft), int(la), int(lt), None if pd.isna(text) else text, None if pd.isna(flag) else bool(flag))
+            for k, (c, fa, ft, la, lt, text, flag) in zip(keys, values, strict=True)}
+
+
+def merge(known: tuple | None, new: tuple) -> tuple:
+    """Two summaries of one key."""
+    if known is None:
+        return tuple(new)
+    first = min(tuple(known[1:3]), tuple(new[1:3]))
+    later = max((known, new), key=lambda s: tuple(s[3:5]))
+    return (known[0] + new[0], *first, *later[3:])
+
+
+class RunFold(StatefulProcessor):
+    """State of one run; see the module's text."""
+
+    def __init__(self, limit_seconds: float, closed_seconds: float):
+        self.limit_ms, self.closed_ms = int(limit_seconds * 1000), int(closed_seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "segment long, timer long, closed boolean")
+        self.waiting = handle.getListState("waiting", WAITING_SCHEMA)
+        self.facets = handle.getMapState("facets", "facet string, key string", SUMMARY_SCHEMA)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = self.run.get() if self.run.exists() else None
+        parts = [part for part in rows if len(part)]
+        if not parts or (known is not None and known[2]):
             return
-        state.update((json.dumps({"folded": folded, "rows": json.loads(rows.to_json(orient="values"))}),))
-        if len(rows):
-            ends = int(rows["at"].max() // 1000) + 1 if limit_ms is None else limit_ms
-            state.setTimeoutTimestamp(max(ends, watermark + 1))
-
-    def fold(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else {"folded": None, "rows": []}
-        if "closed" in kept:
-            return
-        folded, held = kept["folded"], pd.DataFrame(kept["rows"], columns=KEPT)
-        if state.hasTimedOut:
-            keep(state, folded, held, None)
-            return
-        parts = [c.assign(tables=c["tables"].map(lambda t: None if t is None else list(t)))[KEPT]
-                 for c in chunks if len(c)]
-        parts = [held, *parts] if len(held) else parts
-        if not parts:
-            return
-        rows = applied(pd.concat(parts, ignore_index=True))
-        now = advance(folded, rows)
-        keep(state, folded, rows, int(now["first"] // 1000 + limit_seconds * 1000))
-        yield result(key[0], now)
-
-    return fold
-
-
-def run_fold_stream(spark: SparkSession, actions: DataFrame, tasks: DataFrame, watermark: str = "1 hour",
-                    limit_seconds: float = MAX_SECONDS) -> DataFrame:
-    """Run the streaming fold until the input is drained; return the final state per run.
+        new = pd.concat(parts, ignore_index=True)
+        held = list(self.waiting.get()) if known is not None else []
+        every = pd.concat([pd.DataFrame(held, columns=WAITING), new[WAITING]], ignore_index=True) if held else new[WAITING]
+        every = cut(every)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        final = every["at"] <= watermark * 1000
+        settled = {tuple(k): tuple(v) for k, v in self.facets.iterator()} if known is not None else {}
+        for name, value in summary_of(every[final]).items():
+            settled[name] = merge(settled.get(name), value)
+            self.facets.updateValue(name, settled[name])
+        whole = dict(settled)
+        for name, value in summary_of(every[~final]).items():
+            whole[name] = merge(whole.get(name), value)
+        closed = ("submit", "") in settled
+        end = whole["submit", ""][3] // 1000 + self.closed_ms if closed else whole["call", ""][3] // 1000 + self.limit_ms
+        self._keep(known, int(every["at"].min()), max(end, watermark) + 1, closed, every[~final])
+        out = pd.DataFrame([(*k, *v) for k, v in whole.items()], columns=["facet", "key", *SUMMARY])
+        out.insert(0, "segment", self.run.get()[0])
+        out.insert(0, "n_declared", int(new["n_declared"].iloc[0]))
+        out.insert(0, "task_id", new["task_id"].iloc[0])
+        out.insert(0, "run_id", key[0])
+        yield out
+
+    def _keep(self, known: tuple | None, first: int, timer: int, closed: bool, rest: pd.DataFrame) -> None:
+        if known is not None:
+            self.handle.deleteTimer(known[1])
+        self.handle.registerTimer(timer)
+        self.run.update((first if known is None else known[0], timer, closed))
+        if closed:
+            self.facets.clear()
+            self.waiting.clear()
+        elif len(rest):
+            rest = rest.astype(object).where(rest.notna(), None)
+            self.waiting.put([tuple(r) for r in rest.itertuples(index=False)])
+        else:
+            self.waiting.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.run.clear()
+        self.waiting.clear()
+        self.facets.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """The state store that typed state needs, for queries started inside."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+
+
+def start_fold_stream(spark: SparkSession, actions: DataFrame, tasks: DataFrame, out_dir: str, watermark: str = "1 hour",
+                      limit_seconds: float = MAX_SECONDS, closed_seconds: float | None = None) -> StreamingQuery:
+    """Start the streaming fold over all available input; summaries go to ``out_dir``, one folder per micro-batch.
 
     ``tasks``: ``(task_id, declared, targets)``, a static table joined to the stream.
+    ``closed_seconds`` is ``limit_seconds`` unless given.
     """
-    out_dir = scratch_path(spark, "runfold-stream")
-    ckpt = scratch_path(spark, "runfold-stream-ckpt")
     # Watermarks need TIMESTAMP; a TIMESTAMP_NTZ log is read as UTC wall time.
     timed = actions.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    declared, targets = F.col("declared"), F.col("targets")
-    checked = timed.join(tasks.select("task_id", "declared", "targets"), "task_id").select(
-        "run_id", "task_id", "ts", F.unix_micros("ts").alias("at"), "turn", "tool", "tables", "model", "sql",
-        F.coalesce(valid_configure(F.col("tables"), declared), F.lit(False)).alias("cfg_ok"),
-        F.coalesce(F.size(F.array_except(declared, F.col("tables"))) == 0, F.lit(False)).alias("covers"),
-        F.coalesce(valid_write(F.col("model"), F.col("sql"), targets), F.lit(False)).alias("wm_ok"),
-        F.size("declared").alias("n_declared"))
-    states = checked.groupBy("run_id").applyInPandasWithState(
-        make_fold(limit_seconds), OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout)
+    fold = RunFold(limit_seconds, limit_seconds if closed_seconds is None else closed_seconds)
+    summaries = action_facets(timed, tasks).groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=fold, outputStructType=OUTPUT_SCHEMA, outputMode="Update", timeMode="EventTime")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
-
-    query = (states.writeStream.outputMode("update").foreachBatch(sink)
-             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    query.awaitTermination()
-    written = spark.read.parquet(out_dir)
-    cols = [c for c in written.columns if c not in ("batch_id", "batch", "run_id")]
-    latest = written.groupBy("run_id").agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("s"))
-    return latest.select("run_id", "s.*")
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+
+    with rocksdb_state(spark):
+        return (summaries.writeStream.outputMode("update").foreachBatch(sink)
+                .option("checkpointLocation", scratch_path(spark, "runfold-stream-ckpt")).trigger(availableNow=True).start())
+
+
+def latest_states(spark: SparkSession, out_dir: str) -> DataFrame:
+    """One row per run, as :func:`~tablecheck.operators.runlog.fold_runs` returns it, from the summaries written so far."""
+    emitted = spark.read.parquet(out_dir)
+    newest = emitted.groupBy("run_id", "segment").agg(
+        F.max("batch").alias("batch"))
+    latest = emitted.join(newest, ["run_id", "segment", "batch"])
+    submitted = latest.filter("facet = 'submit'").groupBy("run_id").agg(F.min("segment").alias("_final"))
+    applied = (latest.join(submitted, "run_id", "left")
+               .filter(F.col("_final").isNull() | (F.col("segment") <= F.col("_final"))))
+    place = lambda which: F.struct(F.col(f"{which}_at").alias("at"), F.col(f"{which}_turn").alias("turn")).alias(which)
+    return run_states(merged(applied.select("run_id", "task_id", "n_declared", "facet", "key", "n", place("first"),
+                                            place("last"), F.struct("text", "flag").alias("value"))))
+
+
+def run_fold_stream(spark: SparkSession, actions: DataFrame, tasks: DataFrame, watermark: str = "1 hour",
+                    limit_seconds: float = MAX_SECONDS, closed_seconds: float | None = None) -> DataFrame:
+    """Run the streaming fold until the input is drained; return the final state per run."""
+    out_dir = scratch_path(spark, "runfold-stream")
+    start_fold_stream(spark, actions, tasks, out_dir, watermark, limit_seconds, closed_seconds).awaitTermination()
+    return latest_states(spark, out_dir)

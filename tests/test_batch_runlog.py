@@ -149,6 +149,87 @@ def test_stream_goes_on_after_the_time_limit(spark, tmp_path):
     assert rows == sorted(map(tuple, want.collect())) and len(rows) == 3
 
 
+def _landed(spark, path, files, schema):
+    for part in files:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(path))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def test_state_is_typed_and_goes(spark, tmp_path):
+    """Closed runs leave at once but for a mark, idle ones at their limit; segments merge to the batch fold."""
+    from tablecheck.plans import actions as A
+    from tablecheck.session import scratch_path
+    from tablecheck.streaming.runfold import latest_states, start_fold_stream
+    schema = ("run_id long, task_id string, ts timestamp, turn long, tool string, tables array<string>, model string, "
+              "sql string, failed boolean")
+    day = lambda d, minutes=0: dt.datetime(2024, 1, d) + dt.timedelta(minutes=minutes)
+    act = lambda run, at, turn, tool, model=None, task="t", failed=False: (
+        run, task, at, turn, tool, ["a", "b"] if tool == "configure_el" else None, model, f"SELECT {turn}" if model else None, failed)
+    files = [
+        [act(1, day(1, 5), 3, "submit_pipeline"), act(1, day(1, 2), 1, "write_model", "m1"), act(2, day(1), 0, "write_model", "m2"),
+         act(3, day(1), None, "run_el", task="o"), act(3, day(1, 1), 1, "configure_el", task="o")],
+        [act(1, day(1, 1), 0, "configure_el"), act(1, day(1, 3), 2, "run_transforms"), act(1, day(1, 9), 4, "write_model", "m2"),
+         act(3, day(1, 2), 2, "run_el", task="o"), act(3, day(1, 3), 3, "configure_el", task="o"), act(3, day(1, 4), 4, "run_el", task="o", failed=True)],
+        [act(2, day(4), 1, "write_model", "m1"), act(4, day(4), 0, "submit_pipeline"), act(1, day(4), 9, "submit_pipeline")],
+        [act(2, day(8), 1, "run_transforms"), act(2, day(8, 1), 2, "write_model", "m2"), act(1, day(8), 10, "write_model", "m1")],
+        [act(2, day(12), 3, "submit_pipeline"), act(2, day(12, 1), 4, "write_model", "m1")],
+        [(None, "", day(28), None, None, None, None, None, None)]]
+    tasks = spark.createDataFrame([("t", ["a", "b"], ["m1", "m2"], False), ("o", ["a", "b"], ["m1"], True)],
+                                  "task_id string, declared array<string>, targets array<string>, official boolean")
+    out = scratch_path(spark, "test-fold")
+    query = start_fold_stream(spark, _landed(spark, tmp_path / "log", files, schema), tasks, out, limit_seconds=3_600)
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert held[-1] == 0 and max(held) > 0
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+    got = latest_states(spark, out)
+    want = R.fold_runs(spark.createDataFrame(sum(files[:-1], []), schema), tasks)
+    rows = {r["run_id"]: r for r in got.collect()}
+    flat = A.fold_columns(want)
+    assert sorted(map(tuple, A.fold_columns(got).select(*flat.columns).collect())) == sorted(map(tuple, flat.collect()))
+    assert rows[1]["models"][0]["sql"] == "SELECT 1" and rows[1]["n_calls"] == 4 and rows[1]["materialized"] == ["m1"]
+    assert [m["model"] for m in rows[2]["models"]] == ["m2", "m1"] and rows[2]["materialized"] == ["m1", "m2"]
+    assert rows[2]["models"][0]["sql"] == "SELECT 2" and rows[2]["submitted"] and rows[2]["n_calls"] == 5
+    # official: tables are loaded by the run_el after their declaration; a failed one does nothing
+    assert rows[3]["el_succeeded"] and rows[3]["loaded"] == ["a", "b"] and rows[3]["n_turns"] == 4
+
+
+def test_official_tasks_load_by_run_el(spark):
+    schema = ("run_id string, task_id string, ts timestamp, turn long, tool string, tables array<string>, model string, "
+              "sql string, failed boolean")
+    at = dt.datetime(2024, 1, 1)
+    steps = {  # run -> (tool, tables, failed)
+        "all": [("configure_el", ["a", "b"], None), ("run_el", None, False)],
+        "late": [("configure_el", ["a"], None), ("run_el", None, None), ("configure_el", ["b"], None)],
+        "failed": [("configure_el", ["a", "b"], None), ("run_el", None, True)],
+        "none": [("configure_el", ["a", "b"], None)], "bare": [("run_el", None, False)],
+        "wrong": [("configure_el", ["a", "x"], None), ("run_el", None, False)]}
+    rows = [(run, task, at, k, tool, tables, None, None, failed) for task in ("official", "local")
+            for run, part in ((f"{task}/{r}", p) for r, p in steps.items()) for k, (tool, tables, failed) in enumerate(part)]
+    tasks = spark.createDataFrame([("official", ["a", "b"], ["m"], True), ("local", ["a", "b"], ["m"], None)],
+                                  "task_id string, declared array<string>, targets array<string>, official boolean")
+    got = {r.run_id: (r.el_succeeded, r.loaded) for r in R.fold_runs(spark.createDataFrame(rows, schema), tasks).collect()}
+    assert got == {
+        "official/all": (True, ["a", "b"]), "official/late": (True, ["a"]), "official/failed": (False, []),
+        "official/none": (False, []), "official/bare": (True, []), "official/wrong": (True, []),
+        "local/all": (True, ["a", "b"]), "local/late": (False, ["a", "b"]), "local/failed": (True, ["a", "b"]),
+        "local/none": (True, ["a", "b"]), "local/bare": (False, []), "local/wrong": (False, [])}
+
+
+def test_fold_reads_the_log_twice(spark):
+    """A hot run is cut and pre-aggregated in parts; summaries of parts merge to the whole."""
+    from pyspark.sql import functions as F
+    from tablecheck.plans import actions as A
+    acts, tasks = A.actions_frame(spark, "/root/testdata/sf0.001"), A.tasks_frame(spark)
+    whole = R.fold_runs(acts, tasks)
+    rows = sorted(map(repr, whole.collect()))
+    plan = whole._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Scan parquet") <= 2
+    facets = R.action_facets(R.until_submit(acts), tasks)
+    parts = [R.summarised(facets.filter(F.pmod(F.xxhash64("at", "turn"), F.lit(3)) == k)) for k in range(3)]
+    assert sorted(map(repr, R.run_states(R.merged(parts[2].unionByName(parts[0]).unionByName(parts[1]))).collect())) == rows
+
+
 def test_ties_on_time_follow_turns(spark):
     tasks = spark.createDataFrame([("t", ["a"], ["m"])], "task_id string, declared array<string>, targets array<string>")
     at = dt.datetime(2024, 1, 1)
