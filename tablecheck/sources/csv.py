@@ -13,20 +13,29 @@
 A row with more fields than the header is an error (one spare trailing column in
 the read schema is non-NULL exactly for such rows); shorter rows are padded with
 NULL.  Duplicate header names get ``.1``, ``.2`` suffixes; names that differ by case
-only are kept.  Numbers may stand between blanks.  Files are split between tasks unless
-``multi_line`` says that quoted values hold line breaks; then a file is one task.  All
-files of a source must have the same header: columns go by position.
+only are kept.  Numbers may stand between blanks.
+
+Files are split between tasks wherever they are, quoted line breaks included
+(:mod:`tablecheck.sources.csvrecords`).  Every file is read by its own header: the columns
+of all files are put in the order of the first file's (by path hash), and files whose headers
+hold other names are refused.  A typed read parses the text once: the parsed text is written
+to the scratch folder while the same job folds every column's type.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+import uuid
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import FALSE_TOKENS, INTEGER_RE, NUMBER_RE, TRUE_TOKENS, null_tokens
+from ..session import materialize
+from .csvrecords import Blocks, csv_records, scan_blocks
 
 _SPARE = "_extra_field"
 UINT64_MAX = 18446744073709551615
@@ -50,41 +59,62 @@ def unique_names(raw: Sequence[str | None]) -> list[str]:
     return names
 
 
-def header_names(spark: SparkSession, path: str, multi_line: bool = False) -> list[str]:
-    """Column names from the first record of the first file (one row reaches the driver)."""
-    first = (spark.read.options(**{k: v for k, v in CSV_OPTIONS.items() if k not in ("header", "nullValue")})
-             .option("multiLine", multi_line).option("header", "false").csv(path).limit(1).collect())
-    return unique_names(first[0]) if first else []
-
-
-def _string_columns(spark: SparkSession, path: str, n: int, multi_line: bool, check_shape: bool) -> DataFrame:
-    """The ``n`` columns as text under positional names ``_f0`` ..., null tokens turned into NULL."""
-    schema = T.StructType([T.StructField(f"_f{i}", T.StringType()) for i in range(n)] +
-                          [T.StructField(_SPARE, T.StringType())])
-    reader = spark.read.schema(schema).option("multiLine", multi_line)
-    for k, v in CSV_OPTIONS.items():
-        if v is not None:
-            reader = reader.option(k, v)
-    raw = reader.option("enforceSchema", "true").csv(path)
-    out = raw.select(*[null_tokens(F.col(f"_f{i}")).alias(f"_f{i}") for i in range(n)], F.col(_SPARE))
+def header_fields(header: str) -> list[str]:
+    """The distinct names of a header record."""
+    return unique_names(next(csv.reader(io.StringIO(header, newline=""))))
+
+
+def _layouts(blocks: Blocks) -> tuple[list[str], list[list[int]], dict[int, int]]:
+    """Column names, the distinct orders they come in (places from 1), and the number of each file's order."""
+    if not blocks.headers:
+        return [], [], {}
+    headers = {file: header.decode().removesuffix("\r") for file, header in sorted(blocks.headers.items())}
+    names = header_fields(next(iter(headers.values())))
+    orders: dict[str, int] = {}
+    for header in dict.fromkeys(headers.values()):
+        own = header_fields(header)
+        if sorted(own) != sorted(names):
+            raise ValueError(f"CSV files of one source have different columns: {names} and {own}")
+        orders[header] = len(orders)
+    places = [[header_fields(h).index(name) + 1 for name in names] for h in orders]
+    return names, places, {file: orders[header] for file, header in headers.items()}
+
+
+def _text(spark: SparkSession, path: str, check_shape: bool) -> tuple[DataFrame, list[str]]:
+    """All fields as text under positional names ``_f0`` ..., null tokens turned into NULL; and the columns' names."""
+    blocks = scan_blocks(spark, path)
+    names, places, layouts = _layouts(blocks)
+    if not names:
+        return spark.createDataFrame([], T.StructType([])), []
+    fields = [f"_f{i}" for i in range(len(names))]
+    schema = ", ".join(f"{c} string" for c in [*fields, _SPARE])
+    options = {k: v for k, v in CSV_OPTIONS.items() if v is not None and k != "header"}
+    parsed = csv_records(spark, path, blocks, layouts).select(
+        F.from_csv("record", schema, options).alias("r"), "layout")
     if check_shape:
         # A filter (not a dropped column) so that column pruning cannot remove the check.
-        out = out.where(F.when(F.col(_SPARE).isNotNull(),
-                               F.raise_error(F.lit("CSV row has more fields than the header")).cast("boolean"))
-                        .otherwise(F.lit(True)))
-    return out.drop(_SPARE)
+        parsed = parsed.where(F.when(F.col(f"r.{_SPARE}").isNotNull(),
+                                     F.raise_error(F.lit("CSV row has more fields than the header")).cast("boolean"))
+                              .otherwise(F.lit(True)))
+    if len(places) == 1:
+        given = [F.col(f"r._f{place - 1}") for place in places[0]]
+    else:
+        every, order = F.array(*[F.col(f"r.{c}") for c in fields]), F.array(*[F.array(*map(F.lit, p)) for p in places])
+        given = [F.element_at(every, F.element_at(F.element_at(order, F.col("layout") + 1), F.lit(k + 1)))
+                 for k in range(len(names))]
+    return parsed.select(*[null_tokens(c).alias(f) for c, f in zip(given, fields, strict=True)]), names
 
 
-def read_string_csv(spark: SparkSession, path: str, check_shape: bool = True, multi_line: bool = False) -> DataFrame:
-    names = header_names(spark, path, multi_line)
-    return _string_columns(spark, path, len(names), multi_line, check_shape).toDF(*names)
+def read_string_csv(spark: SparkSession, path: str, check_shape: bool = True) -> DataFrame:
+    text, names = _text(spark, path, check_shape)
+    return text.toDF(*names)
 
 
-def infer_types(df: DataFrame) -> dict[str, T.DataType]:
-    """Whole-column type of every text column, from one aggregate pass."""
+def type_marks(columns: Sequence[str]) -> list[Column]:
+    """Aggregates from which :func:`column_types` reads every text column's type; marks of parts add up."""
     aggs = []
     u64_max = F.lit(str(UINT64_MAX)).cast("decimal(20,0)")
-    for i, c in enumerate(df.columns):
+    for i, c in enumerate(columns):
         col = F.col(f"`{c}`")
         bare = F.trim(col)
         is_int = bare.rlike(INTEGER_RE)
@@ -94,10 +124,13 @@ def infer_types(df: DataFrame) -> dict[str, T.DataType]:
                  F.count(F.when(is_int & (bare.try_cast("decimal(20,0)") <= u64_max), F.lit(1))).alias(f"u64{i}"),
                  F.count(F.when(F.lower(bare).rlike(NUMBER_RE), F.lit(1))).alias(f"num{i}"),
                  F.count(F.when(col.isin(*TRUE_TOKENS, *FALSE_TOKENS), F.lit(1))).alias(f"bool{i}")]
-    aggs.append(F.count(F.lit(1)).alias("rows"))
-    row = df.agg(*aggs).first()
+    return [*aggs, F.count(F.lit(1)).alias("rows")]
+
+
+def column_types(columns: Sequence[str], row: Mapping[str, int]) -> dict[str, T.DataType]:
+    """Whole-column types from the values of :func:`type_marks`."""
     out: dict[str, T.DataType] = {}
-    for i, c in enumerate(df.columns):
+    for i, c in enumerate(columns):
         nn, rows = row[f"nn{i}"], row["rows"]
         if nn == 0:
             out[c] = T.DoubleType()
@@ -114,6 +147,11 @@ def infer_types(df: DataFrame) -> dict[str, T.DataType]:
     return out
 
 
+def infer_types(df: DataFrame) -> dict[str, T.DataType]:
+    """Whole-column type of every text column, from one aggregate pass."""
+    return column_types(df.columns, df.agg(*type_marks(df.columns)).first().asDict())
+
+
 def cast_typed(df: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
     cols = []
     for c in df.columns:
@@ -128,10 +166,13 @@ def cast_typed(df: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
     return df.select(*cols)
 
 
-def read_typed_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    names = header_names(spark, path, multi_line)
-    text = _string_columns(spark, path, len(names), multi_line, True)
-    return cast_typed(text, infer_types(text)).toDF(*names)
+def read_typed_csv(spark: SparkSession, path: str) -> DataFrame:
+    text, names = _text(spark, path, True)
+    if not names:
+        return text
+    marks = Observation(f"types_{uuid.uuid4().hex[:8]}")
+    landed = materialize(text.observe(marks, *type_marks(text.columns)), "csv-text")
+    return cast_typed(landed, column_types(landed.columns, marks.get)).toDF(*names)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
