@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import ASCII_SPACE, nan_to_null, numeric_parse, sort_text, strip_unicode, tolerant_equal
-from ..session import scratch_path
-from .positions import with_positions
+from ..session import materialize, scratch_path
+from .positions import LOCAL_BITS, with_positions
 
 
 @dataclass(frozen=True)
@@ -162,34 +162,51 @@ def normal_columns(df: DataFrame, keep: bool = False) -> tuple[DataFrame, list[s
     return idf.select(*cols), names, types
 
 
+def _profile_marks(types: Sequence[T.DataType]) -> list[Column]:
+    """Aggregates of a side's profile."""
+    marks = [F.count(F.lit(1)).alias("_rows")]
+    for i, t in enumerate(types):
+        marks += [F.count(f"_l{i}").alias(f"_nn{i}"), F.count(f"_n{i}").alias(f"_num{i}"),
+                  F.count(f"_sn{i}").alias(f"_snum{i}")]
+        if isinstance(t, _TIME_TYPES):
+            marks.append(F.coalesce(F.max(f"_m{i}"), F.lit(0)).alias(f"_detail{i}"))
+    return marks
+
+
+def _observed_profile(row: dict, names: Sequence[str], types: Sequence[T.DataType]) -> SideProfile:
+    n = range(len(names))
+    return SideProfile(
+        rows=int(row["_rows"]), names=tuple(names), types=tuple(types),
+        non_null=tuple(int(row[f"_nn{i}"]) for i in n), numeric=tuple(int(row[f"_num{i}"]) for i in n),
+        sort_numeric=tuple(int(row[f"_snum{i}"]) for i in n),
+        time_detail=tuple(int(row[f"_detail{i}"]) if isinstance(types[i], _TIME_TYPES) else 0 for i in n))
+
+
 def normalize(df: DataFrame, keep: bool = False) -> tuple[DataFrame, SideProfile]:
     """Write the normalised side to scratch once; its profile is observed by the same job.
 
-    The input keeps its partitioning: a large table arrives in many splits, and
-    a source of few splits can be spread where it is read (:func:`session.spread`).
+    The input keeps its partitioning: a large table arrives in many splits.  Of a text column
+    only the text is written: where all its values are numbers, their parse is a plain cast
+    (elsewhere nobody reads it).
     """
     spark = df.sparkSession
     ndf, names, types = normal_columns(df, keep)
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, t in enumerate(types):
-        aggs += [F.count(f"_l{i}").alias(f"_nn{i}"), F.count(f"_n{i}").alias(f"_num{i}"),
-                 F.count(f"_sn{i}").alias(f"_snum{i}")]
-        if isinstance(t, _TIME_TYPES):
-            aggs.append(F.coalesce(F.max(f"_m{i}"), F.lit(0)).alias(f"_detail{i}"))
     obs = Observation(f"profile_{uuid.uuid4().hex[:8]}")
     path = scratch_path(spark, "normalized")
-    ndf.observe(obs, *aggs).write.mode("overwrite").parquet(path)
-    row = obs.get
-    n = len(names)
-    prof = SideProfile(
-        rows=int(row["_rows"]), names=tuple(names), types=tuple(types),
-        non_null=tuple(int(row[f"_nn{i}"]) for i in range(n)),
-        numeric=tuple(int(row[f"_num{i}"]) for i in range(n)),
-        sort_numeric=tuple(int(row[f"_snum{i}"]) for i in range(n)),
-        time_detail=tuple(int(row[f"_detail{i}"]) if isinstance(types[i], _TIME_TYPES) else 0
-                          for i in range(n)),
-    )
-    return spark.read.parquet(path), prof
+    parsed = {f"_{view}{i}" for i, t in enumerate(types) for view in ("n", "sn")
+              if view == "sn" or isinstance(t, T.StringType)}
+    kept = [c for c in ndf.columns if c not in parsed]
+    ndf.observe(obs, *_profile_marks(types)).select(*kept).write.mode("overwrite").parquet(path)
+    prof = _observed_profile(obs.get, names, types)
+
+    def number(i: int, whole: bool) -> Column:
+        if not isinstance(types[i], T.StringType):
+            return F.col(f"_n{i}") if whole else F.lit(None).cast("double")
+        return (F.trim(f"_l{i}", F.lit(ASCII_SPACE)).try_cast("double") if whole else F.lit(None).cast("double"))
+
+    again = {f"_{view}{i}": number(i, whole(i)) for i in range(len(types))
+             for view, whole in (("n", prof.is_numeric), ("sn", prof.sorts_numeric)) if f"_{view}{i}" in parsed}
+    return spark.read.parquet(path).withColumns(again).select(*ndf.columns), prof
 
 
 def profile(df: DataFrame) -> tuple[DataFrame, SideProfile]:
@@ -257,8 +274,8 @@ def column_plan(gp: SideProfile, ap: SideProfile) -> list[ColumnPlan]:
     return out
 
 
-def _folded(side: str, i: int, prof: SideProfile) -> Column:
-    c = F.col(f"{side}._l{i}")
+def _folded(side: str | None, i: int, prof: SideProfile) -> Column:
+    c = F.col(f"{side}._l{i}" if side else f"_l{i}")
     if isinstance(prof.types[i], _TIME_TYPES):
         c = F.substring(c, 1, TIME_WIDTHS[prof.time_detail[i]])
     return F.replace(c, F.lit("ß"), F.lit("ss"))
@@ -301,6 +318,61 @@ def _sides(gold: DataFrame | Prepared, actual: DataFrame | Prepared):
         return g.result(), a.result()
 
 
+def _sort_values(prof: SideProfile, keys: Sequence[str] | None) -> list[Column]:
+    return [F.col(f"_sn{i}") if prof.sorts_numeric(i) else F.col(f"_l{i}") for i in sort_order(prof, keys)]
+
+
+def verdict_row(gdf: DataFrame, gp: SideProfile, adf: DataFrame, ap: SideProfile, present: Sequence[ColumnPlan],
+                keys: Sequence[str] | None):
+    """One row, ``_v{i}`` 1 where all positions of gold column i agree.
+
+    Both sides go through one range exchange.  Each side follows its own sort: place k of the
+    order is a number, a text, or (when the sides differ) both, one of which is null all over a
+    side.  Rows are numbered per side inside a partition as they are written, without their
+    sort values; the driver adds up the rows of each (partition, side), two numbers a
+    partition, and the verdicts of all columns come from one aggregate over the pairs.
+    """
+    spark = gdf.sparkSession
+    orders = [_sort_values(gp, keys), _sort_values(ap, keys)]
+    numeric = [[prof.sorts_numeric(i) for i in sort_order(prof, keys)] for prof in (gp, ap)]
+    sides = []
+    for side, (df, prof) in enumerate(((gdf, gp), (adf, ap))):
+        values = []
+        for k in range(max(map(len, orders))):
+            kinds = {n[k] for n in numeric if k < len(n)}
+            for is_number in sorted(kinds):
+                own = k < len(orders[side]) and numeric[side][k] == is_number
+                value = orders[side][k] if own else F.lit(None).cast("double" if is_number else "string")
+                values.append(value.alias(f"_s{k}{'n' if is_number else 't'}"))
+        cells = []
+        for p in present:
+            i = p.actual_index if side else p.gold_index
+            cells.append((F.col(f"_n{i}") if p.numeric else _folded(None, i, prof)).alias(f"_x{p.gold_index}"))
+        sides.append(df.select(F.lit(side).alias("_side"), *values, *cells))
+    both = sides[0].unionByName(sides[1]).withColumn("_tie", F.monotonically_increasing_id())
+    order = [F.col(c).asc_nulls_last() for c in both.columns if c.startswith("_s") and c != "_side"] + [F.col("_tie").asc()]
+    ranged = (both.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+              .sortWithinPartitions(F.col("_side"), *order).withColumn("_mid", F.monotonically_increasing_id())
+              .select("_side", "_mid", *[f"_x{p.gold_index}" for p in present]))
+    fixed = materialize(ranged, "ranged-pair").withColumn("_part", F.shiftright("_mid", LOCAL_BITS).cast("int"))
+    counts = fixed.groupBy("_part", "_side").agg(F.count(F.lit(1)).alias("n"), F.min("_mid").alias("first")).collect()
+    before, shifts = [0, 0], {}
+    for r in sorted(counts, key=lambda r: (r["_part"], r["_side"])):
+        shifts[r["_part"], r["_side"]] = before[r["_side"]] - r["first"]
+        before[r["_side"]] += r["n"]
+    parts = 1 + max(part for part, _ in shifts)
+    shift = F.lit([shifts.get((part, side), 0) for part in range(parts) for side in (0, 1)]).cast("array<bigint>")
+    placed = fixed.withColumn("_pos", F.col("_mid") + F.element_at(shift, F.col("_part") * 2 + F.col("_side") + 1))
+    g, a = (placed.filter(F.col("_side") == side).alias("ga"[side]) for side in (0, 1))
+    pairs = g.join(a, F.col("g._pos") == F.col("a._pos"))
+
+    def agree(p: ColumnPlan) -> Column:
+        left, right = F.col(f"g._x{p.gold_index}"), F.col(f"a._x{p.gold_index}")
+        return tolerant_equal(left, right) if p.numeric else F.coalesce(left.eqNullSafe(right), F.lit(False))
+
+    return pairs.agg(*[F.coalesce(F.min(agree(p).cast("int")), F.lit(1)).alias(f"_v{p.gold_index}") for p in present]).first()
+
+
 def column_verdicts(gold: DataFrame | Prepared, actual: DataFrame | Prepared, keys: Sequence[str] | None = None
                     ) -> tuple[list[tuple[ColumnPlan, bool]], SideProfile, SideProfile, bool]:
     """Per gold column (plan, matched); also both profiles and whether row counts agree."""
@@ -311,11 +383,7 @@ def column_verdicts(gold: DataFrame | Prepared, actual: DataFrame | Prepared, ke
     present = [p for p in plans if p.actual_index is not None]
     results: dict[int, bool] = {}
     if present and gp.rows > 0:
-        g_pos = with_positions(gdf, sort_exprs(gp, keys), pos_col="_pos")
-        a_pos = with_positions(adf, sort_exprs(ap, keys), pos_col="_pos")
-        verdicts = [F.coalesce(F.min(verdict_expr(p, gp, ap).cast("int")), F.lit(1)).alias(f"_v{p.gold_index}")
-                    for p in present]
-        row = paired(g_pos, a_pos).agg(*verdicts).first()
+        row = verdict_row(gdf, gp, adf, ap, present, keys)
         results = {p.gold_index: bool(row[f"_v{p.gold_index}"]) for p in present}
     else:
         results = {p.gold_index: True for p in present}

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-_LOCAL_BITS = 33
-_LOCAL_MASK = (1 << _LOCAL_BITS) - 1
+LOCAL_BITS = 33
+_LOCAL_MASK = (1 << LOCAL_BITS) - 1
 
 
 def with_positions(df: DataFrame, order: Sequence[Column], group_cols: Sequence[str] = (),
@@ -44,7 +44,7 @@ def with_positions(df: DataFrame, order: Sequence[Column], group_cols: Sequence[
     path = scratch_path(spark, "positions")
     ranged.write.mode("overwrite").parquet(path)
     fixed = spark.read.parquet(path)
-    fixed = (fixed.withColumn("_part", F.shiftright(F.col("_mid"), _LOCAL_BITS))
+    fixed = (fixed.withColumn("_part", F.shiftright(F.col("_mid"), LOCAL_BITS))
              .withColumn("_local", F.col("_mid").bitwiseAND(F.lit(_LOCAL_MASK))))
 
     stats = fixed.groupBy("_part", *group_cols).agg(
