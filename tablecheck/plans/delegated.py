@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.models import RunWarehouse
+from ..session import materialize
 from .registry import register, table
 
 
@@ -98,7 +99,7 @@ def delegated_sql_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, (_, measure) in CONFORMANCE_MODELS.items():
         df = wh.fetch(name) if status[name].ok else None
         if df is None:
-            parts.append(wh.session.range(1).select(F.lit(name).alias("model_name"), F.lit(False).alias("ok"),
+            parts.append(spark.range(1).select(F.lit(name).alias("model_name"), F.lit(False).alias("ok"),
                                                     F.lit(None).cast("long").alias("row_count"),
                                                     F.lit(None).cast("long").alias("checksum")))
             continue
@@ -108,4 +109,6 @@ def delegated_sql_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    out = materialize(out, "delegated")
+    wh.close()
     return out

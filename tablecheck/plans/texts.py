@@ -130,14 +130,16 @@ def _plan_violation_sql() -> str:
         "WHEN (length(secrets[1]) >= 4 AND strpos(plan, secrets[1]) > 0) OR "
         "(length(secrets[2]) >= 4 AND strpos(plan, secrets[2]) > 0) THEN 'embedded_secret'",
     ]
-    return f"SELECT page_id, CASE {' '.join(parts)} END AS violation FROM ({PLANS_SQL})"
+    broken = ", ".join(f"CASE {p} END" for p in parts)
+    return (f"SELECT page_id, CASE {' '.join(parts)} END AS violation, "
+            f"array_to_string(list_filter([{broken}], lambda v: v IS NOT NULL), ',') AS violations FROM ({PLANS_SQL})")
 
 
 @register("plan_policy_scan", oracle=_plan_violation_sql())
 def plan_policy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First policy violation of a plan file built around each whole page."""
-    p = plan_files(spark, sf_dir)
-    return p.select("page_id", G.plan_violation(F.col("plan"), F.col("secrets")).alias("violation"))
+    """All policy violations of a plan file built around each whole page, and the first one."""
+    found = plan_files(spark, sf_dir).select("page_id", G.plan_violations(F.col("plan"), F.col("secrets")).alias("found"))
+    return found.select("page_id", F.get("found", 0).alias("violation"), F.array_join("found", ",").alias("violations"))
 
 
 # ---------------------------------------------------------------- evaluation queries and logs

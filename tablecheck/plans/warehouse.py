@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import NULL_TOKENS
 from ..operators import models as M
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import csv as CSV
 from ..sources import records as REC
 from .registry import register, table
@@ -36,11 +36,16 @@ def raw_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.table_counts({t: table(spark, sf_dir, t) for t in STAR})
 
 
-# Expected counts: the true counts, except supplier (declared one too many) and a
-# 'returns' table that is declared but never loaded.
+# Expected counts come from the keys, not from counting rows: the first and last key of the
+# tables whose keys run on, the distinct keys of lineitem, its order keys for orders.  The
+# supplier is declared one too many, and a 'returns' table is declared but never loaded.
+KEYED = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey"}
 RECONCILE_SQL = f"""
 WITH actual AS ({" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in STAR)}),
-expected AS (SELECT table_name, n + CASE WHEN table_name = 'supplier' THEN 1 ELSE 0 END AS n FROM actual
+expected AS ({" UNION ALL ".join(f"SELECT '{t}' AS table_name, max({k}) - min({k}) + 1 + {int(t == 'supplier')} AS n FROM {t}"
+                                 for t, k in KEYED.items())}
+             UNION ALL SELECT 'orders', count(DISTINCT l_orderkey) FROM lineitem
+             UNION ALL SELECT 'lineitem', count(DISTINCT (l_orderkey, l_linenumber, l_partkey, l_suppkey)) FROM lineitem
              UNION ALL SELECT 'returns', count(*) FROM lineitem WHERE l_returnflag = 'R')
 SELECT e.table_name, CAST(e.n AS BIGINT) AS expected, CAST(a.n AS BIGINT) AS actual,
        coalesce(a.n = e.n, FALSE) AS matches
@@ -51,10 +56,16 @@ FROM expected e LEFT JOIN actual a ON e.table_name = a.table_name"""
 def raw_count_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared expected counts joined to loaded counts; a missing table never matches."""
     actual = M.table_counts({t: table(spark, sf_dir, t) for t in STAR})
-    returns = (table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
-               .agg(F.count(F.lit(1)).alias("expected")).select(F.lit("returns").alias("table_name"), "expected"))
-    expected = actual.select("table_name", (F.col("row_count") + F.when(F.col("table_name") == "supplier", 1)
-                                            .otherwise(0)).alias("expected")).unionByName(returns)
+    lineitem = table(spark, sf_dir, "lineitem")
+    manifest = [table(spark, sf_dir, t).agg((F.max(k) - F.min(k) + 1 + int(t == "supplier")).alias("expected"))
+                .select(F.lit(t).alias("table_name"), "expected") for t, k in KEYED.items()]
+    for name, rows in (("orders", lineitem.select("l_orderkey").distinct()),
+                       ("lineitem", lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()),
+                       ("returns", lineitem.where(F.col("l_returnflag") == "R"))):
+        manifest.append(rows.agg(F.count(F.lit(1)).alias("expected")).select(F.lit(name).alias("table_name"), "expected"))
+    expected = manifest[0]
+    for part in manifest[1:]:
+        expected = expected.unionByName(part)
     return (expected.join(actual, "table_name", "left")
             .select("table_name", F.col("expected").cast("long").alias("expected"),
                     F.col("row_count").cast("long").alias("actual"),
@@ -72,12 +83,11 @@ def _land_csv(spark: SparkSession, sf_dir: str, name: str) -> str:
 def declared_load_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land every star table as CSV, load the declared set into a fresh run database
     (typed CSV scan + full overwrite), and report the loaded counts."""
-    wh = M.RunWarehouse(spark, "load_" + uuid.uuid4().hex[:12])
     with ThreadPoolExecutor(max_workers=4) as pool:
         paths = dict(zip(STAR, pool.map(lambda t: _land_csv(spark, sf_dir, t), STAR)))
         typed = dict(zip(STAR, pool.map(lambda t: CSV.read_typed_csv(spark, paths[t]), STAR)))
-    sources = {t: typed[t] for t in STAR}
-    loaded = wh.load(sources, list(STAR))
+    with M.RunWarehouse(spark, "load_" + uuid.uuid4().hex[:12]) as wh:
+        loaded = wh.load(typed, list(STAR))
     return spark.createDataFrame([(t, n) for t, n in loaded.items()], "table_name string, loaded_rows bigint")
 
 
@@ -108,9 +118,9 @@ def json_records_load(spark: SparkSession, sf_dir: str) -> DataFrame:
                            T.StructField("user_id", T.LongType()),
                            T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()),
                            T.StructField("props", T.StringType())])
-    wh = M.RunWarehouse(spark, "api_" + uuid.uuid4().hex[:12])
-    wh.load({"events": REC.read_records(spark, path, schema)}, ["events"])
-    return wh.fetch("events")
+    with M.RunWarehouse(spark, "api_" + uuid.uuid4().hex[:12]) as wh:
+        wh.load({"events": REC.read_records(spark, path, schema)}, ["events"])
+        return materialize(wh.fetch("events"), "loaded-events")
 
 
 MANIFEST_SQL = """
@@ -145,7 +155,12 @@ MODELS = {
     "orders_by_region": "SELECT nr.r_name, count(*) AS n_orders, round(sum(o.o_totalprice), 2) AS revenue "
                         "FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey "
                         "JOIN nation_region nr ON c.c_nationkey = nr.n_nationkey GROUP BY nr.r_name",
+    "customers_by_region": "SELECT nr.r_name, count(*) AS n_customers FROM customer c "
+                           "JOIN nation_region nr ON c.c_nationkey = nr.n_nationkey GROUP BY nr.r_name",
     "broken": "SELECT no_such_column FROM nation",
+    "after_broken": "SELECT * FROM broken",
+    "regions": "SELECT o.r_name, o.n_orders, c.n_customers FROM orders_by_region o "
+               "JOIN customers_by_region c ON o.r_name = c.r_name",
 }
 
 
@@ -156,17 +171,34 @@ def _run_models(spark: SparkSession, sf_dir: str) -> tuple[M.RunWarehouse, dict[
     return wh, wh.run_models(MODELS)
 
 
+NATION_REGION_SQL = "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"
+ORDERS_SQL = """SELECT r_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS revenue FROM orders
+  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"""
+CUSTOMERS_SQL = """SELECT r_name, count(*) AS n_customers FROM customer
+  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"""
+
+
 @register("materialize_models", oracle=f"""
-SELECT 'nation_region' AS model_name, TRUE AS ok, (SELECT CAST(count(*) AS BIGINT) FROM ({MODELS['nation_region']})) AS row_count
-UNION ALL SELECT 'orders_by_region', TRUE, (SELECT CAST(count(*) AS BIGINT) FROM (
-  SELECT r_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
-  JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r_name))
-UNION ALL SELECT 'broken', FALSE, CAST(NULL AS BIGINT)""")
+SELECT 'nation_region' AS model_name, TRUE AS ok, n_nationkey || '|' || n_name || '|' || r_name AS contents FROM ({NATION_REGION_SQL})
+UNION ALL SELECT 'orders_by_region', TRUE, r_name || '|' || n_orders || '|' || CAST(round(revenue * 100) AS BIGINT) FROM ({ORDERS_SQL})
+UNION ALL SELECT 'customers_by_region', TRUE, r_name || '|' || n_customers FROM ({CUSTOMERS_SQL})
+UNION ALL SELECT 'regions', TRUE, r_name || '|' || n_orders || '|' || n_customers FROM ({ORDERS_SQL}) JOIN ({CUSTOMERS_SQL}) USING (r_name)
+UNION ALL SELECT 'broken', FALSE, NULL UNION ALL SELECT 'after_broken', FALSE, NULL""")
 def materialize_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain of two models (the second reads the first) and one failing model."""
-    _, status = _run_models(spark, sf_dir)
-    rows = [(name, s.ok, s.rows) for name, s in status.items()]
-    return spark.createDataFrame(rows, "model_name string, ok boolean, row_count bigint")
+    """A chain, a fan of two models that meet again, a failing model and one that reads it: rows of every model."""
+    wh, status = _run_models(spark, sf_dir)
+    shown = {"orders_by_region": {"revenue": F.round(F.col("revenue") * 100).cast("long")}}
+    with wh:
+        parts = []
+        for name, s in status.items():
+            df = wh.fetch(name) if s.ok else spark.range(1).select(F.lit(None).cast("string").alias("contents"))
+            cells = [shown.get(name, {}).get(c, F.col(c)).cast("string") for c in df.columns]
+            text = F.concat_ws("|", *cells) if s.ok else F.col("contents")
+            parts.append(df.select(F.lit(name).alias("model_name"), F.lit(s.ok).alias("ok"), text.alias("contents")))
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return materialize(out, "models")
 
 
 @register("table_scan", oracle="""
@@ -176,9 +208,10 @@ JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name""")
 def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan of a materialised model by name (a missing name gives None, not an error)."""
     wh, _ = _run_models(spark, sf_dir)
-    assert wh.fetch("no_such_model") is None
-    df = wh.fetch("orders_by_region")
-    return df.select("r_name", F.col("n_orders").cast("long").alias("n_orders"), "revenue")
+    with wh:
+        assert wh.fetch("no_such_model") is None
+        df = wh.fetch("orders_by_region").select("r_name", F.col("n_orders").cast("long").alias("n_orders"), "revenue")
+        return materialize(df, "scanned-model")
 
 
 @register("preview_json", oracle="""
@@ -191,7 +224,8 @@ SELECT substr('[' || string_agg('{"r_name":"' || r_name || '","n_orders":' || n_
 def preview_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clamped preview (limit 50 asked, 20 given) of a model query as JSON records text."""
     wh, _ = _run_models(spark, sf_dir)
-    text = wh.preview_json("SELECT r_name, n_orders, CAST(round(revenue * 100) AS BIGINT) AS revenue_cents "
-                           "FROM orders_by_region ORDER BY r_name", limit=50)
-    n = wh.preview("SELECT * FROM orders", limit=50).count()
+    with wh:
+        text = wh.preview_json("SELECT r_name, n_orders, CAST(round(revenue * 100) AS BIGINT) AS revenue_cents "
+                               "FROM orders_by_region ORDER BY r_name", limit=50)
+        n = wh.preview("SELECT * FROM orders", limit=50).count()
     return spark.createDataFrame([(text, n)], "preview string, preview_rows bigint")

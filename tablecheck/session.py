@@ -65,22 +65,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base}/tablecheck-scratch/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df):
-    """Round-robin the rows over the cluster's cores when the input has fewer partitions.
-
-    A large input already arrives in many file splits and is returned unchanged;
-    a single-file input (one row group is one task) would otherwise run every
-    per-row expression on one core.  Apply it to a source read, before any shuffle:
-    there the partition count is the list of file splits and no job runs, whereas on
-    a frame that already holds a shuffle adaptive execution would have to run that
-    shuffle to answer.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 def materialize(df, label: str):
     """Write ``df`` to a fresh folder under the shared checkpoint folder and read it back.
 

@@ -102,6 +102,39 @@ def test_host_code_is_refused_from_the_plan(spark, sql):
         assert not status.ok and wh.fetch("m") is None
 
 
+def test_unlisted_functions_and_operators_are_refused(spark):
+    """What a session or a later Spark adds is refused without being named."""
+    with M.RunWarehouse(spark, "list_" + uuid.uuid4().hex[:8]) as wh:
+        wh.session.udf.register("run_on_host", lambda x: x, "string")
+        for sql in ("SELECT run_on_host('ls') AS x", "SELECT 1 AS x WHERE EXISTS (SELECT run_on_host(a) FROM (SELECT 'b' AS a))",
+                    "SELECT input_file_name() AS x", "SELECT * FROM python_worker_logs()",
+                    "WITH t AS (SELECT `reflect`('a', 'b') AS y) SELECT * FROM t", "SELECT transform(array(1), x -> run_on_host(x)) AS y"):
+            status = wh.run_models({"m": sql})["m"]
+            assert "not_allowed" in status.error, sql
+        good = ("SELECT k, sum(v) OVER (PARTITION BY k ORDER BY v) AS s, coalesce(upper(t), 'x') AS u, count(*) OVER () AS n "
+                "FROM (SELECT id % 3 AS k, id AS v, CAST(id AS STRING) AS t FROM range(9)) q WHERE k IN (SELECT max(id) % 3 FROM range(4))")
+        assert wh.run_models({"m": good})["m"] == M.ModelStatus(3)
+        assert wh.run_models({"m": "SELECT explode(transform(array(1, 2), x -> x + 1)) AS e"})["m"].ok
+
+
+def test_models_run_side_by_side_with_the_outcome_of_their_order(spark):
+    models = {
+        "base": "SELECT id AS k FROM range(10)", "left_side": "SELECT k, k * 2 AS d FROM base", "bad": "SELECT nope FROM base",
+        "right_side": "SELECT k, k * 3 AS t FROM BASE WHERE k IN (SELECT k FROM base WHERE k > 4)",
+        "meet": "WITH l AS (SELECT * FROM left_side) SELECT l.d, r.t FROM l JOIN right_side r ON l.k = r.k",
+        "reads_bad": "SELECT * FROM bad", "old": "SELECT count(*) AS n FROM src", "src": "SELECT 7 AS k",
+        "new": "SELECT count(*) AS n FROM src"}
+    for parallel in (1, 4):
+        with M.RunWarehouse(spark, f"graph{parallel}_" + uuid.uuid4().hex[:8]) as wh:
+            wh.write_table("src", spark.range(5))
+            status = wh.run_models(models, parallel=parallel)
+            assert list(status) == list(models)
+            assert [s.rows for s in status.values()] == [10, 10, None, 5, 5, None, 1, 1, 1]
+            assert wh.fetch("old").first().n == 5 and wh.fetch("new").first().n == 1
+            assert sorted(tuple(r) for r in wh.fetch("meet").collect()) == [(2 * k, 3 * k) for k in range(5, 10)]
+            assert wh.references(models["meet"]) == {"l", "left_side", "right_side"}
+
+
 def test_model_replaces_a_source_of_its_name(spark):
     with M.RunWarehouse(spark, "src_" + uuid.uuid4().hex[:8]) as wh:
         wh.register_parquet("nation", "/root/testdata/sf0.001/nation.parquet")

@@ -88,6 +88,14 @@ def test_plan_policy(spark):
         assert r.got == r.want
 
 
+def test_plan_policy_names_every_violation(spark):
+    both = 'module "m" {}\nresource "aws_x" "y" { provisioner "local-exec" {} key = "hunter22" }'
+    rows = spark.createDataFrame([(both,), (None,), ("",), ('provider "airbyte" {}',)], "plan string")
+    got = [r.got for r in rows.select(G.plan_violations(F.col("plan"), F.array(F.lit("hunter22"), F.lit("abc"))).alias("got")).collect()]
+    assert got == [["forbidden:provisioner", "forbidden:local-exec", "forbidden:module", "resource_type", "embedded_secret"],
+                   None, [], []]
+
+
 def test_namespace_and_redaction(spark):
     df = spark.createDataFrame([("select * FROM  db.t join X.y on 1=1 from z",)], "q string")
     assert df.select(TX.qualify_namespace(F.col("q"))).first()[0] == \
