@@ -66,10 +66,10 @@ def exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     cold = settled.filter("salt < 0").select(
         "doc_id", "n_chars", "text_sha256", F.col("leader").alias("keep_id"), F.col("size").alias("group_size"),
         (F.col("place") == 1).alias("kept"))
-    again = Window.partitionBy("lead", "norm").orderBy(*order, "salt").rowsBetween(
+    again = Window.partitionBy("lead", "text_sha256", "norm").orderBy(*order, "salt").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
     leaders = (settled.filter("salt >= 0 and place = 1").withColumn("lead", F.substring("norm", 1, SPLITTER))
-               .repartitionByRange("lead")
+               .repartitionByRange("lead", "text_sha256")
                .select("text_sha256", "salt",
                        F.first("doc_id").over(again).alias("keep_id"),
                        F.first("salt").over(again).alias("keep_salt"),
