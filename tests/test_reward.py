@@ -192,3 +192,12 @@ def test_preview_clamps_limit(spark):
     assert wh.preview("SELECT id FROM range(100)").count() == 10
     assert wh.preview_json("SELECT id FROM range(3) ORDER BY id") == '[{"id":0},{"id":1},{"id":2}]'
     assert wh.preview_json("SELECT 1 AS a, 2 AS a, NULL AS b") == '[{"a":2,"b":null}]'
+
+
+def test_counts_come_from_footers(spark, tmp_path):
+    spark.range(1000).repartition(3).write.parquet(str(tmp_path / "a"))
+    spark.range(0).write.parquet(str(tmp_path / "b"))
+    df = M.file_counts(spark, {"a": str(tmp_path / "a"), "b": str(tmp_path / "b")})
+    plan = df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("agg_func_0") >= 2  # the scan hands up counts, no rows
+    assert {r.table_name: r.row_count for r in df.collect()} == {"a": 1000, "b": 0}
