@@ -159,3 +159,8 @@ def byte_bpe(path: str) -> ByteBpeEncoder:
     if path not in _encoders:
         _encoders[path] = ByteBpeEncoder(path)
     return _encoders[path]
+
+
+def release_encoders() -> None:
+    """Give up the worker's encoders and their word tables, for operators that need the memory for other things."""
+    _encoders.clear()

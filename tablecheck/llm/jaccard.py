@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_rows, written
+from .common import release_encoders, small_batches, text_rows, written
 from .components import connected_components
 
 WORDS = 5
@@ -135,6 +135,7 @@ def needed_share(n: int) -> int:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and digest of every set; the task's bucket counts at its end."""
+    release_encoders()
     counts = np.zeros(BUCKETS, np.uint32)
     for batch in small_batches(batches, "text"):
         sets = shingle_hashes(batch.column("text").to_pylist())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_rows
+from .common import release_encoders, small_batches, text_rows
 
 WORD_BUCKETS = 2048
 SHAPE_BUCKETS = 512
@@ -222,6 +222,7 @@ def keep_by_quality(df: DataFrame, model: QualityModel, threshold: float = 0.3,
     at = df.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for batch in small_batches(batches, text_col):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(shared.value.score(texts) >= threshold))
