@@ -8,11 +8,16 @@ parallel tasks.
 
 Planning is a branch and bound over fillings (bin completion).  A node takes the
 longest remaining length, enumerates the undominated fillings of the room beside it,
-and branches on them, least waste first, each used as often as the counts allow.  A
-branch ends where its sequences plus the waste bound of what remains cannot beat the
-incumbent; best-fit solutions of the remaining counts serve as incumbents, the first
-at the root.  The search stops at a proven optimum, or after ``max_nodes`` nodes with
-the best plan found: that bounds planning time only, every piece is packed either way.
+least waste first, and branches on them with every multiplicity the counts allow,
+greatest first.  A branch ends where its sequences plus the waste bound of what remains
+cannot beat the incumbent; at every node the best-fit packing of the remaining counts
+completes the path and may become the incumbent.
+
+The search has three limits, all parameters of :func:`plan_packing`: ``max_nodes``
+nodes, ``most_fillings`` fillings for a node and ``max_steps`` steps to enumerate them.
+They bound planning time only; every piece is packed either way.  A plan is a proven
+optimum if it meets :func:`waste_bound`, or if the search ran to its end with all three
+limits off (None); otherwise it is the best found.
 
 Ranks: a task numbers its pieces per length while it writes them, and per-(task,
 length) totals, summed over the tasks before, complete the rank, so a length that
@@ -25,7 +30,9 @@ separate pieces; a null id is kept; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +45,8 @@ from .common import byte_bpe, text_rows
 Filling = tuple[tuple[int, int], ...]  # (length, copies), longest first
 Plan = list[tuple[Filling, int]]  # (filling, how many sequences)
 
+SHARES = 4  # order of branches only: how many times its share of the spare room a filling may waste to come first
+
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long")
 
 
@@ -63,106 +72,147 @@ def waste_bound(counts: np.ndarray, capacity: int) -> int:
 def best_fit(counts: np.ndarray, capacity: int) -> Plan:
     """Best-fit decreasing on the histogram: each length goes where it leaves least room."""
     by_room: dict[int, list[tuple[Filling, int]]] = {}
-    for length in range(capacity, 0, -1):
+    rooms: list[int] = []  # the keys of by_room, ascending
+
+    def put(room: int, filling: Filling, many: int) -> None:
+        if room not in by_room:
+            by_room[room] = []
+            insort(rooms, room)
+        by_room[room].append((filling, many))
+
+    for length in np.flatnonzero(counts)[::-1].tolist():
         left = int(counts[length])
-        if not left:
-            continue
-        for room in sorted(r for r in by_room if r >= length):
-            group, kept = by_room.pop(room), []
+        for room in rooms[bisect_left(rooms, length):]:
+            group, kept = by_room[room], []
+            fits = room // length
             for filling, many in group:
-                fits = room // length
                 full, part = (min(many, left // fits), 0)
                 left -= full * fits
                 if full < many and left:
                     part, left = left, 0
                 for used, copies in ((full, fits), (1 if part else 0, part)):
                     if used:
-                        by_room.setdefault(room - copies * length, []).append((filling + ((length, copies),), used))
+                        put(room - copies * length, filling + ((length, copies),), used)
                 if rest := many - full - (1 if part else 0):
                     kept.append((filling, rest))
             if kept:
-                by_room.setdefault(room, []).extend(kept)
+                by_room[room] = kept
+            else:
+                del by_room[room]
+                del rooms[bisect_left(rooms, room)]
             if not left:
                 break
         fits = capacity // length
         if left >= fits:
-            by_room.setdefault(capacity - fits * length, []).append((((length, fits),), left // fits))
+            put(capacity - fits * length, ((length, fits),), left // fits)
         if left % fits:
-            by_room.setdefault(capacity - left % fits * length, []).append((((length, left % fits),), 1))
+            put(capacity - left % fits * length, ((length, left % fits),), 1)
     return [item for group in by_room.values() for item in group]
 
 
-def undominated(counts: np.ndarray, room: int, most: int) -> list[tuple[int, Filling]]:
-    """Up to ``most`` (waste, filling) for ``room``, least waste first.
+def fillings(counts: np.ndarray, room: int, max_steps: int | None = None) -> Iterator[tuple[int, Filling]]:
+    """Undominated (waste, filling) for ``room``, least waste first, longer pieces first.
 
-    A filling is dominated, and left out, if a further piece still fits beside it,
-    or if one of its pieces, or two of them together, could be exchanged for a
-    longer unused piece without overflowing.  The enumeration goes by descending
-    length and stops early once ``most`` fillings without waste are found.
+    A filling is dominated, and left out, if a further piece still fits beside it, if one
+    of its pieces could be exchanged for a longer unused piece, or if several of them
+    together could be exchanged for one unused piece, without overflowing.  Sets of sums
+    and lengths are integers with a bit for each; ``reach[i]`` holds the sums that pieces
+    from the i-th longest length on can make, so that no step leads nowhere.
     """
     lengths = [int(x) for x in np.flatnonzero(counts[:room + 1])[::-1] if x]
-    if not lengths:
-        return [(room, ())]
-    shortest, found, exact = lengths[-1], [], 0
-    budget = 20 * most
-
-    def unused_in(low: int, high: int, taken: dict[int, int]) -> bool:
-        """Whether an unused piece has a length in (low, high]."""
-        if high <= low:
-            return False
-        here = np.flatnonzero(counts[low + 1:min(high, len(counts) - 1) + 1])
-        return any(counts[low + 1 + i] > taken.get(int(low + 1 + i), 0) for i in here[:8])
-
-    def emit(taken: dict[int, int], waste: int) -> None:
-        nonlocal exact
-        if waste:
-            items = [x for x, c in taken.items() for _ in range(min(c, 2))]
-            sums = set(items) | {a + b for i, a in enumerate(items) for b in items[i + 1:]}
-            if any(unused_in(x, x + waste, taken) for x in sums):
+    copies_of = [min(int(counts[x]), room // x) for x in lengths]
+    within = (1 << room + 1) - 1
+    reach = [1]
+    for length, copies in zip(reversed(lengths), reversed(copies_of), strict=True):
+        sums, step = reach[-1], 1
+        while copies:
+            step = min(step, copies)
+            sums |= sums << step * length & within
+            copies, step = copies - step, 2 * step
+        reach.append(sums)
+    reach.reverse()
+    # index of the longest length that a room can take
+    longest_in = np.searchsorted(-np.asarray(lengths, np.int64), -np.arange(room + 1)).tolist()
+    unused = sum(1 << x for x in lengths)
+    steps = 0
+
+    def extend(at: int, left: int, taken: Filling, free: int, ones: int, more: int) -> Iterator[tuple[Filling, int, int, int]]:
+        """``ones`` and ``more``: sums of at most one, and of several, of the pieces taken."""
+        nonlocal steps
+        if not left:
+            yield taken, free, ones, more
+            return
+        for i in range(max(at, longest_in[left]), len(lengths)):
+            length = lengths[i]
+            grown = [(ones, more)]
+            for _ in range(min(left // length, copies_of[i])):
+                one, many = grown[-1]
+                grown.append((one | 1 << length, many | (many | one & ~1) << length))
+            for copies in range(len(grown) - 1, 0, -1):
+                if max_steps is not None and steps >= max_steps:
+                    return
+                rest = left - copies * length
+                still = free if counts[length] > copies else free & ~(1 << length)
+                if reach[i + 1] >> rest & 1 and not grown[copies][1] & still:
+                    steps += 1
+                    yield from extend(i + 1, rest, (*taken, (length, copies)), still, *grown[copies])
+            if not reach[i + 1] >> left & 1:
                 return
-        found.append((waste, tuple(taken.items())))
-        exact += waste == 0
 
-    def extend(at: int, left: int, taken: dict[int, int]) -> None:
-        nonlocal budget
-        budget -= 1
-        if budget < 0 or exact >= most:
-            return
-        while at < len(lengths) and (lengths[at] > left or counts[lengths[at]] <= taken.get(lengths[at], 0)):
-            at += 1
-        if at == len(lengths) or left < shortest:
-            emit(taken, left)
+    for waste in range(room + 1):
+        if not reach[0] >> room - waste & 1:
+            continue
+        for taken, free, ones, more in extend(0, room - waste, (), unused, 1, 0):
+            if not any((ones | more) << d & free for d in range(1, waste + 1)):
+                yield waste, taken
+        if max_steps is not None and steps >= max_steps:
             return
-        length = lengths[at]
-        for copies in range(min(left // length, int(counts[length])), -1, -1):
-            if copies:
-                extend(at + 1, left - copies * length, taken | {length: copies})
-            elif at + 1 < len(lengths):
-                extend(at + 1, left, taken)
-            if budget < 0 or exact >= most:
-                return
 
-    extend(0, room, {})
-    found.sort(key=lambda f: (f[0], sum(c for _, c in f[1])))
-    return found[:most] or [(room, ())]
 
+def undominated(counts: np.ndarray, room: int, most: int | None, max_steps: int | None = None) -> list[tuple[int, Filling]]:
+    """The first ``most`` of :func:`fillings`."""
+    return list(islice(fillings(counts, room, max_steps), most))
+
+
+def _complete(counts: np.ndarray, capacity: int, most: int | None, max_steps: int | None,
+              sequences: int) -> Iterator[tuple[Filling, int, np.ndarray]]:
+    """The node's branches: (filling with the longest length, how often, remaining counts).
 
-def _complete(counts: np.ndarray, capacity: int, most: int) -> Iterator[tuple[Filling, int, np.ndarray]]:
-    """The node's branches: (filling with the longest length, how often, remaining counts)."""
+    Fillings that waste no more than ``SHARES`` times what each of ``sequences`` may waste
+    come first, those of long pieces (by squares) before those that use up short ones.
+    """
     longest = int(np.flatnonzero(counts)[-1])
+    total = int(counts @ np.arange(len(counts)))
+    share = SHARES * max(0, sequences * capacity - total) / max(1, sequences)
     rest = counts.copy()
     rest[longest] -= 1
-    for _, filling in undominated(rest, capacity - longest, most):
+    found = islice(fillings(rest, capacity - longest, max_steps), most)
+
+    def ordered() -> Iterator[Filling]:
+        cheap: list[Filling] = []
+        beyond = None
+        for waste, filling in found:
+            if cheap and waste > share:
+                beyond = filling
+                break
+            cheap.append(filling)
+        yield from sorted(cheap, key=lambda f: -sum(x * x * c for x, c in f))
+        if beyond is not None:
+            yield beyond
+            yield from (filling for _, filling in found)
+
+    for filling in ordered():
         need = dict(filling)
         need[longest] = need.get(longest, 0) + 1
-        times = min(int(counts[x]) // c for x, c in need.items())
-        left = counts.copy()
-        for x, c in need.items():
-            left[x] -= times * c
-        yield tuple(sorted(need.items(), reverse=True)), times, left
+        for times in range(min(int(counts[x]) // c for x, c in need.items()), 0, -1):
+            left = counts.copy()
+            for x, c in need.items():
+                left[x] -= times * c
+            yield tuple(sorted(need.items(), reverse=True)), times, left
 
 
-def plan_packing(counts: Sequence[int], capacity: int, max_nodes: int = 4_000, most_fillings: int = 12) -> Plan:
+def plan_packing(counts: Sequence[int], capacity: int, max_nodes: int | None = 1_000, most_fillings: int | None = 12,
+                 max_steps: int | None = 200) -> Plan:
     """Pack ``counts[length]`` pieces of each length into few sequences of ``capacity``."""
     counts = np.asarray(counts, np.int64)
     if len(counts) != capacity + 1 or counts[0] or (counts < 0).any():
@@ -175,34 +225,37 @@ def plan_packing(counts: Sequence[int], capacity: int, max_nodes: int = 4_000, m
     target = waste_bound(counts, capacity)
     best = best_fit(counts, capacity)
     fewest = sum(m for _, m in best)
-    nodes = 0
-    # depth first; a frame holds the branches of a node still to try
-    path: Plan = []
-    used = 0
-    stack = [_complete(counts, capacity, most_fillings)]
-    while stack and fewest > target and nodes < max_nodes:
-        branch = next(stack[-1], None)
-        if branch is None:
-            stack.pop()
-            if path:
-                used -= path.pop()[1]
-            continue
-        nodes += 1
-        filling, times, left = branch
-        if used + times + (waste_bound(left, capacity) if left.any() else 0) >= fewest:
-            continue
-        path.append((filling, times))
-        used += times
-        if not left.any():
-            best, fewest = list(path), used
-        else:
-            if nodes % 64 == 1:
-                rest = best_fit(left, capacity)
-                if used + sum(m for _, m in rest) < fewest:
-                    best, fewest = [*path, *rest], used + sum(m for _, m in rest)
-            stack.append(_complete(left, capacity, most_fillings))
-            continue
-        used -= path.pop()[1]
+    nodes, most_odd = 0, 0
+    while fewest > target:
+        # depth first among the plans with at most ``most_odd`` departures from the first branch; a frame holds
+        # the branches of a node still to try, and the path the branch taken in each frame but the last
+        path: Plan = []
+        used, beyond = 0, False
+        stack = [(enumerate(_complete(counts, capacity, most_fillings, max_steps, target)), most_odd)]
+        while stack and fewest > target and (max_nodes is None or nodes < max_nodes):
+            branches, odd = stack[-1]
+            number, branch = next(branches, (0, None))
+            if branch is None or number > odd:
+                beyond |= branch is not None
+                stack.pop()
+                if path:
+                    used -= path.pop()[1]
+                continue
+            filling, times, left = branch
+            if used + times + (waste_bound(left, capacity) if left.any() else 0) >= fewest:
+                continue
+            nodes += 1
+            rest = best_fit(left, capacity)
+            if (found := used + times + sum(m for _, m in rest)) < fewest:
+                best, fewest = [*path, (filling, times), *rest], found
+            if left.any():
+                path.append((filling, times))
+                used += times
+                stack.append((enumerate(_complete(left, capacity, most_fillings, max_steps, target - used)),
+                              odd - number))
+        if not beyond:
+            break
+        most_odd += 1
     return done + best
 
 

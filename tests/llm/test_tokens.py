@@ -141,6 +141,43 @@ def test_fillings_are_undominated():
     assert undominated(np.zeros(11, int), 4, 9) == [(4, ())]
 
 
+def filled(plan, size):
+    held = np.zeros(size, int)
+    for filling, many in plan:
+        for x, c in filling:
+            held[x] += c * many
+    return held
+
+
+def test_search_beats_best_fit():
+    rng, better = random.Random(3), 0
+    for _ in range(40):
+        counts = np.bincount([rng.randint(15, 60) for _ in range(60)], minlength=101)
+        plan, plain = plan_packing(counts, 100), best_fit(counts, 100)
+        assert (filled(plan, 101) == counts).all() and (filled(plain, 101) == counts).all()
+        used, fit = sum(m for _, m in plan), sum(m for _, m in plain)
+        assert waste_bound(counts, 100) <= used <= fit
+        better += used < fit
+    assert better >= 5
+
+
+def test_unlimited_search_is_optimal():
+    rng = random.Random(8)
+    for _ in range(40):
+        capacity = rng.randint(6, 20)
+        items = sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 9))), reverse=True)
+        counts = np.bincount(items, minlength=capacity + 1)
+        plan = plan_packing(counts, capacity, None, None, None)
+        assert sum(m for _, m in plan) == exhaustive(items, capacity)
+        assert (filled(plan, capacity + 1) == counts).all()
+
+
+def test_plan_of_many_lengths_meets_the_bound():
+    rng = np.random.default_rng(4)
+    counts = np.bincount(np.minimum(1024, rng.lognormal(5.5, 0.9, 4000).astype(int) + 1), minlength=1025)
+    assert sum(m for _, m in plan_packing(counts, 1024)) == waste_bound(counts, 1024)
+
+
 def test_packing_is_gapless_and_carries_all_ids(docs, texts):
     rows = pack_documents(docs, BPE, 1024, 2).collect()
     library, by_sequence, by_doc = Tokenizer.from_file(BPE), {}, {}
