@@ -4,29 +4,35 @@ Only DataFrame and SQL functions and Spark's own forest are used.
 
 1. A screen (one regular expression over the whole text) keeps the texts that hold
    any candidate; only those are cut into words.
-2. Candidates are private-key blocks, long runs of key characters with a digit, and
+2. Candidates are private-key blocks (without an END line: the lines of key characters
+   that follow), long runs of key characters with a digit, passwords in URLs, and
    values assigned to a name like ``token`` or ``password``.
 3. Features: length, character transitions (runs of lower case, upper case and digits
    per character, shares of digits and upper case, distinct characters), dictionary
-   coverage (share of the candidate's trigrams that are letters found in the words of
-   the screened texts; a table of 26^3 bytes), path marks, and the two words before.
+   coverage (share of the candidate's trigrams that are letters found in at least
+   ``DICTIONARY_WORDS`` words of a public vocabulary file, the same for every corpus; a
+   table of 26^3 bytes), path marks, and the two words before.
 4. A random forest trained on labelled findings gives each candidate its score.
 
 The labelled findings are a bounded table (``LABELLED`` rows, a parameter): values of
-the usual kinds from hash functions, and words of the screened texts, set in contexts
-whose label is known, such as an assignment to a token name (a secret), a commit, a
-checksum, an id, a path, a card number or a placeholder (no secret).
+the usual kinds from hash functions, and words, set in contexts whose label is known,
+such as an assignment to a token name (a secret), a commit, a checksum, an id, a path,
+a card number or a placeholder (no secret).
 
 Every run and every assigned value of a word is a candidate of its own, with the text
 of the word before it as its context; ``word`` then is its part of the word.
 
 Defined cases: null and empty texts have no findings; equal candidates at several
-places are separate findings; rows that repeat an id are scanned one by one; an empty
+places are separate findings; a finding is masked in its own word or block only; rows that repeat an id are scanned one by one; an empty
 table gives an empty result; other columns are kept by :func:`redact_secrets`.
 """
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -43,20 +49,28 @@ SECRET_NAME = r"(?i)(?:token|secret|passw|pwd|api_?-?key|access_?-?key|private_?
 # A word with such a name that ends with "=" or ":", or has one of them as the next word; then a word of 8 characters.
 # Tried at word starts only, so that a long word with many names is read once.
 NAMED = (rf"(?<!\S)(?=\S*?{SECRET_NAME})\S*+(?:(?<=[=:][\x85\u2028\u2029]{{0,1}})|\s+[=:])\s+\S{{8}}")
+# A whole name of a secret just before its value.
+NAME_ENDS = (r"(?i)(?:^|[^a-z])(?:token|secret|passphrase|password|passwd|pwd|api_?-?key|access_?-?key|private_?-?key"
+             r"|credential)(?:[_-][a-z0-9]+)?[\"'\])]*\s*[=:]\s*[\"']?$")
 HARMLESS_NAME = r"(?i)(commit|sha\d*\b|md5|digest|checksum|hash|uuid|guid|\bid\b|revision|etag|version|example|sample|isbn|card|phone)"
 PLACEHOLDER = r"(?i)(example|xxxx|0000000|1234567|changeme|your|dummy|placeholder|redacted|<|\$\{)"
-BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
+# A block's body holds few dashes (header lines) and none five in a row, so that a scan never passes another block.
+BLOCK = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]*+-(?!----)){0,16}+[^-]*+-----END [A-Z ]*PRIVATE KEY-----"
+         r"|\s*+(?:[A-Za-z0-9+/=\r\n]*[\r\n])?(?:[A-Za-z0-9+/=]{16,}+)?)")
+# A password of at least 8 characters between the user and the host of a URL.
+URL_PASSWORD = r"://[^\s/:@]*+:([^\s/@]{8,}+)@"
 LONG_RUN = rf"(?<!{KEY})(?=[A-Za-z+/_-]*+[0-9])({KEY}{{16,}}={{0,2}})"
 ASSIGNED = SECRET_NAME + r"[\w.\])\"'-]*+\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{8,})"
 # Where the next of several assignments in a word begins.
 CUT = r"[,;&](?=[\w.\])\"'-]*+[=:])"
 # Holds for every text with a candidate: one part for each rule of found_in.
-SCREEN = f"-----BEGIN|{LONG_RUN}|{ASSIGNED}|{NAMED}"
+SCREEN = f"-----BEGIN|{LONG_RUN}|{ASSIGNED}|{NAMED}|{URL_PASSWORD}"
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 MASK = "[SECRET]"
 
 FEATURES = ("length", "runs", "digits", "uppers", "distinct", "hex", "block", "coverage", "path", "secret_name",
-            "assigned", "harmless_name", "placeholder", "quoted")
+            "assigned", "harmless_name", "placeholder", "quoted", "named", "url")
+DICTIONARY_WORDS = 3
 LABELLED = 6_000
 THRESHOLD = 0.5
 
@@ -66,35 +80,47 @@ def candidates(rows: DataFrame) -> DataFrame:
     return found_in(rows.filter(F.col("text").rlike(SCREEN)))
 
 
+def _split(text: Column) -> tuple[Column, Column]:
+    """The words of a text, a private-key block being one, and what stands after each."""
+    blocks = F.regexp_extract_all(text, F.lit(f"({BLOCK})"), F.lit(1))
+    gaps = F.split(text, BLOCK)
+
+    def of_gaps(one: Callable[[Column], Column], between: Callable[[Column], Column]) -> Column:
+        return F.flatten(F.zip_with(gaps, blocks, lambda g, b: F.when(b.isNull(), one(g)).otherwise(
+            F.concat(one(g), F.array(between(b))))))
+
+    return (of_gaps(lambda g: F.split(g, WHITE_SPACE), lambda b: b),
+            of_gaps(lambda g: F.concat(F.regexp_extract_all(g, F.lit(f"({WHITE_SPACE})"), F.lit(1)), F.array(F.lit(""))),
+                    lambda _: F.lit("")))
+
+
 def found_in(rows: DataFrame) -> DataFrame:
     """:func:`candidates` of texts that are all cut into words."""
-    blocks = (rows.filter(F.col("text").contains("-----BEGIN"))
-              .select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"({BLOCK})"), F.lit(1))))
-              .select("doc_id", (-F.col("pos") - 1).alias("word_no"), F.lit("block").alias("kind"),
-                      F.col("col").alias("value"), F.col("col").alias("word"),
-                      F.lit("").alias("lead"), F.lit("").alias("before"), F.lit("").alias("before2")))
-    words = F.split(F.regexp_replace("text", BLOCK, " "), WHITE_SPACE)
-    at = lambda k: F.when(F.col("pos") >= k, F.element_at("words", F.col("pos") + 1 - k)).otherwise("")
+    block = lambda w: w.rlike(f"^{BLOCK}$")
+    words = _split(F.col("text"))[0]
+    ago = lambda i, k: F.coalesce(F.get("words", i - k), F.lit(""))
     found = (rows.withColumn("words", words)
-             .select("doc_id", "words", F.explode(F.filter(
-                 F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("word"))),
-                 lambda x: (F.length(x["word"]) >= 8) & (x["word"].rlike(LONG_RUN) | x["word"].rlike(ASSIGNED) | (
-                     (x["pos"] >= 2) & F.element_at("words", x["pos"]).isin("=", ":")
-                     & F.element_at("words", x["pos"] - 1).rlike(SECRET_NAME)) | (
-                     (x["pos"] >= 1) & F.element_at("words", x["pos"]).rlike(SECRET_NAME + r"\S*[=:]$"))))).alias("x"))
-             .select("doc_id", "words", "x.pos", "x.word")
-             .select("doc_id", F.col("pos").alias("word_no"), "word", at(1).alias("before"), at(2).alias("before2")))
-    words = (found.withColumn("told", _told()).withColumn("x", F.explode(_matches()))
+             .select("doc_id", F.explode(F.filter(
+                 F.transform("words", lambda w, i: F.struct(
+                     i.alias("word_no"), w.alias("word"), ago(i, 1).alias("before"), ago(i, 2).alias("before2"))),
+                 lambda x: (F.length(x["word"]) >= 8) & (
+                     x["word"].rlike(f"{LONG_RUN}|{URL_PASSWORD}|^-----BEGIN .") | x["word"].rlike(ASSIGNED)
+                     | _told(x["before"], x["before2"])))).alias("x"))
+             .select("doc_id", "x.word_no", "x.word", "x.before", "x.before2"))
+    blank = F.lit("")
+    blocks = found.filter(block(F.col("word"))).select(
+        "doc_id", "word_no", F.lit("block").alias("kind"), F.col("word").alias("value"), "word",
+        blank.alias("lead"), blank.alias("before"), blank.alias("before2"))
+    words = (found.filter(~block(F.col("word"))).withColumn("told", _told(F.col("before"), F.col("before2"))).withColumn("x", F.explode(_matches()))
              .select("doc_id", "word_no", "x.kind", "x.value", "x.word", "x.lead",
                      F.when(F.col("x.own"), "").otherwise(F.col("before")).alias("before"),
                      F.when(F.col("x.own"), "").otherwise(F.col("before2")).alias("before2")))
     return blocks.unionByName(words).filter(F.length("value") >= 8)
 
 
-def _told() -> Column:
+def _told(before: Column, before2: Column) -> Column:
     """Whether the words before hold the name of a secret."""
-    return (F.col("before").isin("=", ":") & F.col("before2").rlike(SECRET_NAME)) | (
-        F.col("before").rlike(SECRET_NAME + r"\S*[=:]$"))
+    return (before.isin("=", ":") & before2.rlike(SECRET_NAME)) | before.rlike(SECRET_NAME + r"\S*[=:]$")
 
 
 def _match(kind: str, value: Column, lead: Column, tail: Column, own: Column) -> Column:
@@ -109,7 +135,7 @@ def _matches() -> Column:
     A word is cut before each further ``,name=``, ``;name:`` and ``&name=``.  In every part all
     long runs and all assigned values count, each with the text since the last one.  Between
     two runs without a letter (dotted tokens) the context is that of the run before.
-    Values that go on beyond a cut, and a whole word after a name, count besides.
+    Values that go on beyond a cut, a whole word after a name, and passwords in URLs count besides.
     """
     at = lambda array, k: F.element_at(array, k + 1)
     letter = lambda g: g.rlike("[A-Za-z]")
@@ -140,29 +166,40 @@ def _matches() -> Column:
     word, stripped = F.col("word"), F.regexp_extract("word", r"^[\"'(\[]*(.*?)[\"'),;.!?|\]]*$", 1)
     not_a_run = lambda x: ~x["value"].rlike(f"^{LONG_RUN}$")
     parts = F.split(word, CUT)
+    def in_url(whole: Column) -> Column:
+        value = F.regexp_extract(whole, URL_PASSWORD, 1)
+        return _match("url", value, F.left(whole, F.length(whole) - F.length(value) - 1), F.lit("@"), F.lit(True))
+
+    urls = F.transform(F.regexp_extract_all(word, F.lit(URL_PASSWORD), F.lit(0)), in_url)
+    of_url = F.transform(urls, lambda x: x["value"])
     told = F.filter(F.array(_match("assigned", stripped, F.regexp_extract("word", r"^[\"'(\[]*", 0), F.lit(""),
                                    F.lit(False))), lambda x: F.col("told") & not_a_run(x))
     return F.concat(
-        F.flatten(F.transform(parts, runs)),
+        urls,
+        F.filter(F.flatten(F.transform(parts, runs)), lambda x: ~F.array_contains(of_url, x["value"])),
         F.filter(F.flatten(F.transform(parts, assigned)), not_a_run),
         F.filter(assigned(word, F.lit(0)), lambda x: x["value"].rlike(CUT)),
         told)
 
 
-def trigram_marks(rows: DataFrame) -> bytes:
-    """One byte per letter trigram: 1 if ordinary words of the screened texts hold it.
+def trigram_marks(vocabulary: str | None = None) -> bytes:
+    """One byte per letter trigram: 1 if ``DICTIONARY_WORDS`` words of the vocabulary hold it.
 
-    The table has 26^3 bytes whatever the input.
+    ``vocabulary`` is the path of a public byte-level BPE file (default: the 50k one); the
+    table has 26^3 bytes.
     """
-    words = (rows.filter(F.col("text").rlike(SCREEN))
-             .select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("word"))
-             .filter(F.length("word") >= 3))
-    grams = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 2),
-                                               lambda i: F.col("word").substr(i, F.lit(3)))).alias("gram"))
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = str(public_tokenizers.path("byte_bpe_50k.json"))
+    with open(vocabulary, encoding="utf-8") as file:
+        entries = json.load(file)["model"]["vocab"]
+    words = {w for w in (entry.lstrip("Ġ").lower() for entry in entries) if w.isascii() and w.isalpha()}
+    held = Counter(gram for w in words for gram in {w[i:i + 3] for i in range(len(w) - 2)})
     marks = bytearray(26 ** 3)
-    for row in grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("gram").collect():
-        a, b, c = (ord(x) - ord("a") for x in row["gram"])
-        marks[(a * 26 + b) * 26 + c] = 1
+    for gram, n in held.items():
+        a, b, c = (ord(x) - ord("a") for x in gram)
+        marks[(a * 26 + b) * 26 + c] = n >= DICTIONARY_WORDS
     return bytes(marks)
 
 
@@ -199,7 +236,9 @@ def with_features(found: DataFrame, marks: bytes) -> DataFrame:
         flag(around.rlike(r"[=:]\s*[\"']?$")).alias("assigned"),
         flag(around.rlike(HARMLESS_NAME)).alias("harmless_name"),
         flag(value.rlike(PLACEHOLDER)).alias("placeholder"),
-        flag(F.col("word").rlike("[\"']")).alias("quoted"))
+        flag(F.col("word").rlike("[\"']")).alias("quoted"),
+        flag(around.rlike(NAME_ENDS)).alias("named"),
+        flag(F.col("kind") == "url").alias("url"))
 
 
 def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
@@ -211,6 +250,8 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     key64 = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
     letters = F.translate(F.substring(digest, 1, 24), "0123456789abcdef", "etaoinshrdlucmfw")
     blank = F.lit("")
+    noun = lambda: pick("correct", "summer", "window", "orange", "station", "battery", "winter", "garden", "monkey", "shadow")
+    verb = pick("horse", "dragon", "silver", "travel", "bridge", "castle", "forest", "secret", "master")
     cases = [  # (kind, value, text before the value in its word, word before, word before that, label)
         ("key", F.substring(digest, 1, 40), '"', F.lit("="), pick("token", "TOKEN", "secret", "api_key", "auth_token"), 1),
         ("key", F.upper(F.substring(digest, 1, 40)), '"', F.lit("="), pick("TOKEN", "token", "SECRET"), 1),
@@ -220,6 +261,12 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         ("key", F.concat(F.lit("AKIA"), F.upper(F.substring(digest, 1, 16))), "", pick("=", "is", ":"), pick("aws_access_key_id", "key", "access_key"), 1),
         ("assigned", F.concat(F.substring(letters, 1, 5), F.substring(digest, 1, 6), F.lit("!")), "", F.lit("="), pick("password", "passwd", "pwd"), 1),
         ("block", F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), key64, F.lit("\n-----END RSA PRIVATE KEY-----")), "", blank, blank, 1),
+        ("assigned", F.concat(noun(), verb, pick("battery", "staple", "cloud", "river", "stone", "paper", "light")), "", pick("client_secret:", "password:", "passphrase=", "db_password:", "secret:"), pick("the", "", "set"), 1),
+        ("assigned", F.concat(noun(), F.lit("-"), verb, F.lit("-"), noun()), '"', pick("=", ":"), pick("password", "client_secret", "pwd"), 1),
+        ("url", F.concat(F.initcap(verb), F.substring(digest, 1, 5)), "://admin:", blank, blank, 1),
+        ("url", key64, "://user:", blank, blank, 1),
+        ("url", pick("password", "<password>", "changeme", "${PASSWORD}", "xxxxxxxx", "your-password"), "://user:", blank, blank, 0),
+        ("assigned", pick("required", "optional", "anything", "something", "whatever", "disabled", "forgotten"), "", pick("password:", "token:", "secret:"), pick("the", "", "a"), 0),
         ("key", F.substring(digest, 1, 40), "", pick("commit", "revision", "sha1", "hash"), pick("at", "in", "the", "git"), 0),
         ("key", digest, "", pick("sha256:", "checksum", "digest", "etag:"), pick("file", "the", "its"), 0),
         ("key", F.substring(digest, 1, 32), "", pick("md5", "uuid", "id", "guid"), pick("=", "the", "row"), 0),
@@ -237,7 +284,7 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     for kind, value, lead, before, before2, label in cases:
         part = base.select(
             F.lit(kind).alias("kind"), value.alias("value"),
-            F.concat(F.lit(lead), value, F.lit('"' if lead == '"' else "")).alias("word"), F.lit(lead).alias("lead"),
+            F.concat(F.lit(lead), value, F.lit({'"': '"', "://": "@"}.get(lead[:3], ""))).alias("word"), F.lit(lead).alias("lead"),
             before.alias("before"), before2.alias("before2"), F.lit(float(label)).alias("label"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -263,13 +310,14 @@ def train_forest(labelled: DataFrame, marks: bytes, trees: int = 24, depth: int
     return PipelineModel.load(path)
 
 
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 vocabulary: str | None = None) -> DataFrame:
     """doc_id, word_no, kind, value, score, is_secret of every candidate.
 
-    ``word_no`` counts the words of the text (private-key blocks: -1, -2, ...).
+    ``word_no`` counts the words of the text, a private-key block being one.
     """
     rows = text_rows(df, id_col, text_col)
-    marks = trigram_marks(rows)
+    marks = trigram_marks(vocabulary)
     found = written(with_features(candidates(rows), marks), "secret-candidates")
     forest = train_forest(labelled_findings(df.sparkSession), marks)
     score = vector_to_array("probability")[1]
@@ -284,18 +332,48 @@ def _masked(text: Column, values: Column) -> Column:
     return F.aggregate(ordered, text, lambda t, v: F.replace(t, v, F.lit(MASK)))
 
 
-def redact_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with every accepted finding replaced by ``MASK`` in its text.
+def _masked_words(text: Column, found: Column) -> Column:
+    """``text`` with the values of ``found`` (word_no, vals; ascending) masked, each in its own word.
+
+    The text is put together from the stretches between the words with findings.
+    """
+    words, after = _split(text)
+
+    def put_together(tokens: Column, here: Column) -> Column:
+        plain = lambda first, n: F.array_join(
+            F.transform(F.slice(tokens, first, n), lambda t: F.concat(t["word"], t["after"])), "")
+
+        def up_to(f: Column, i: Column) -> Column:
+            start = F.coalesce(F.get(here, i - 1)["word_no"], F.lit(-1)) + 1
+            token = F.get(tokens, f["word_no"])
+            return F.concat(plain(start + 1, f["word_no"] - start), _masked(token["word"], f["vals"]), token["after"])
+
+        last = F.coalesce(F.get(here, F.size(here) - 1)["word_no"], F.lit(-1)) + 1
+        return F.concat(F.array_join(F.transform(here, up_to), ""), plain(last + 1, F.size(tokens)))
+
+    tokens = F.zip_with(words, after, lambda w, a: F.struct(w.alias("word"), a.alias("after")))
+    within = lambda t: F.filter(found, lambda f: f["word_no"] < F.size(t))
+    # arrays of one element, so that each part is made once and not for every use
+    bound = F.transform(F.array(tokens), lambda t: F.struct(t.alias("tokens"), within(t).alias("here")))
+    return F.get(F.transform(bound, lambda x: put_together(x["tokens"], x["here"])), F.lit(0))
+
+
+def redact_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   vocabulary: str | None = None) -> DataFrame:
+    """``df`` with every accepted finding replaced by ``MASK`` in its word or block.
 
     Only texts that pass the screen are joined with their findings; all others go
-    through untouched.
+    through untouched.  Columns of any name are kept.
     """
-    secrets = (scan_secrets(df, id_col, text_col).filter("is_secret = 1")
-               .groupBy(F.coalesce("doc_id", F.lit(-1 << 62)).alias("__id"))
-               .agg(F.collect_set("value").alias("__values")))
+    no_id = F.lit(-1 << 62)
+    found = (scan_secrets(df, id_col, text_col, vocabulary).filter("is_secret = 1")
+             .groupBy(F.coalesce("doc_id", no_id).alias("key"), "word_no").agg(F.collect_set("value").alias("vals"))
+             .groupBy("key").agg(F.array_sort(F.collect_list(F.struct("word_no", "vals"))).alias("found")))
     screened = F.coalesce(F.col(text_col).rlike(SCREEN), F.lit(False))
-    hit = (df.filter(screened).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-1 << 62)))
-           .join(secrets, "__id", "left")
-           .withColumn(text_col, F.when(F.col("__values").isNotNull(), _masked(F.col(text_col), F.col("__values")))
-                       .otherwise(F.col(text_col))))
-    return df.filter(~screened).unionByName(hit.select(*df.columns))
+    hit = (df.filter(screened)
+           .select(F.struct(*df.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), no_id).alias("key"))
+           .join(found, "key", "left"))
+    text = F.when(F.col("found").isNotNull(), _masked_words(F.col("row")[text_col], F.col("found"))).otherwise(
+        F.col("row")[text_col])
+    done = hit.select(*((text if c == text_col else F.col("row")[c]).alias(c) for c in df.columns))
+    return df.filter(~screened).unionByName(done)
