@@ -186,7 +186,8 @@ def _complete(counts: np.ndarray, capacity: int, most: int | None, max_steps: in
     share = SHARES * max(0, sequences * capacity - total) / max(1, sequences)
     rest = counts.copy()
     rest[longest] -= 1
-    found = islice(fillings(rest, capacity - longest, max_steps), most)
+    # listed at once: a suspended enumeration would keep its sums in memory for every node of the path
+    found = iter(undominated(rest, capacity - longest, most, max_steps))
 
     def ordered() -> Iterator[Filling]:
         cheap: list[Filling] = []

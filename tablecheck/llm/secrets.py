@@ -29,7 +29,7 @@ table gives an empty result; other columns are kept by :func:`redact_secrets`.
 
 from __future__ import annotations
 
-import json
+import re
 from collections import Counter
 from collections.abc import Callable
 
@@ -192,9 +192,9 @@ def trigram_marks(vocabulary: str | None = None) -> bytes:
         import public_tokenizers
 
         vocabulary = str(public_tokenizers.path("byte_bpe_50k.json"))
+    # only the words are kept of the file: parsed whole it would take several times its size on the driver
     with open(vocabulary, encoding="utf-8") as file:
-        entries = json.load(file)["model"]["vocab"]
-    words = {w for w in (entry.lstrip("Ġ").lower() for entry in entries) if w.isascii() and w.isalpha()}
+        words = {w.lower() for w in re.findall(r'"Ġ*([A-Za-z]{3,})"\s*:\s*\d', file.read())}
     held = Counter(gram for w in words for gram in {w[i:i + 3] for i in range(len(w) - 2)})
     marks = bytearray(26 ** 3)
     for gram, n in held.items():
