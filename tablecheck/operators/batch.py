@@ -2,26 +2,28 @@
 
 Tables of different shapes travel as rows of cell arrays:
 
-* ``to_cells(df, **ids)`` turns any typed table into rows ``(<ids>, cells)`` where
+* ``to_cells(df, **ids)`` turns any typed table into rows ``(<ids>, names, cells)`` where
   ``cells`` is ``array<struct<l, n, s, m>>`` in column order (``l`` stripped
   lower-cased text, ``n`` number for equality, ``s`` number for sorting, ``m``
-  detail of timestamps) plus one ``(<ids>, names)`` row with its column names.
+  detail of timestamps) and ``names`` the column names (a constant of the frame).
 * gold tables are keyed by ``(task_id, table_name)`` and stored once; actual tables
   by ``(run_id, table_name)``; ``runs`` maps ``run_id`` to ``task_id``.
 
-The comparison rules are those of :mod:`compare`, applied per group:
-profiles come from one exploded aggregate (partial aggregation keeps a hot group
-to one row per map task), positions from the range-sorting indexer (a hot group is
-spread over many range partitions by its row keys), the positional join is on
-``(task_id, table_name, pos)`` (a key held by one gold row and that task's runs),
-and only failing cells are exploded when the verdicts are folded.
+The comparison rules are those of :mod:`compare`, applied per group.  Both sides go
+through the same steps together, told apart by a NULL ``run_id``: one write of all
+cells, one grouped aggregate for all profiles (partial aggregation keeps a hot group
+to one row per map task), one range exchange that numbers the rows of all groups (a
+hot group is spread over many range partitions by its row keys).  Tables that cannot
+match, as the row counts differ, are settled by their profiles and never sorted.  The
+positional join is on ``(task_id, table_name, pos)`` (a key held by one gold row and
+that task's runs), and only failing cells are exploded when the verdicts are folded.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,71 +41,52 @@ FLAGS = T.ArrayType(T.StructType([
     T.StructField("sort_numeric", T.BooleanType()), T.StructField("detail", T.IntegerType()),
 ]))
 
+
 def to_cells(df: DataFrame, id_cols: list[str] = (), **literal_ids: str) -> tuple[DataFrame, DataFrame]:
-    """Cell rows ``(ids..., cells)`` and the per-group schema table of ``df``.
+    """Cell rows ``(ids..., names, cells)`` and the named tables of ``df``.
 
     ``id_cols`` are columns of ``df`` naming the group of each row (e.g. many runs'
     tables of one shape in one frame); ``literal_ids`` are constant for the frame.
-    Every other column becomes a cell, in order.  The schema table has one row per
-    group: ``(ids..., names, n_rows, flags)``, where ``flags`` holds each column's
-    profile (wholly numeric for equality, for sorting, detail of times).  It comes
-    from one grouped aggregate over the normalised columns, which are written once
-    so the cells reuse them.
+    Every other column becomes a cell, in order.  The second frame ``(ids..., names)``
+    tells of a table even if it has no rows: one row where all ids are literals, none
+    otherwise, as groups come from rows then.
     """
     id_cols = list(id_cols)
     data_cols = [c for c in df.columns if c not in id_cols]
     ndf, names, types = normal_columns(df.select(*id_cols, *data_cols), keep=True)
-    ndf = materialize(ndf, "normalized")
     n_id = len(id_cols)
-    data = [(i, t) for i, t in enumerate(types) if i >= n_id]
     cells = F.array(*[F.struct(F.col(f"_l{i}").alias("l"), F.col(f"_n{i}").alias("n"),
                                F.col(f"_sn{i}").alias("s"),
                                (F.col(f"_m{i}") if isinstance(t, _TIME_TYPES)
                                 else F.lit(None).cast("int")).alias("m"))
-                      for i, t in data]).cast(T.ArrayType(CELL))
-    ids = [F.col(f"_c{i}").alias(c) for i, c in enumerate(id_cols)] + \
-        [F.lit(v).alias(k) for k, v in literal_ids.items()]
-    rows = ndf.select(*ids, cells.alias("cells"))
-
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    for i, t in data:
-        aggs += [F.count(f"_l{i}").alias(f"nn{i}"), F.count(f"_n{i}").alias(f"num{i}"),
-                 F.count(f"_sn{i}").alias(f"snum{i}"),
-                 (F.max(f"_m{i}") if isinstance(t, _TIME_TYPES) else F.lit(None).cast("int")).alias(f"fine{i}")]
-    grouped = ndf.groupBy(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(id_cols)]).agg(*aggs)
-    flags = F.array(*[F.struct(F.lit(j).alias("i"), (F.col(f"nn{i}") == F.col(f"num{i}")).alias("numeric"),
-                               (F.col(f"nn{i}") == F.col(f"snum{i}")).alias("sort_numeric"),
-                               F.col(f"fine{i}").alias("detail"))
-                      for j, (i, _) in enumerate(data)]).cast(FLAGS)
-    schema = grouped.select(*id_cols, *[F.lit(v).alias(k) for k, v in literal_ids.items()],
-                            F.array(*[F.lit(n) for n in names[n_id:]]).cast("array<string>").alias("names"),
-                            F.col("n_rows").cast("long").alias("n_rows"), flags.alias("flags"))
-    return rows, schema
+                      for i, t in enumerate(types) if i >= n_id]).cast(T.ArrayType(CELL))
+    headed = F.array(*[F.lit(n) for n in names[n_id:]]).cast("array<string>").alias("names")
+    literals = [F.lit(v).alias(k) for k, v in literal_ids.items()]
+    rows = ndf.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(id_cols)], *literals, headed, cells.alias("cells"))
+    if id_cols:
+        return rows, rows.select(*id_cols, *literal_ids, "names").limit(0)
+    return rows, df.sparkSession.range(1).select(*literals, headed)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def _profiles(cells: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: column count and per column (non_null, numeric, sort_numeric, time detail)."""
-    exploded = cells.select(*keys, F.posexplode("cells").alias("i", "c"))
-    per_col = exploded.groupBy(*keys, "i").agg(
-        F.count("c.l").alias("nn"), F.count("c.n").alias("nnum"), F.count("c.s").alias("snum"),
-        F.max("c.m").alias("fine"))
-    prof = per_col.groupBy(*keys).agg(F.collect_list(F.struct(
-        "i", (F.col("nn") == F.col("nnum")).alias("numeric"),
-        (F.col("nn") == F.col("snum")).alias("sort_numeric"),
-        F.col("fine").alias("detail"))).alias("prof"))
-    counts = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    out = names.join(counts, keys, "left").join(prof, keys, "left")
-    # Columns of an empty table are numeric by rule (no non-null value fails to parse).
-    flags = F.transform(F.sequence(F.lit(0), F.size("names") - 1), lambda i: F.coalesce(
-        F.element_at(F.filter(F.coalesce(F.col("prof"), F.array()), lambda p: p["i"] == i), 1),
-        F.struct(i.alias("i"), F.lit(True).alias("numeric"), F.lit(True).alias("sort_numeric"),
-                 F.lit(None).cast("int").alias("detail"))))
-    return out.select(*keys, "names", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"),
-                      F.when(F.size("names") > 0, flags).otherwise(F.array()).alias("flags"))
+def _profiles(cells: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Per group: ``names``, ``n_rows`` and ``flags`` (each column's profile: wholly numeric
+    for equality, for sorting, detail of times), from one aggregate over rows of at most
+    ``width`` cells.  Columns of an empty table are numeric by rule, as no value of theirs
+    fails to parse."""
+    aggs = [F.max("names").alias("names"), F.count("cells").alias("n_rows")]
+    for i in range(width):
+        c = F.get("cells", F.lit(i))
+        aggs += [F.count(c["l"]).alias(f"l{i}"), F.count(c["n"]).alias(f"n{i}"), F.count(c["s"]).alias(f"s{i}"),
+                 F.max(c["m"]).alias(f"m{i}")]
+    flags = F.array(*[F.struct(F.lit(i).alias("i"), (F.col(f"l{i}") == F.col(f"n{i}")).alias("numeric"),
+                               (F.col(f"l{i}") == F.col(f"s{i}")).alias("sort_numeric"), F.col(f"m{i}").alias("detail"))
+                      for i in range(width)]).cast(FLAGS)
+    return cells.groupBy(*keys).agg(*aggs).select(*keys, "names", "n_rows",
+                                                  F.slice(flags, 1, F.size("names")).alias("flags"))
 
 
 def _sort_plan(names: Column, keys: Column) -> Column:
@@ -130,24 +113,23 @@ def _sort_key(plan: Column, flags: Column, cells: Column) -> Column:
     return F.transform(plan, elem)
 
 
-def positioned_cells(cells: DataFrame, names: DataFrame, keys: list[str],
-                     sort_keys: DataFrame | None, task_keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Cells with ``pos`` per group, and the group profile table."""
-    if "flags" in names.columns:
-        prof = names.select(*keys, "names", "n_rows", "flags")
-    else:
-        cells = materialize(cells, "cells")
-        prof = _profiles(cells, names, keys)
-    if sort_keys is not None:
-        prof = prof.join(sort_keys, task_keys, "left")
-    else:
-        prof = prof.withColumn("keys", F.lit(None).cast("array<string>"))
-    prof = prof.withColumn("plan", _sort_plan(F.col("names"), F.col("keys"))).drop("keys")
-    prof = materialize(prof, "cell-profiles")
-    planned = cells.join(prof.select(*keys, "plan", "flags"), keys, "inner")
-    keyed = planned.select(*keys, "cells", _sort_key(F.col("plan"), F.col("flags"), F.col("cells")).alias("_k"))
-    pos = with_positions(keyed, [F.col("_k").asc()], group_cols=keys, pos_col="pos").drop("_k")
-    return pos, prof
+def _both_sides(gold_cells: DataFrame, gold_names: DataFrame, actual_cells: DataFrame,
+                actual_names: DataFrame) -> tuple[DataFrame, int]:
+    """All cell rows of both sides, written once, and the greatest number of columns.
+    A table of ``*_names`` comes as a row without cells."""
+    task_type, run_type = gold_cells.schema["task_id"].dataType, actual_cells.schema["run_id"].dataType
+
+    def rows(df: DataFrame, gold: bool) -> DataFrame:
+        own = {"names": F.lit(None).cast("array<string>"), "cells": F.lit(None).cast(T.ArrayType(CELL))}
+        return df.select(
+            F.col("task_id") if gold else F.lit(None).cast(task_type).alias("task_id"),
+            F.lit(None).cast(run_type).alias("run_id") if gold else F.col("run_id"), "table_name",
+            *[F.col(c) if c in df.columns else v.alias(c) for c, v in own.items()])
+
+    seen = Observation()
+    both = union_all([rows(gold_cells, True), rows(gold_names, True), rows(actual_cells, False), rows(actual_names, False)])
+    both = both.observe(seen, F.max(F.size("names")).alias("width"))
+    return materialize(both, "cells"), seen.get["width"] or 0
 
 
 def _pairing(gprof: DataFrame, aprof: DataFrame) -> Column:
@@ -178,19 +160,20 @@ def batch_grade(gold_cells: DataFrame, gold_names: DataFrame, actual_cells: Data
     """Score every (run, target table): ``(run_id, task_id, table_name, score, matched_columns,
     total_columns, row_count_match)``.  A target the run did not produce scores 0 with a
     NULL ``row_count_match``."""
-    gk, ak = ["task_id", "table_name"], ["run_id", "table_name"]
-    g_pos, gprof = positioned_cells(gold_cells, gold_names, gk, sort_keys, gk)
-    runs = runs.select("run_id", "task_id")
-    a_cells = actual_cells.join(runs, "run_id", "inner")
-    a_names = actual_names.join(runs, "run_id", "inner")
-    a_pos, aprof = positioned_cells(a_cells.drop("task_id"), a_names.drop("task_id"), ak,
-                                    None if sort_keys is None else
-                                    sort_keys.join(runs, "task_id").select("run_id", "table_name", "keys"),
-                                    ak)
+    gk, ak, group = ["task_id", "table_name"], ["run_id", "table_name"], ["task_id", "run_id", "table_name"]
+    cells, width = _both_sides(gold_cells, gold_names, actual_cells, actual_names)
+    prof = materialize(_profiles(cells, group, width), "cell-profiles")
+    gprof = prof.where("run_id IS NULL").drop("run_id")
+    if sort_keys is None:
+        gprof = gprof.withColumn("keys", F.lit(None).cast("array<string>"))
+    else:
+        gprof = gprof.join(sort_keys.select(*gk, "keys"), gk, "left")
+    aprof = prof.where("run_id IS NOT NULL").drop("task_id")
 
     # One row per expected (run, target): gold profile, actual profile (may be missing).
-    targets = runs.join(gprof.select(*gk, F.col("names").alias("g_names"), F.col("n_rows").alias("g_rows"),
-                                     F.col("flags").alias("g_flags")), "task_id", "inner")
+    targets = runs.select("run_id", "task_id").join(
+        gprof.select(*gk, "keys", F.col("names").alias("g_names"), F.col("n_rows").alias("g_rows"),
+                     F.col("flags").alias("g_flags")), "task_id", "inner")
     targets = targets.join(aprof.select(*ak, F.col("names").alias("a_names"), F.col("n_rows").alias("a_rows"),
                                         F.col("flags").alias("a_flags")), ak, "left")
     g = F.struct(F.col("g_names").alias("names"), F.col("g_flags").alias("flags"))
@@ -199,9 +182,26 @@ def batch_grade(gold_cells: DataFrame, gold_names: DataFrame, actual_cells: Data
         "same_rows", F.col("a_rows").isNotNull() & (F.col("g_rows") == F.col("a_rows")))
     targets = materialize(targets, "graded-targets")
 
-    comparable = targets.where("same_rows AND g_rows > 0").select("run_id", "task_id", "table_name", "pairing")
-    joined = (a_pos.join(comparable, ak, "inner")
-              .join(g_pos.withColumnRenamed("cells", "g_cells"), ["task_id", "table_name", "pos"], "inner"))
+    comparable = targets.where("same_rows AND g_rows > 0")
+    # each table to be sorted: its own key and its sort order
+    own = [comparable.select(
+        F.lit(None).cast(prof.schema["task_id"].dataType).alias("own_task"), F.col("run_id").alias("own_run"),
+        "table_name", F.col("task_id").alias("of_task"), _sort_plan(F.col("a_names"), F.col("keys")).alias("plan"),
+        F.col("a_flags").alias("flags"))]
+    own.append(gprof.where("n_rows > 0").select(
+        F.col("task_id").alias("own_task"), F.lit(None).cast(prof.schema["run_id"].dataType).alias("own_run"),
+        "table_name", F.col("task_id").alias("of_task"), _sort_plan(F.col("names"), F.col("keys")).alias("plan"),
+        "flags"))
+    sides = union_all(own).withColumnRenamed("table_name", "own_table")
+    planned = cells.where("cells IS NOT NULL").drop("names").join(
+        sides, F.col("task_id").eqNullSafe(F.col("own_task")) & F.col("run_id").eqNullSafe(F.col("own_run"))
+        & (F.col("table_name") == F.col("own_table")))
+    keyed = planned.select(F.col("of_task").alias("task_id"), "run_id", "table_name", "cells",
+                           _sort_key(F.col("plan"), F.col("flags"), F.col("cells")).alias("_k"))
+    pos = with_positions(keyed, [F.col("_k").asc()], group_cols=group, pos_col="pos").drop("_k")
+    joined = pos.where("run_id IS NOT NULL").join(comparable.select(*ak, "pairing"), ak, "inner").join(
+        pos.where("run_id IS NULL").select("task_id", "table_name", "pos", F.col("cells").alias("g_cells")),
+        ["task_id", "table_name", "pos"], "inner")
 
     def failed(p):
         num_ok = tolerant_equal(F.element_at(F.col("g_cells"), p["gi"] + 1)["n"],

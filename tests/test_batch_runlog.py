@@ -257,3 +257,14 @@ def test_hot_group_is_spread_and_scored(spark):
     placed = P.with_positions(spark.range(0, 20_000).select((F.col("id") % 2).alias("k")), [F.col("k").asc()],
                               num_partitions=8)
     assert placed.select(F.countDistinct("pos"), F.max("pos")).first()[:] == (20_000, 19_999)
+
+
+def test_tables_without_rows_are_known_by_name(spark):
+    """An empty table pairs its columns by name; a table that no run produced has no row count."""
+    gold = spark.createDataFrame([], "a string, b string")
+    named = B.to_cells(gold, task_id="t", table_name="x")
+    empty = B.to_cells(spark.createDataFrame([], "B int"), run_id="r", table_name="x")
+    runs = spark.createDataFrame([("r", "t"), ("none", "t")], "run_id string, task_id string")
+    out = {r.run_id: (r.score, r.matched_columns, r.total_columns, r.row_count_match)
+           for r in B.batch_grade(*named, *empty, runs).collect()}
+    assert out == {"r": (0.5, 1, 2, True), "none": (0.0, 0, 2, None)}
