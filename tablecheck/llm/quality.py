@@ -21,7 +21,7 @@ give an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -142,13 +142,17 @@ class QualityModel:
         return out
 
 
-def truncated_svd(x: np.ndarray, rank: int, rounds: int = 4) -> np.ndarray:
-    """Right singular vectors by randomised subspace iteration (fixed seed)."""
-    rank = min(rank, *x.shape)
-    q = np.random.default_rng(7).standard_normal((x.shape[1], min(rank + 12, x.shape[1]))).astype(np.float32)
+def truncated_svd(blocks: Callable[[], Iterator[np.ndarray]], shape: tuple[int, int], rank: int,
+                  rounds: int = 4) -> np.ndarray:
+    """Right singular vectors by randomised subspace iteration (fixed seed), from row blocks made anew each round."""
+    rank = min(rank, *shape)
+    q = np.random.default_rng(7).standard_normal((shape[1], min(rank + 12, shape[1]))).astype(np.float32)
     for _ in range(rounds):
-        q, _ = np.linalg.qr(x.T @ (x @ q))
-    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+        total = np.zeros_like(q)
+        for block in blocks():
+            total += block.T @ (block @ q)
+        q, _ = np.linalg.qr(total)
+    _, _, v = np.linalg.svd(np.concatenate([block @ q for block in blocks()]), full_matrices=False)
     return (q @ v.T)[:, :rank].astype(np.float32)
 
 
@@ -180,24 +184,32 @@ def fit_quality(df: DataFrame, labels: DataFrame, label_col: str = "quality", id
 
     # at most 2 * per_class rows of at most TERMS terms: a bounded sample, by parameter
     chosen = text_rows(df, id_col, text_col).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
-    sample = sorted(chosen.mapInArrow(count, "doc_id long, y int, terms binary, counts binary").collect(),
-                    key=lambda r: (r["doc_id"], len(r["terms"]), r["terms"]))
-    n_known = sum(totals.values())
+    sample = chosen.mapInArrow(count, "doc_id long, y int, terms binary, counts binary").toArrow()
+    n, n_known = sample.num_rows, sum(totals.values())
     base = totals.get(1, 0) / n_known if n_known else 0.5
-    y = np.array([r["y"] for r in sample], np.float64)
-    if not len(sample):
-        return QualityModel(np.ones(TERMS), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y, y, base)
-    terms = [np.frombuffer(r["terms"], "<i4") for r in sample]
-    rows = np.repeat(np.arange(len(sample)), [len(t) for t in terms])
-    flat = np.concatenate(terms)
+    if not n:
+        none = np.empty(0)
+        return QualityModel(np.ones(TERMS), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), none, none, base)
+    ids, raws = np.asarray(sample.column("doc_id")), sample.column("terms").to_pylist()
+    order = sorted(range(n), key=lambda i: (ids[i], len(raws[i]), raws[i]))
+    y = np.asarray(sample.column("y"))[order].astype(np.float64)
+    raws = [raws[i] for i in order]
+    bounds = np.cumsum([0] + [len(r) // 4 for r in raws])
+    flat = np.frombuffer(b"".join(raws), "<i4")
+    raws = sample.column("counts").to_pylist()
+    counts = np.frombuffer(b"".join(raws[i] for i in order), "<i8")
+    del sample, raws
     in_docs = np.bincount(flat, minlength=TERMS)
-    n = len(sample)
     idf = np.log((1 + n) / (1 + in_docs)) + 1.0
-    counts = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sample])
-    del sample, terms
-    dense = weighted(rows, flat, counts, n, idf)
-    projection = truncated_svd(dense, RANK)
-    low = dense @ projection
+
+    def blocks() -> Iterator[np.ndarray]:
+        for i in range(0, n, BLOCK):
+            own = bounds[i:i + BLOCK + 1]
+            at = slice(own[0], own[-1])
+            yield weighted(np.repeat(np.arange(len(own) - 1), np.diff(own)), flat[at], counts[at], len(own) - 1, idf)
+
+    projection = truncated_svd(blocks, (n, TERMS), RANK)
+    low = np.concatenate([block @ projection for block in blocks()])
     vectors = (low / np.maximum(np.linalg.norm(low, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     here = np.array([(y == 0).sum(), (y == 1).sum()])
     share = np.array([totals.get(0, 0), totals.get(1, 0)]) / np.maximum(here, 1)
