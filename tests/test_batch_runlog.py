@@ -268,3 +268,10 @@ def test_tables_without_rows_are_known_by_name(spark):
     out = {r.run_id: (r.score, r.matched_columns, r.total_columns, r.row_count_match)
            for r in B.batch_grade(*named, *empty, runs).collect()}
     assert out == {"r": (0.5, 1, 2, True), "none": (0.0, 0, 2, None)}
+
+
+def test_no_rows_on_either_side_grade_to_nothing(spark):
+    gold = B.to_cells(spark.createDataFrame([], "task_id string, a string"), ["task_id"], table_name="x")
+    made = B.to_cells(spark.createDataFrame([], "run_id string, a int"), ["run_id"], table_name="x")
+    runs = spark.createDataFrame([("r", "t")], "run_id string, task_id string")
+    assert B.batch_grade(*gold, *made, runs).collect() == []
