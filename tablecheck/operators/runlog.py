@@ -81,8 +81,9 @@ def _optional(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
 
 
-def action_facets(actions: DataFrame, tasks: DataFrame) -> DataFrame:
-    """``run_id, task_id, n_declared, ts, at, turn, facet, key, text, flag``: what each action adds to its run.
+def faceted_actions(actions: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``run_id, task_id, n_declared, ts, at, turn, facets``: each action with what it adds to its run, as an
+    array of (facet, key, text, flag).
 
     ``at`` is the time in microseconds; a missing turn comes first in the order of calls and
     has no turn facet.  Actions of unknown tasks are left out.
@@ -114,8 +115,13 @@ def action_facets(actions: DataFrame, tasks: DataFrame) -> DataFrame:
         when(F.col("_wm"), facet("model", F.col("model"), F.col("sql"))))
     return (acts.select("run_id", "task_id", F.size("declared").cast("long").alias("n_declared"), "ts",
                         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
-                        F.coalesce(F.col("turn").cast("long"), F.lit(FIRST_TURN)).alias("turn"), F.explode(facets).alias("f"))
-            .select("run_id", "task_id", "n_declared", "ts", "at", "turn", "f.*"))
+                        F.coalesce(F.col("turn").cast("long"), F.lit(FIRST_TURN)).alias("turn"), facets.alias("facets")))
+
+
+def action_facets(actions: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``run_id, task_id, n_declared, ts, at, turn, facet, key, text, flag``: :func:`faceted_actions`, one row a facet."""
+    names = ["run_id", "task_id", "n_declared", "ts", "at", "turn"]
+    return faceted_actions(actions, tasks).select(*names, F.explode("facets").alias("f")).select(*names, "f.*")
 
 
 def summarised(facets: DataFrame) -> DataFrame:

@@ -71,32 +71,36 @@ LANDINGS = 5
 LANDED_DAYS, LATE_DAYS = 6, 2
 
 
-def land_events(spark: SparkSession, sf_dir: str) -> str:
+def land_events(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
     """``events`` as the files of a log folder that arrive one after the other, out of order.
 
     A landing holds six days of events, but a third of them each land up to one or two days
     late, so every landing but the first brings events from before the end of the last one.
     The closing one is an event of no known run, two months on, which flushes the state.
+    Returns the folder and how many files a landing has: as many as ``events`` has splits.
     """
     events = table(spark, sf_dir, "events")
     path = scratch_path(spark, "landed-events")
     start = events.agg(F.min(F.date_trunc("day", "ts"))).first()[0]
     late = F.make_dt_interval(F.col("event_id") % (LATE_DAYS + 1))
     landing = F.least(F.floor(F.datediff(F.col("ts") + late, F.lit(start)) / LANDED_DAYS), F.lit(LANDINGS - 1))
+    n_files = max(1, events.rdd.getNumPartitions())
     for k in range(LANDINGS):
-        events.filter(landing == k).write.mode("append").parquet(path)
+        events.filter(landing == k).repartition(n_files).write.mode("append").parquet(path)
     last = events.select(F.lit(-1).cast("long").alias("event_id"), (F.max("ts") + F.make_dt_interval(F.lit(60))).alias("ts"),
                          F.lit(None).cast("long").alias("user_id"), *[F.lit(None).cast(events.schema[c].dataType).alias(c)
                                                                       for c in ("event_type", "value", "props")])
     last.coalesce(1).write.mode("append").parquet(path)
-    return path
+    return path, n_files
 
 
 @register("run_fold_stream", oracle=A.FOLD_SQL)
 def run_fold_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run-log fold over ``events`` read as a stream of out-of-order files, with typed state per run."""
     schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(land_events(spark, sf_dir))
+    path, n_files = land_events(spark, sf_dir)
+    # One landing a micro-batch, however many files it takes.
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", n_files).parquet(path)
     # A file may come a whole landing late at most, and an event two days more.
     state = run_fold_stream(spark, A.actions_from_events(events), A.tasks_frame(spark),
                             watermark=f"{LANDED_DAYS + LATE_DAYS + 1} days", limit_seconds=1800 * A.LOG_CLOCK)

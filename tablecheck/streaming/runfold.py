@@ -2,16 +2,17 @@
 
 The batch fold (:func:`tablecheck.operators.runlog.fold_runs`) needs the whole log; here
 actions arrive as a stream, in any order within the watermark.  The stream carries the batch
-fold's own facets (:func:`~tablecheck.operators.runlog.action_facets`, JVM-side columns), and
-``transformWithStateInPandas`` keeps per run
+fold's own facets (:func:`~tablecheck.operators.runlog.faceted_actions`, JVM-side columns), and
+``transformWithState`` keeps per run
 
 * a ``MapState`` (facet, key) -> count, first and last place, last value: the mergeable
   summary of all rows up to the watermark, one entry per model, table and turn;
-* a ``ListState`` of the facets beyond the watermark, before which others may still come;
-* a ``ValueState`` with the run's segment, its timer, and whether it is closed.
+* a ``ListState`` of the actions, with their facets, beyond the watermark, before which others may still come;
+* a ``ValueState`` with the run's segment, its timer, whether it is closed, and whether the
+  other two hold anything.
 
 Rows after a known submit are never kept.  Every micro-batch emits the summary of the runs it
-touched, settled and waiting facets merged.  State always goes: a run whose submit the
+changed, settled and waiting facets merged.  State always goes: a run whose submit the
 watermark has passed gives up its summary at once and its closed mark ``closed_seconds``
 after the submit; any other run expires ``limit_seconds`` after its last action.  What
 arrives for a run after that starts a new segment, and as every row of a segment lies before
@@ -28,44 +29,40 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.runlog import MAX_SECONDS, action_facets, merged, run_states
+from ..operators.runlog import MAX_SECONDS, faceted_actions, merged, run_states
 from ..session import scratch_path
 
 WAITING = ["at", "turn", "facet", "key", "text", "flag"]
-WAITING_SCHEMA = "at long, turn long, facet string, key string, text string, flag boolean"
+WAITING_SCHEMA = "at long, turn long, facet array<string>, key array<string>, text array<string>, flag array<boolean>"
 SUMMARY = ["n", "first_at", "first_turn", "last_at", "last_turn", "text", "flag"]
 SUMMARY_SCHEMA = "n long, first_at long, first_turn long, last_at long, last_turn long, text string, flag boolean"
 OUTPUT_SCHEMA = f"run_id long, task_id string, n_declared long, segment long, facet string, key string, {SUMMARY_SCHEMA}"
+OUTPUT = Row("run_id", "task_id", "n_declared", "segment", "facet", "key", *SUMMARY)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def cut(rows: pd.DataFrame) -> pd.DataFrame:
-    """Facets in call order, up to and including those of the first submit."""
-    rows = rows.sort_values(["at", "turn"], kind="stable", ignore_index=True)
-    submits = rows.index[rows["facet"] == "submit"]
-    if not len(submits):
-        return rows
-    at, turn = rows.loc[submits[0], ["at", "turn"]]
-    return rows[(rows["at"] < at) | ((rows["at"] == at) & (rows["turn"] <= turn))]
+def cut(actions: list[tuple]) -> list[tuple]:
+    """Actions (as ``WAITING``) in call order, up to and including the first submit."""
+    actions = sorted(actions, key=itemgetter(0, 1))
+    submit = next((action[:2] for action in actions if "submit" in action[2]), None)
+    return actions if submit is None else [action for action in actions if action[:2] <= submit]
 
 
-def summary_of(rows: pd.DataFrame) -> dict[tuple, tuple]:
-    """(facet, key) -> count, first place, last place and value of ordered facets."""
-    names = ["facet", "key"]
-    n = rows.groupby(names, sort=False).size()
-    first = rows.drop_duplicates(names, keep="first")
-    last = rows.drop_duplicates(names, keep="last").set_index(names).loc[list(zip(first["facet"], first["key"], strict=True))]
-    keys = zip(first["facet"], first["key"], strict=True)
-    values = zip(n, first["at"], first["turn"], last["at"], last["turn"], last["text"], last["flag"], strict=True)
-    return {k: (int(c), int(fa), int(ft), int(la), int(lt), None if pd.isna(text) else text, None if pd.isna(flag) else bool(flag))
-            for k, (c, fa, ft, la, lt, text, flag) in zip(keys, values, strict=True)}
+def summary_of(actions: list[tuple]) -> dict[tuple, tuple]:
+    """(facet, key) -> count, first place, last place and value of the facets of ordered actions."""
+    found: dict[tuple, tuple] = {}
+    for at, turn, *facets in actions:
+        for facet, key, text, flag in zip(*facets, strict=True):
+            n, *first = found.get((facet, key), (0, at, turn))[:3]
+            found[facet, key] = (n + 1, *first, at, turn, text, flag)
+    return found
 
 
 def merge(known: tuple | None, new: tuple) -> tuple:
@@ -85,53 +82,56 @@ class RunFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "segment long, timer long, closed boolean")
+        self.run = handle.getValueState("run", "segment long, timer long, closed boolean, waits boolean, settled boolean")
         self.waiting = handle.getListState("waiting", WAITING_SCHEMA)
         self.facets = handle.getMapState("facets", "facet string, key string", SUMMARY_SCHEMA)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known = self.run.get() if self.run.exists() else None
-        parts = [part for part in rows if len(part)]
-        if not parts or (known is not None and known[2]):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        # Each call of the state is a message to the JVM: what the run's value rules out is not asked for or written.
+        known = self.run.get()
+        if known is not None and known[2]:
             return
-        new = pd.concat(parts, ignore_index=True)
-        held = list(self.waiting.get()) if known is not None else []
-        every = pd.concat([pd.DataFrame(held, columns=WAITING), new[WAITING]], ignore_index=True) if held else new[WAITING]
-        every = cut(every)
+        new = [tuple(row) for row in rows]
+        if not new:
+            return
+        waits, had_settled = (known[3], known[4]) if known is not None else (False, False)
+        held = [tuple(row) for row in self.waiting.get()] if waits else []
+        every = cut(held + [row[-len(WAITING):] for row in new])
         watermark = timerValues.getCurrentWatermarkInMs()
-        final = every["at"] <= watermark * 1000
-        settled = {tuple(k): tuple(v) for k, v in self.facets.iterator()} if known is not None else {}
-        for name, value in summary_of(every[final]).items():
-            settled[name] = merge(settled.get(name), value)
-            self.facets.updateValue(name, settled[name])
+        final = [row for row in every if row[0] <= watermark * 1000]
+        rest = every[len(final):]
+        if known is not None and not final and rest == held:
+            return  # all of it comes after the submit that waits
+        settled = {tuple(k): tuple(v) for k, v in self.facets.iterator()} if had_settled else {}
+        changed = {name: merge(settled.get(name), value) for name, value in summary_of(final).items()}
+        settled |= changed
         whole = dict(settled)
-        for name, value in summary_of(every[~final]).items():
+        for name, value in summary_of(rest).items():
             whole[name] = merge(whole.get(name), value)
         closed = ("submit", "") in settled
         end = whole["submit", ""][3] // 1000 + self.closed_ms if closed else whole["call", ""][3] // 1000 + self.limit_ms
-        self._keep(known, int(every["at"].min()), max(end, watermark) + 1, closed, every[~final])
-        out = pd.DataFrame([(*k, *v) for k, v in whole.items()], columns=["facet", "key", *SUMMARY])
-        out.insert(0, "segment", self.run.get()[0])
-        out.insert(0, "n_declared", int(new["n_declared"].iloc[0]))
-        out.insert(0, "task_id", new["task_id"].iloc[0])
-        out.insert(0, "run_id", key[0])
-        yield out
-
-    def _keep(self, known: tuple | None, first: int, timer: int, closed: bool, rest: pd.DataFrame) -> None:
-        if known is not None:
-            self.handle.deleteTimer(known[1])
-        self.handle.registerTimer(timer)
-        self.run.update((first if known is None else known[0], timer, closed))
+        segment = every[0][0] if known is None else known[0]
+        timer = max(end, watermark) + 1
+        if known is None or known[1] != timer:
+            if known is not None:
+                self.handle.deleteTimer(known[1])
+            self.handle.registerTimer(timer)
         if closed:
-            self.facets.clear()
-            self.waiting.clear()
-        elif len(rest):
-            rest = rest.astype(object).where(rest.notna(), None)
-            self.waiting.put([tuple(r) for r in rest.itertuples(index=False)])
-        else:
+            changed, rest, settled = {}, [], {}
+            if had_settled:
+                self.facets.clear()
+        for name, value in changed.items():
+            self.facets.updateValue(name, value)
+        if rest:
+            self.waiting.put(rest)
+        elif waits:
             self.waiting.clear()
+        self.run.update((segment, timer, closed, bool(rest), bool(settled)))
+        task_id, n_declared = new[0][1:3]
+        for name, value in whole.items():
+            yield OUTPUT(key[0], task_id, n_declared, segment, *name, *value)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         self.run.clear()
         self.waiting.clear()
         self.facets.clear()
@@ -162,7 +162,9 @@ def start_fold_stream(spark: SparkSession, actions: DataFrame, tasks: DataFrame,
     # Watermarks need TIMESTAMP; a TIMESTAMP_NTZ log is read as UTC wall time.
     timed = actions.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     fold = RunFold(limit_seconds, limit_seconds if closed_seconds is None else closed_seconds)
-    summaries = action_facets(timed, tasks).groupBy("run_id").transformWithStateInPandas(
+    steps = faceted_actions(timed, tasks).select("run_id", "task_id", "n_declared", "ts", "at", "turn", *[
+        F.col(f"facets.{name}").alias(name) for name in ("facet", "key", "text", "flag")])
+    summaries = steps.groupBy("run_id").transformWithState(
         statefulProcessor=fold, outputStructType=OUTPUT_SCHEMA, outputMode="Update", timeMode="EventTime")
 
     def sink(batch: DataFrame, batch_id: int) -> None:

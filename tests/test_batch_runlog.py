@@ -194,6 +194,35 @@ def test_state_is_typed_and_goes(spark, tmp_path):
     assert rows[3]["el_succeeded"] and rows[3]["loaded"] == ["a", "b"] and rows[3]["n_turns"] == 4
 
 
+def test_landings_of_many_files_take_one_micro_batch_each(spark, tmp_path, monkeypatch):
+    """A log of many splits lands in as many files a landing, and still in one micro-batch a landing."""
+    from pyspark.sql import functions as F
+    from tablecheck.plans import actions as A
+    from tablecheck.plans import streams
+    from tablecheck.session import scratch_path
+    from tablecheck.streaming.runfold import latest_states, start_fold_stream
+    kinds = F.array(*[F.lit(k) for k in ("signup", "view", "click", "purchase", "error")])
+    events = spark.range(600, numPartitions=6).select(
+        F.col("id").alias("event_id"), (F.lit(dt.datetime(2024, 1, 1)) + F.make_dt_interval(mins=F.col("id") * 70)).alias("ts"),
+        (F.col("id") * 7 % 20).alias("user_id"), F.get(kinds, (F.col("id") * 11 % 13 % 5).cast("int")).alias("event_type"),
+        F.lit(1.0).alias("value"), F.format_string('{"k": %d}', F.col("id") % 77).alias("props"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    batches = []
+
+    def run(spark, actions, tasks, **limits):
+        out = scratch_path(spark, "test-fold")
+        query = start_fold_stream(spark, actions, tasks, out, **limits)
+        query.awaitTermination()
+        batches.extend(p["numInputRows"] for p in query.recentProgress if p["numInputRows"])
+        return latest_states(spark, out)
+
+    monkeypatch.setattr(streams, "run_fold_stream", run)
+    stream = streams.run_fold_stream_query(spark, str(tmp_path))
+    want = A.run_fold(spark, str(tmp_path))
+    assert sorted(map(tuple, stream.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert sum(batches) == 601 and len(batches) <= streams.LANDINGS + 1
+
+
 def test_official_tasks_load_by_run_el(spark):
     schema = ("run_id string, task_id string, ts timestamp, turn long, tool string, tables array<string>, model string, "
               "sql string, failed boolean")
