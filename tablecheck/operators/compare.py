@@ -66,6 +66,8 @@ _NUMBER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType
 _TIME_TYPES = (T.TimestampType, T.TimestampNTZType)
 
 
+# Codec of the written sides: whole tables, each read a few times.
+COMPRESSION = "zstd"
 # Characters shown of a time column, by its finest value: days, seconds, milli-, microseconds.
 TIME_WIDTHS = (10, 19, 23, 26)
 
@@ -196,7 +198,7 @@ def normalize(df: DataFrame, keep: bool = False) -> tuple[DataFrame, SideProfile
     parsed = {f"_{view}{i}" for i, t in enumerate(types) for view in ("n", "sn")
               if view == "sn" or isinstance(t, T.StringType)}
     kept = [c for c in ndf.columns if c not in parsed]
-    ndf.observe(obs, *_profile_marks(types)).select(*kept).write.mode("overwrite").parquet(path)
+    ndf.observe(obs, *_profile_marks(types)).select(*kept).write.mode("overwrite").parquet(path, compression=COMPRESSION)
     prof = _observed_profile(obs.get, names, types)
 
     def number(i: int, whole: bool) -> Column:
@@ -274,8 +276,7 @@ def column_plan(gp: SideProfile, ap: SideProfile) -> list[ColumnPlan]:
     return out
 
 
-def _folded(side: str | None, i: int, prof: SideProfile) -> Column:
-    c = F.col(f"{side}._l{i}" if side else f"_l{i}")
+def _folded(c: Column, i: int, prof: SideProfile) -> Column:
     if isinstance(prof.types[i], _TIME_TYPES):
         c = F.substring(c, 1, TIME_WIDTHS[prof.time_detail[i]])
     return F.replace(c, F.lit("ß"), F.lit("ss"))
@@ -284,7 +285,7 @@ def _folded(side: str | None, i: int, prof: SideProfile) -> Column:
 def verdict_expr(p: ColumnPlan, gp: SideProfile, ap: SideProfile) -> Column:
     if p.numeric:
         return tolerant_equal(F.col(f"g._n{p.gold_index}"), F.col(f"a._n{p.actual_index}"))
-    g, a = _folded("g", p.gold_index, gp), _folded("a", p.actual_index, ap)
+    g, a = _folded(F.col(f"g._l{p.gold_index}"), p.gold_index, gp), _folded(F.col(f"a._l{p.actual_index}"), p.actual_index, ap)
     return F.coalesce(g.eqNullSafe(a), F.lit(False))
 
 
@@ -328,15 +329,18 @@ def verdict_row(gdf: DataFrame, gp: SideProfile, adf: DataFrame, ap: SideProfile
 
     Both sides go through one range exchange.  Each side follows its own sort: place k of the
     order is a number, a text, or (when the sides differ) both, one of which is null all over a
-    side.  Rows are numbered per side inside a partition as they are written, without their
-    sort values; the driver adds up the rows of each (partition, side), two numbers a
-    partition, and the verdicts of all columns come from one aggregate over the pairs.
+    side.  A cell that its column's sort value yields is taken from that behind the exchange and
+    does not travel beside it.  Rows are numbered per side inside a partition as they are
+    written, without their sort values; the driver adds up the rows of each (partition, side),
+    two numbers a partition, and the verdicts of all columns come from one aggregate over the
+    pairs.
     """
     spark = gdf.sparkSession
     orders = [_sort_values(gp, keys), _sort_values(ap, keys)]
     numeric = [[prof.sorts_numeric(i) for i in sort_order(prof, keys)] for prof in (gp, ap)]
-    sides = []
+    sides, again = [], []
     for side, (df, prof) in enumerate(((gdf, gp), (adf, ap))):
+        places = sort_order(prof, keys)
         values = []
         for k in range(max(map(len, orders))):
             kinds = {n[k] for n in numeric if k < len(n)}
@@ -344,17 +348,32 @@ def verdict_row(gdf: DataFrame, gp: SideProfile, adf: DataFrame, ap: SideProfile
                 own = k < len(orders[side]) and numeric[side][k] == is_number
                 value = orders[side][k] if own else F.lit(None).cast("double" if is_number else "string")
                 values.append(value.alias(f"_s{k}{'n' if is_number else 't'}"))
-        cells = []
+        cells, found = {}, {}
         for p in present:
             i = p.actual_index if side else p.gold_index
-            cells.append((F.col(f"_n{i}") if p.numeric else _folded(None, i, prof)).alias(f"_x{p.gold_index}"))
-        sides.append(df.select(F.lit(side).alias("_side"), *values, *cells))
+            sorted_by = F.col(f"_s{places.index(i)}{'n' if prof.sorts_numeric(i) else 't'}")
+            if p.numeric and prof.sorts_numeric(i) and isinstance(prof.types[i], (*_NUMBER_TYPES, T.StringType)):
+                found[p.gold_index] = sorted_by
+            elif not p.numeric and not prof.sorts_numeric(i):
+                found[p.gold_index] = _folded(sorted_by, i, prof)
+            else:
+                cells[p.gold_index] = F.col(f"_n{i}") if p.numeric else _folded(F.col(f"_l{i}"), i, prof)
+                found[p.gold_index] = F.col(f"_x{p.gold_index}")
+        sides.append((df, values, cells))
+        again.append(found)
+    carried = sorted(sides[0][2].keys() | sides[1][2].keys())
+    kinds = {p.gold_index: "double" if p.numeric else "string" for p in present}
+    sides = [df.select(F.lit(side).alias("_side"), *values,
+                       *[cells.get(i, F.lit(None).cast(kinds[i])).alias(f"_x{i}") for i in carried])
+             for side, (df, values, cells) in enumerate(sides)]
+    cells = [F.when(F.col("_side") == 0, again[0][p.gold_index]).otherwise(again[1][p.gold_index]).alias(f"_x{p.gold_index}")
+             for p in present]
     both = sides[0].unionByName(sides[1]).withColumn("_tie", F.monotonically_increasing_id())
     order = [F.col(c).asc_nulls_last() for c in both.columns if c.startswith("_s") and c != "_side"] + [F.col("_tie").asc()]
     ranged = (both.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
               .sortWithinPartitions(F.col("_side"), *order).withColumn("_mid", F.monotonically_increasing_id())
-              .select("_side", "_mid", *[f"_x{p.gold_index}" for p in present]))
-    fixed = materialize(ranged, "ranged-pair").withColumn("_part", F.shiftright("_mid", LOCAL_BITS).cast("int"))
+              .select("_side", "_mid", *cells))
+    fixed = materialize(ranged, "ranged-pair", COMPRESSION).withColumn("_part", F.shiftright("_mid", LOCAL_BITS).cast("int"))
     counts = fixed.groupBy("_part", "_side").agg(F.count(F.lit(1)).alias("n"), F.min("_mid").alias("first")).collect()
     before, shifts = [0, 0], {}
     for r in sorted(counts, key=lambda r: (r["_part"], r["_side"])):

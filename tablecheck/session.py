@@ -65,15 +65,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base}/tablecheck-scratch/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df, label: str):
+def materialize(df, label: str, compression: str | None = None):
     """Write ``df`` to a fresh folder under the shared checkpoint folder and read it back.
 
     Used for intermediate results that several branches of one plan consume (each
     branch would otherwise recompute the whole lineage) and that must survive the
-    loss of the executors that computed them.
+    loss of the executors that computed them.  ``compression``: the session's codec unless given.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return df.sparkSession.read.parquet(path)
 
 

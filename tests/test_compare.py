@@ -156,3 +156,31 @@ def test_range_positions_equal_row_number(spark):
     ref = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1)
     assert sorted(map(tuple, ranged.select("g", "k", "pos").collect())) == \
         sorted(map(tuple, ref.select("g", "k", "pos").collect()))
+
+
+def test_cells_do_not_travel_beside_their_sort_values(spark, monkeypatch, capsys):
+    """One value a column goes through the range exchange, and cells that no sort value yields still go."""
+    import re
+
+    from tablecheck.operators import compare as C
+    ranged = []
+    written = C.materialize
+
+    def spy(df, *rest):
+        ranged.append(df)
+        return written(df, *rest)
+
+    monkeypatch.setattr(C, "materialize", spy)
+    gold = spark.createDataFrame([(str(i), f"Straße {i % 3}", f"{i / 4:.2f}") for i in range(40)], "k string, t string, x string")
+    made = spark.createDataFrame([(f"{i / 4:.2f}", i, f" strasse {i % 3}") for i in reversed(range(40))], "X string, k int, T string")
+    found = C.compare_tables(gold, made, ["k"])
+    assert found.verdicts == (("k", True), ("t", True), ("x", True))
+    ranged.pop().explain("formatted")
+    inputs = re.findall(r"Exchange\nInput \[(\d+)\]", capsys.readouterr().out)
+    assert inputs == ["7"]  # side, tie, the key, and two places that are a text on one side and a number on the other
+    # a boolean sorts as text but counts as a number; a number against text is compared as text
+    gold = spark.createDataFrame([("1", "7", "a"), ("0", "x", None)], "b string, m string, t string")
+    made = spark.createDataFrame([(True, 7, "A"), (False, 8, None)], "b boolean, m int, t string")
+    found = C.compare_tables(gold, made, ["b"])
+    assert found.verdicts == (("b", True), ("m", False), ("t", True))
+    assert C.compare_tables(made, gold, ["b"]).verdicts == (("b", True), ("m", False), ("t", True))
