@@ -83,14 +83,18 @@ class _Words(dict):
     through the whole tokenizer.
     """
 
-    def __init__(self, tokenizer, prefix: str, dtype: str, most: int):
+    def __init__(self, tokenizer, prefix: str, dtype: str, most: int, id_bytes: list[bytes]):
         super().__init__()
         self.tokenizer, self.prefix, self.dtype, self.most = tokenizer, prefix, dtype, most
-        self.model, self.characters = tokenizer.model, byte_characters()
+        self.model, self.characters, self.id_bytes = tokenizer.model, byte_characters(), id_bytes
 
     def unit(self, text: str) -> bytes:
-        written = "".join([self.characters[b] for b in text.encode()])
-        return np.array([t.id for t in self.model.tokenize(written)], self.dtype).tobytes()
+        if text.isascii() and text.isprintable():  # of these only the blank is written otherwise
+            written = text.replace(" ", self.characters[32])
+        else:
+            written = "".join([self.characters[b] for b in text.encode()])
+        id_bytes = self.id_bytes
+        return b"".join([id_bytes[t.id] for t in self.model.tokenize(written)])
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
@@ -126,8 +130,10 @@ class ByteBpeEncoder:
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = "<u2" if self.vocab_size <= 1 << 16 else "<u4"
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.first = _Words(self.tokenizer, "", self.dtype, max_words // 4)
-        self.later = _Words(self.tokenizer, " ", self.dtype, max_words)
+        width = np.dtype(self.dtype).itemsize
+        id_bytes = [i.to_bytes(width, "little") for i in range(self.vocab_size)]
+        self.first = _Words(self.tokenizer, "", self.dtype, max_words // 4, id_bytes)
+        self.later = _Words(self.tokenizer, " ", self.dtype, max_words, id_bytes)
         self.newline = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:

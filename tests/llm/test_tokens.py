@@ -38,6 +38,17 @@ def test_word_table_equals_library(texts, most):
             library.encode(text, add_special_tokens=False).ids, text[:40]
 
 
+def test_units_of_any_byte_equal_library():
+    """Printable ASCII is written without a look at its bytes, all else byte by byte; ids come from one table."""
+    encoder, library = ByteBpeEncoder(BPE), Tokenizer.from_file(BPE)
+    assert encoder.first.id_bytes is encoder.later.id_bytes and len(encoder.later.id_bytes) == encoder.vocab_size
+    words = [*map(chr, [*range(33, 300), 0x20AC, 0x1F600]), "plain", "it's", "Größe", "naïve,", "a\x7fb", "x\x00", "~~~", "tail...", "...head"]
+    for word in words:
+        for text in (word, f"of {word}", f"{word} {word}\n{word}", f"a{word}"):
+            assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == \
+                library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 13, 15, 16, 17, 32])
 def test_packed_bits_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001, dtype=np.uint64).astype(np.uint32)
