@@ -179,8 +179,8 @@ def fit_quality(df: DataFrame, labels: DataFrame, label_col: str = "quality", id
             bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "y": batch.column("y"),
-                "terms": [terms[a:b].astype("<i4").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)],
-                "counts": [counts[a:b].astype("<i8").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]})
+                "terms": [terms[a:b].astype("<u2").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)],
+                "counts": [counts[a:b].astype("<i4").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]})
 
     # at most 2 * per_class rows of at most TERMS terms: a bounded sample, by parameter
     chosen = text_rows(df, id_col, text_col).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
@@ -194,10 +194,10 @@ def fit_quality(df: DataFrame, labels: DataFrame, label_col: str = "quality", id
     order = sorted(range(n), key=lambda i: (ids[i], len(raws[i]), raws[i]))
     y = np.asarray(sample.column("y"))[order].astype(np.float64)
     raws = [raws[i] for i in order]
-    bounds = np.cumsum([0] + [len(r) // 4 for r in raws])
-    flat = np.frombuffer(b"".join(raws), "<i4")
+    bounds = np.cumsum([0] + [len(r) // 2 for r in raws])
+    flat = np.frombuffer(b"".join(raws), "<u2")
     raws = sample.column("counts").to_pylist()
-    counts = np.frombuffer(b"".join(raws[i] for i in order), "<i8")
+    counts = np.frombuffer(b"".join(raws[i] for i in order), "<i4")
     del sample, raws
     in_docs = np.bincount(flat, minlength=TERMS)
     idf = np.log((1 + n) / (1 + in_docs)) + 1.0

@@ -74,7 +74,7 @@ def materialize(df, label: str, compression: str | None = None):
     """
     path = scratch_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path, compression=compression)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # the schema is known: no job to read it from a file
 
 
 def materialize_all(frames: dict, parallel: int = 4) -> dict:

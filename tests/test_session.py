@@ -12,3 +12,17 @@ def test_materialize_reads_back_a_written_table(spark):
     files = out.inputFiles()
     assert files and all(checkpoint_dir(spark).rstrip("/").split(":")[-1] in f for f in files)
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reading_back_runs_no_job(spark):
+    sc = spark.sparkContext
+    df = spark.range(10, numPartitions=1).select("id", F.array(F.struct(F.lit("a").alias("x"))).alias("nested"))
+    sc.setJobGroup("read-back", "one write")
+    try:
+        out = materialize(df, "test-read-back")
+        jobs = sc.statusTracker().getJobIdsForGroup("read-back")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 1
+    assert out.dtypes == df.dtypes and all(f.nullable for f in out.schema)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
